@@ -1,11 +1,435 @@
-"""Every query of the engine's own operators, with SQL that gives the same rows."""
+"""Every query of the engine's own operators over the driver's tables, with SQL that gives the same rows.
+
+Photon events, trajectories, strokes and signals are derived from `events` and `orders` by integer arithmetic, so that
+both engines see the same numbers.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkburst.functions import clock, geo, packets, poisson, solar
+from sparkburst.operators import catalog, histogram, lightning, scan, trajectory
+from sparkburst.operators import events as E
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+START, DAY_US = 1_704_067_200_000_000, 86_400_000_000
+SPAN = 30 * DAY_US
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return add
+
+
+def photons(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select("event_id", t.alias("t"), (F.col("user_id") % 256).alias("channel"), (F.col("event_id") * 37 % 150).alias("pulse_width"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("event_type"), (F.col("user_id") % 18).alias("det_id"), (F.col("user_id") % 4).alias("mission"), (F.col("event_id") * 7919 % 262144).alias("acd"), "user_id", "value", F.col("event_type").alias("kind"), "props")
+
+
+PHOTONS = """photons AS (SELECT event_id, epoch_us(ts) t, user_id % 256 channel, event_id * 37 % 150 pulse_width, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END event_type,
+ user_id % 18 det_id, user_id % 4 mission, event_id * 7919 % 262144 acd, user_id, value, event_type kind, props FROM events)"""
+
+
+def signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    x = F.col("o_orderkey")
+    return o.select(
+        x.alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("start_full"),
+        F.col("o_custkey").alias("c"), F.pow(F.lit(10.0), (x * 13 % 140 - 120) / 10.0).alias("false_positive_per_year"), (F.greatest(F.lit(0), x % 5 - 2)).alias("associated_lightning_count"),
+        ((x * 31 % 1000) / 1000.0).alias("coincidence_probability"), (x * 17 % 997 + 3).alias("count"), ((x * 11 % 3600) / 10.0).alias("longitude"), ((x * 3 % 860) / 10.0 - 43.0).alias("latitude"),
+    )
+
+
+SIGNALS = """signals AS (SELECT o_orderkey id, epoch_us(o_orderdate) t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') start_full, o_custkey c, pow(10.0, (o_orderkey * 13 % 140 - 120) / 10.0) false_positive_per_year,
+ greatest(0, o_orderkey % 5 - 2) associated_lightning_count, (o_orderkey * 31 % 1000) / 1000.0 coincidence_probability, o_orderkey * 17 % 997 + 3 "count", (o_orderkey * 11 % 3600) / 10.0 longitude, (o_orderkey * 3 % 860) / 10.0 - 43.0 latitude FROM orders)"""
+
+
+def r(c, n: int = 9):
+    return F.round(c, n)
+
+
+# ---- light curves and the scan -------------------------------------------------------------------------------------
+@query(f"WITH {PHOTONS}, b AS (SELECT range bin FROM range({SPAN // 21_600_000_000})) SELECT b.bin, count(p.t) AS count FROM b LEFT JOIN photons p ON p.t >= {START} AND p.t < {START + SPAN} AND (p.t - {START}) // 21600000000 = b.bin GROUP BY 1")
+def light_curve(s, d):
+    return histogram.light_curve(photons(s, d), START, START + SPAN, 21_600_000_000)
+
+
+def _config(rows: DataFrame) -> scan.ScanConfig:
+    low, high, n = rows.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    gap = (high - low) // n * 4
+    return scan.ScanConfig(0, 4 * gap, 400 * gap, 16 * gap, 1e-3 * poisson.YEAR_S / (4 * gap / 1e6), 5)
+
+
+def _spanned(s, d) -> tuple[DataFrame, scan.ScanConfig]:
+    p = photons(s, d)
+    return p.select(F.col("mission").alias("chunk"), "t", F.lit(START).alias("start"), F.lit(START + SPAN).alias("stop")), _config(p)
+
+
+_TAIL = "exp(-mean + list_sum(list_transform(range(1, k + 2), lambda i: ln(mean / i)))) * (1 + list_sum(list_transform(range(1, 61), lambda m: exp(list_sum(list_transform(range(1, m + 1), lambda q: ln(mean / (k + 1 + q))))))))"
+_TRIGGERS = f"""{PHOTONS}, cfg AS (SELECT (max(t) - min(t)) // count(*) * 4 g FROM photons), ev AS (SELECT mission chunk, t, row_number() OVER (PARTITION BY mission ORDER BY t) - 1 rn, count(*) OVER (PARTITION BY mission) n, min(t) OVER (PARTITION BY mission) t0 FROM photons),
+ sides AS (SELECT ev.*, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 200 * g - 1 FOLLOWING) - 1 lt_n, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 8 * g - 1 FOLLOWING) - 1 lt_h,
+   count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 200 * g + 1 PRECEDING) fg_n, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 8 * g + 1 PRECEDING) fg_h, g FROM ev, cfg WINDOW w AS (PARTITION BY chunk ORDER BY t)),
+ edge AS (SELECT ev.chunk, least(count(*) FILTER (t < t0 + 200 * g), any_value(n) - 1) f_n, least(count(*) FILTER (t < t0 + 8 * g), any_value(n) - 1) f_h FROM ev, cfg GROUP BY 1),
+ pairs AS (SELECT a.chunk, a.t ti, b.t tj, b.rn - a.rn + 1 k, a.g, (greatest(f_n, b.lt_n) - greatest(0, a.fg_n - 1)) - (greatest(f_h, b.lt_h) - greatest(0, a.fg_h - 1)) extra FROM sides a JOIN sides b ON a.chunk = b.chunk AND b.rn > a.rn AND b.rn - a.rn + 1 >= 5 AND b.t - a.t < 4 * a.g AND b.t > a.t JOIN edge ON edge.chunk = a.chunk),
+ means AS (SELECT *, extra * (tj - ti) / CAST((least(tj + 200 * g, {START + SPAN}) - greatest(ti - 200 * g, {START})) - (least(tj + 8 * g, {START + SPAN}) - greatest(ti - 8 * g, {START})) AS DOUBLE) mean FROM pairs),
+ tails AS (SELECT *, CASE WHEN mean <= 0 THEN 1.0 ELSE {_TAIL} END p FROM means WHERE mean < k + 1),
+ trig AS (SELECT *, p * {poisson.YEAR_S} / ((tj - ti) / 1e6) fp FROM tails WHERE p < 1e-3 * (tj - ti) / (4.0 * g))"""
+
+
+@query(f"WITH {_TRIGGERS} SELECT chunk, ti, tj, CAST(k AS BIGINT) k, round(mean, 9) mean, round(log10(fp), 6) log_fp FROM trig")
+def burst_triggers(s, d):
+    rows, config = _spanned(s, d)
+    return scan.triggers(rows, config).select("chunk", "ti", "tj", "k", r("mean").alias("mean"), r(F.log10("fp"), 6).alias("log_fp"))
+
+
+_MERGED = """isl AS (SELECT *, sum(new) OVER (PARTITION BY chunk ORDER BY ti, tj ROWS UNBOUNDED PRECEDING) island FROM (SELECT *, CASE WHEN max(tj) OVER (PARTITION BY chunk ORDER BY ti, tj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= ti THEN 0 ELSE 1 END new FROM trig)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY chunk, island ORDER BY fp, ti, tj) o FROM isl),
+ cand AS (SELECT chunk, island, min(ti) "start", max(tj) stop, min(tj - ti) bin_min, max(tj - ti) bin_max, max(tj - ti) FILTER (o = 1) bin_best, max(ti) FILTER (o = 1) - min(ti) delay, max(k) FILTER (o = 1) "count", max(mean) FILTER (o = 1) mean, max(fp) FILTER (o = 1) fp FROM best GROUP BY 1, 2)"""
+
+
+@query(f'WITH {_TRIGGERS}, {_MERGED} SELECT chunk, "start", stop, bin_min, bin_max, bin_best, delay, CAST("count" AS BIGINT) AS count, round(mean, 9) mean, round(log10(fp), 6) log_fp FROM cand')
+def burst_search(s, d):
+    rows, config = _spanned(s, d)
+    found = scan.search(rows, config)
+    return found.select("chunk", "start", "stop", "bin_min", "bin_max", "bin_best", "delay", "count", r("mean").alias("mean"), r(F.log10("fp"), 6).alias("log_fp"))
+
+
+@query(f"""WITH {PHOTONS}, c AS (SELECT mission chunk, t s FROM photons WHERE event_id % 9 = 0), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > 7200000000 OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
+ g AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY s ROWS UNBOUNDED PRECEDING) grp FROM m), b AS (SELECT *, max(s) OVER p - min(s) OVER p > 10800000000 OR count(*) OVER p >= 4 bad FROM g WINDOW p AS (PARTITION BY chunk, grp)) SELECT chunk, s AS "start" FROM b WHERE NOT bad OR last""")
+def session_veto(s, d):
+    rows = photons(s, d).where("event_id % 9 = 0").select(F.col("mission").alias("chunk"), F.col("t").alias("start"))
+    return scan.vetoed(rows, 7_200_000_000, 10_800_000_000, 4)
+
+
+_PATH = "path AS (SELECT mission chunk, t, CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude FROM photons WHERE event_id % 50 = 0)"
+
+
+def _path(p: DataFrame) -> DataFrame:
+    return p.where("event_id % 50 = 0").select(F.col("mission").alias("chunk"), "t", ((F.col("user_id") * 7) % 360 - 180).cast("double").alias("longitude"), (F.col("user_id") % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("value")).alias("altitude"))
+
+
+@query(f"""WITH {PHOTONS}, {_PATH}, seg AS (SELECT *, lead(t) OVER w t1, lead(longitude) OVER w lo1, lead(latitude) OVER w la1, lead(altitude) OVER w al1, row_number() OVER w n FROM path WINDOW w AS (PARTITION BY chunk ORDER BY t)),
+ pts AS (SELECT event_id id, mission chunk, t + 1 AS moment FROM photons WHERE event_id % 3 = 0), hit AS (SELECT p.id, p.moment, s.* FROM pts p JOIN seg s ON p.chunk = s.chunk AND (s.t < p.moment OR s.n = 1) AND (s.t1 >= p.moment) )
+ SELECT id, round(longitude + (lo1 - longitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 6) longitude, round(latitude + (la1 - latitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 6) latitude, round(altitude + (al1 - altitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 4) altitude FROM hit""")
+def interpolated_positions(s, d):
+    p = photons(s, d)
+    points = p.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.col("mission").alias("chunk"), (F.col("t") + 1).alias("at"))
+    out = trajectory.interpolated(points, _path(p), ["longitude", "latitude", "altitude"])
+    return out.select("id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+
+
+@query(f"WITH {PHOTONS}, {_PATH} SELECT chunk, t, longitude FROM path WHERE t BETWEEN {START + 10 * DAY_US} AND {START + 12 * DAY_US}")
+def trajectory_window(s, d):
+    return trajectory.window(_path(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
+
+
+@query(None)
+def located_bursts(s, d):
+    rows, config = _spanned(s, d)
+    found = scan.vetoed(scan.search(rows, config), 36_000_000_000, 3_600_000_000_000, 50).withColumn("at", F.col("start") + F.floor(F.col("bin_best") / 2))
+    return trajectory.interpolated(found, _path(photons(s, d)), ["longitude", "latitude", "altitude"]).select("chunk", "start", "stop", "count", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+
+
+# ---- events ----------------------------------------------------------------------------------------------------------
+@query(f"""WITH {PHOTONS} SELECT event_id, CASE WHEN pulse_width < 75 THEN 'NaI' ELSE 'CsI' END scintillator, event_type = 1 is_am241, CASE WHEN channel < 20 THEN channel + 256 ELSE channel END channel, bit_count(acd) AS n_acd, (acd & 1) = 1 acd_first,
+ pulse_width >= 75 AND event_type <> 1 AND (channel < 20 OR channel >= 38) keep, pulse_width >= 75 AND event_type = 0 AND (channel < 20 OR channel >= 38) keep_strict, 0 AS grp FROM photons""".replace("bit_count(acd)", "CAST(bit_count(acd) AS BIGINT)"))
+def event_columns(s, d):
+    p = photons(s, d)
+    flags = packets.acd_flags(F.col("acd"))
+    args = (F.col("pulse_width"), F.col("event_type"), F.col("channel"))
+    return p.select("event_id", E.scintillator(args[0]).alias("scintillator"), (F.col("event_type") == 1).alias("is_am241"), E.unfolded_channel(F.col("channel")).alias("channel"), F.size(F.filter(flags, lambda x: x)).cast("long").alias("n_acd"), flags[0].alias("acd_first"), E.kept_hxmt(*args).alias("keep"), E.kept_analysis(*args).alias("keep_strict"), F.lit(0).alias("grp"))
+
+
+@query(f"WITH {PHOTONS} SELECT event_id, t - {START + 9 * DAY_US} AS offset_us FROM photons WHERE abs(t - {START + 9 * DAY_US}) < {DAY_US // 4}")
+def events_around(s, d):
+    return E.around(photons(s, d), "t", START + 9 * DAY_US, DAY_US // 4).select("event_id", F.col("offset").alias("offset_us"))
+
+
+@query(f"WITH {PHOTONS} SELECT t, CAST(user_id % 3 + 1 AS INTEGER) det_id, row_number() OVER (PARTITION BY mission ORDER BY t, user_id % 3) AS place FROM photons")
+def merged_streams(s, d):
+    from pyspark.sql import Window
+
+    p = photons(s, d)
+    both = E.merged_streams([p.where(F.col("user_id") % 3 == k).select("t", "mission") for k in range(3)])
+    return both.select("t", "det_id", F.row_number().over(Window.partitionBy("mission").orderBy("t", "det_id")).cast("long").alias("place"))
+
+
+@query(f"WITH {PHOTONS} SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM photons")
+def parsed_props(s, d):
+    return photons(s, d).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(f"WITH {PHOTONS} SELECT mission, count(*) n, min(t) first, max(t) last, sum(CASE WHEN det_id = 0 THEN 1 ELSE 0 END)::BIGINT n_det0 FROM photons GROUP BY 1")
+def group_counts(s, d):
+    return photons(s, d).groupBy("mission").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.count_if(F.col("det_id") == 0).alias("n_det0"))
+
+
+# ---- scalar functions --------------------------------------------------------------------------------------------------
+_SF = "CASE WHEN mean = 0 THEN CASE WHEN k = 0 THEN 0.0 ELSE 1.0 END WHEN mean < k + 1 THEN " + _TAIL + " ELSE 1.0 - list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1)))) END"
+
+
+@query(f"WITH x AS (SELECT event_id, (event_id % 23) / 4.0 mean, event_id % 11 k FROM events), y AS (SELECT *, {_SF} sf FROM x) SELECT event_id, round(sf, 9) sf, round(CASE WHEN mean <= 0 OR mean >= k + 1 THEN 1.0 ELSE sf END, 9) search_sf, round(sf * {poisson.YEAR_S} / (k + 1), 4) per_year, round(20.0 * k / {poisson.YEAR_S}, 12) threshold FROM y")
+def poisson_tails(s, d):
+    x = s.read.parquet(f"{d}/events.parquet").select("event_id", ((F.col("event_id") % 23) / 4.0).alias("mean"), (F.col("event_id") % 11).alias("k"))
+    sf = poisson.sf(F.col("mean"), F.col("k"))
+    return x.select("event_id", r(sf).alias("sf"), r(poisson.search_sf(F.col("mean"), F.col("k"))).alias("search_sf"), r(poisson.per_year(sf, F.col("k") + 1), 4).alias("per_year"), r(poisson.threshold(20.0, F.col("k")), 12).alias("threshold"))
+
+
+@query("WITH x AS (SELECT event_id, (event_id % 37 + 1) / 4.0 mean, pow(10.0, -(event_id % 7 + 1)) p FROM events), y AS (SELECT *, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) c FROM x WHERE event_id % 10 = 0) SELECT event_id, len(list_filter(c, lambda v: v < 1.0 - p)) AS k FROM y".replace("SELECT event_id, len(", "SELECT event_id, CAST(len(").replace("p)) AS k", "p)) AS BIGINT) AS k"))
+def poisson_quantiles(s, d):
+    x = s.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0")
+    return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), (F.col("event_id") % 37 + 1) / 4.0, 100).alias("k"))
+
+
+def _dist(la1: str, lo1: str, la2: str, lo2: str) -> str:
+    a = f"(pow(sin(radians({la2} - {la1}) / 2), 2) + cos(radians({la1})) * cos(radians({la2})) * pow(sin(radians({lo2} - {lo1}) / 2), 2))"
+    return f"(2 * {geo.EARTH_M} * atan2(sqrt({a}), sqrt(greatest(0.0, 1 - {a}))))"
+
+
+def _arrival(dist: str, alt: str) -> str:
+    a, b = f"({geo.EARTH_M} + {alt})", f"{geo.EARTH_M + geo.LIGHTNING_M}"
+    return f"round(sqrt({a} * {a} + {b} * {b} - 2 * {a} * {b} * cos({dist} / {geo.EARTH_M})) / {geo.LIGHT_M_S} * 1e9)"
+
+
+_INSIDE = " + ".join(f"CASE WHEN ({float(y1)} > latitude) <> ({float(y2)} > latitude) AND longitude < (latitude - {y1}) * ({(x2 - x1) / (y2 - y1)!r}) + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(geo.ANOMALY[:-1], geo.ANOMALY[1:], strict=True) if y1 != y2)
+
+
+@query(f"WITH {SIGNALS} SELECT id, round({_dist('latitude', 'longitude', '10.0', '20.0')}, 3) metres, CAST({_arrival('800000.0', '(500000.0 + id % 1000)')} AS BIGINT) arrival, round(pow(sin(latitude / 2), 2), 9) hav, round((id % 900) / 6371.0 * {180 / math.pi!r}, 9) degrees, CASE WHEN longitude < 330 THEN longitude ELSE longitude - 360 END shown, ({_INSIDE}) % 2 = 1 inside FROM signals")
+def geography(s, d):
+    x = signal_rows(s, d)
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return x.select("id", r(geo.distance(lat, lon, F.lit(10.0), F.lit(20.0)), 3).alias("metres"), geo.arrival_ns(F.lit(800_000.0), 500_000.0 + F.col("id") % 1000, F.lit(geo.LIGHTNING_M)).alias("arrival"), r(geo.haversine(lat)).alias("hav"), r(geo.radius_degrees(F.col("id") % 900)).alias("degrees"), geo.display_longitude(lon).alias("shown"), geo.in_polygon(lon, lat).alias("inside"))
+
+
+_SOLAR = f"""WITH {SIGNALS}, a AS (SELECT *, make_timestamp(t) ts, (t % {DAY_US}) / 1e6 sod FROM signals), b AS (SELECT *, dayofyear(ts) doy, year(ts) - 1985 y, ((sod + longitude * 240) % 86400 + 86400) % 86400 mst FROM a),
+ c AS (SELECT *, 2 * {math.pi!r} * (doy - (79.6764 + 0.2422 * y - floor(0.25 * y))) / 365.2422 th FROM b),
+ e AS (SELECT *, 0.3723 + 23.2567 * sin(th) + 0.1149 * sin(2 * th) - 0.1712 * sin(3 * th) - 0.7580 * cos(th) + 0.3656 * cos(2 * th) + 0.0201 * cos(3 * th) dec, 0.0028 - 1.9857 * sin(th) + 9.9059 * sin(2 * th) - 7.0924 * cos(th) - 0.6882 * cos(2 * th) eot, floor(mst / 60) / 4 - 180 ha FROM c),
+ f AS (SELECT *, acos(greatest(-1.0, least(1.0, sin(radians(latitude)) * sin(radians(dec)) + cos(radians(latitude)) * cos(radians(dec)) * cos(radians(ha))))) z FROM e)
+ SELECT id, CAST(doy AS INTEGER) doy, round(th, 9) theta, round(dec, 9) declination, round(eot, 9) equation, round(mst, 6) mean_time, round(((mst + eot * 60) % 86400 + 86400) % 86400, 6) apparent_time, round(ha, 9) hour_angle, round(degrees(z), 6) zenith, round(degrees(asin(greatest(-1.0, least(1.0, -sin(radians(ha)) * cos(radians(dec)) / sin(z))))), 4) azimuth, round(abs(latitude - dec), 9) noon FROM f"""
+
+
+@query(_SOLAR)
+def solar_geometry(s, d):
+    x = signal_rows(s, d)
+    t, lat, lon = F.col("t"), F.col("latitude"), F.col("longitude")
+    return x.select("id", solar.day_of_year(t).alias("doy"), r(solar.year_angle(t)).alias("theta"), r(solar.declination(t)).alias("declination"), r(solar.equation_of_time(t)).alias("equation"), r(solar.mean_solar_time(t, lon), 6).alias("mean_time"), r(solar.apparent_solar_time(t, lon), 6).alias("apparent_time"), r(solar.hour_angle(t, lon)).alias("hour_angle"), r(solar.zenith(t, lat, lon), 6).alias("zenith"), r(solar.azimuth(t, lat, lon), 4).alias("azimuth"), r(solar.noon_zenith(t, lat)).alias("noon"))
+
+
+_LEAPS = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in clock.HXMT.leaps)
+
+
+@query(f"WITH x AS (SELECT o_orderkey id, 1325376000000000 + (o_orderkey * 7919 % 200000) * 1000000000 + 217000 u FROM orders) SELECT id, round((u - 1325376000000000 + ({_LEAPS}) * 1000000) / 1e6, 6) met, round((u - 1483228800000000) / 1e6, 6) met_svom, u AS back FROM x")
+def mission_clock(s, d):
+    x = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.lit(1325376000000000) + (F.col("o_orderkey") * 7919 % 200000) * 1000000000 + 217000).alias("u"))
+    met = clock.met_from_utc(F.col("u"), clock.HXMT)
+    return x.select("id", r(met, 6).alias("met"), r(clock.met_from_utc(F.col("u"), clock.SVOM), 6).alias("met_svom"), clock.utc_from_met(met, clock.HXMT).alias("back"))
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT doc_id, hex(encode(text))[1:16] x FROM documents WHERE length(text) >= 8), c AS (SELECT doc_id, x, 0 AS j, 0 AS a FROM h UNION ALL SELECT doc_id, x, j + 1, ([{", ".join(map(str, packets.CRC4))}])[xor(a, instr('0123456789ABCDEF', x[j + 1:j + 1]) - 1) + 1] FROM c WHERE j < 15),
+ v AS (SELECT doc_id, list_transform(range(0, 8), lambda i: (instr('0123456789ABCDEF', x[2*i+1:2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', x[2*i+2:2*i+2]) - 1) b FROM h)
+ SELECT c.doc_id, CAST(a AS BIGINT) crc, CAST((b[6] & 127) * 16777216 + b[5] * 65536 + b[4] * 256 + b[3] AS BIGINT) bus, CASE WHEN a = (b[8] & 15) THEN CASE WHEN (b[8] & 48) IN (0, 32) THEN 'event' WHEN (b[8] & 48) = 16 THEN 'second' ELSE 'error' END ELSE 'error' END kind FROM c JOIN v ON c.doc_id = v.doc_id WHERE j = 15""")
+def packet_fields(s, d):
+    x = s.read.parquet(f"{d}/documents.parquet").where("char_length(text) >= 8").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 8).alias("b"))
+    return x.select("doc_id", packets.crc4(F.col("b")).alias("crc"), packets.bus_time(F.col("b")).alias("bus"), packets.record(F.col("b"))["kind"].alias("kind"))
+
+
+@query(f"WITH {SIGNALS} SELECT id, CAST(substr(start_full, 12, 2) AS INTEGER) + CAST(substr(start_full, 15, 2) AS INTEGER) / 60.0 AS hour, CAST(month(make_timestamp(t)) AS INTEGER) AS month, strftime(make_timestamp(t), 'Y%Y%m/%Y%m%d-') || lpad(CAST(date_diff('day', DATE '2017-06-15', CAST(make_timestamp(t) AS DATE)) + 1 AS VARCHAR), 4, '0') AS folder FROM (SELECT id, start_full, t + 757382400000000 AS t FROM signals)".replace("AS hour", "AS hour_of_day"))
+def path_and_time_texts(s, d):
+    from sparkburst.sources.archive import folder_1k
+
+    x = signal_rows(s, d).withColumn("t", F.col("t") + 757382400000000)  # 24 years on
+    ts = F.timestamp_micros("t")
+    return x.select("id", solar.hour_of_time(F.substring("start_full", 12, 8)).alias("hour_of_day"), F.month(ts).alias("month"), folder_1k(ts).alias("folder"))
+
+
+# ---- lightning ---------------------------------------------------------------------------------------------------------
+_STROKES = "strokes AS (SELECT event_id sid, t time, CAST(user_id % 80 - 40 AS DOUBLE) stroke_lat, CAST(user_id * 7 % 360 - 180 AS DOUBLE) stroke_lon FROM photons WHERE kind = 'purchase')"
+_POINTS = "pts AS (SELECT event_id id, t + 1000 AS moment, CAST(user_id % 80 - 40 AS DOUBLE) + 1 lat, CAST(user_id * 7 % 360 - 180 AS DOUBLE) lon, 550000.0 alt FROM photons WHERE event_id % 5 = 0)"
+_TOL, _REACH = 3_600_000_000, 5_000_000.0
+
+
+def _strokes(p: DataFrame) -> DataFrame:
+    return p.where("kind = 'purchase'").select(F.col("event_id").alias("sid"), F.col("t").alias("time"), (F.col("user_id") % 80 - 40).cast("double").alias("stroke_lat"), (F.col("user_id") * 7 % 360 - 180).cast("double").alias("stroke_lon"))
+
+
+def _points(p: DataFrame) -> DataFrame:
+    return p.where("event_id % 5 = 0").select(F.col("event_id").alias("id"), (F.col("t") + 1000).alias("at"), ((F.col("user_id") % 80 - 40).cast("double") + 1).alias("lat"), (F.col("user_id") * 7 % 360 - 180).cast("double").alias("lon"), F.lit(550000.0).alias("alt"))
+
+
+@query(f"WITH {PHOTONS}, {_STROKES}, {_POINTS}, m AS (SELECT *, {_dist('lat', 'lon', 'stroke_lat', 'stroke_lon')} dist FROM pts JOIN strokes ON time BETWEEN moment - {_TOL + 1000000} AND moment + {_TOL + 1000000}) SELECT id, sid, round(dist, 3) distance FROM m WHERE dist <= {_REACH} AND abs(time - (moment - {_arrival('dist', 'alt')} / 1000)) <= {_TOL}")
+def lightning_associations(s, d):
+    p = photons(s, d)
+    return lightning.associated(_points(p), _strokes(p), _TOL, _REACH).select("id", "sid", r("distance", 3).alias("distance"))
+
+
+_HALF = _TOL + 1_000_000 + 43_200_000_000
+
+
+@query(f"""WITH {PHOTONS}, {_STROKES}, {_POINTS}, m AS (SELECT *, {_dist('lat', 'lon', 'stroke_lat', 'stroke_lon')} dist FROM pts JOIN strokes ON time BETWEEN moment - {_HALF} AND moment + {_HALF}), w AS (SELECT id, moment, time + {_arrival('dist', 'alt')} / 1000 - {_TOL} a, time + {_arrival('dist', 'alt')} / 1000 + {_TOL} b FROM m WHERE dist <= {_REACH}),
+ n AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END new FROM w), i AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY a, b ROWS UNBOUNDED PRECEDING) k FROM n), u AS (SELECT id, moment, k, least(max(b), moment + {_HALF}) - greatest(min(a), moment - {_HALF}) len FROM i GROUP BY 1, 2, 3)
+ SELECT pts.id, round(coalesce(sum(len) FILTER (len > 0), 0) / {2.0 * _HALF}, 9) probability FROM pts LEFT JOIN u ON pts.id = u.id GROUP BY 1""")
+def coincidence_probability(s, d):
+    p = photons(s, d)
+    out = lightning.coincidence(_points(p), _strokes(p), _TOL, _REACH, 86_400_000_000)
+    return out.select("id", r("probability").alias("probability"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, event_id AS sid, CASE WHEN value < 20 THEN NULL ELSE value END AS energy FROM events WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%d %H:%M:%S.%f') BETWEEN '2024-01-05 00:00:00.000000' AND '2024-01-09 12:00:00.000000'")
+def strokes_between(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), F.col("event_id").alias("sid"), F.when(F.col("value") >= 20, F.col("value")).alias("energy"))
+    return lightning.strokes_between(rows, "2024-01-05 00:00:00.000000", "2024-01-09 12:00:00.000000")
+
+
+# ---- catalogue and histograms ------------------------------------------------------------------------------------------
+_ACC = "acc AS (SELECT * FROM signals WHERE start_full < '1997-01-01' AND (false_positive_per_year <= 1e-5 OR false_positive_per_year <= 1 AND associated_lightning_count > 0))"
+
+
+def _accepted(s, d) -> DataFrame:
+    return catalog.accepted(signal_rows(s, d), "1997-01-01")
+
+
+@query(f"WITH {SIGNALS}, {_ACC} SELECT id, start_full, associated_lightning_count FROM acc")
+def accepted_signals(s, d):
+    return _accepted(s, d).select("id", "start_full", "associated_lightning_count")
+
+
+@query(f"WITH {SIGNALS}, {_ACC} SELECT count(*) n, count(*) FILTER (associated_lightning_count > 0) n_with, count(*) FILTER (associated_lightning_count = 0) n_without, count(*) FILTER (month(make_timestamp(t)) IN (6, 7, 8)) n_summer, count(*) FILTER (month(make_timestamp(t)) IN (12, 1, 2)) n_winter, min(\"count\") least, max(\"count\") most FROM acc")
+def signal_counts(s, d):
+    m, a = F.month(F.timestamp_micros("t")), F.col("associated_lightning_count")
+    return _accepted(s, d).agg(F.count("*").alias("n"), F.count_if(a > 0).alias("n_with"), F.count_if(a == 0).alias("n_without"), F.count_if(m.isin(6, 7, 8)).alias("n_summer"), F.count_if(m.isin(12, 1, 2)).alias("n_winter"), F.min("count").alias("least"), F.max("count").alias("most"))
+
+
+@query(f"WITH {SIGNALS} SELECT id FROM signals WHERE start_full = (SELECT max(start_full) FROM signals) ORDER BY id LIMIT 1")
+def point_lookup(s, d):
+    x = signal_rows(s, d).withColumns({"satellite": F.lit("a"), "detector": F.lit("b")})
+    last = x.agg(F.max("start_full")).first()[0]
+    return catalog.point(x, last, "a", "b").orderBy("id").limit(1).select("id")
+
+
+def _bins_sql(n: int, x: str, source: str, value: str = "count(*)", name: str = "count") -> str:
+    return f"SELECT b.range bin, coalesce(v, 0) AS {name} FROM range({n}) b LEFT JOIN (SELECT {x} bin, {value} v FROM {source} GROUP BY 1) h ON h.bin = b.range"
+
+
+@query(f"WITH {SIGNALS}, {_ACC} " + _bins_sql(36, "CAST(least(floor((longitude - 0.0) / 10.0), 35) AS BIGINT)", "acc WHERE longitude BETWEEN 0 AND 360"))
+def longitude_histogram(s, d):
+    return histogram.histogram(_accepted(s, d), histogram.linear_bin(F.col("longitude"), 0.0, 360.0, 36), 36)
+
+
+_LOG = "CAST(least(floor((log10(false_positive_per_year) - (-12.05)) / (13.35 / 200)), 199) AS BIGINT)"
+
+
+def _fp_bin():
+    return histogram.linear_bin(F.log10("false_positive_per_year"), -12.05, 1.3, 200)
+
+
+@query(f"WITH {SIGNALS} " + _bins_sql(200, _LOG.replace("13.35 / 200", "0.06675"), "signals WHERE log10(false_positive_per_year) BETWEEN -12.05 AND 1.3"))
+def rate_histogram(s, d):
+    return histogram.histogram(signal_rows(s, d), _fp_bin(), 200)
+
+
+@query(f"WITH {SIGNALS} " + _bins_sql(200, _LOG.replace("13.35 / 200", "0.06675"), "signals WHERE log10(false_positive_per_year) BETWEEN -12.05 AND 1.3", "round(sum(coincidence_probability), 6)", "total"))
+def chance_histogram(s, d):
+    return histogram.histogram(signal_rows(s, d), _fp_bin(), 200, F.col("coincidence_probability")).select("bin", r("total", 6).alias("total"))
+
+
+@query(f"WITH {SIGNALS} SELECT b.range bin, CASE WHEN y > 0 THEN x / CAST(y AS DOUBLE) END ratio, coalesce(x, 0) - coalesce(y, 0) difference FROM range(37) b LEFT JOIN (SELECT CAST(least(floor((log10(\"count\") - log10(3)) / ((log10(999) - log10(3)) / 37)), 36) AS BIGINT) bin, count(*) FILTER (associated_lightning_count > 0) x, count(*) y FROM signals WHERE \"count\" BETWEEN 3 AND 999 GROUP BY 1) h ON h.bin = b.range")
+def associated_share(s, d):
+    x = signal_rows(s, d)
+    b = histogram.log_bin(F.col("count"), 3, 999, 37)
+    return histogram.compared(histogram.histogram(x.where("associated_lightning_count > 0"), b, 37), histogram.histogram(x, b, 37)).select("bin", "ratio", "difference")
+
+
+@query(f"WITH {SIGNALS} " + _bins_sql(48, "CAST(least(floor((t % 86400000000) / 1800000000), 47) AS BIGINT)", "signals", "CAST(sum(1000.0 / (id % 50 + 1)) AS DOUBLE)", "total").replace("coalesce(v, 0) AS total", "round(coalesce(v, 0), 6) AS total"))
+def weighted_rates(s, d):
+    x = signal_rows(s, d)
+    b = histogram.linear_bin(F.pmod("t", F.lit(DAY_US)) / 1e6, 0.0, 86_400.0, 48)
+    return histogram.histogram(x, b, 48, 1000.0 / (F.col("id") % 50 + 1)).select("bin", r("total", 6).alias("total"))
+
+
+@query(None)
+def power_law(s, d):
+    """Fit over the histogram's 200 bins, and its total over the extended range."""
+    rows = sorted((row["bin"], row["count"]) for row in histogram.histogram(signal_rows(s, d), _fp_bin(), 200).collect())
+    import numpy as np
+
+    edges = np.logspace(-12.05, 1.3, 201)
+    x, y = (edges[:-1] + edges[1:]) / 2, np.array([c for _, c in rows], float)
+    use = (x > 1e-4) & (x < 20)
+    a, b = histogram.power_law_fit(x[use], y[use])
+    return s.createDataFrame([(a, b, histogram.power_law_total(a, b, 10**-12.05, 3.16e11, 353))], "a double, b double, total double")
+
+
+# ---- tasks -------------------------------------------------------------------------------------------------------------
+_TASKS = "tasks AS (SELECT 'HXMT' satellite, 'HE' detector, o_orderdate AS time, CASE o_orderstatus WHEN 'O' THEN 'Pending' WHEN 'F' THEN 'Failed' ELSE 'Running' END status, CAST(o_orderkey % 3 AS INTEGER) retry_times, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) n FROM orders), task AS (SELECT satellite, detector, time, status, retry_times FROM tasks WHERE n = 1)"
+
+
+def _tasks(s, d) -> DataFrame:
+    o = s.read.parquet(f"{d}/orders.parquet")
+    first = o.groupBy("o_orderdate").agg(F.min_by(F.struct("o_orderkey", "o_orderstatus"), "o_orderkey").alias("x"))
+    status = F.when(F.col("x.o_orderstatus") == "O", "Pending").when(F.col("x.o_orderstatus") == "F", "Failed").otherwise("Running")
+    return first.select(F.lit("HXMT").alias("satellite"), F.lit("HE").alias("detector"), F.col("o_orderdate").alias("time"), status.alias("status"), (F.col("x.o_orderkey") % 3).cast("int").alias("retry_times"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+
+
+def _reset(s, d, status):
+    return catalog.reset(_tasks(s, d), status, F.lit("2024-01-01").cast("timestamp_ntz")).select("time", "status", "retry_times", F.col("updated_at").isNotNull().alias("touched"))
+
+
+@query(f"WITH {_TASKS} SELECT time, CASE status WHEN 'Failed' THEN 'Pending' ELSE status END status, CASE status WHEN 'Failed' THEN retry_times + 1 ELSE retry_times END retry_times, status = 'Failed' touched FROM task")
+def reset_failed(s, d):
+    return _reset(s, d, "Failed")
+
+
+@query(f"WITH {_TASKS} SELECT time, CASE status WHEN 'Running' THEN 'Pending' ELSE status END status, CASE status WHEN 'Running' THEN retry_times + 1 ELSE retry_times END retry_times, status = 'Running' touched FROM task")
+def reset_stuck(s, d):
+    return _reset(s, d, "Running")
+
+
+_HOURS = "h AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01 00:00:00', TIMESTAMP '1996-03-01 07:00:00', INTERVAL 1 HOUR)) AS time)"
+
+
+@query(f"WITH {_TASKS}, {_HOURS} SELECT satellite, detector, time, status, retry_times FROM task UNION ALL SELECT 'HXMT', 'HE', time, 'Pending', 0 FROM h WHERE NOT EXISTS (SELECT 1 FROM task k WHERE k.time = h.time)")
+def refresh_tasks(s, d):
+    return catalog.refreshed_tasks(_tasks(s, d), "HXMT", "HE", "1996-01-01 00:00:00", "1996-03-01 06:30:00").drop("updated_at")
+
+
+@query(f"WITH {_HOURS} SELECT time, 'HXMT-HE: Energy Spectrum' AS what, 'Pending' AS status, 0 AS retry_times FROM h")
+def refresh_statistics(s, d):
+    empty = s.createDataFrame([], catalog.STATISTICS)
+    return catalog.refreshed_statistics(empty, "HXMT-HE: Energy Spectrum", "1996-01-01 00:00:00", "1996-03-01 06:30:00")
+
+
+@query(f"WITH {_TASKS} SELECT time, status FROM task UNION ALL SELECT TIMESTAMP '2017-08-24 10:00:00', 'Pending'")
+def insert_task(s, d):
+    new = s.sql("SELECT 'HXMT' AS satellite, 'HE' AS detector, TIMESTAMP_NTZ '2017-08-24 10:00:00' AS time, 'Pending' AS status, 0 AS retry_times")
+    return catalog.added(_tasks(s, d), new, ["satellite", "detector", "time"]).select("time", "status")
+
+
+@query(f"WITH {SIGNALS} SELECT CAST(make_timestamp(t) AS DATE) AS day, count(*) AS n, max(id) AS last_id FROM signals GROUP BY 1")
+def daily_signals(s, d):
+    from sparkburst.sources.archive import signal_days
+
+    x = signal_rows(s, d).select(F.timestamp_micros("t").cast("date").alias("day"), "id")
+    out = signal_days(x.select("day").distinct(), x)
+    return out.select("day", F.size("signals").cast("long").alias("n"), F.array_max(F.transform("signals", lambda v: v["id"])).alias("last_id"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
