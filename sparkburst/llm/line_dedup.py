@@ -18,7 +18,9 @@ _RARITY_BITS, _PARTS = 22, 64
 #: Bits of the filter that tells which sets have to be read for verification.
 _NEED_BITS = 25
 #: Candidates a set sends from one token's list in the first round; sets left unmatched send all in the second.
-FIRST_ROUND = 6
+#: by kind: those whose bitmaps differ in at most half of the bits that the threshold allows, nearly all of which match,
+#: and the others.
+FIRST_ROUND = (6, 300)
 _POSTINGS = 400_000
 #: Null ids come first.
 _NULL_ID = -(1 << 63)
@@ -152,7 +154,7 @@ def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, line int, sid long, bits long, prefix array<long>")
 
 
-def _candidates(least: float, limit: int | None):
+def _candidates(least: float, limit: tuple[int, int] | None):
     """Pairs (a, b, more) from postings: b comes before a and passes the length, positional and bitmap filters.
 
     In the first round each set sends its `limit` nearest earlier candidates and one that says that there are more; in
@@ -161,7 +163,7 @@ def _candidates(least: float, limit: int | None):
 
     def meet(rank, sid, size, place, bits, probe) -> pa.Table:
         """Compares each posting with the one `lag` places before it in its list, for lag 1, 2, ..., all lists at once."""
-        count = np.zeros(len(sid), np.int64)
+        count = np.zeros((2, len(sid)), np.int64)
         out: list[tuple] = []
         waiting, lag = np.flatnonzero(probe & (rank >= 1)), 1
         while len(waiting):
@@ -169,15 +171,16 @@ def _candidates(least: float, limit: int | None):
             both = size[x] + size[b]
             need = np.ceil(least / (1 + least) * both - 1e-9)
             ok = (np.minimum(size[x], size[b]) >= least * np.maximum(size[x], size[b]) - 1e-9) & (np.minimum(size[x] - place[x], size[b] - place[b]) >= need)
-            ok &= np.bitwise_count(bits[x] ^ bits[b]) <= both - 2 * need
+            apart = np.bitwise_count(bits[x] ^ bits[b])
+            ok &= apart <= both - 2 * need
             ok |= (size[x] == 0xFFFF) | (size[b] == 0xFFFF)  # saturated sizes can't be filtered
             if ok.any():
                 hit = x[ok]
-                count[hit] += 1
-                over = (count[hit] > limit) if limit is not None else np.zeros(len(hit), bool)
+                count[(2 * apart > both - 2 * need)[ok].astype(int), hit] += 1
+                over = np.zeros(len(hit), bool) if limit is None else (count[0, hit] > limit[0]) | (count[1, hit] > limit[1])
                 out.append((sid[hit], sid[b[ok]], over))
                 if over.any():
-                    waiting = waiting[count[waiting] <= limit]
+                    waiting = waiting[(count[0, waiting] <= limit[0]) & (count[1, waiting] <= limit[1])]
             lag += 1
             waiting = waiting[rank[waiting] >= lag]
         none = np.zeros(0, np.int64)
@@ -272,7 +275,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _POSTINGS))
     posts = lines.where(F.size("prefix") > 0).select(F.explode("prefix").alias("post"), "sid", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "line", "bits")
 
-    def matched(probes: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    def matched(probes: DataFrame, limit: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
         pairs = stored(probes.repartition(parts, F.shiftright("post", 32)).mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
         return stored(_verified(pairs, docs, rarity, least).select(F.col("a").alias("sid")).distinct()), pairs
 
