@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import dropped, join_checked, stored
+from sparkburst.llm.common import join_checked, stored
 from sparkburst.llm.components import connected_components
 
 MIN_COSINE = 0.93
@@ -20,10 +20,13 @@ TABLES, TABLE_BITS = 8, 8
 BLOCK = 1500
 
 
-def fit_rotation(sample: np.ndarray, bits: int = TABLES * TABLE_BITS, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): principal axes, then the rotation that brings projections nearest to their signs."""
-    mean = sample.mean(axis=0)
-    x = sample - mean
+def fit_rotation(sample: np.ndarray, bits: int = TABLES * TABLE_BITS, rounds: int = 40, seed: int = 5) -> np.ndarray:
+    """Projection: principal axes of unit vectors, then the rotation that brings projections nearest to their signs.
+
+    Vectors aren't centred, so that bits are tests of directions and two vectors differ in about angle / pi of them even
+    where one tight group is most of the data.
+    """
+    x = sample
     dims = min(bits, x.shape[1])
     axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :dims]
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -34,7 +37,7 @@ def fit_rotation(sample: np.ndarray, bits: int = TABLES * TABLE_BITS, rounds: in
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
-    return mean, axes @ r
+    return axes @ r
 
 
 def _unit(vectors: list[list[float]]) -> np.ndarray:
@@ -49,8 +52,7 @@ def _coder(models):
             out = np.zeros((len(vectors), TABLES), np.uint8)
             for dim in {len(v) for v in vectors} & set(models.value):
                 rows = [i for i, v in enumerate(vectors) if len(v) == dim]
-                mean, axes = models.value[dim]
-                out[rows] = np.packbits((_unit([vectors[i] for i in rows]) - mean) @ axes >= 0, axis=1)
+                out[rows] = np.packbits(_unit([vectors[i] for i in rows]) @ models.value[dim] >= 0, axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view("<i8")[:, 0])], [*batch.schema.names, "code"])
 
     return code

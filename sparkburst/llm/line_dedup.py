@@ -187,9 +187,10 @@ def _candidates(least: float, limit: tuple[int, int] | None):
         return pa.table({n: np.concatenate([none.astype(kind), *(o[k] for o in out)]) for k, (n, kind) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         post, sid, doc, line, bits = (table[c].to_numpy() for c in ("post", "sid", "doc", "line", "bits"))
         probe = table["probe"].to_numpy(zero_copy_only=False)
         token = post >> 32

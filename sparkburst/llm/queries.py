@@ -33,5 +33,62 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WS = r"[\x20\x09-\x0D]"
+_SOLID = rf"length(regexp_replace({{}}, '{_WS}', '', 'g'))"
+_WORDS = rf"list_filter(regexp_split_to_array({{}}, '{_WS}+'), lambda x: x <> '')"
+
+LINE_RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS.format("t")} AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT doc_id, line, {_SOLID.format("line")} AS solid, {_WORDS.format("line")} AS w FROM l),
+bad AS (SELECT doc_id, sum(solid) AS n FROM lw WHERE len(w) > 0 AND (
+  len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]')) > {line_rules.MAX_MARKS} * solid
+  OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»·•/–—-]+'))) > {line_rules.MAX_SEPARATORS} * len(w)
+  OR regexp_matches(line, '{line_rules.BOILERPLATE}')) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw WHERE len(w) > 0 GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, {_SOLID.format("t")} AS word_chars, CAST(len(regexp_extract_all(t, '{line_rules.SYMBOLS}')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, CAST(coalesce(bad.n, 0) AS BIGINT) AS removed_chars
+  FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id LEFT JOIN bad ON bad.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND removed_chars <= {line_rules.MAX_LOSS} * word_chars AS kept FROM b"""
+
+
+def _rules_sql() -> tuple[str, str]:
+    rule = verdict = "CASE"
+    for say, host, path in sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r)):
+        fits = f" WHEN (host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}') THEN "
+        rule, verdict = rule + fits + f"'{host}{path}'", verdict + fits + f"'{say}'"
+    return rule + " END", verdict + " END"
+
+
+def _strength_sql(mean: str, source: str) -> str:
+    rho = f"sum(pow(bad - n * {mean}, 2) - n * {mean} * (1 - {mean})) / nullif(sum(n * (n - 1) * {mean} * (1 - {mean})), 0)"
+    return f"(SELECT round(1 / coalesce(least(greatest({rho}, 0.001), 0.5), 0.5) - 1, 6) FROM {source} WHERE n > 0)"
+
+
+_SUFFIX = "CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ({}) THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END".format(", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL))
+URL_SQL = rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT doc_id, max(1 - quality) AS bad FROM labels GROUP BY 1),
+h AS (SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad, string_split(host, '.') AS parts FROM u LEFT JOIN o ON o.doc_id = u.page_id GROUP BY 1),
+hs AS (SELECT host, n, bad, {_SUFFIX} AS suffix, parts FROM h),
+hd AS (SELECT host, n, bad, suffix, array_to_string(parts[-(len(string_split(suffix, '.')) + 1):], '.') AS domain FROM hs),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY 1, 2),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (sum(sum(bad)) OVER () + 1.0) / (sum(sum(n)) OVER () + 2.0) AS m0 FROM d GROUP BY 1),
+k0 AS (SELECT {_strength_sql("m0", "s")} AS k), s1 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1 FROM s, k0),
+d0 AS (SELECT d.*, m1 FROM d JOIN s1 ON s1.suffix = d.suffix), k1 AS (SELECT {_strength_sql("m1", "d0")} AS k), d1 AS (SELECT suffix, domain, (bad + k * m1) / (n + k) AS m2 FROM d0, k1),
+h0 AS (SELECT hd.*, m2 FROM hd JOIN d1 ON d1.suffix = hd.suffix AND d1.domain = hd.domain), k2 AS (SELECT {_strength_sql("m2", "h0")} AS k),
+ab AS (SELECT host, bad + k * m2 AS a, n - bad + k * (1 - m2) AS b FROM h0, k2),
+f AS (SELECT host, a / (a + b) - {url_filter.Z} * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > {url_filter.MAX_BAD} AS blocked FROM ab)
+SELECT u.page_id, u.host, u.path, {_rules_sql()[0].replace("host", "u.host").replace("(path", "(u.path")} AS rule,
+  coalesce({_rules_sql()[1].replace("host", "u.host").replace("(path", "(u.path")}, CASE WHEN f.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.host = u.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators draw, iterate or tokenise; tests hold them against plain Python."""
+    return {"op4_quality_rules": LINE_RULES_SQL, "op7_url_filter": URL_SQL}

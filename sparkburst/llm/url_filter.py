@@ -103,4 +103,4 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, page: str = "page_id", url
 def url_report(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """A page's outcome is the quality label of the document of the same id: 0 is bad."""
     outcomes = labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return judge_urls(pages.select("page_id", "url"), outcomes)
+    return judge_urls(pages.select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
