@@ -73,10 +73,9 @@ def token_ids(path: str):
     def ids(text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _ODD.search(text):
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or "\0" in text or _ODD.search(text):
             return np.array(known.encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return get(first) + b"".join([get(" " + w) for w in rest])
+        return b"".join(map(get, text.replace(" ", "\0 ").split("\0")))  # each word with the space before it
 
     return ids
 
