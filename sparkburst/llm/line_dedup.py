@@ -20,7 +20,7 @@ _NEED_BITS = 25
 #: Candidates a set sends from one token's list in the first round; sets left unmatched send all in the second.
 #: by kind: those whose bitmaps differ in at most half of the bits that the threshold allows, nearly all of which match,
 #: and the others.
-FIRST_ROUND = (6, 300)
+FIRST_ROUND = (4, 20)
 _POSTINGS = 400_000
 #: Null ids come first.
 _NULL_ID = -(1 << 63)
