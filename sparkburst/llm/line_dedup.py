@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import join_checked, stored
+from sparkburst.llm.common import BROADCAST_ROWS, join_checked, stored
 
 MIN_JACCARD = 0.8
 #: Buckets of the table of token counts: a fixed size, whatever the corpus; it only orders tokens.
 _RARITY_BITS, _PARTS = 22, 64
 #: Bits of the filter that tells which sets have to be read for verification.
 _NEED_BITS = 25
+#: Sets of so many tokens also carry a parity bitmap of 256 bits: 64 bits are full with sets of this size.
+_WIDE = 64
+_PARTS_OF_WIDE = ("w0", "w1", "w2")
 #: Candidates a set sends from one token's list in the first round; sets left unmatched send all in the second.
 #: by kind: those whose bitmaps differ in at most half of the bits that the threshold allows, nearly all of which match,
 #: and the others.
@@ -62,6 +65,18 @@ class _Lines:
         else:
             self.sid = self.bits = np.zeros(0, np.int64)
 
+    def wide(self, wanted: np.ndarray) -> np.ndarray:
+        """Three columns: the parts of a 256-bit parity bitmap that, with the fourth, xor to `bits`; zeros where not wanted."""
+        out = np.zeros((3, len(self.begin)), np.int64)
+        rows = np.flatnonzero(wanted)
+        if len(rows):
+            token = self.token[np.repeat(wanted, self.size)]
+            begin = np.concatenate(([0], np.cumsum(self.size[rows])[:-1]))
+            part, bit = (token >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (token & np.uint64(63))
+            for k in range(3):
+                out[k, rows] = np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), begin).view(np.int64)
+        return out
+
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     texts = [(t or "").encode() for t in batch["text"].to_pylist()]
@@ -118,9 +133,9 @@ def _prefix_length(n: np.ndarray, least: float) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
-    """(doc_id, text_hash, line, sid, bits, prefix) of every line with words.
+    """(doc_id, text_hash, line, sid, bits, w0, w1, w2, prefix) of every line with words.
 
-    sid names the line's token set; bits is its parity bitmap. prefix holds, for lines of a set that come before all that
+    sid names the line's token set; bits is its parity bitmap, w0 to w2 are parts of the wide one (see _Lines.wide). prefix holds, for lines of a set that come before all that
     the task has seen, one long per token of the rarity-ordered prefix: token hash (32 bits), set size and place (16 bits each, saturated).
     Tokens seen once in the corpus are left out: no other line can have them.
     """
@@ -147,11 +162,11 @@ def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
                 offsets = np.searchsorted(owner, np.arange(len(x.begin) + 1)).astype(np.int32)
                 row = pa.array(x.doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(row), batch["text_hash"].take(row), pa.array(x.number), pa.array(x.sid), pa.array(x.bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed.view(np.int64)))],
-                    ["doc_id", "text_hash", "line", "sid", "bits", "prefix"],
+                    [batch["doc_id"].take(row), batch["text_hash"].take(row), pa.array(x.number), pa.array(x.sid), pa.array(x.bits), *map(pa.array, x.wide(fresh & (x.size >= _WIDE))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed.view(np.int64)))],
+                    ["doc_id", "text_hash", "line", "sid", "bits", *_PARTS_OF_WIDE, "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, sid long, bits long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix array<long>")
 
 
 def _candidates(least: float, limit: tuple[int, int] | None):
@@ -161,22 +176,38 @@ def _candidates(least: float, limit: tuple[int, int] | None):
     the second, sets that are marked send all.
     """
 
-    def meet(rank, sid, size, place, bits, probe) -> pa.Table:
+    def meet(rank, sid, size, place, bits, wide, probe) -> pa.Table:
         """Compares each posting with the one `lag` places before it in its list, for lag 1, 2, ..., all lists at once."""
         count = np.zeros((2, len(sid)), np.int64)
         out: list[tuple] = []
+        rest = (size - place).astype(np.int32)
+        full = size == 0xFFFF  # saturated sizes can't be filtered
+        low = np.where(full, 0, np.ceil(least * size - 1e-9)).astype(np.int32)
+        high = np.where(full, 0xFFFF, np.floor(size / least + 1e-9)).astype(np.int32)
+        size = size.astype(np.int32)
         waiting, lag = np.flatnonzero(probe & (rank >= 1)), 1
         while len(waiting):
-            x, b = waiting, waiting - lag
+            near = size[waiting - lag]
+            x = waiting[((near >= low[waiting]) & (near <= high[waiting])) | (near == 0xFFFF)]
+            b = x - lag
             both = size[x] + size[b]
-            need = np.ceil(least / (1 + least) * both - 1e-9)
-            ok = (np.minimum(size[x], size[b]) >= least * np.maximum(size[x], size[b]) - 1e-9) & (np.minimum(size[x] - place[x], size[b] - place[b]) >= need)
-            apart = np.bitwise_count(bits[x] ^ bits[b])
-            ok &= apart <= both - 2 * need
-            ok |= (size[x] == 0xFFFF) | (size[b] == 0xFFFF)  # saturated sizes can't be filtered
+            need = np.ceil(least / (1 + least) * both - 1e-9).astype(np.int32)
+            fits = np.flatnonzero((np.minimum(rest[x], rest[b]) >= need) | full[x] | full[b])
+            x, b, both, need = x[fits], b[fits], both[fits], need[fits]
+            spare = both - 2 * need
+            apart = np.bitwise_count(bits[x] ^ bits[b]).astype(np.int32)
+            large = np.flatnonzero((apart <= spare) & (np.minimum(size[x], size[b]) >= _WIDE))
+            if len(large):
+                last, total = bits[x[large]] ^ bits[b[large]], np.zeros(len(large), np.int32)
+                for w in wide:
+                    differ = w[x[large]] ^ w[b[large]]
+                    last ^= differ
+                    total += np.bitwise_count(differ)
+                apart[large] = total + np.bitwise_count(last)
+            ok = (apart <= spare) | full[x] | full[b]
             if ok.any():
                 hit = x[ok]
-                count[(2 * apart > both - 2 * need)[ok].astype(int), hit] += 1
+                count[(2 * apart > spare)[ok].astype(int), hit] += 1
                 over = np.zeros(len(hit), bool) if limit is None else (count[0, hit] > limit[0]) | (count[1, hit] > limit[1])
                 out.append((sid[hit], sid[b[ok]], over))
                 if over.any():
@@ -192,6 +223,7 @@ def _candidates(least: float, limit: tuple[int, int] | None):
             return
         table = pa.Table.from_batches(held)
         post, sid, doc, line, bits = (table[c].to_numpy() for c in ("post", "sid", "doc", "line", "bits"))
+        wide = [table[c].to_numpy() for c in _PARTS_OF_WIDE]
         probe = table["probe"].to_numpy(zero_copy_only=False)
         token = post >> 32
         order = np.lexsort((line, doc, sid, token))
@@ -201,7 +233,7 @@ def _candidates(least: float, limit: tuple[int, int] | None):
         token, post = token[order], post[order]
         start = np.concatenate(([True], token[1:] != token[:-1]))
         rank = np.arange(len(token)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-        rows = meet(rank, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), probe[order])
+        rows = meet(rank, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), [w[order].view(np.uint64) for w in wide], probe[order])
         if rows.num_rows:
             rows = rows.group_by(["a", "b"]).aggregate([("more", "max")]).select(["a", "b", "more_max"]).rename_columns(["a", "b", "more"])
             yield from rows.to_batches()
@@ -209,8 +241,15 @@ def _candidates(least: float, limit: tuple[int, int] | None):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rarity, least: float) -> DataFrame:
-    """The pairs (a, b) whose token sets have Jaccard >= least. Only sets that occur in pairs send their tokens on."""
+def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float) -> DataFrame:
+    """The pairs (a, b) whose token sets have Jaccard >= least. Only sets that occur in pairs send their tokens on.
+
+    Where these sets are few enough to be broadcast, only the documents with their first lines are read again.
+    """
+    wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        holders = first.join(F.broadcast(wanted), "sid").select(F.col("first.doc_id").alias("holder")).distinct()
+        docs = docs.join(F.broadcast(holders), docs["doc_id"].eqNullSafe(F.col("holder")), "left_semi")
     width = (1 << (_NEED_BITS - 3)) // _PARTS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +287,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, rarity, least: float) -> DataFr
                     tokens = x.token[np.repeat(asked, x.size)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x.sid[asked]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["sid", "tokens"])
 
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     sets = docs.select("text").mapInArrow(read, "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     sets = stored(sets)
     left, right = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
@@ -274,11 +312,11 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     first = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n")))
     total = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _POSTINGS))
-    posts = lines.where(F.size("prefix") > 0).select(F.explode("prefix").alias("post"), "sid", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "line", "bits")
+    posts = lines.where(F.size("prefix") > 0).select(F.explode("prefix").alias("post"), "sid", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "line", "bits", *_PARTS_OF_WIDE)
 
     def matched(probes: DataFrame, limit: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
         pairs = stored(probes.repartition(parts, F.shiftright("post", 32)).mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        return stored(_verified(pairs, docs, rarity, least).select(F.col("a").alias("sid")).distinct()), pairs
+        return stored(_verified(pairs, docs, first, rarity, least).select(F.col("a").alias("sid")).distinct()), pairs
 
     gone, pairs = matched(posts.withColumn("probe", F.lit(True)), FIRST_ROUND)
     left = stored(pairs.where("more").select(F.col("a").alias("sid")).distinct().join(gone, "sid", "left_anti"))
