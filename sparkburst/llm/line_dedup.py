@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import BROADCAST_ROWS, join_checked, stored
+from sparkburst.llm.common import BROADCAST_ROWS, join_checked, let, stored
 
 MIN_JACCARD = 0.8
 #: Buckets of the table of token counts: a fixed size, whatever the corpus; it only orders tokens.
@@ -341,8 +341,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     gone = repeated_lines(df, key, text, least).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list("line").alias("__gone"))
     rows = df.select(names).withColumn("__hash", F.xxhash64(text))
     met = rows.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
-    parts = F.split(F.col(text), "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n")
+    # The lines are split once, not once per line kept.
+    left = let(F.split(F.col(text), "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     return met.select(*[new.alias(text) if c == text else F.col(c) for c in names], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
 
