@@ -25,6 +25,9 @@ _PARTS_OF_WIDE = ("w0", "w1", "w2")
 #: and the others.
 FIRST_ROUND = (4, 20)
 _POSTINGS = 400_000
+#: What a posting carries of its line, behind its place in a list; postings of a line slice; buckets of tokens per partition.
+_OWN = ("sid", "doc_id", "line", "bits", *_PARTS_OF_WIDE, "probe")
+_SLICE, _BUCKETS = 1 << 18, 8
 #: Null ids come first.
 _NULL_ID = -(1 << 63)
 
@@ -169,6 +172,36 @@ def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix array<long>")
 
 
+def _postings(buckets: int, tokens=None):
+    """Rows (bucket, data) from lines: the postings of a bucket of tokens, column by column as 64-bit integers (post, then _OWN).
+
+    A row holds what one slice of lines has for a bucket, so that a shuffle moves few, large rows; where there are more
+    buckets than postings it is one posting. tokens: a sorted array in a broadcast, beside which postings are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.diff(batch["prefix"].offsets.to_numpy())
+            for a, b in H.chunks(lengths.tolist(), _SLICE):
+                rows = batch.slice(a, b - a)
+                post = rows["prefix"].flatten().to_numpy()
+                own = [rows["doc_id"].fill_null(_NULL_ID) if c == "doc_id" else rows[c].cast(pa.int64()) for c in _OWN]
+                data = np.vstack([post, np.repeat(np.vstack([c.to_numpy() for c in own]), lengths[a:b], axis=1)])
+                token = post.view(np.uint64) >> np.uint64(32)
+                if tokens is not None:
+                    asked = np.isin(token, tokens.value)
+                    data, token = data[:, asked], token[asked]
+                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                data, bucket = data[:, order], bucket[order]
+                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+                ends = [*edge[1:].tolist(), len(bucket)]
+                packed = [data[:, x:y].tobytes() for x, y in zip(edge.tolist(), ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(packed, pa.binary())], ["bucket", "data"])
+
+    return run
+
+
 def _candidates(least: float, limit: tuple[int, int] | None):
     """Pairs (a, b, more) from postings: b comes before a and passes the length, positional and bitmap filters.
 
@@ -218,13 +251,12 @@ def _candidates(least: float, limit: tuple[int, int] | None):
         return pa.table({n: np.concatenate([none.astype(kind), *(o[k] for o in out)]) for k, (n, kind) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = [np.frombuffer(x, np.int64).reshape(1 + len(_OWN), -1) for batch in batches for x in batch["data"].to_pylist()]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        post, sid, doc, line, bits = (table[c].to_numpy() for c in ("post", "sid", "doc", "line", "bits"))
-        wide = [table[c].to_numpy() for c in _PARTS_OF_WIDE]
-        probe = table["probe"].to_numpy(zero_copy_only=False)
+        post, sid, doc, line, bits, *wide, probe = np.concatenate(held, axis=1)
+        held.clear()
+        probe = probe.astype(bool)
         token = post >> 32
         order = np.lexsort((line, doc, sid, token))
         again = (token[order][1:] == token[order][:-1]) & (sid[order][1:] == sid[order][:-1])
@@ -312,19 +344,21 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     first = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n")))
     total = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _POSTINGS))
-    posts = lines.where(F.size("prefix") > 0).select(F.explode("prefix").alias("post"), "sid", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "line", "bits", *_PARTS_OF_WIDE)
+    posted = lines.where(F.size("prefix") > 0)
 
-    def matched(probes: DataFrame, limit: tuple[int, int] | None) -> tuple[DataFrame, DataFrame]:
-        pairs = stored(probes.repartition(parts, F.shiftright("post", 32)).mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+    def matched(probes: DataFrame, limit: tuple[int, int] | None, tokens=None) -> tuple[DataFrame, DataFrame]:
+        posts = probes.select("prefix", *_OWN).mapInArrow(_postings(_BUCKETS * parts, tokens), "bucket long, data binary").repartition(parts, "bucket")
+        pairs = stored(posts.mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
         return stored(_verified(pairs, docs, first, rarity, least).select(F.col("a").alias("sid")).distinct()), pairs
 
-    gone, pairs = matched(posts.withColumn("probe", F.lit(True)), FIRST_ROUND)
+    gone, pairs = matched(posted.withColumn("probe", F.lit(True)), FIRST_ROUND)
     left = stored(pairs.where("more").select(F.col("a").alias("sid")).distinct().join(gone, "sid", "left_anti"))
     if left.limit(1).count():
-        token = F.shiftright("post", 32).alias("token")
-        marked = join_checked(posts, left.withColumn("probe", F.lit(True)), ["sid"]).withColumn("probe", F.coalesce("probe", F.lit(False)))
-        lists = stored(marked.where("probe").select(token).distinct())  # only the lists that these sets are in
-        more, _ = matched(join_checked(marked.withColumn("token", token), lists, ["token"], "left_semi").drop("token"), None)
+        marked = join_checked(posted, left.withColumn("probe", F.lit(True)), ["sid"]).withColumn("probe", F.coalesce("probe", F.lit(False)))
+        token = F.shiftrightunsigned("post", 32).alias("token")
+        few = marked.where("probe").select(F.explode("prefix").alias("post")).select(token).distinct().limit(BROADCAST_ROWS + 1).collect()  # the lists that these sets are in, if few
+        lists = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in few), np.uint64)) if len(few) <= BROADCAST_ROWS else None
+        more, _ = matched(marked, None, lists)
         gone = gone.union(more).distinct()
     flagged = gone.withColumn("gone", F.lit(True))
     known = first.join(flagged, "sid", "left").where("n > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
