@@ -103,7 +103,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
     vectors = sample.mapInArrow(_vectors, "order long, label int, index binary, value binary")
-    return np.frombuffer(vectors.coalesce(1).mapInArrow(_fit, "weights binary").first()[0], np.float32)
+    return np.frombuffer(vectors.repartition(1).mapInArrow(_fit, "weights binary").first()[0], np.float32)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
