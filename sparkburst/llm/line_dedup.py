@@ -300,7 +300,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
         return pa.table({"part": [key[0].as_py()], "data": [total.tobytes()]})
 
     need = np.zeros((_PARTS, width), np.uint8)
-    for r in pairs.select("a", "b").coalesce(8).mapInArrow(mark, "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
+    marks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    for r in pairs.select("a", "b").coalesce(marks).mapInArrow(mark, "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
         need[r["part"]] = np.frombuffer(r["data"], np.uint8)  # 64 rows of fixed size
     shared = docs.sparkSession.sparkContext.broadcast(need.reshape(-1))
 
