@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkburst.llm.common import stored, without
+from sparkburst.llm.common import dropped, stored, without
 
 WINDOW = 2048
 END_ID = 0
@@ -172,7 +172,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (with their length, 1 to window) and, for each, sequence_id and offset.
 
-    Pieces are numbered within their partition and length and written; counts by partition and length then give each
+    Pieces are written, then numbered within their partition and length and written again; counts by partition and length then give each
     piece its rank among those of its length, without gathering a length in one task. The driver plans from the counts
     by length (window numbers at most) and sends back ranges of ranks; each task looks its pieces up. Offsets in a
     sequence run from 0 without gaps. Columns sequence_id and offset of pieces are replaced. No pieces give no rows.
@@ -180,7 +180,9 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     names = without(pieces, "sequence_id", "offset")
     kept = pieces.select(names)
     long, int_ = T.LongType(), T.IntegerType()
-    laid = stored(kept.mapInArrow(_numbered, T.StructType([*kept.schema.fields, T.StructField("__part", int_), T.StructField("__nth", long)])))
+    made = stored(kept)  # in a stage of its own, so that a task has one Python worker and not two with an encoder each
+    laid = stored(made.mapInArrow(_numbered, T.StructType([*kept.schema.fields, T.StructField("__part", int_), T.StructField("__nth", long)])))
+    dropped(made)
     counts = laid.groupBy("__part", "length").agg(F.count("*").alias("__n"))
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most window rows
     earlier = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
