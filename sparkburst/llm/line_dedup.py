@@ -43,15 +43,18 @@ class _Lines:
         if rarity is None:
             return
         breaks = np.flatnonzero(data == 0x0A)
-        line = np.searchsorted(breaks, starts)
         first = np.concatenate(([0], np.searchsorted(breaks, np.cumsum([len(t) + 1 for t in texts]))))
+        self._gather(np.searchsorted(breaks, starts), first, len(breaks), rarity)
+
+    def _gather(self, line: np.ndarray, first: np.ndarray, n_lines: int, rarity: np.ndarray) -> None:
+        """Sets from self.tokens, of which each has its line's number in the group; first: the first line of each text."""
         bucket = self.tokens >> np.uint64(64 - _RARITY_BITS)
         rare = rarity[bucket]
         # One sort by (line, rarity, token) where they fit in a word; the low bits of a token rarely matter.
         packed = (line.astype(np.uint64) << np.uint64(43)) | (rare.astype(np.uint64) << np.uint64(35)) | (self.tokens >> np.uint64(29))
         order = np.argsort(packed)
         tied = packed[order][1:] == packed[order][:-1]
-        if len(breaks) >= 1 << 21 or (tied & (self.tokens[order][1:] != self.tokens[order][:-1])).any():
+        if n_lines >= 1 << 21 or (tied & (self.tokens[order][1:] != self.tokens[order][:-1])).any():
             order = np.lexsort((self.tokens, rare, line))
         line, token, rare = line[order], self.tokens[order], rare[order]
         new = np.ones(len(line), bool)
@@ -113,7 +116,7 @@ def _sparse(counts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def token_rarity(docs: DataFrame) -> np.ndarray:
+def token_rarity(docs: DataFrame, kind=_Lines) -> np.ndarray:
     """Rarity class (0: seen once at most) of each of 2^22 token buckets, counted over all texts; 4 MB for any corpus."""
     width = (1 << _RARITY_BITS) // _PARTS
 
@@ -121,7 +124,7 @@ def token_rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << _RARITY_BITS, np.int64)
         for batch in batches:
             for _, _, texts in _groups(batch):
-                bucket = np.sort((_Lines(texts).tokens >> np.uint64(64 - _RARITY_BITS)).astype(np.int64))
+                bucket = np.sort((kind(texts).tokens >> np.uint64(64 - _RARITY_BITS)).astype(np.int64))
                 if len(bucket):
                     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                     total[bucket[edge]] += np.diff(np.concatenate((edge, [len(bucket)])))
@@ -135,7 +138,7 @@ def _prefix_length(n: np.ndarray, least: float) -> np.ndarray:
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
-def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
+def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
     """(doc_id, text_hash, line, sid, bits, w0, w1, w2, prefix) of every line with words.
 
     sid names the line's token set; bits is its parity bitmap, w0 to w2 are parts of the wide one (see _Lines.wide). prefix holds, for lines of a set that come before all that
@@ -148,7 +151,7 @@ def line_sets(docs: DataFrame, rarity, least: float) -> DataFrame:
         for batch in batches:
             ids = batch["doc_id"].fill_null(_NULL_ID).to_numpy()
             for a, _, texts in _groups(batch):
-                x = _Lines(texts, rarity.value)
+                x = kind(texts, rarity.value)
                 if not len(x.begin):
                     continue
                 place = np.arange(len(x.token)) - np.repeat(x.begin, x.size)
@@ -202,15 +205,19 @@ def _postings(buckets: int, tokens=None):
     return run
 
 
-def _candidates(least: float, limit: tuple[int, int] | None):
+def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False):
     """Pairs (a, b, more) from postings: b comes before a and passes the length, positional and bitmap filters.
 
     In the first round each set sends its `limit` nearest earlier candidates and one that says that there are more; in
-    the second, sets that are marked send all.
+    the second, sets that are marked send all. apart: `line` names a group that is known to belong together, and only
+    pairs of different groups are sent.
     """
 
-    def meet(rank, sid, size, place, bits, wide, probe) -> pa.Table:
-        """Compares each posting with the one `lag` places before it in its list, for lag 1, 2, ..., all lists at once."""
+    def meet(rank, base, sid, size, place, bits, wide, probe) -> pa.Table:
+        """Compares each posting with the one `lag` places before its base in its list, for lag 1, 2, ..., all lists at once.
+
+        The base is the posting itself or, with apart, the first one of its group in the list; rank is the base's.
+        """
         count = np.zeros((2, len(sid)), np.int64)
         out: list[tuple] = []
         rest = (size - place).astype(np.int32)
@@ -220,9 +227,9 @@ def _candidates(least: float, limit: tuple[int, int] | None):
         size = size.astype(np.int32)
         waiting, lag = np.flatnonzero(probe & (rank >= 1)), 1
         while len(waiting):
-            near = size[waiting - lag]
+            near = size[base[waiting] - lag]
             x = waiting[((near >= low[waiting]) & (near <= high[waiting])) | (near == 0xFFFF)]
-            b = x - lag
+            b = base[x] - lag
             both = size[x] + size[b]
             need = np.ceil(least / (1 + least) * both - 1e-9).astype(np.int32)
             fits = np.flatnonzero((np.minimum(rest[x], rest[b]) >= need) | full[x] | full[b])
@@ -261,11 +268,15 @@ def _candidates(least: float, limit: tuple[int, int] | None):
         order = np.lexsort((line, doc, sid, token))
         again = (token[order][1:] == token[order][:-1]) & (sid[order][1:] == sid[order][:-1])
         order = order[np.concatenate(([True], ~again))]  # a set that was sent more than once: its first line
-        order = order[np.lexsort((sid[order], line[order], doc[order], token[order]))]
+        order = order[np.lexsort((sid[order], doc[order], line[order], token[order]) if apart else (sid[order], line[order], doc[order], token[order]))]
         token, post = token[order], post[order]
         start = np.concatenate(([True], token[1:] != token[:-1]))
-        rank = np.arange(len(token)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-        rows = meet(rank, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), [w[order].view(np.uint64) for w in wide], probe[order])
+        base = np.arange(len(token))
+        if apart:
+            group = start | np.concatenate(([True], line[order][1:] != line[order][:-1]))
+            base = np.flatnonzero(group)[np.cumsum(group) - 1]
+        rank = base - np.flatnonzero(start)[np.cumsum(start) - 1]
+        rows = meet(rank, base, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), [w[order].view(np.uint64) for w in wide], probe[order])
         if rows.num_rows:
             rows = rows.group_by(["a", "b"]).aggregate([("more", "max")]).select(["a", "b", "more_max"]).rename_columns(["a", "b", "more"])
             yield from rows.to_batches()
@@ -273,7 +284,7 @@ def _candidates(least: float, limit: tuple[int, int] | None):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
     """The pairs (a, b) whose token sets have Jaccard >= least. Only sets that occur in pairs send their tokens on.
 
     Where these sets are few enough to be broadcast, only the documents with their first lines are read again.
@@ -309,7 +320,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
         seen: set[int] = set()
         for batch in batches:
             for _, _, texts in _groups(batch):
-                x = _Lines(texts, rarity.value)
+                x = kind(texts, rarity.value)
                 at = x.sid & ((1 << _NEED_BITS) - 1)
                 asked = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 for k in np.flatnonzero(asked).tolist():

@@ -91,17 +91,27 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most:
     """
     rows = stored(fingerprints(df, key, text, shingle))
     classes = stored(rows.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one")))
-    groups = connected_components(similar_fingerprints(classes.select("bits"), most))
-    joined = classes.join(groups, F.col("bits") == F.col("node"), "left").withColumn("component", F.coalesce("component", "bits"))
+    return grouped(rows, classes, similar_fingerprints(classes.select("bits"), most), "bits")
+
+
+def grouped(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """rows (doc_id, text_hash, name) with component_id and chosen, from links (a, b) among classes (name, least, one)."""
+    groups = connected_components(links)
+    joined = classes.join(groups, F.col(name) == F.col("node"), "left").withColumn("component", F.coalesce("component", name))
     best = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.min("one").alias("one"))
-    known = joined.select(F.col("bits").alias("b"), "component").join(best, "component").select("b", "component_id", "one")
-    out = rows.join(known, F.col("bits") == F.col("b"))
-    return out.select("doc_id", "text_hash", "bits", "component_id", F.struct("doc_id", "text_hash").eqNullSafe(F.col("one")).alias("chosen"))
+    known = joined.select(F.col(name).alias("b"), "component").join(best, "component").select("b", "component_id", "one")
+    out = rows.join(known, F.col(name) == F.col("b"))
+    return out.select("doc_id", "text_hash", name, "component_id", F.struct("doc_id", "text_hash").eqNullSafe(F.col("one")).alias("chosen"))
 
 
 def simhash_deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group: the smallest doc_id; of repeated rows, one."""
-    picked = simhash_groups(docs, **options).where("chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
+    return chosen_only(docs, simhash_groups(docs, **options))
+
+
+def chosen_only(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that groups marks as chosen; of repeated rows, one."""
+    picked = groups.where("chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     met = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
     return met.dropDuplicates(["__id", "__th"]).select(docs.columns)
