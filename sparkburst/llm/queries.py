@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkburst.llm import chat, embed_dedup, line_dedup, line_rules, mixing, packing, quality, sharding, simhash, url_filter
+from sparkburst.llm import chat, embed_dedup, line_dedup, line_links, line_rules, mixing, packing, quality, sharding, simhash, url_filter
 from sparkburst.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": lambda s, d: url_filter.url_report(table(s, d, "pages"), table(s, d, "labels")),
         "op8_chat_format": lambda s, d: chat.chat_report(table(s, d, "conversations")),
         "op9_line_dedup": lambda s, d: line_dedup.line_dedup_report(table(s, d, "documents")),
+        "op9_line_links": lambda s, d: line_links.line_links_report(table(s, d, "documents")),
         "op10_simhash_dedup": lambda s, d: simhash.simhash_report(table(s, d, "documents")),
         "pipeline": pipeline,
     }
