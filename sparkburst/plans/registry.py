@@ -194,6 +194,15 @@ def poisson_quantiles(s, d):
     return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), (F.col("event_id") % 37 + 1) / 4.0, 100).alias("k"))
 
 
+@query("""WITH x AS (SELECT event_id, event_id % 37 a, event_id % 7 b FROM events), pq AS (SELECT a, b, (a + 1) / 4.0 mean, pow(10.0, -(b + 1)) p FROM (SELECT DISTINCT a, b FROM x)),
+ y AS (SELECT *, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) c FROM pq), z AS (SELECT a, b, CAST(len(list_filter(c, lambda v: v < 1.0 - p)) AS BIGINT) AS k FROM y)
+ SELECT event_id, k FROM x JOIN z USING (a, b)""")
+def poisson_quantiles_all(s, d):
+    """poisson_quantiles for every event."""
+    x = s.read.parquet(f"{d}/events.parquet")
+    return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), (F.col("event_id") % 37 + 1) / 4.0, 100).alias("k"))
+
+
 def _dist(la1: str, lo1: str, la2: str, lo2: str) -> str:
     a = f"(pow(sin(radians({la2} - {la1}) / 2), 2) + cos(radians({la1})) * cos(radians({la2})) * pow(sin(radians({lo2} - {lo1}) / 2), 2))"
     return f"(2 * {geo.EARTH_M} * atan2(sqrt({a}), sqrt(greatest(0.0, 1 - {a}))))"
