@@ -114,6 +114,12 @@ def session_veto(s, d):
     return scan.vetoed(rows, 7_200_000_000, 10_800_000_000, 4)
 
 
+@query(_SQL["session_veto"].replace(" WHERE event_id % 9 = 0", ""))
+def session_veto_all(s, d):
+    """session_veto with every event as a candidate."""
+    return scan.vetoed(photons(s, d).select(F.col("mission").alias("chunk"), F.col("t").alias("start")), 7_200_000_000, 10_800_000_000, 4)
+
+
 _PATH = "path AS (SELECT mission chunk, t, CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude FROM photons WHERE event_id % 50 = 0)"
 
 
@@ -136,11 +142,36 @@ def trajectory_window(s, d):
     return trajectory.window(_path(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
 
 
+_BUCKET = 21_600_000_000
+_ORBIT = f"path AS (SELECT chunk, t, CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude FROM (SELECT mission chunk, t, user_id, value, row_number() OVER (PARTITION BY mission, t // {_BUCKET} ORDER BY t, event_id) o FROM photons) WHERE o = 1)"
+
+
+def _orbit(p: DataFrame) -> DataFrame:
+    """The trajectory: one row per mission and six hours, from the bucket's first event."""
+    first = p.groupBy(F.col("mission").alias("chunk"), F.floor(F.col("t") / _BUCKET)).agg(F.min(F.struct("t", "event_id", "user_id", "value")).alias("e"))
+    return first.select("chunk", "e.t", ((F.col("e.user_id") * 7) % 360 - 180).cast("double").alias("longitude"), (F.col("e.user_id") % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("e.value")).alias("altitude"))
+
+
+@query(_SQL["interpolated_positions"].replace(_PATH, _ORBIT).replace(" WHERE event_id % 3 = 0", ""))
+def interpolated_positions_all(s, d):
+    """Positions at every event, from the whole trajectory."""
+    p = photons(s, d)
+    points = p.select(F.col("event_id").alias("id"), F.col("mission").alias("chunk"), (F.col("t") + 1).alias("at"))
+    out = trajectory.interpolated(points, _orbit(p), ["longitude", "latitude", "altitude"])
+    return out.select("id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+
+
+@query(_SQL["trajectory_window"].replace(_PATH, _ORBIT))
+def trajectory_window_all(s, d):
+    """trajectory_window of the whole trajectory."""
+    return trajectory.window(_orbit(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
+
+
 @query(None)
 def located_bursts(s, d):
     rows, config = _spanned(s, d)
     found = scan.vetoed(scan.search(rows, config), 36_000_000_000, 3_600_000_000_000, 50).withColumn("at", F.col("start") + F.floor(F.col("bin_best") / 2))
-    return trajectory.interpolated(found, _path(photons(s, d)), ["longitude", "latitude", "altitude"]).select("chunk", "start", "stop", "count", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+    return trajectory.interpolated(found, _orbit(photons(s, d)), ["longitude", "latitude", "altitude"]).select("chunk", "start", "stop", "count", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
 
 
 # ---- events ----------------------------------------------------------------------------------------------------------
@@ -275,7 +306,11 @@ def _strokes(p: DataFrame) -> DataFrame:
 
 
 def _points(p: DataFrame) -> DataFrame:
-    return p.where("event_id % 5 = 0").select(F.col("event_id").alias("id"), (F.col("t") + 1000).alias("at"), ((F.col("user_id") % 80 - 40).cast("double") + 1).alias("lat"), (F.col("user_id") * 7 % 360 - 180).cast("double").alias("lon"), F.lit(550000.0).alias("alt"))
+    return _all_points(p.where("event_id % 5 = 0"))
+
+
+def _all_points(p: DataFrame) -> DataFrame:
+    return p.select(F.col("event_id").alias("id"), (F.col("t") + 1000).alias("at"), ((F.col("user_id") % 80 - 40).cast("double") + 1).alias("lat"), (F.col("user_id") * 7 % 360 - 180).cast("double").alias("lon"), F.lit(550000.0).alias("alt"))
 
 
 @query(f"WITH {PHOTONS}, {_STROKES}, {_POINTS}, m AS (SELECT *, {_dist('lat', 'lon', 'stroke_lat', 'stroke_lon')} dist FROM pts JOIN strokes ON time BETWEEN moment - {_TOL + 1000000} AND moment + {_TOL + 1000000}) SELECT id, sid, round(dist, 3) distance FROM m WHERE dist <= {_REACH} AND abs(time - (moment - {_arrival('dist', 'alt')} / 1000)) <= {_TOL}")
@@ -296,6 +331,20 @@ def coincidence_probability(s, d):
     return out.select("id", r("probability").alias("probability"))
 
 
+@query(_SQL["lightning_associations"].replace(" WHERE event_id % 5 = 0", ""))
+def lightning_associations_all(s, d):
+    """lightning_associations with every event as a point."""
+    p = photons(s, d)
+    return lightning.associated(_all_points(p), _strokes(p), _TOL, _REACH).select("id", "sid", r("distance", 3).alias("distance"))
+
+
+@query(_SQL["coincidence_probability"].replace(" WHERE event_id % 5 = 0", ""))
+def coincidence_probability_all(s, d):
+    """coincidence_probability with every event as a point."""
+    p = photons(s, d)
+    return lightning.coincidence(_all_points(p), _strokes(p), _TOL, _REACH, 86_400_000_000).select("id", r("probability").alias("probability"))
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, event_id AS sid, CASE WHEN value < 20 THEN NULL ELSE value END AS energy FROM events WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%d %H:%M:%S.%f') BETWEEN '2024-01-05 00:00:00.000000' AND '2024-01-09 12:00:00.000000'")
 def strokes_between(s, d):
     e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")

@@ -34,3 +34,95 @@ def test_quantiles_of_all_events(spark, folder):
 
     got = {r.event_id: r.k for r in rows(spark, folder, "poisson_quantiles_all")}
     assert got == {k: quantile(10.0 ** -(k % 7 + 1), (k % 37 + 1) / 4) for k in range(ROWS)}
+
+
+@pytest.fixture(scope="module")
+def photons(spark, folder):
+    return {p.event_id: p for p in registry.photons(spark, folder).collect()}
+
+
+def orbit(photons):
+    """Rows of each mission by time: the first event of each six hours."""
+    first = {}
+    for p in sorted(photons.values(), key=lambda p: (p.t, p.event_id)):
+        first.setdefault((p.mission, p.t // 21_600_000_000), p)
+    out = {}
+    for (mission, _), p in first.items():
+        out.setdefault(mission, []).append((p.t, float(p.user_id * 7 % 360 - 180), float(p.user_id % 80 - 40), 500000 + p.value))
+    return out
+
+
+def between(path, at):
+    k = next((k for k in range(len(path) - 1) if path[k + 1][0] >= at), None)
+    if k is None:
+        return None
+    (t0, *a), (t1, *b) = path[k], path[k + 1]
+    return [x + (y - x) * ((at - t0) / (t1 - t0)) for x, y in zip(a, b, strict=True)]
+
+
+def test_veto_of_all_events(spark, folder, photons):
+    want = []
+    for mission in range(4):
+        t = sorted(p.t for p in photons.values() if p.mission == mission)
+        sessions = [[t[0]]]
+        for a, b in zip(t[:-1], t[1:], strict=True):
+            if b - a > 7_200_000_000 or b == t[-1]:
+                sessions.append([])
+            sessions[-1].append(b)
+        for x in sessions:
+            if x and (x[-1] == t[-1] or not (x[-1] - x[0] > 10_800_000_000 or len(x) >= 4)):
+                want += [(mission, v) for v in x]
+    assert sorted(tuple(r) for r in rows(spark, folder, "session_veto_all")) == sorted(want)
+
+
+def test_positions_of_all_events(spark, folder, photons):
+    paths = orbit(photons)
+    want = {p.event_id: v for p in photons.values() if (v := between(paths[p.mission], p.t + 1))}
+    got = {r.id: r[1:] for r in rows(spark, folder, "interpolated_positions_all")}
+    assert len(want) > 350 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    low, high = registry.START + 10 * registry.DAY_US, registry.START + 12 * registry.DAY_US
+    window = {(m, r[0], r[1]) for m, path in paths.items() for r in path if low <= r[0] <= high}
+    assert {tuple(r) for r in rows(spark, folder, "trajectory_window_all")} == window and window
+
+
+def test_bursts_are_located_on_the_whole_trajectory(spark, photons):
+    d = "/root/testdata/sf0.001"
+    paths = orbit({p.event_id: p for p in registry.photons(spark, d).collect()})
+    events, config = registry._spanned(spark, d)
+    found = registry.scan.vetoed(registry.scan.search(events, config), 36_000_000_000, 3_600_000_000_000, 50).collect()
+    want = {(f.chunk, f.start): v for f in found if (v := between(sorted(paths[f.chunk]), f.start + f.bin_best // 2))}
+    got = {(r.chunk, r.start): r[4:] for r in rows(spark, d, "located_bursts")}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_strokes_near_all_events(spark, folder, photons):
+    radius = registry.geo.EARTH_M
+
+    def seen(p, s):
+        la1, lo1, la2, lo2 = map(math.radians, (p.user_id % 80 - 39, p.user_id * 7 % 360 - 180, s.user_id % 80 - 40, s.user_id * 7 % 360 - 180))
+        a = math.sin((la2 - la1) / 2) ** 2 + math.cos(la1) * math.cos(la2) * math.sin((lo2 - lo1) / 2) ** 2
+        distance = 2 * radius * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+        x, y = radius + 550000.0, radius + registry.geo.LIGHTNING_M
+        return distance, round(math.sqrt(x * x + y * y - 2 * x * y * math.cos(distance / radius)) / registry.geo.LIGHT_M_S * 1e9) / 1000
+
+    tolerance, half = registry._TOL, registry._HALF
+    pairs, chance = {}, {}
+    for p in photons.values():
+        at, covered = p.t + 1000, []
+        for s in (s for s in photons.values() if s.kind == "purchase" and abs(s.t - at) <= half):
+            distance, delay = seen(p, s)
+            if distance <= registry._REACH:
+                covered.append((s.t + delay - tolerance, s.t + delay + tolerance))
+                if abs(s.t - (at - delay)) <= tolerance:
+                    pairs[p.event_id, s.event_id] = distance
+        total, end = 0.0, at - half
+        for a, b in sorted(covered):
+            a, b = max(a, end), min(b, at + half)
+            if b > a:
+                total, end = total + b - a, b
+        chance[p.event_id] = total / (2.0 * half)
+    got = {(r.id, r.sid): r.distance for r in rows(spark, folder, "lightning_associations_all")}
+    assert got.keys() == pairs.keys() and all(got[k] == pytest.approx(pairs[k], abs=0.01) for k in pairs) and len({a for a, _ in pairs}) > 80
+    share = {r.id: r.probability for r in rows(spark, folder, "coincidence_probability_all")}
+    assert share.keys() == chance.keys() and all(share[k] == pytest.approx(chance[k], abs=1e-8) for k in chance)
