@@ -126,3 +126,24 @@ def test_strokes_near_all_events(spark, folder, photons):
     assert got.keys() == pairs.keys() and all(got[k] == pytest.approx(pairs[k], abs=0.01) for k in pairs) and len({a for a, _ in pairs}) > 80
     share = {r.id: r.probability for r in rows(spark, folder, "coincidence_probability_all")}
     assert share.keys() == chance.keys() and all(share[k] == pytest.approx(chance[k], abs=1e-8) for k in chance)
+
+
+def test_records_of_whole_texts(spark, tmp_path):
+    texts = [None, "", "short", "12345678", "exactly sixteen!", "more than two records é in UTF-8", "x" * 4003] + [f"text {k} " * 30 + "ab" * k for k in range(20)] + ["".join(chr(80 + (k * n) % 11) for n in range(400)) for k in range(2, 12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        for n in range(max(1, -(-len(data) // 8))):
+            b = data[8 * n : 8 * n + 8]
+            if len(b) < 8:
+                want[k, n] = (None, None, "short")
+                continue
+            crc = 0
+            for digit in b.hex()[:15]:
+                crc = registry.packets.CRC4[crc ^ int(digit, 16)]
+            kind = {0x00: "event", 0x20: "event", 0x10: "second"}.get(b[7] & 0x30, "error") if crc == b[7] & 15 else "error"
+            want[k, n] = (crc, (b[5] & 127) << 24 | b[4] << 16 | b[3] << 8 | b[2], kind)
+    got = rows(spark, str(tmp_path), "packet_fields_all")
+    assert len(got) == len(want) and {(r.doc_id, r.record): (r.crc, r.bus, r.kind) for r in got} == want
+    assert {v[2] for v in want.values()} == {"short", "event", "second", "error"}
