@@ -22,47 +22,62 @@ class ScanConfig:
     min_number: int = 8
 
 
-def triggers(events: DataFrame, config: ScanConfig, chunk: str = "chunk", t: str = "t", start: str = "start", stop: str = "stop") -> DataFrame:
+def triggers(events: DataFrame, config: ScanConfig, chunk: str = "chunk", t: str = "t", start: str = "start", stop: str = "stop", group: str | None = None) -> DataFrame:
     """Pairs of events (ti, tj) of a chunk whose count is improbable: chunk, ti, tj, k, mean, p, fp.
 
     events has integer microseconds t and its chunk's span [start, stop). One window (chunk, t) serves every rank, so
-    there is one shuffle and one sort, by chunk; a chunk is the unit of work (an hour), so partitions are bounded by the
-    mission's hours and not by the mission. Pairs come from a range frame bounded by max_duration and are dropped
-    before they are exploded if they are too few.
+    there is one shuffle and one sort, by chunk; a chunk is the unit of work (an hour's file), so partitions are bounded
+    by the mission's hours and not by the mission. Pairs come from a range frame bounded by max_duration and are dropped
+    before they are exploded if they are too few; those that a closed bound of their tail excludes are dropped before
+    the tail is summed.
 
     Background counts reproduce the sequential search's pointers: on the left one event beyond the window is still
     counted; on the right the first event beyond the first snapshot's window is counted (clamped to the last event);
-    counts aren't clipped at stop, while durations are. Null times are dropped.
+    counts aren't clipped at stop, while durations are. Null times are dropped. With a group column (integers from 0),
+    all groups count towards min_number, k and mean, but the tail that is held against the limit is group 0's.
     """
-    rows = events.where(F.col(t).isNotNull() & (F.col(t) >= F.col(start))).select(F.col(chunk).alias("chunk"), F.col(t).alias("t"), F.col(start).alias("start"), F.col(stop).alias("stop"))
+    zero = F.lit(1) if group is None else F.when(F.col(group) == 0, 1).otherwise(0)
+    order = F.lit(0) if group is None else F.col(group)
+    rows = events.where(F.col(t).isNotNull() & (F.col(t) >= F.col(start))).select(F.col(chunk).alias("chunk"), F.col(t).alias("t"), F.col(start).alias("start"), F.col(stop).alias("stop"), zero.alias("g"), order.alias("o"))
+    ranks = Window.partitionBy("chunk").orderBy("t", "o") if group else Window.partitionBy("chunk").orderBy("t")
     w = Window.partitionBy("chunk").orderBy("t")
     whole = Window.partitionBy("chunk")
     upto = lambda d: w.rangeBetween(Window.unboundedPreceding, d)
-    h_n, h_h = config.neighbor // 2, config.hollow // 2
-    ranked = rows.withColumns({
-        "rn": F.row_number().over(w) - 1,
-        "lt_n": F.count("*").over(upto(h_n - 1)) - 1,
-        "lt_h": F.count("*").over(upto(h_h - 1)) - 1,
-        "fg_n": F.count("*").over(upto(-h_n - 1)),
-        "fg_h": F.count("*").over(upto(-h_h - 1)),
-        "n": F.count("*").over(whole),
-        "t0": F.min("t").over(whole),
-    })
-    ranked = ranked.withColumns({
-        "f_n": F.least(F.count_if(F.col("t") < F.col("t0") + h_n).over(whole), F.col("n") - 1),
-        "f_h": F.least(F.count_if(F.col("t") < F.col("t0") + h_h).over(whole), F.col("n") - 1),
-        "near": F.collect_list(F.struct("t", "rn", "lt_n", "lt_h")).over(w.rangeBetween(0, config.max_duration - 1)),
-    })
+    halves = {"n": config.neighbor // 2, "h": config.hollow // 2}
+    columns = {"rn": F.row_number().over(ranks) - 1, "n": F.count("*").over(whole), "t0": F.min("t").over(whole)}
+    for x, half in halves.items():
+        columns |= {f"lt_{x}": F.count("*").over(upto(half - 1)) - 1, f"fg_{x}": F.greatest(F.count("*").over(upto(-half - 1)) - 1, F.lit(0))}
+    if group:
+        columns["rn_0"] = F.sum("g").over(ranks.rowsBetween(Window.unboundedPreceding, 0))
+        for x, half in halves.items():
+            left = upto(-half - 1)
+            columns |= {f"lt_{x}0": F.sum("g").over(upto(half - 1)), f"fg_{x}0": F.coalesce(F.sum("g").over(left) - F.last(F.struct("o", "g")).over(left)["g"], F.lit(0))}
+    ranked = rows.withColumns(columns)
+    firsts = {}
+    for x, half in halves.items():
+        before = F.col("t") < F.col("t0") + half
+        firsts[f"f_{x}"] = F.least(F.count_if(before).over(whole), F.col("n") - 1)
+        if group:
+            beyond = F.when(~before, F.struct("t", "o", "g"))
+            firsts[f"f_{x}0"] = F.sum(F.when(before, F.col("g"))).over(whole) + F.coalesce(F.min(beyond).over(whole)["g"], F.lit(0))
+    kept = ["t", "rn", "lt_n", "lt_h", *(["rn_0", "lt_n0", "lt_h0"] if group else [])]
+    ranked = ranked.withColumns(firsts).withColumn("near", F.collect_list(F.struct(*kept)).over(w.rangeBetween(0, config.max_duration - 1)))
     enough = F.filter("near", lambda x: (x["rn"] - F.col("rn") + 1 >= config.min_number) & (x["t"] < F.col("stop")) & (x["t"] - F.col("t") >= max(1, config.min_duration)))
     pairs = ranked.where(F.col("t") < F.col("stop")).withColumn("j", F.explode(enough))
     ti, tj = F.col("t"), F.col("j.t")
     inside = lambda half: F.least(tj + half, F.col("stop")) - F.greatest(ti - half, F.col("start"))
-    count_n = F.greatest(F.col("f_n"), F.col("j.lt_n")) - F.greatest(F.lit(0), F.col("fg_n") - 1) + 1
-    count_h = F.greatest(F.col("f_h"), F.col("j.lt_h")) - F.greatest(F.lit(0), F.col("fg_h") - 1) + 1
-    pairs = pairs.select("chunk", ti.alias("ti"), tj.alias("tj"), (F.col("j.rn") - F.col("rn") + 1).cast("long").alias("k"), F.try_divide((count_n - count_h) * (tj - ti), inside(h_n) - inside(h_h)).alias("mean"))
+    count = lambda x: F.greatest(F.col(f"f_{x}"), F.col(f"j.lt_{x}")) - F.col(f"fg_{x}") + 1
+    count_0 = lambda x: F.greatest(F.col(f"f_{x}0"), F.col(f"j.lt_{x}0")) - F.col(f"fg_{x}0")
+    background = lambda c: F.try_divide((c("n") - c("h")) * (tj - ti), inside(halves["n"]) - inside(halves["h"]))
+    own = (background(count), F.col("j.rn") - F.col("rn") + 1)
+    tested = (background(count_0), F.col("j.rn_0") - F.col("rn_0") + F.col("g")) if group else own
+    pairs = pairs.select("chunk", ti.alias("ti"), tj.alias("tj"), own[1].cast("long").alias("k"), own[0].alias("mean"), tested[1].cast("long").alias("k_0"), tested[0].alias("mean_0"))
     seconds = (F.col("tj") - F.col("ti")) / 1e6
-    scored = pairs.where("mean < k + 1").withColumn("p", poisson.search_sf(F.col("mean"), F.col("k")))
-    return scored.where(F.col("p") < poisson.threshold(config.limit, seconds)).withColumn("fp", poisson.per_year(F.col("p"), seconds))
+    limit = poisson.threshold(config.limit, seconds)
+    likely = pairs.where((F.col("mean_0") > 0) & (poisson.log_sf_floor(F.col("mean_0"), F.col("k_0")) < F.log(limit)))
+    scored = likely.withColumn("p_0", poisson.search_sf(F.col("mean_0"), F.col("k_0"))).where(F.col("p_0") < limit)
+    p = poisson.search_sf(F.col("mean"), F.col("k")) if group else F.col("p_0")
+    return scored.select("chunk", "ti", "tj", "k", "mean", p.alias("p")).withColumn("fp", poisson.per_year(F.col("p"), seconds))
 
 
 def merged(found: DataFrame) -> DataFrame:
