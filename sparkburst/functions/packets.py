@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 4-bit remainders.
 CRC4 = (0, 3, 6, 5, 12, 15, 10, 9, 11, 8, 13, 14, 7, 4, 1, 2)
@@ -18,9 +24,13 @@ def byte(data: Column, place: int | Column) -> Column:
 
 def crc4(data: Column) -> Column:
     """Remainder of the first 15 of the 16 half-bytes of 8 bytes."""
-    table = F.array(*map(F.lit, CRC4))
-    digit = lambda j: F.conv(F.substring(F.hex(data), j, F.lit(1)), 16, 10).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda a, j: F.element_at(table, a.bitwiseXOR(digit(j)) + 1)).cast("long")
+    table, places = F.array(*map(F.lit, CRC4)), F.array(*map(F.lit, range(1, 16)))
+
+    def fold(digits: Column) -> Column:
+        digit = lambda j: F.instr(F.lit("123456789ABCDEF"), F.substring(digits, j, F.lit(1)))
+        return F.aggregate(places, F.lit(0), lambda a, j: F.element_at(table, a.bitwiseXOR(digit(j)) + 1))
+
+    return F.transform(F.array(F.hex(data)), fold)[0].cast("long")  # hex digits are made once
 
 
 def bus_time(data: Column) -> Column:
@@ -47,3 +57,59 @@ def record(data: Column) -> Column:
 def acd_flags(acd: Column) -> Column:
     """The low 18 bits as booleans, lowest first."""
     return F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.call_function("shiftright", acd, i).bitwiseAND(1) == 1)
+
+
+def packed(type_: Column, stime: Column, ptime: Column) -> Column:
+    """The 8 bytes of a record with these type bits (0x00, 0x10, 0x20 or 0x30), clock and tick, its remainder included."""
+    two = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    nibble = ptime.bitwiseAND(3) * 4 + F.shiftright(type_, 4)
+    head = F.concat(F.lpad(F.hex(stime.cast("long")), 8, "0"), two(F.shiftright(ptime, 18).bitwiseAND(1)), two(F.shiftright(ptime, 10).bitwiseAND(255)), two(F.shiftright(ptime, 2).bitwiseAND(255)), F.hex(nibble.cast("long")))
+    return F.transform(F.array(head), lambda h: F.unhex(F.concat(h, F.hex(crc4(F.unhex(F.concat(h, F.lit("0"))))))))[0]
+
+
+#: Fields of a packet that say when it was: its UTC second, its clock marks, and its first and last ticks before the first
+#: mark (in ticks) and from it on (in seconds), and its last mark.
+SUMMARY = "utc long, marks array<long>, early_low long, early_high long, low double, high double, last_mark long"
+_PACKET, _RECORDS, _SLICE = 882, 109, 1024
+
+
+def summarised(science: DataFrame, data: str = "ccsds") -> DataFrame:
+    """science with SUMMARY in place of its packets, which are opened once, in Arrow batches; packets of another length give no row."""
+    names = [c for c in science.columns if c != data]
+    schema = T.StructType([*science.select(names).schema.fields, *T.StructType.fromDDL(SUMMARY).fields])
+
+    def opened(raw: list[bytes]) -> list[pa.Array]:
+        grid = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), _PACKET)
+        r = grid[:, 6 : 6 + 8 * _RECORDS].reshape(len(raw), _RECORDS, 8).astype(np.int64)
+        table, rest = np.array(CRC4), np.zeros(r.shape[:2], np.int64)
+        for j in range(15):
+            rest = table[rest ^ ((r[..., j // 2] >> 4) if j % 2 == 0 else (r[..., j // 2] & 15))]
+        whole = rest == (r[..., 7] & 15)
+        type_ = r[..., 7] & 0x30
+        second, event = whole & (type_ == 0x10), whole & ((type_ == 0) | (type_ == 0x20))
+        ptime = ((r[..., 4] & 1) << 18) + (r[..., 5] << 10) + (r[..., 6] << 2) + (r[..., 7] >> 6)
+        stime = (r[..., 0] << 24) + (r[..., 1] << 16) + (r[..., 2] << 8) + r[..., 3]
+        last = np.maximum.accumulate(np.where(second, np.arange(_RECORDS), -1), axis=1)
+        early, late = event & (last < 0), (event | second) & (last >= 0)
+        tick = np.take_along_axis(stime, np.maximum(last, 0), axis=1) + ptime * TICK_S
+
+        def ends(value: np.ndarray, held: np.ndarray, kind) -> tuple[pa.Array, pa.Array]:
+            low, high = np.where(held, value, np.inf).min(axis=1), np.where(held, value, -np.inf).max(axis=1)
+            none = ~held.any(axis=1)
+            return tuple(pa.array(np.where(none, 0, x).astype(kind), mask=none) for x in (low, high))
+
+        rows, _ = np.nonzero(second)
+        marks = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(raw) + 1)).astype(np.int32)), pa.array(stime[second]))
+        final = pa.array(np.take_along_axis(stime, np.maximum(last[:, -1:], 0), axis=1)[:, 0], mask=last[:, -1] < 0)
+        utc = grid[:, 878:882].copy().view("<u4")[:, 0].astype(np.int64)
+        return [pa.array(utc), marks, *ends(ptime, early, np.int64), *ends(tick, late, np.float64), final]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(a, _SLICE)
+                batch = batch.filter(pc.fill_null(pc.equal(pc.binary_length(batch[data]), _PACKET), False))
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *opened(batch[data].to_pylist())], schema.names)
+
+    return science.select(*names, data).mapInArrow(run, schema)

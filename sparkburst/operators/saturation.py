@@ -33,24 +33,22 @@ def pivots(candidates: DataFrame, engineering: DataFrame) -> DataFrame:
 def saturated_boxes(candidates: DataFrame, engineering: DataFrame, science: DataFrame) -> DataFrame:
     """(id, box, saturated) from candidates (id, chunk, met) and packets (chunk, box, row, ccsds: binary of 882 bytes).
 
-    Packets of two seconds around the stamp are opened into 109 records. Between the last packets that hold the clock
+    Packets are opened once, before they meet candidates; a candidate asks for the five seconds around its stamp by
+    second, so that it meets their packets only. Between the last packets that hold the clock
     marks one second before and after, a gap of more than 6.9 ms between one packet's last and the next one's first
     tick is saturation; so is everything that cannot be decided: no clock reading, no marks, marks in reverse.
     """
     asked = pivots(candidates, engineering)
-    utc = science.withColumn("utc", packets.packet_utc(F.col("ccsds")))
-    met = asked.where("pivot IS NOT NULL").join(utc, ["chunk", "box"]).where(F.col("utc").between(F.col("stamp") - 2, F.col("stamp") + 2))
-    numbered = met.withColumn("pack", F.row_number().over(Window.partitionBy("id", "box").orderBy("row")))
-    opened = numbered.select("id", "box", "pivot", "pack", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(108)), lambda i: packets.record(F.substring("ccsds", F.lit(7) + 8 * i, F.lit(8))))).alias("pos", "r")).select("id", "box", "pivot", "pack", "pos", "r.*")
+    seconds = asked.where("pivot IS NOT NULL").withColumn("utc", F.explode(F.sequence(F.col("stamp") - 2, F.col("stamp") + 2)))
+    met = seconds.join(packets.summarised(science.select("chunk", "box", "row", "ccsds")), ["chunk", "box", "utc"])
     pair = Window.partitionBy("id", "box")
-    mark = lambda d: F.max(F.when((F.col("kind") == "second") & (F.col("stime") == F.col("pivot") + d), F.col("pack"))).over(pair)
-    spanned = opened.withColumns({"first": mark(-1), "final": mark(1)}).where("pack BETWEEN first AND final")
-    order = pair.orderBy("pack", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    clock = F.coalesce(F.last(F.when(F.col("kind") == "second", F.col("stime")), ignorenulls=True).over(order), F.col("pivot") - 1)
-    ticks = spanned.withColumn("tick", F.when(F.col("kind") != "error", clock + F.col("ptime") * packets.TICK_S))
-    ends = ticks.groupBy("id", "box", "pack").agg(F.min("tick").alias("low"), F.max("tick").alias("high")).where("low IS NOT NULL")
-    gap = F.lead("low").over(Window.partitionBy("id", "box").orderBy("pack")) - F.col("high")
-    judged = ends.withColumn("gap", gap).groupBy("id", "box").agg(F.coalesce(F.max("gap") > GAP_S, F.lit(False)).alias("wide"))
+    numbered = met.withColumn("pack", F.row_number().over(pair.orderBy("row")))
+    mark = lambda d: F.max(F.when(F.array_contains("marks", F.col("pivot") + d), F.col("pack"))).over(pair)
+    spanned = numbered.withColumns({"first": mark(-1), "final": mark(1)}).where("pack BETWEEN first AND final")
+    order = pair.orderBy("pack")
+    clock = F.coalesce(F.last("last_mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("pivot") - 1)
+    ends = spanned.withColumn("clock", clock).select("id", "box", "pack", *[pick(F.col("clock") + F.col(f"early_{x}") * packets.TICK_S, F.col(x)).alias(x) for x, pick in (("low", F.least), ("high", F.greatest))]).where("low IS NOT NULL")
+    judged = ends.withColumn("gap", F.lead("low").over(order) - F.col("high")).groupBy("id", "box").agg(F.coalesce(F.max("gap") > GAP_S, F.lit(False)).alias("wide"))
     return asked.join(judged, ["id", "box"], "left").select("id", "box", F.coalesce("wide", F.lit(True)).alias("saturated"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,9 +12,42 @@ from pyspark.sql import types as T
 CODES_1B = {("eng", "A"): "0766", ("eng", "B"): "1009", ("eng", "C"): "1781", ("sci", "A"): "0642", ("sci", "B"): "0922", ("sci", "C"): "1686"}
 KINDS_1K = {"events": "HE-Evt", "orbit": "Orbit", "attitude": "Att"}
 KINDS_SVOM = {"events": ("grm_evt", "svom_grm_evt"), "attitude": ("att", "svom_att"), "orbit": ("orb", "svom_orb")}
+#: Columns of the lightning table.
+STROKES = "time string, lat double, lon double, resid double, nstn long, energy double, energy_uncertainty double, estn long"
+#: Session settings that name the archives' folders.
+CONF = {"1K": "spark.sparkburst.hxmt.1k.dir", "1B": "spark.sparkburst.hxmt.1b.dir", "SVOM": "spark.sparkburst.svom.dir", "strokes": "spark.sparkburst.lightning.path"}
+#: A signal as it is published: the columns of signal tables besides mission and day, and the objects of the JSON arrays.
 SIGNAL_JSON = "start struct<time:double>, stop struct<time:double>, bin_size_min double, bin_size_max double, bin_size_best double, delay double, count long, mean double, sf double, false_positive_per_year double, attitude struct<q1:double,q2:double,q3:double>, position struct<longitude:double,latitude:double,altitude:double>"
 
 
+def root(spark: SparkSession, archive: str) -> str:
+    """The folder that the session names for an archive (a key of CONF)."""
+    if not (found := spark.conf.get(CONF[archive], None)):
+        raise ValueError(f"set {CONF[archive]} to the {archive} archive's folder")
+    return found.rstrip("/")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, name, listed) of all files under a folder; contents aren't read. Files are listed by name."""
+    below = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/")))
+    path = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", f"{below}/(.*)$", 1).alias("p"))
+    name = F.substring_index("p", "/", -1)
+    return path.select(F.regexp_replace("p", "/[^/]*$", "").alias("folder"), name.alias("name"), name.alias("listed"))
+
+
+def hour_of(file: Column) -> Column:
+    """The hour that a file's name tells: yyyyMMddTHH of the level 1 files, or yyMMdd_HH."""
+    name = F.substring_index(file, "/", -1)
+    long, short = F.regexp_extract(name, r"_(\d{8}T\d{2})", 1), F.regexp_extract(name, r"_(\d{6}_\d{2})_v", 1)
+    return F.coalesce(F.try_to_timestamp(long, F.lit("yyyyMMdd'T'HH")), F.try_to_timestamp(short, F.lit("yyMMdd_HH")))
+
+
+def box_of(file: Column) -> Column:
+    """A, B or C by the code in a level 1B file's name; else null."""
+    code = F.regexp_extract(F.substring_index(file, "/", -1), r"^HXMT_1B_(\d{4})_", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for (_, box), c in CODES_1B.items() for x in (c, box)]), code)
+
+
 def folder_1k(hour: Column) -> Column:
     number = F.datediff(hour.cast("date"), F.lit("2017-06-15").cast("date")) + 1
     return F.concat(F.lit("Y"), F.date_format(hour, "yyyyMM"), F.lit("/"), F.date_format(hour, "yyyyMMdd"), F.lit("-"), F.lpad(number.cast("string"), 4, "0"))
@@ -67,23 +102,32 @@ def chunks(hours: DataFrame, resolved: DataFrame, kinds: int) -> tuple[DataFrame
     return counted.where(whole).select("hour"), errors
 
 
-def write_signals(signals: DataFrame, path: str) -> None:
-    """Signals (with mission and day) as JSON lines under mission=/year=/day=; the committer publishes whole files only."""
-    dated = signals.withColumn("year", F.year("day"))
-    dated.repartition("mission", "year", "day").write.mode("overwrite").partitionBy("mission", "year", "day").json(path)
+def signal_days(days: DataFrame, signals: DataFrame) -> DataFrame:
+    """days' columns and signals: every day has its array, in order of the signals' columns, also an empty one."""
+    keys = days.columns
+    rows = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in signals.columns if c not in keys]))).alias("__signals"))
+    empty = F.array().cast(rows.schema["__signals"].dataType)
+    return days.join(rows, keys, "left").select(*keys, F.coalesce("__signals", empty).alias("signals"))
 
 
-def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """Signals of JSON files that hold an array each."""
-    return spark.read.schema(spark.createDataFrame([], SIGNAL_JSON).schema).json(path, multiLine=True)
+def write_signals(days: DataFrame, signals: DataFrame, path: str) -> None:
+    """One JSON array a day of days (mission, day), also for days without signals, under mission=/year=/month=/date=.
 
+    signals has mission, day and SIGNAL_JSON's columns. Only the days given are replaced; the committer publishes whole
+    files. A day's signals, of which the search's limit allows few, are one value.
+    """
+    rows = signal_days(days.select("mission", "day"), signals.select("mission", "day", *[f.name for f in T.StructType.fromDDL(SIGNAL_JSON)]))
+    text = rows.select("mission", F.date_format("day", "yyyy").alias("year"), F.date_format("day", "MM").alias("month"), F.date_format("day", "yyyyMMdd").alias("date"), F.to_json("signals", {"ignoreNullFields": "false"}).alias("value"))
+    text.repartition("mission", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission", "year", "month", "date").text(path)
 
-def signal_days(days: DataFrame, signals: DataFrame) -> DataFrame:
-    """(day, signals): every day has its array, also an empty one."""
-    rows = signals.groupBy("day").agg(F.array_sort(F.collect_list(F.struct(*[c for c in signals.columns if c != "day"]))).alias("signals"))
-    empty = F.array().cast(rows.schema["signals"].dataType)
-    return days.join(rows, "day", "left").select("day", F.coalesce("signals", empty).alias("signals"))
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """Signals of JSON files that hold an array each, with the folders' mission, year, month and date if there are any."""
+    return spark.read.schema(T.StructType.fromDDL(SIGNAL_JSON)).json(path, multiLine=True)
 
 
-def lightning_schema() -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in (("time", T.StringType()), ("lat", T.DoubleType()), ("lon", T.DoubleType()), ("resid", T.DoubleType()), ("nstn", T.LongType()), ("energy", T.DoubleType()), ("energy_uncertainty", T.DoubleType()), ("estn", T.LongType()))])
+def read_strokes(spark: SparkSession, path: str) -> DataFrame:
+    """Lightning strokes of a Parquet table, or of a JDBC url's table `lightning`."""
+    if path.startswith("jdbc:"):
+        return spark.read.format("jdbc").option("url", path).option("dbtable", "lightning").load()
+    return spark.read.schema(T.StructType.fromDDL(STROKES)).parquet(path)

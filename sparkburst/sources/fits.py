@@ -1,4 +1,4 @@
-"""FITS binary tables as Spark tables: spark.read.format("fits_table").option("hdu", name).load(folder)."""
+"""FITS binary tables as Spark tables, and back: files are read as binaryFile rows and decoded where they lie."""
 
 from __future__ import annotations
 
@@ -13,15 +13,18 @@ from pyspark.sql import types as T
 _BLOCK = 2880
 _CODES = {"L": ("i1", T.BooleanType()), "B": ("u1", T.ShortType()), "I": (">i2", T.ShortType()), "J": (">i4", T.IntegerType()), "K": (">i8", T.LongType()), "E": (">f4", T.FloatType()), "D": (">f8", T.DoubleType())}
 
-#: Column lists of the tables that the searches read: name in the file -> (type, name here).
+#: Tables of the files that the searches read, with the columns that they need.
 HXMT_EVENTS = ("Events", "Time double, Det_ID short, Channel short, Pulse_Width short, ACD long, Event_Type short")
 HXMT_ATTITUDE = ("ATT_Quater", "Time double, Q1 double, Q2 double, Q3 double")
 HXMT_ORBIT = ("Orbit", "Time double, Lon double, Lat double, Alt double")
 HXMT_ENGINEERING = ("HE_Eng", "Time int, BUS_Time_Bdc binary")
 HXMT_SCIENCE = ("HE_Evt_Src", "CCSDS binary")
 SVOM_EVENTS = "TIME double, PI short, GAIN_TYPE short, DEAD_TIME float, EVT_TYPE short, ANTI_COIN short, FLAG short"
+SVOM_DETECTORS = ("EVENTS01", "EVENTS02", "EVENTS03")
 SVOM_ATTITUDE = ("Quaternion", "TIME double, Q0 double, Q1 double, Q2 double")
 SVOM_ORBIT = ("ORB", "TIME double, LON double, LAT double, ALT double")
+#: Rows that leave a task at once.
+_BATCH = 1 << 18
 
 
 def _header(data: memoryview, at: int) -> tuple[dict[str, str], int]:
@@ -86,54 +89,122 @@ def _arrow(value: np.ndarray, field: T.StructField) -> pa.Array:
     return pa.array(value.astype(value.dtype.newbyteorder("="))).cast(to_arrow_type(field.dataType), safe=False)
 
 
-def read_table(spark: SparkSession, path: str, hdu: str, schema: str) -> DataFrame:
-    """(file, row, columns...) of table `hdu` in the files that path (a file, folder or pattern) names, in file order.
+def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, content) of files; a file is one row and one task's unit, as an hour's file is in the archives (2 GB at most)."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
 
-    A file is one task's unit, as an hour's file is in the archives; readers ask for the columns they need and only
-    those are decoded. Files that can't be read give no rows here; see broken_files.
+def decoded(files: DataFrame, hdus: str | tuple[str, ...], schema: str) -> DataFrame:
+    """(file, hdu, row, error, columns...) of the tables `hdus` in files (path, content), in file order, in one pass.
+
+    Only the columns asked for are decoded. A file with a table or column missing, or with broken headers, gives one row
+    with its error and nothing else: it never fails the job, and never gives a part of its rows.
     """
-    fields = spark.createDataFrame([], schema).schema.fields
+    names = (hdus,) if isinstance(hdus, str) else hdus
+    fields = list(T.StructType.fromDDL(schema).fields)
     wanted = [f.name for f in fields]
-    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), *fields])
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("hdu", T.StringType()), T.StructField("row", T.LongType()), T.StructField("error", T.StringType()), *fields])
+
+    def tables_of(data: bytes) -> dict[str, dict[str, np.ndarray]]:
+        found: dict[str, dict[str, np.ndarray]] = {}
+        for name, cards, start in tables(data):
+            if name in names and name not in found:
+                found[name] = columns(data, cards, start, wanted)
+        if missing := [n for n in names if n not in found]:
+            raise ValueError(f"no table {', '.join(missing)}")
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 try:
-                    found = [columns(data, cards, start, wanted) for name, cards, start in tables(data) if name == hdu][:1]
-                except (ValueError, KeyError):
+                    found = tables_of(data)
+                except (ValueError, KeyError, IndexError) as e:
+                    empty = [pa.nulls(1, to_arrow_type(f.dataType)) for f in fields]
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([str(e)]), *empty], out.names)
                     continue
-                for table in found:
-                    n = len(next(iter(table.values())))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(range(n), pa.int64()), *(_arrow(table[f.name], f) for f in fields)], out.names)
+                for name in names:
+                    n = len(found[name][wanted[0]])
+                    for a in range(0, n, _BATCH):
+                        b = min(n, a + _BATCH)
+                        body = [_arrow(found[name][f.name][a:b], f) for f in fields]
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * (b - a), pa.string()), pa.array([name] * (b - a), pa.string()), pa.array(np.arange(a, b)), pa.nulls(b - a, pa.string()), *body], out.names)
+
+    return files.mapInArrow(run, out)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, out)
+
+def read_table(spark: SparkSession, path: str, hdu: str, schema: str) -> DataFrame:
+    """(file, row, columns...) of table `hdu` in the files that path (a file, folder or pattern) names; see decoded for broken files."""
+    return decoded(load(spark, path), hdu, schema).where("error IS NULL").drop("error", "hdu")
 
 
 def broken_files(spark: SparkSession, path: str, hdu: str, wanted: list[str]) -> DataFrame:
     """(file, message) of files whose table can't be read: rows for the error channel instead of a failed job."""
+    return decoded(load(spark, path), hdu, ", ".join(f"`{c}` double" for c in wanted)).where("error IS NOT NULL").select("file", F.col("error").alias("message"))
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = []
-            for file, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                try:
-                    if not [columns(data, cards, start, wanted) for name, cards, start in tables(data) if name == hdu]:
-                        bad.append((file, f"no table {hdu}"))
-                except (ValueError, KeyError) as e:
-                    bad.append((file, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in bad], pa.string()), pa.array([b[1] for b in bad], pa.string())], ["file", "message"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(test, "file string, message string")
+def _adapted(files: DataFrame, table: tuple, **names: str) -> DataFrame:
+    rows = decoded(files, *table)
+    return rows.select("file", "row", "error", *[F.col(old).alias(new) for new, old in names.items()])
+
+
+def hxmt_events(files: DataFrame) -> DataFrame:
+    return _adapted(files, HXMT_EVENTS, met="Time", det_id="Det_ID", channel="Channel", pulse_width="Pulse_Width", acd="ACD", event_type="Event_Type")
+
+
+def hxmt_attitude(files: DataFrame) -> DataFrame:
+    return _adapted(files, HXMT_ATTITUDE, met="Time", q1="Q1", q2="Q2", q3="Q3")
+
+
+def hxmt_orbit(files: DataFrame) -> DataFrame:
+    return _adapted(files, HXMT_ORBIT, met="Time", longitude="Lon", latitude="Lat", altitude="Alt")
+
+
+def hxmt_engineering(files: DataFrame) -> DataFrame:
+    return _adapted(files, HXMT_ENGINEERING, stime="Time", bus="BUS_Time_Bdc")
+
+
+def hxmt_science(files: DataFrame) -> DataFrame:
+    return _adapted(files, HXMT_SCIENCE, ccsds="CCSDS")
+
+
+def svom_events(files: DataFrame) -> DataFrame:
+    """The three detectors' tables as one with det_id 1 to 3; each file is opened once."""
+    rows = decoded(files, SVOM_DETECTORS, SVOM_EVENTS)
+    det = F.array_position(F.array(*map(F.lit, SVOM_DETECTORS)), F.col("hdu")).cast("int")
+    return rows.select("file", "row", "error", det.alias("det_id"), F.col("TIME").alias("met"), F.col("PI").alias("pi"), F.col("GAIN_TYPE").alias("gain_type"), F.col("DEAD_TIME").alias("dead_time"), F.col("EVT_TYPE").alias("evt_type"), F.col("ANTI_COIN").alias("anti_coin"), F.col("FLAG").alias("flag"))
+
+
+def svom_attitude(files: DataFrame) -> DataFrame:
+    """The file's Q0 to Q2 are our q1 to q3; its Q3 isn't read."""
+    return _adapted(files, SVOM_ATTITUDE, met="TIME", q1="Q0", q2="Q1", q3="Q2")
+
 
+def svom_orbit(files: DataFrame) -> DataFrame:
+    return _adapted(files, SVOM_ORBIT, met="TIME", longitude="LON", latitude="LAT", altitude="ALT")
 
-def svom_events(spark: SparkSession, path: str) -> DataFrame:
-    """The three detectors' tables as one with det_id."""
-    from sparkburst.operators.events import merged_streams
 
-    return merged_streams([read_table(spark, path, f"EVENTS{k:02d}", SVOM_EVENTS) for k in (1, 2, 3)])
+def encoded(tables_: list[tuple[str, list[tuple[str, str, np.ndarray]]]]) -> bytes:
+    """A FITS file of binary tables: (name, columns (name, form, values)); forms are those of _CODES, or nB for rows of n bytes."""
 
+    def block(cards: list[str]) -> bytes:
+        text = "".join(f"{c:<80}" for c in [*cards, "END"])
+        return text.ljust(-(-len(text) // _BLOCK) * _BLOCK).encode()
 
-def svom_attitude(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_table(spark, path, *SVOM_ATTITUDE)
-    return rows.select("file", "row", "TIME", F.col("Q0").alias("q1"), F.col("Q1").alias("q2"), F.col("Q2").alias("q3"))
+    out = [block(["SIMPLE  = T", "BITPIX  = 8", "NAXIS   = 0"])]
+    for name, cols in tables_:
+        parts = []
+        for _, form, values in cols:
+            kind = _CODES[form[-1]][0]
+            parts.append(np.ascontiguousarray(np.asarray(values).astype(kind)).view(np.uint8).reshape(len(values), -1) if len(values) else np.zeros((0, np.dtype(kind).itemsize * int(form[:-1] or 1)), np.uint8))
+        grid = np.hstack(parts)
+        head = ["XTENSION= 'BINTABLE'", "BITPIX  = 8", "NAXIS   = 2", f"NAXIS1  = {grid.shape[1]}", f"NAXIS2  = {grid.shape[0]}", "PCOUNT  = 0", "GCOUNT  = 1", f"TFIELDS = {len(cols)}", f"EXTNAME = '{name}'"]
+        for k, (column, form, _) in enumerate(cols, 1):
+            head += [f"TTYPE{k:<3}= '{column}'", f"TFORM{k:<3}= '{form}'"]
+        data = grid.tobytes()
+        out += [block(head), data.ljust(-(-len(data) // _BLOCK) * _BLOCK, b"\0")]
+    return b"".join(out)
