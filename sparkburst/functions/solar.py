@@ -33,16 +33,26 @@ def year_angle(utc_us: Column) -> Column:
     return 2 * math.pi * (day_of_year(utc_us) - first) / 365.2422
 
 
+#: Fourier coefficients of the declination (degrees) and of the equation of time (minutes):
+#: the constant, then sine and cosine of one, two and three times the year angle.
+DECLINATION = (0.3723, (23.2567, -0.7580), (0.1149, 0.3656), (-0.1712, 0.0201))
+EQUATION = (0.0028, (-1.9857, -7.0924), (9.9059, -0.6882))
+
+
+def _fourier(angle: Column, coefficients: tuple) -> Column:
+    total = F.lit(coefficients[0])
+    for k, (sine, cosine) in enumerate(coefficients[1:], 1):
+        total = total + sine * F.sin(k * angle) + cosine * F.cos(k * angle)
+    return total
+
+
 def declination(utc_us: Column) -> Column:
-    t = year_angle(utc_us)
-    sines = 23.2567 * F.sin(t) + 0.1149 * F.sin(2 * t) - 0.1712 * F.sin(3 * t)
-    return 0.3723 + sines - 0.7580 * F.cos(t) + 0.3656 * F.cos(2 * t) + 0.0201 * F.cos(3 * t)
+    return _fourier(year_angle(utc_us), DECLINATION)
 
 
 def equation_of_time(utc_us: Column) -> Column:
     """Minutes by which the sun is ahead of the mean sun."""
-    t = year_angle(utc_us)
-    return 0.0028 - 1.9857 * F.sin(t) + 9.9059 * F.sin(2 * t) - 7.0924 * F.cos(t) - 0.6882 * F.cos(2 * t)
+    return _fourier(year_angle(utc_us), EQUATION)
 
 
 def apparent_solar_time(utc_us: Column, lon: Column) -> Column:

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TASK = T.StructType([T.StructField(n, t) for n, t in (("satellite", T.StringType()), ("detector", T.StringType()), ("time", T.TimestampNTZType()), ("status", T.StringType()), ("retry_times", T.IntegerType()), ("updated_at", T.TimestampNTZType()))])
-STATISTICS = T.StructType([T.StructField(n, t) for n, t in (("time", T.TimestampNTZType()), ("what", T.StringType()), ("status", T.StringType()), ("retry_times", T.IntegerType()))])
-_TEXT = "id satellite detector start_full start_best stop_full stop_best peak events light_curve_1s_unfiltered light_curve_1s_filtered light_curve_100ms_unfiltered light_curve_100ms_filtered orbit lightnings mean_solar_time apparent_solar_time".split()
-_LONG = "count_unfiltered_full count_unfiltered_best count_filtered_full count_filtered_best associated_lightning_count day_of_year month".split()
-_ORDER = (
-    "id satellite detector start_full start_best stop_full stop_best peak duration_full duration_best false_positive false_positive_per_year "
-    "count_unfiltered_full count_unfiltered_best count_filtered_full count_filtered_best background flux_unfiltered_full flux_unfiltered_best flux_filtered_full flux_filtered_best "
-    "events light_curve_1s_unfiltered light_curve_1s_filtered light_curve_100ms_unfiltered light_curve_100ms_filtered longitude latitude altitude q1 q2 q3 orbit lightnings "
-    "associated_lightning_count coincidence_probability mean_solar_time apparent_solar_time day_of_year month solar_zenith_angle solar_zenith_angle_at_noon solar_azimuth_angle"
-).split()
-SIGNAL = T.StructType([T.StructField(n, T.StringType() if n in _TEXT else T.LongType() if n in _LONG else T.DoubleType()) for n in _ORDER])
+#: Columns of the three tables, and the keys that tell rows apart.
+TASK = "satellite string, detector string, time timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, retry_times int, worker string, status string, error string"
+STATISTICS = "time timestamp_ntz, what string, created_at timestamp_ntz, updated_at timestamp_ntz, retry_times int, worker string, status string, error string, value string"
+SIGNAL = """id string, satellite string, detector string, start_full string, start_best string, stop_full string, stop_best string, peak string,
+duration_full double, duration_best double, false_positive double, false_positive_per_year double,
+count_unfiltered_full long, count_unfiltered_best long, count_filtered_full long, count_filtered_best long,
+background double, flux_unfiltered_full double, flux_unfiltered_best double, flux_filtered_full double, flux_filtered_best double,
+events string, light_curve_1s_unfiltered string, light_curve_1s_filtered string, light_curve_100ms_unfiltered string, light_curve_100ms_filtered string,
+longitude double, latitude double, altitude double, q1 double, q2 double, q3 double, orbit string, lightnings string,
+associated_lightning_count long, coincidence_probability double, mean_solar_time string, apparent_solar_time string,
+day_of_year long, month long, solar_zenith_angle double, solar_zenith_angle_at_noon double, solar_azimuth_angle double"""
+TASK_KEYS, STATISTICS_KEYS = ("satellite", "detector", "time"), ("time", "what")
+SIGNAL_KEYS = (("satellite", "detector", "start_full"), ("id",))
+
+
+def conformed(df: DataFrame, ddl: str) -> DataFrame:
+    """df with a table's columns, types and order; columns it lacks are null, others are left out."""
+    fields = T.StructType.fromDDL(ddl)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def added_signals(table: DataFrame, new: DataFrame) -> DataFrame:
+    """table and the new signals that break neither key. Of new rows with one key the first by start_full and id stays; a
+    null id is no key. Rows are judged by the first key, then by the second."""
+    fresh = conformed(new, SIGNAL)
+    for keys in SIGNAL_KEYS:
+        known = F.lit(True)
+        for k in keys:
+            known &= F.col(k).isNotNull()
+        order = Window.partitionBy(*keys).orderBy("start_full", "id", "satellite", "detector")
+        first = fresh.withColumn("__n", F.when(known, F.row_number().over(order)).otherwise(1)).where("__n = 1").drop("__n")
+        fresh = first.join(table.select(*keys).where(known), list(keys), "left_anti").select(first.columns)
+    return conformed(table, SIGNAL).unionByName(fresh)
 
 
 def hours(spark: SparkSession, first: str, now: str) -> DataFrame:
@@ -30,13 +52,14 @@ def added(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def refreshed_tasks(tasks: DataFrame, satellite: str, detector: str, first: str, now: str) -> DataFrame:
+    """tasks and a Pending one for each hour of a mission that has none yet."""
     new = hours(tasks.sparkSession, first, now).select(F.lit(satellite).alias("satellite"), F.lit(detector).alias("detector"), "time", F.lit("Pending").alias("status"), F.lit(0).alias("retry_times"))
-    return added(tasks, new, ["satellite", "detector", "time"])
+    return added(tasks, new, list(TASK_KEYS))
 
 
 def refreshed_statistics(statistics: DataFrame, what: str, first: str, now: str) -> DataFrame:
     new = hours(statistics.sparkSession, first, now).select("time", F.lit(what).alias("what"), F.lit("Pending").alias("status"), F.lit(0).alias("retry_times"))
-    return added(statistics, new, ["time", "what"])
+    return added(statistics, new, list(STATISTICS_KEYS))
 
 
 def reset(tasks: DataFrame, status: str, now: Column) -> DataFrame:
@@ -53,3 +76,24 @@ def accepted(signals: DataFrame, before: str) -> DataFrame:
 
 def point(signals: DataFrame, start_full: str, satellite: str, detector: str) -> DataFrame:
     return signals.where((F.col("start_full") == start_full) & (F.col("satellite") == satellite) & (F.col("detector") == detector))
+
+
+#: The JSON texts of a catalogue row: associated strokes, in two shapes, and events.
+LIGHTNINGS = "array<struct<lightning:struct<time:string,lat:double,lon:double>>>"
+EVENTS = "array<struct<time:string,channel:long,keep:boolean,info:struct<scintillator:string,acd:long>>>"
+
+
+def stroke_places(text: Column) -> Column:
+    """Array of (lon, lat) from `lightnings`: elements are objects with a key lightning, or lists that begin with the stroke."""
+    named = F.transform(F.from_json(text, LIGHTNINGS), lambda x: x["lightning"])
+    listed = F.transform(F.from_json(text, "array<array<string>>"), lambda x: F.from_json(x[0], "time string, lat double, lon double"))
+    both = F.coalesce(F.filter(named, lambda s: s.isNotNull()), F.array()), F.coalesce(F.filter(listed, lambda s: s.isNotNull()), F.array())
+    return F.transform(F.concat(*both), lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))
+
+
+def detail_events(signals: DataFrame) -> DataFrame:
+    """A row per event of each signal: id, milliseconds after start_full, channel, marker (triangle for NaI), vetoed (any
+    anti-coincidence), keep. Texts that aren't JSON and empty lists give no rows."""
+    micros = lambda c: F.unix_micros(F.to_timestamp(c))
+    e = signals.select("id", "start_full", F.explode(F.from_json("events", EVENTS)).alias("e"))
+    return e.select("id", ((micros(F.col("e.time")) - micros(F.col("start_full"))) / 1000).alias("ms"), F.col("e.channel").alias("channel"), F.when(F.col("e.info.scintillator") == "NaI", "triangle").otherwise("circle").alias("marker"), (F.col("e.info.acd") != 0).alias("vetoed"), F.col("e.keep").alias("keep"))

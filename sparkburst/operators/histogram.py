@@ -14,8 +14,8 @@ def bins(spark: SparkSession, n: int) -> DataFrame:
 
 
 def _dense(counted: DataFrame, n: int) -> DataFrame:
-    """counted (bin, value) with a row for every bin: missing ones are 0. The side that is broadcast has a row a bin."""
-    return bins(counted.sparkSession, n).join(F.broadcast(counted), "bin", "left").select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in counted.columns if c != "bin"])
+    """counted (bin, value) with a row for every bin: missing ones are 0. How the sides meet is left to their sizes, as a long span has many bins."""
+    return bins(counted.sparkSession, n).join(counted, "bin", "left").select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in counted.columns if c != "bin"])
 
 
 def light_curve(events: DataFrame, start: int, stop: int, width: int, t: str = "t") -> DataFrame:
