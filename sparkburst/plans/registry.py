@@ -9,12 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkburst.functions import clock, geo, packets, poisson, solar
-from sparkburst.operators import catalog, histogram, lightning, scan, trajectory
+from sparkburst.operators import catalog, histogram, lightning, saturation, scan, trajectory
 from sparkburst.operators import events as E
+from sparkburst.plans import search
+from sparkburst.sources import archive, fits
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -57,10 +61,24 @@ SIGNALS = """signals AS (SELECT o_orderkey id, epoch_us(o_orderdate) t, strftime
  greatest(0, o_orderkey % 5 - 2) associated_lightning_count, (o_orderkey * 31 % 1000) / 1000.0 coincidence_probability, o_orderkey * 17 % 997 + 3 "count", (o_orderkey * 11 % 3600) / 10.0 longitude, (o_orderkey * 3 % 860) / 10.0 - 43.0 latitude FROM orders)"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: for few bytes with much work each, which a scan leaves in one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def r(c, n: int = 9):
     return F.round(c, n)
 
 
+def packets_fold_sql(digits: str) -> str:
+    """The remainder of the first 15 half-bytes in a list, in SQL."""
+    table = "[" + ", ".join(map(str, packets.CRC4)) + "]"
+    out = "0"
+    for j in range(1, 16):
+        out = f"{table}[xor(CAST({out} AS INTEGER), CAST({digits}[{j}] AS INTEGER)) + 1]"
+    return out
+
+
 # ---- light curves and the scan -------------------------------------------------------------------------------------
 @query(f"WITH {PHOTONS}, b AS (SELECT range bin FROM range({SPAN // 21_600_000_000})) SELECT b.bin, count(p.t) AS count FROM b LEFT JOIN photons p ON p.t >= {START} AND p.t < {START + SPAN} AND (p.t - {START}) // 21600000000 = b.bin GROUP BY 1")
 def light_curve(s, d):
@@ -73,19 +91,37 @@ def _config(rows: DataFrame) -> scan.ScanConfig:
     return scan.ScanConfig(0, 4 * gap, 400 * gap, 16 * gap, 1e-3 * poisson.YEAR_S / (4 * gap / 1e6), 5)
 
 
-def _spanned(s, d) -> tuple[DataFrame, scan.ScanConfig]:
-    p = photons(s, d)
-    return p.select(F.col("mission").alias("chunk"), "t", F.lit(START).alias("start"), F.lit(START + SPAN).alias("stop")), _config(p)
+#: Mean gaps in a chunk, the stand-in for an hour's file: about as many events, however many the table holds.
+_CHUNK_GAPS = 2000
+
+
+def _chunk(config: scan.ScanConfig) -> tuple:
+    """(chunk, start, stop) of a photon: its mission and its stretch of time."""
+    width = config.max_duration // 4 * _CHUNK_GAPS
+    number = F.floor((F.col("t") - START) / width).cast("long")
+    return F.col("mission") * 1_000_000 + number, F.lit(START) + number * width, F.lit(START) + (number + 1) * width
 
 
-_TAIL = "exp(-mean + list_sum(list_transform(range(1, k + 2), lambda i: ln(mean / i)))) * (1 + list_sum(list_transform(range(1, 61), lambda m: exp(list_sum(list_transform(range(1, m + 1), lambda q: ln(mean / (k + 1 + q))))))))"
-_TRIGGERS = f"""{PHOTONS}, cfg AS (SELECT (max(t) - min(t)) // count(*) * 4 g FROM photons), ev AS (SELECT mission chunk, t, row_number() OVER (PARTITION BY mission ORDER BY t) - 1 rn, count(*) OVER (PARTITION BY mission) n, min(t) OVER (PARTITION BY mission) t0 FROM photons),
+def _spanned(s, d) -> tuple[DataFrame, scan.ScanConfig]:
+    p = photons(s, d)
+    config = _config(p)
+    chunk, start, stop = _chunk(config)
+    return p.select(chunk.alias("chunk"), "t", start.alias("start"), stop.alias("stop")), config
+
+
+# The tail in SQL shares nothing with poisson.py: plain sums of probabilities by lgamma, over the side that is asked.
+_PMF = "exp(i * ln(mean) - mean - lgamma(i + 1))"
+_TAIL = f"list_sum(list_transform(range(k + 1, k + 61 + CAST(12 * sqrt(mean + k) AS BIGINT)), lambda i: {_PMF}))"
+_HEAD = f"list_sum(list_transform(range(greatest(0, k - 61 - CAST(12 * sqrt(mean + k) AS BIGINT)), k + 1), lambda i: {_PMF}))"
+_SF = f"CASE WHEN mean = 0 THEN CASE WHEN k = 0 THEN 0.0 ELSE 1.0 END WHEN mean < k + 1 THEN {_TAIL} ELSE 1.0 - {_HEAD} END"
+_GAP = f"cfg AS (SELECT (max(t) - min(t)) // count(*) * 4 g FROM photons), stretch AS (SELECT *, mission * 1000000 + (t - {START}) // (g * {_CHUNK_GAPS}) chunk, {START} + (t - {START}) // (g * {_CHUNK_GAPS}) * (g * {_CHUNK_GAPS}) low FROM photons, cfg)"
+_TRIGGERS = f"""{PHOTONS}, {_GAP}, ev AS (SELECT chunk, low, low + g * {_CHUNK_GAPS} high, g, t, row_number() OVER (PARTITION BY chunk ORDER BY t) - 1 rn, count(*) OVER (PARTITION BY chunk) n, min(t) OVER (PARTITION BY chunk) t0 FROM stretch),
  sides AS (SELECT ev.*, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 200 * g - 1 FOLLOWING) - 1 lt_n, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 8 * g - 1 FOLLOWING) - 1 lt_h,
-   count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 200 * g + 1 PRECEDING) fg_n, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 8 * g + 1 PRECEDING) fg_h, g FROM ev, cfg WINDOW w AS (PARTITION BY chunk ORDER BY t)),
- edge AS (SELECT ev.chunk, least(count(*) FILTER (t < t0 + 200 * g), any_value(n) - 1) f_n, least(count(*) FILTER (t < t0 + 8 * g), any_value(n) - 1) f_h FROM ev, cfg GROUP BY 1),
- pairs AS (SELECT a.chunk, a.t ti, b.t tj, b.rn - a.rn + 1 k, a.g, (greatest(f_n, b.lt_n) - greatest(0, a.fg_n - 1)) - (greatest(f_h, b.lt_h) - greatest(0, a.fg_h - 1)) extra FROM sides a JOIN sides b ON a.chunk = b.chunk AND b.rn > a.rn AND b.rn - a.rn + 1 >= 5 AND b.t - a.t < 4 * a.g AND b.t > a.t JOIN edge ON edge.chunk = a.chunk),
- means AS (SELECT *, extra * (tj - ti) / CAST((least(tj + 200 * g, {START + SPAN}) - greatest(ti - 200 * g, {START})) - (least(tj + 8 * g, {START + SPAN}) - greatest(ti - 8 * g, {START})) AS DOUBLE) mean FROM pairs),
- tails AS (SELECT *, CASE WHEN mean <= 0 THEN 1.0 ELSE {_TAIL} END p FROM means WHERE mean < k + 1),
+   count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 200 * g + 1 PRECEDING) fg_n, count(*) OVER (w RANGE BETWEEN UNBOUNDED PRECEDING AND 8 * g + 1 PRECEDING) fg_h FROM ev WINDOW w AS (PARTITION BY chunk ORDER BY t)),
+ edge AS (SELECT chunk, least(count(*) FILTER (t < t0 + 200 * g), any_value(n) - 1) f_n, least(count(*) FILTER (t < t0 + 8 * g), any_value(n) - 1) f_h FROM ev GROUP BY 1),
+ pairs AS (SELECT a.chunk, a.t ti, b.t tj, b.rn - a.rn + 1 k, a.g, a.low, a.high, (greatest(f_n, b.lt_n) - greatest(0, a.fg_n - 1)) - (greatest(f_h, b.lt_h) - greatest(0, a.fg_h - 1)) extra FROM sides a JOIN sides b ON a.chunk = b.chunk AND b.rn > a.rn AND b.rn - a.rn + 1 >= 5 AND b.t - a.t < 4 * a.g AND b.t > a.t JOIN edge ON edge.chunk = a.chunk),
+ means AS (SELECT *, extra * (tj - ti) / CAST((least(tj + 200 * g, high) - greatest(ti - 200 * g, low)) - (least(tj + 8 * g, high) - greatest(ti - 8 * g, low)) AS DOUBLE) mean FROM pairs),
+ tails AS (SELECT *, CASE WHEN mean <= 0 THEN 1.0 ELSE {_SF} END p FROM means),
  trig AS (SELECT *, p * {poisson.YEAR_S} / ((tj - ti) / 1e6) fp FROM tails WHERE p < 1e-3 * (tj - ti) / (4.0 * g))"""
 
 
@@ -107,71 +143,69 @@ def burst_search(s, d):
     return found.select("chunk", "start", "stop", "bin_min", "bin_max", "bin_best", "delay", "count", r("mean").alias("mean"), r(F.log10("fp"), 6).alias("log_fp"))
 
 
-@query(f"""WITH {PHOTONS}, c AS (SELECT mission chunk, t s FROM photons WHERE event_id % 9 = 0), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > 7200000000 OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
- g AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY s ROWS UNBOUNDED PRECEDING) grp FROM m), b AS (SELECT *, max(s) OVER p - min(s) OVER p > 10800000000 OR count(*) OVER p >= 4 bad FROM g WINDOW p AS (PARTITION BY chunk, grp)) SELECT chunk, s AS "start" FROM b WHERE NOT bad OR last""")
+@query(f"""WITH {PHOTONS}, {_GAP}, c AS (SELECT mission chunk, t s, g FROM photons, cfg), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > g OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
+ k AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY s ROWS UNBOUNDED PRECEDING) grp FROM m), b AS (SELECT *, max(s) OVER p - min(s) OVER p > 3 * g OR count(*) OVER p >= 4 bad FROM k WINDOW p AS (PARTITION BY chunk, grp)) SELECT chunk, s AS "start" FROM b WHERE NOT bad OR last""")
 def session_veto(s, d):
-    rows = photons(s, d).where("event_id % 9 = 0").select(F.col("mission").alias("chunk"), F.col("t").alias("start"))
-    return scan.vetoed(rows, 7_200_000_000, 10_800_000_000, 4)
-
-
-@query(_SQL["session_veto"].replace(" WHERE event_id % 9 = 0", ""))
-def session_veto_all(s, d):
-    """session_veto with every event as a candidate."""
-    return scan.vetoed(photons(s, d).select(F.col("mission").alias("chunk"), F.col("t").alias("start")), 7_200_000_000, 10_800_000_000, 4)
+    """Every event is a candidate; sessions end at gaps above the mean."""
+    p = photons(s, d)
+    gap = _config(p).max_duration // 4
+    return scan.vetoed(p.select(F.col("mission").alias("chunk"), F.col("t").alias("start")), gap, 3 * gap, 4)
 
 
-_PATH = "path AS (SELECT mission chunk, t, CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude FROM photons WHERE event_id % 50 = 0)"
+_BUCKET = 21_600_000_000
+_VALUES = ["longitude", "latitude", "altitude", "q1", "q2", "q3"]
+_STATE = "CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude, (user_id % 16) / 16.0 q1, (user_id % 32) / 32.0 q2, (event_id % 64) / 64.0 q3"
 
 
-def _path(p: DataFrame) -> DataFrame:
-    return p.where("event_id % 50 = 0").select(F.col("mission").alias("chunk"), "t", ((F.col("user_id") * 7) % 360 - 180).cast("double").alias("longitude"), (F.col("user_id") % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("value")).alias("altitude"))
+def _path_sql(chunk: str, source: str = "photons") -> str:
+    return f"path AS (SELECT chunk, t, {_STATE} FROM (SELECT {chunk} chunk, t, user_id, value, event_id, row_number() OVER (PARTITION BY {chunk}, t // {_BUCKET} ORDER BY t, event_id) o FROM {source}) WHERE o = 1)"
 
 
-@query(f"""WITH {PHOTONS}, {_PATH}, seg AS (SELECT *, lead(t) OVER w t1, lead(longitude) OVER w lo1, lead(latitude) OVER w la1, lead(altitude) OVER w al1, row_number() OVER w n FROM path WINDOW w AS (PARTITION BY chunk ORDER BY t)),
- pts AS (SELECT event_id id, mission chunk, t + 1 AS moment FROM photons WHERE event_id % 3 = 0), hit AS (SELECT p.id, p.moment, s.* FROM pts p JOIN seg s ON p.chunk = s.chunk AND (s.t < p.moment OR s.n = 1) AND (s.t1 >= p.moment) )
- SELECT id, round(longitude + (lo1 - longitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 6) longitude, round(latitude + (la1 - latitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 6) latitude, round(altitude + (al1 - altitude) * ((moment - t) / CAST(t1 - t AS DOUBLE)), 4) altitude FROM hit""")
-def interpolated_positions(s, d):
-    p = photons(s, d)
-    points = p.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.col("mission").alias("chunk"), (F.col("t") + 1).alias("at"))
-    out = trajectory.interpolated(points, _path(p), ["longitude", "latitude", "altitude"])
-    return out.select("id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+def _orbit(p: DataFrame, chunk=None) -> DataFrame:
+    """The trajectory: one row per chunk (the mission, if not told) and six hours, from the bucket's first event."""
+    chunk = F.col("mission") if chunk is None else chunk
+    first = p.groupBy(chunk.alias("chunk"), F.floor(F.col("t") / _BUCKET)).agg(F.min(F.struct("t", "event_id", "user_id", "value")).alias("e"))
+    user, event = F.col("e.user_id"), F.col("e.event_id")
+    return first.select("chunk", "e.t", ((user * 7) % 360 - 180).cast("double").alias("longitude"), (user % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("e.value")).alias("altitude"), ((user % 16) / 16.0).alias("q1"), ((user % 32) / 32.0).alias("q2"), ((event % 64) / 64.0).alias("q3"))
 
 
-@query(f"WITH {PHOTONS}, {_PATH} SELECT chunk, t, longitude FROM path WHERE t BETWEEN {START + 10 * DAY_US} AND {START + 12 * DAY_US}")
-def trajectory_window(s, d):
-    return trajectory.window(_path(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
+def _hit_sql(points: str, keep: str) -> str:
+    """Values at points (chunk, moment) along path, as the text of a chain of common tables that ends in hit."""
+    lead = ", ".join(f"lead({v}) OVER w {v}_1" for v in _VALUES)
+    at = ", ".join(f"{v} + ({v}_1 - {v}) * ((moment - t) / CAST(t_1 - t AS DOUBLE)) {v}" for v in _VALUES)
+    return f"seg AS (SELECT *, lead(t) OVER w t_1, {lead}, row_number() OVER w n FROM path WINDOW w AS (PARTITION BY chunk ORDER BY t)), hit AS (SELECT {keep}, {at} FROM {points} p JOIN seg s ON p.chunk = s.chunk AND (s.t < p.moment OR s.n = 1) AND s.t_1 >= p.moment QUALIFY row_number() OVER (PARTITION BY {keep} ORDER BY s.t DESC) = 1)"
 
 
-_BUCKET = 21_600_000_000
-_ORBIT = f"path AS (SELECT chunk, t, CAST((user_id * 7) % 360 - 180 AS DOUBLE) longitude, CAST(user_id % 80 - 40 AS DOUBLE) latitude, 500000 + value altitude FROM (SELECT mission chunk, t, user_id, value, row_number() OVER (PARTITION BY mission, t // {_BUCKET} ORDER BY t, event_id) o FROM photons) WHERE o = 1)"
+_ROUNDED = "round(longitude, 6) longitude, round(latitude, 6) latitude, round(altitude, 4) altitude, round(q1, 6) q1, round(q2, 6) q2, round(q3, 6) q3"
 
 
-def _orbit(p: DataFrame) -> DataFrame:
-    """The trajectory: one row per mission and six hours, from the bucket's first event."""
-    first = p.groupBy(F.col("mission").alias("chunk"), F.floor(F.col("t") / _BUCKET)).agg(F.min(F.struct("t", "event_id", "user_id", "value")).alias("e"))
-    return first.select("chunk", "e.t", ((F.col("e.user_id") * 7) % 360 - 180).cast("double").alias("longitude"), (F.col("e.user_id") % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("e.value")).alias("altitude"))
+def _rounded() -> list:
+    return [r(F.col(v), 4 if v == "altitude" else 6).alias(v) for v in _VALUES]
 
 
-@query(_SQL["interpolated_positions"].replace(_PATH, _ORBIT).replace(" WHERE event_id % 3 = 0", ""))
-def interpolated_positions_all(s, d):
-    """Positions at every event, from the whole trajectory."""
+@query(f"WITH {PHOTONS}, {_path_sql('mission')}, pts AS (SELECT event_id id, mission chunk, t + 1 AS moment FROM photons), {_hit_sql('pts', 'p.id')} SELECT id, {_ROUNDED} FROM hit")
+def interpolated_positions(s, d):
+    """Positions and attitudes at every event, from the whole trajectory."""
     p = photons(s, d)
     points = p.select(F.col("event_id").alias("id"), F.col("mission").alias("chunk"), (F.col("t") + 1).alias("at"))
-    out = trajectory.interpolated(points, _orbit(p), ["longitude", "latitude", "altitude"])
-    return out.select("id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+    return trajectory.interpolated(points, _orbit(p), _VALUES).select("id", *_rounded())
 
 
-@query(_SQL["trajectory_window"].replace(_PATH, _ORBIT))
-def trajectory_window_all(s, d):
-    """trajectory_window of the whole trajectory."""
+@query(f"WITH {PHOTONS}, {_path_sql('mission')} SELECT chunk, t, longitude FROM path WHERE t BETWEEN {START + 10 * DAY_US} AND {START + 12 * DAY_US}")
+def trajectory_window(s, d):
     return trajectory.window(_orbit(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
 
 
-@query(None)
+@query(f"""WITH {_TRIGGERS}, {_MERGED}, {_path_sql("chunk", "stretch")}, m AS (SELECT *, CASE WHEN "start" - lag("start") OVER w > 36000000000 OR lead("start") OVER w IS NULL THEN 1 ELSE 0 END cut, lead("start") OVER w IS NULL last FROM cand WINDOW w AS (PARTITION BY chunk ORDER BY "start")),
+ grp AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY "start" ROWS UNBOUNDED PRECEDING) session FROM m), judged AS (SELECT *, max("start") OVER p - min("start") OVER p > 108000000000 OR count(*) OVER p >= 5 bad FROM grp WINDOW p AS (PARTITION BY chunk, session)),
+ pts AS (SELECT chunk, "start", stop, "count", "start" + bin_best // 2 moment FROM judged WHERE NOT bad OR last), {_hit_sql("pts", 'p.chunk, p."start", p.stop, p."count"')}
+ SELECT chunk, "start", stop, CAST("count" AS BIGINT) AS count, {_ROUNDED} FROM hit""")
 def located_bursts(s, d):
-    rows, config = _spanned(s, d)
-    found = scan.vetoed(scan.search(rows, config), 36_000_000_000, 3_600_000_000_000, 50).withColumn("at", F.col("start") + F.floor(F.col("bin_best") / 2))
-    return trajectory.interpolated(found, _orbit(photons(s, d)), ["longitude", "latitude", "altitude"]).select("chunk", "start", "stop", "count", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("altitude", 4).alias("altitude"))
+    """The whole chain: scan, islands, session veto, then position and attitude at the peak from the chunk's own trajectory."""
+    events, config = _spanned(s, d)
+    found = scan.vetoed(scan.search(events, config), 36_000_000_000, 108_000_000_000, 5).withColumn("at", F.col("start") + F.floor(F.col("bin_best") / 2))
+    path = _orbit(photons(s, d), _chunk(config)[0])
+    return trajectory.interpolated(found, path, _VALUES).select("chunk", "start", "stop", "count", *_rounded())
 
 
 # ---- events ----------------------------------------------------------------------------------------------------------
@@ -191,8 +225,6 @@ def events_around(s, d):
 
 @query(f"WITH {PHOTONS} SELECT t, CAST(user_id % 3 + 1 AS INTEGER) det_id, row_number() OVER (PARTITION BY mission ORDER BY t, user_id % 3) AS place FROM photons")
 def merged_streams(s, d):
-    from pyspark.sql import Window
-
     p = photons(s, d)
     both = E.merged_streams([p.where(F.col("user_id") % 3 == k).select("t", "mission") for k in range(3)])
     return both.select("t", "det_id", F.row_number().over(Window.partitionBy("mission").orderBy("t", "det_id")).cast("long").alias("place"))
@@ -209,29 +241,30 @@ def group_counts(s, d):
 
 
 # ---- scalar functions --------------------------------------------------------------------------------------------------
-_SF = "CASE WHEN mean = 0 THEN CASE WHEN k = 0 THEN 0.0 ELSE 1.0 END WHEN mean < k + 1 THEN " + _TAIL + " ELSE 1.0 - list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1)))) END"
+_TAILS_X = "x AS (SELECT event_id, (event_id % 101) * (event_id % 101) * (event_id % 101) / 100.0 mean, (event_id % 101) * (event_id % 101) * (event_id % 101) * (event_id % 7 + 2) // 400 + event_id % 11 k FROM events)"
+_LOG10 = "CASE WHEN {0} > 1e-250 THEN round(log10({0}), 6) END"
 
 
-@query(f"WITH x AS (SELECT event_id, (event_id % 23) / 4.0 mean, event_id % 11 k FROM events), y AS (SELECT *, {_SF} sf FROM x) SELECT event_id, round(sf, 9) sf, round(CASE WHEN mean <= 0 OR mean >= k + 1 THEN 1.0 ELSE sf END, 9) search_sf, round(sf * {poisson.YEAR_S} / (k + 1), 4) per_year, round(20.0 * k / {poisson.YEAR_S}, 12) threshold FROM y")
+@query(f"""WITH {_TAILS_X}, y AS (SELECT mean, k, {_SF} sf FROM (SELECT DISTINCT mean, k FROM x)), z AS (SELECT event_id, sf, CASE WHEN x.mean <= 0 THEN 1.0 ELSE sf END search, sf * {poisson.YEAR_S} / (x.k + 1) per, x.k FROM x JOIN y ON x.mean = y.mean AND x.k = y.k)
+ SELECT event_id, round(sf, 6) sf, {_LOG10.format("sf")} log_sf, round(search, 6) search_sf, {_LOG10.format("per")} log_per_year, round(20.0 * k / {poisson.YEAR_S}, 12) threshold FROM z""")
 def poisson_tails(s, d):
-    x = s.read.parquet(f"{d}/events.parquet").select("event_id", ((F.col("event_id") % 23) / 4.0).alias("mean"), (F.col("event_id") % 11).alias("k"))
-    sf = poisson.sf(F.col("mean"), F.col("k"))
-    return x.select("event_id", r(sf).alias("sf"), r(poisson.search_sf(F.col("mean"), F.col("k"))).alias("search_sf"), r(poisson.per_year(sf, F.col("k") + 1), 4).alias("per_year"), r(poisson.threshold(20.0, F.col("k")), 12).alias("threshold"))
-
-
-@query("WITH x AS (SELECT event_id, (event_id % 37 + 1) / 4.0 mean, pow(10.0, -(event_id % 7 + 1)) p FROM events), y AS (SELECT *, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) c FROM x WHERE event_id % 10 = 0) SELECT event_id, len(list_filter(c, lambda v: v < 1.0 - p)) AS k FROM y".replace("SELECT event_id, len(", "SELECT event_id, CAST(len(").replace("p)) AS k", "p)) AS BIGINT) AS k"))
-def poisson_quantiles(s, d):
-    x = s.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0")
-    return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), (F.col("event_id") % 37 + 1) / 4.0, 100).alias("k"))
+    """Means up to 10,000 and counts of half to twice the mean."""
+    n = F.col("event_id") % 101
+    x = spread(s.read.parquet(f"{d}/events.parquet")).select("event_id", (n * n * n / 100.0).alias("mean"), (F.floor(n * n * n * (F.col("event_id") % 7 + 2) / 400) + F.col("event_id") % 11).alias("k"))
+    once = F.struct(poisson.sf(F.col("mean"), F.col("k")).alias("sf"), poisson.search_sf(F.col("mean"), F.col("k")).alias("search"))
+    x = x.select("event_id", "k", F.explode(F.array(once)).alias("v")).select("event_id", "k", "v.*").withColumn("per", poisson.per_year(F.col("sf"), F.col("k") + 1))
+    log = lambda c: F.when(F.col(c) > 1e-250, r(F.log10(c), 6))
+    return x.select("event_id", r("sf", 6).alias("sf"), log("sf").alias("log_sf"), r("search", 6).alias("search_sf"), log("per").alias("log_per_year"), r(poisson.threshold(20.0, F.col("k")), 12).alias("threshold"))
 
 
-@query("""WITH x AS (SELECT event_id, event_id % 37 a, event_id % 7 b FROM events), pq AS (SELECT a, b, (a + 1) / 4.0 mean, pow(10.0, -(b + 1)) p FROM (SELECT DISTINCT a, b FROM x)),
- y AS (SELECT *, list_transform(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) c FROM pq), z AS (SELECT a, b, CAST(len(list_filter(c, lambda v: v < 1.0 - p)) AS BIGINT) AS k FROM y)
+@query("""WITH x AS (SELECT event_id, event_id % 37 a, event_id % 7 b FROM events), pq AS (SELECT a, b, (a + 1) * (a + 1) / 4.0 mean, pow(10.0, -(b + 1)) p FROM (SELECT DISTINCT a, b FROM x)),
+ y AS (SELECT *, list_transform(range(0, 600), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) c FROM pq), z AS (SELECT a, b, CAST(len(list_filter(c, lambda v: v < 1.0 - p)) AS BIGINT) AS k FROM y)
  SELECT event_id, k FROM x JOIN z USING (a, b)""")
-def poisson_quantiles_all(s, d):
-    """poisson_quantiles for every event."""
-    x = s.read.parquet(f"{d}/events.parquet")
-    return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), (F.col("event_id") % 37 + 1) / 4.0, 100).alias("k"))
+def poisson_quantiles(s, d):
+    """A quantile for every event, means from 1/4 to 342."""
+    x = spread(s.read.parquet(f"{d}/events.parquet").select("event_id"))
+    a = F.col("event_id") % 37 + 1
+    return x.select("event_id", poisson.isf(F.pow(F.lit(10.0), -(F.col("event_id") % 7 + 1)), a * a / 4.0).alias("k"))
 
 
 def _dist(la1: str, lo1: str, la2: str, lo2: str) -> str:
@@ -278,12 +311,17 @@ def mission_clock(s, d):
     return x.select("id", r(met, 6).alias("met"), r(clock.met_from_utc(F.col("u"), clock.SVOM), 6).alias("met_svom"), clock.utc_from_met(met, clock.HXMT).alias("back"))
 
 
-@query(f"""WITH RECURSIVE h AS (SELECT doc_id, hex(encode(text))[1:16] x FROM documents WHERE length(text) >= 8), c AS (SELECT doc_id, x, 0 AS j, 0 AS a FROM h UNION ALL SELECT doc_id, x, j + 1, ([{", ".join(map(str, packets.CRC4))}])[xor(a, instr('0123456789ABCDEF', x[j + 1:j + 1]) - 1) + 1] FROM c WHERE j < 15),
- v AS (SELECT doc_id, list_transform(range(0, 8), lambda i: (instr('0123456789ABCDEF', x[2*i+1:2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', x[2*i+2:2*i+2]) - 1) b FROM h)
- SELECT c.doc_id, CAST(a AS BIGINT) crc, CAST((b[6] & 127) * 16777216 + b[5] * 65536 + b[4] * 256 + b[3] AS BIGINT) bus, CASE WHEN a = (b[8] & 15) THEN CASE WHEN (b[8] & 48) IN (0, 32) THEN 'event' WHEN (b[8] & 48) = 16 THEN 'second' ELSE 'error' END ELSE 'error' END kind FROM c JOIN v ON c.doc_id = v.doc_id WHERE j = 15""")
+@query(f"""WITH b AS (SELECT event_id, event_id * 2654435761 % 4294967296 hi, event_id * 40503 % 4294967296 lo, event_id % 3 kind FROM events), n AS (SELECT *, list_transform(range(0, 8), lambda i: hi // CAST(pow(16, 7 - i) AS BIGINT) % 16) || list_transform(range(0, 8), lambda i: lo // CAST(pow(16, 7 - i) AS BIGINT) % 16) d FROM b),
+ c AS (SELECT *, {packets_fold_sql("d")} crc FROM n), v AS (SELECT *, CASE WHEN kind = 0 THEN d[16] ELSE crc END low FROM c),
+ k AS (SELECT *, CASE WHEN crc <> low THEN 'error' WHEN d[15] % 4 IN (0, 2) THEN 'event' WHEN d[15] % 4 = 1 THEN 'second' ELSE 'error' END name, d[10] % 2 * 262144 + (d[11] * 16 + d[12]) * 1024 + (d[13] * 16 + d[14]) * 4 + d[15] // 4 tick FROM v)
+ SELECT event_id, CAST(crc AS BIGINT) crc, CAST((d[11] * 16 + d[12]) % 128 * 16777216 + (d[9] * 16 + d[10]) * 65536 + (d[7] * 16 + d[8]) * 256 + d[5] * 16 + d[6] AS BIGINT) bus, name kind, CASE WHEN name = 'second' THEN hi END stime, CASE WHEN name <> 'error' THEN CAST(tick AS BIGINT) END ptime FROM k""")
 def packet_fields(s, d):
-    x = s.read.parquet(f"{d}/documents.parquet").where("char_length(text) >= 8").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 8).alias("b"))
-    return x.select("doc_id", packets.crc4(F.col("b")).alias("crc"), packets.bus_time(F.col("b")).alias("bus"), packets.record(F.col("b"))["kind"].alias("kind"))
+    """A record of 8 bytes made from every event; two thirds have a right remainder."""
+    x = s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(*[F.lpad(F.hex(F.col("event_id") * m % 4294967296), 8, "0") for m in (2654435761, 40503)]).alias("h"))
+    right = F.concat(F.substring("h", 1, 15), F.hex(packets.crc4(F.unhex("h"))))
+    x = x.select("event_id", F.unhex(F.when(F.col("event_id") % 3 == 0, F.col("h")).otherwise(right)).alias("b"))
+    out = x.select("event_id", packets.crc4(F.col("b")).alias("crc"), packets.bus_time(F.col("b")).alias("bus"), packets.record(F.col("b")).alias("r"))
+    return out.select("event_id", "crc", "bus", "r.kind", "r.stime", "r.ptime")
 
 
 @query(None)
@@ -300,17 +338,15 @@ def packet_fields_all(s, d):
 
 @query(f"WITH {SIGNALS} SELECT id, CAST(substr(start_full, 12, 2) AS INTEGER) + CAST(substr(start_full, 15, 2) AS INTEGER) / 60.0 AS hour, CAST(month(make_timestamp(t)) AS INTEGER) AS month, strftime(make_timestamp(t), 'Y%Y%m/%Y%m%d-') || lpad(CAST(date_diff('day', DATE '2017-06-15', CAST(make_timestamp(t) AS DATE)) + 1 AS VARCHAR), 4, '0') AS folder FROM (SELECT id, start_full, t + 757382400000000 AS t FROM signals)".replace("AS hour", "AS hour_of_day"))
 def path_and_time_texts(s, d):
-    from sparkburst.sources.archive import folder_1k
-
     x = signal_rows(s, d).withColumn("t", F.col("t") + 757382400000000)  # 24 years on
     ts = F.timestamp_micros("t")
-    return x.select("id", solar.hour_of_time(F.substring("start_full", 12, 8)).alias("hour_of_day"), F.month(ts).alias("month"), folder_1k(ts).alias("folder"))
+    return x.select("id", solar.hour_of_time(F.substring("start_full", 12, 8)).alias("hour_of_day"), F.month(ts).alias("month"), archive.folder_1k(ts).alias("folder"))
 
 
 # ---- lightning ---------------------------------------------------------------------------------------------------------
 _STROKES = "strokes AS (SELECT event_id sid, t time, CAST(user_id % 80 - 40 AS DOUBLE) stroke_lat, CAST(user_id * 7 % 360 - 180 AS DOUBLE) stroke_lon FROM photons WHERE kind = 'purchase')"
-_POINTS = "pts AS (SELECT event_id id, t + 1000 AS moment, CAST(user_id % 80 - 40 AS DOUBLE) + 1 lat, CAST(user_id * 7 % 360 - 180 AS DOUBLE) lon, 550000.0 alt FROM photons WHERE event_id % 5 = 0)"
-_TOL, _REACH = 3_600_000_000, 5_000_000.0
+_POINTS = "pts AS (SELECT event_id id, t + 1000 AS moment, CAST(user_id % 80 - 40 AS DOUBLE) + 1 lat, CAST(user_id * 7 % 360 - 180 AS DOUBLE) lon, 550000.0 alt FROM photons)"
+_TOL, _REACH = 3_600_000_000, 800_000.0
 
 
 def _strokes(p: DataFrame) -> DataFrame:
@@ -318,15 +354,12 @@ def _strokes(p: DataFrame) -> DataFrame:
 
 
 def _points(p: DataFrame) -> DataFrame:
-    return _all_points(p.where("event_id % 5 = 0"))
-
-
-def _all_points(p: DataFrame) -> DataFrame:
     return p.select(F.col("event_id").alias("id"), (F.col("t") + 1000).alias("at"), ((F.col("user_id") % 80 - 40).cast("double") + 1).alias("lat"), (F.col("user_id") * 7 % 360 - 180).cast("double").alias("lon"), F.lit(550000.0).alias("alt"))
 
 
 @query(f"WITH {PHOTONS}, {_STROKES}, {_POINTS}, m AS (SELECT *, {_dist('lat', 'lon', 'stroke_lat', 'stroke_lon')} dist FROM pts JOIN strokes ON time BETWEEN moment - {_TOL + 1000000} AND moment + {_TOL + 1000000}) SELECT id, sid, round(dist, 3) distance FROM m WHERE dist <= {_REACH} AND abs(time - (moment - {_arrival('dist', 'alt')} / 1000)) <= {_TOL}")
 def lightning_associations(s, d):
+    """Every event is a point, every purchase a stroke."""
     p = photons(s, d)
     return lightning.associated(_points(p), _strokes(p), _TOL, _REACH).select("id", "sid", r("distance", 3).alias("distance"))
 
@@ -339,22 +372,7 @@ _HALF = _TOL + 1_000_000 + 43_200_000_000
  SELECT pts.id, round(coalesce(sum(len) FILTER (len > 0), 0) / {2.0 * _HALF}, 9) probability FROM pts LEFT JOIN u ON pts.id = u.id GROUP BY 1""")
 def coincidence_probability(s, d):
     p = photons(s, d)
-    out = lightning.coincidence(_points(p), _strokes(p), _TOL, _REACH, 86_400_000_000)
-    return out.select("id", r("probability").alias("probability"))
-
-
-@query(_SQL["lightning_associations"].replace(" WHERE event_id % 5 = 0", ""))
-def lightning_associations_all(s, d):
-    """lightning_associations with every event as a point."""
-    p = photons(s, d)
-    return lightning.associated(_all_points(p), _strokes(p), _TOL, _REACH).select("id", "sid", r("distance", 3).alias("distance"))
-
-
-@query(_SQL["coincidence_probability"].replace(" WHERE event_id % 5 = 0", ""))
-def coincidence_probability_all(s, d):
-    """coincidence_probability with every event as a point."""
-    p = photons(s, d)
-    return lightning.coincidence(_all_points(p), _strokes(p), _TOL, _REACH, 86_400_000_000).select("id", r("probability").alias("probability"))
+    return lightning.coincidence(_points(p), _strokes(p), _TOL, _REACH, 86_400_000_000).select("id", r("probability").alias("probability"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, event_id AS sid, CASE WHEN value < 20 THEN NULL ELSE value END AS energy FROM events WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%d %H:%M:%S.%f') BETWEEN '2024-01-05 00:00:00.000000' AND '2024-01-09 12:00:00.000000'")
@@ -430,17 +448,23 @@ def weighted_rates(s, d):
     return histogram.histogram(x, b, 48, 1000.0 / (F.col("id") % 50 + 1)).select("bin", r("total", 6).alias("total"))
 
 
-@query(None)
-def power_law(s, d):
-    """Fit over the histogram's 200 bins, and its total over the extended range."""
-    rows = sorted((row["bin"], row["count"]) for row in histogram.histogram(signal_rows(s, d), _fp_bin(), 200).collect())
-    import numpy as np
+_FIT_SUM = "list_sum(list_transform(list_zip(xs, ys), lambda z: {}))"
+_FIT_A = f"({_FIT_SUM.format('pow(z[1], m) * z[2]')} / {_FIT_SUM.format('pow(z[1], 2 * m)')})"
 
+
+@query(f"""WITH RECURSIVE {SIGNALS}, n AS (SELECT CAST(least(floor((log10(false_positive_per_year) - (-12.05)) / 0.06675), 199) AS BIGINT) bin, count(*) y FROM signals WHERE log10(false_positive_per_year) BETWEEN -12.05 AND 1.3 GROUP BY 1),
+ b AS (SELECT i, (pow(10.0, -12.05 + i * 0.06675) + pow(10.0, -12.05 + (i + 1) * 0.06675)) / 2 x, CAST(coalesce(y, 0) AS DOUBLE) y FROM (SELECT unnest(range(0, 200)) i) LEFT JOIN n ON n.bin = i), l AS (SELECT list(x ORDER BY i) xs, list(y ORDER BY i) ys FROM b WHERE x > 1e-4 AND x < 20),
+ s AS (SELECT 0 k, -1.0::DOUBLE lo, 1.0::DOUBLE hi UNION ALL SELECT k + 1, CASE WHEN slope < 0 THEN m ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE m END FROM (SELECT *, {_FIT_SUM.format(f"({_FIT_A} * pow(z[1], m) - z[2]) * pow(z[1], m) * ln(z[1])")} slope FROM (SELECT *, (lo + hi) / 2 m FROM s, l WHERE k < 60))),
+ f AS (SELECT lo m, xs, ys FROM s, l WHERE k = 60), ab AS (SELECT {_FIT_A} a, m b FROM f)
+ SELECT round(a, 4) a, round(b, 6) b, round(a * list_sum(list_transform(range(0, 353), lambda i: pow((pow(10.0, -12.05 + i * (log10(3.16e11) + 12.05) / 353) + pow(10.0, -12.05 + (i + 1) * (log10(3.16e11) + 12.05) / 353)) / 2, b))), 2) total FROM ab""")
+def power_law(s, d):
+    """Fit over the histogram's 200 bins, and its total over the extended range. The SQL finds the exponent by bisection of the slope."""
+    rows = sorted((row["bin"], row["count"]) for row in histogram.histogram(signal_rows(s, d), _fp_bin(), 200).collect())  # a row a bin
     edges = np.logspace(-12.05, 1.3, 201)
     x, y = (edges[:-1] + edges[1:]) / 2, np.array([c for _, c in rows], float)
     use = (x > 1e-4) & (x < 20)
     a, b = histogram.power_law_fit(x[use], y[use])
-    return s.createDataFrame([(a, b, histogram.power_law_total(a, b, 10**-12.05, 3.16e11, 353))], "a double, b double, total double")
+    return s.createDataFrame([(round(a, 4), round(b, 6), round(histogram.power_law_total(a, b, 10**-12.05, 3.16e11, 353), 2))], "a double, b double, total double")
 
 
 # ---- tasks -------------------------------------------------------------------------------------------------------------
@@ -478,7 +502,7 @@ def refresh_tasks(s, d):
 
 @query(f"WITH {_HOURS} SELECT time, 'HXMT-HE: Energy Spectrum' AS what, 'Pending' AS status, 0 AS retry_times FROM h")
 def refresh_statistics(s, d):
-    empty = s.createDataFrame([], catalog.STATISTICS)
+    empty = s.createDataFrame([], catalog.STATISTICS).select("time", "what", "status", "retry_times")
     return catalog.refreshed_statistics(empty, "HXMT-HE: Energy Spectrum", "1996-01-01 00:00:00", "1996-03-01 06:30:00")
 
 
@@ -488,15 +512,315 @@ def insert_task(s, d):
     return catalog.added(_tasks(s, d), new, ["satellite", "detector", "time"]).select("time", "status")
 
 
-@query(f"WITH {SIGNALS} SELECT CAST(make_timestamp(t) AS DATE) AS day, count(*) AS n, max(id) AS last_id FROM signals GROUP BY 1")
+@query(f"WITH {SIGNALS}, days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '1999-03-01', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT CAST(make_timestamp(t) AS DATE) AS day, count(*) AS n, max(id) AS last_id FROM signals GROUP BY 1) SELECT days.day, coalesce(n, 0) AS n, last_id FROM days LEFT JOIN x ON x.day = days.day")
 def daily_signals(s, d):
-    from sparkburst.sources.archive import signal_days
-
+    """Every day of a calendar, also those without signals."""
     x = signal_rows(s, d).select(F.timestamp_micros("t").cast("date").alias("day"), "id")
-    out = signal_days(x.select("day").distinct(), x)
+    days = s.sql("SELECT explode(sequence(DATE '1994-12-01', DATE '1999-03-01')) AS day")
+    out = archive.signal_days(days, x)
     return out.select("day", F.size("signals").cast("long").alias("n"), F.array_max(F.transform("signals", lambda v: v["id"])).alias("last_id"))
 
 
+@query(f"""WITH {SIGNALS}, days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '1999-03-01', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT CAST(make_timestamp(t) AS DATE) AS day, * FROM signals)
+ SELECT days.day, count(id) n, round(min(t) / 1e6, 6) first, round(max(t + 1000) / 1e6, 6) last, CAST(sum("count") AS BIGINT) counts, round(max(longitude), 6) east, round(min(latitude), 6) south, round(max((id % 16) / 16.0), 6) q3, round(min(log10(false_positive_per_year)), 6) best FROM days LEFT JOIN x ON x.day = days.day GROUP BY 1""")
+def day_signals(s, d):
+    """A day's file: the nested signals as one JSON array, also an empty one, read back and summed up."""
+    x = signal_rows(s, d).withColumn("day", F.timestamp_micros("t").cast("date"))
+    time = lambda c: F.struct((c / 1e6).alias("time"))
+    width, zero = F.lit(1e-3), F.lit(0.0)
+    nested = x.select(
+        "day", time(F.col("t")).alias("start"), time(F.col("t") + 1000).alias("stop"), width.alias("bin_size_min"), width.alias("bin_size_max"), width.alias("bin_size_best"), zero.alias("delay"),
+        "count", F.lit(1.0).alias("mean"), F.lit(0.5).alias("sf"), "false_positive_per_year", F.struct(zero.alias("q1"), zero.alias("q2"), ((F.col("id") % 16) / 16.0).alias("q3")).alias("attitude"), F.struct("longitude", "latitude", F.lit(5e5).alias("altitude")).alias("position"),
+    )
+    days = s.sql("SELECT explode(sequence(DATE '1994-12-01', DATE '1999-03-01')) AS day")
+    text = archive.signal_days(days, nested).select("day", F.to_json("signals").alias("text"))
+    back = text.select("day", F.explode_outer(F.from_json("text", f"array<struct<{archive.SIGNAL_JSON.replace(' struct<', ':struct<').replace(' double', ':double').replace(' long', ':long')}>>")).alias("g"))
+    return back.groupBy("day").agg(
+        F.count("g").alias("n"), r(F.min("g.start.time"), 6).alias("first"), r(F.max("g.stop.time"), 6).alias("last"), F.sum("g.count").alias("counts"),
+        r(F.max("g.position.longitude"), 6).alias("east"), r(F.min("g.position.latitude"), 6).alias("south"), r(F.max("g.attitude.q3"), 6).alias("q3"), r(F.min(F.log10("g.false_positive_per_year")), 6).alias("best"),
+    )
+
+
+@query("SELECT TIMESTAMP '2024-06-22 00:00:00' + INTERVAL (i) HOUR AS time, 'SVOM' AS satellite, 'GRM' AS detector, 'Pending' AS status FROM (SELECT unnest(range(0, 500)) AS i)")
+def svom_tasks(s, d):
+    empty = s.createDataFrame([], catalog.TASK).select("satellite", "detector", "time", "status", "retry_times")
+    return catalog.refreshed_tasks(empty, "SVOM", "GRM", "2024-06-22 00:00:00", "2024-07-12 18:20:00").select("time", "satellite", "detector", "status")
+
+
+_CATALOGUE = """x AS (SELECT o_orderkey k, CAST(o_orderkey % 5 = 0 AS INTEGER) old, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'id' || CAST(o_orderkey // 20 AS VARCHAR) END id, 'S' || CAST(o_custkey % 2 AS VARCHAR) satellite, 'D' detector, strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') start_full, CAST(o_orderkey % 7 AS BIGINT) n FROM orders)"""
+
+
+@query(f"""WITH {_CATALOGUE}, new AS (SELECT * FROM x WHERE old = 0), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY satellite, detector, start_full ORDER BY start_full, id NULLS FIRST, satellite, detector) o FROM new) WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM x t WHERE t.old = 1 AND t.satellite = satellite_ AND t.start_full = start_)),
+ b AS (SELECT * FROM (SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY start_full, id, satellite, detector) END o2 FROM a) WHERE o2 = 1 AND (id IS NULL OR id NOT IN (SELECT id FROM x WHERE old = 1 AND id IS NOT NULL)))
+ SELECT id, satellite, start_full, CAST(43 AS INTEGER) n_columns FROM x WHERE old = 1 UNION ALL SELECT id, satellite, start_full, 43 FROM b""".replace("SELECT * FROM x WHERE old = 0", "SELECT *, satellite satellite_, start_full start_ FROM x WHERE old = 0"))
+def catalogue_inserts(s, d):
+    """New signals that break neither of the catalogue's keys, with all its columns."""
+    o, k = s.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    x = o.select((k % 5 == 0).alias("old"), F.when(k % 9 != 0, F.concat(F.lit("id"), F.floor(k / 20).cast("string"))).alias("id"), F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("satellite"), F.lit("D").alias("detector"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.lpad((k % 24).cast("string"), 2, "0")).alias("start_full"))
+    out = catalog.added_signals(x.where("old"), x.where("NOT old"))
+    return out.select("id", "satellite", "start_full", F.lit(len(out.columns)).alias("n_columns"))
+
+
+@query(f"WITH {PHOTONS}, e AS (SELECT event_id, event_type <> 0 acd, CASE WHEN pulse_width < 75 THEN 'NaI' ELSE 'CsI' END sc, channel, t - {START} off FROM photons) SELECT event_id % 97 AS id, round((off % 5000000) / 1000.0, 3) ms, channel, CASE WHEN sc = 'NaI' THEN 'triangle' ELSE 'circle' END marker, acd vetoed, channel >= 38 keep FROM e")
+def event_details(s, d):
+    """Events of catalogue rows (97 of them) from their JSON texts."""
+    p = photons(s, d)
+    time = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    one = F.struct(time(F.lit(START) + (F.col("t") - START) % 5_000_000).alias("time"), "channel", (F.col("channel") >= 38).alias("keep"), F.struct(E.scintillator(F.col("pulse_width")).alias("scintillator"), (F.col("event_type") * 3).alias("acd")).alias("info"))
+    rows = p.groupBy((F.col("event_id") % 97).alias("id")).agg(F.to_json(F.collect_list(one)).alias("events")).withColumn("start_full", time(F.lit(START)))
+    return catalog.detail_events(rows).withColumn("ms", r("ms", 3))
+
+
+@query("WITH x AS (SELECT event_id % 89 AS id, round((user_id * 7 % 360 - 180) / 4.0, 2) lon, round((user_id % 80 - 40) / 8.0, 3) lat FROM events WHERE event_type = 'purchase') SELECT id, lon, lat FROM x")
+def stroke_details(s, d):
+    """Places of associated strokes from both shapes of a catalogue row's JSON."""
+    e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
+    stroke = F.struct(F.lit("2024-01-01 00:00:00").alias("time"), r((F.col("user_id") % 80 - 40) / 8.0, 3).alias("lat"), r((F.col("user_id") * 7 % 360 - 180) / 4.0, 2).alias("lon"))
+    rows = e.groupBy((F.col("event_id") % 89).alias("id")).agg(F.collect_list(stroke).alias("s"))
+    named, listed = F.to_json(F.transform("s", lambda x: F.struct(x.alias("lightning"), F.lit(1.5).alias("distance")))), F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), F.to_json(x), F.lit(",1.5]"))), ","), F.lit("]"))
+    text = rows.select("id", F.when(F.col("id") % 2 == 0, named).otherwise(listed).alias("lightnings"))
+    return text.select("id", F.explode(catalog.stroke_places(F.col("lightnings"))).alias("p")).select("id", "p.lon", "p.lat")
+
+
+@query(f"WITH {PHOTONS}, c AS (SELECT mission, (t - {START}) // {DAY_US} AS bin, count(*) n FROM photons GROUP BY 1, 2) SELECT mission, bin, round(n / 0.001, 6) cps FROM c")
+def light_curve_rates(s, d):
+    """Counts a second of light curves held as arrays, with bins of a millisecond."""
+    p = photons(s, d).groupBy("mission", F.floor((F.col("t") - START) / DAY_US).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    held = p.groupBy("mission").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("c"))
+    held = held.select("mission", F.transform("c", lambda x: x["bin"]).alias("bins"), histogram.rate(F.transform("c", lambda x: x["n"]), 1e-3).alias("cps"))
+    return held.select("mission", F.explode(F.arrays_zip("bins", "cps")).alias("x")).select("mission", F.col("x.bins").alias("bin"), r("x.cps", 6).alias("cps"))
+
+
+_GROUPED = _TRIGGERS.split(", means AS")[0].replace("low, low + g *", "user_id % 3 grp, low, low + g *")
+_GROUPED = _GROUPED.replace("pairs AS (SELECT a.chunk,", "cum AS (SELECT chunk, rn, sum(CASE WHEN grp = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY chunk ORDER BY rn) c FROM sides), pairs AS (SELECT a.chunk, a.rn ri, b.rn rj, greatest(f_n, b.lt_n) hi_n, greatest(0, a.fg_n - 1) lo_n, greatest(f_h, b.lt_h) hi_h, greatest(0, a.fg_h - 1) lo_h,")
+
+
+def _cum(place: str) -> str:
+    return f"coalesce((SELECT c FROM cum WHERE cum.chunk = p.chunk AND cum.rn = {place}), 0)"
+
+
+@query(f"""WITH {_GROUPED}, zero AS (SELECT p.*, {_cum('rj')} - {_cum('ri - 1')} k0, ({_cum('hi_n')} - {_cum('lo_n - 1')}) - ({_cum('hi_h')} - {_cum('lo_h - 1')}) extra0 FROM pairs p),
+ wide AS (SELECT *, (tj - ti) / CAST((least(tj + 200 * g, high) - greatest(ti - 200 * g, low)) - (least(tj + 8 * g, high) - greatest(ti - 8 * g, low)) AS DOUBLE) share FROM zero),
+ q AS (SELECT *, CASE WHEN mean <= 0 THEN 1.0 ELSE {_SF} END p0 FROM (SELECT * EXCLUDE (k), k kk, CAST(k0 AS BIGINT) k, extra0 * share mean FROM wide))
+ SELECT chunk, ti, tj, CAST(kk AS BIGINT) k, round(extra * share, 9) mean FROM q WHERE p0 < 1e-3 * (tj - ti) / (4.0 * g)""")
+def grouped_triggers(s, d):
+    """The scan with three groups of events: all count, the first is tested."""
+    p = photons(s, d)
+    config = _config(p)
+    chunk, start, stop = _chunk(config)
+    rows = p.select(chunk.alias("chunk"), "t", start.alias("start"), stop.alias("stop"), (F.col("user_id") % 3).alias("grp"))
+    return scan.triggers(rows, config, group="grp").select("chunk", "ti", "tj", "k", r("mean").alias("mean"))
+
+
+# ---- the archive -----------------------------------------------------------------------------------------------------
+_HOUR = "o_orderdate + INTERVAL 24 YEAR + INTERVAL (o_orderkey % 24) HOUR"
+
+
+def _hours(s, d) -> DataFrame:
+    o = s.read.parquet(f"{d}/orders.parquet")
+    hour = F.col("o_orderdate").cast("timestamp") + F.make_interval(years=F.lit(24), hours=(F.col("o_orderkey") % 24).cast("int"))
+    return o.select(F.col("o_orderkey").alias("k"), hour.alias("hour"))
+
+
+def _listed(hours: DataFrame, folder, name) -> DataFrame:
+    return hours.select(folder.alias("folder"), name.alias("name")).distinct().withColumn("listed", F.col("name"))
+
+
+def _shown(resolved: DataFrame, *more: str) -> DataFrame:
+    return resolved.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "kind", *more, "file")
+
+
+@query(f"""WITH h AS (SELECT o_orderkey k, {_HOUR} AS hour FROM orders), f AS (SELECT DISTINCT hour, ['events', 'orbit', 'attitude'][k % 3 + 1] kind, strftime(hour, 'Y%Y%m/%Y%m%d-') || lpad(CAST(date_diff('day', DATE '2017-06-15', CAST(hour AS DATE)) + 1 AS VARCHAR), 4, '0') folder,
+  'HXMT_' || strftime(hour, '%Y%m%dT%H') || '_' || ['HE-Evt', 'Orbit', 'Att'][k % 3 + 1] || '_FFFFFF_V' || CASE WHEN k // 3 % 6 = 5 THEN 'x' ELSE CAST(k // 3 % 6 AS VARCHAR) END || '_' || CAST(k % 4 AS VARCHAR) || '.FITS' AS name FROM h)
+ SELECT strftime(hour, '%Y-%m-%d %H') AS hour, kind, folder || '/' || arg_max(name, (CASE WHEN substr(name, instr(name, 'FFFFFF_V') + 8, 1) = 'x' THEN 0 ELSE CAST(substr(name, instr(name, 'FFFFFF_V') + 8, 1) AS INTEGER) END, name)) AS file FROM f GROUP BY hour, kind, folder""")
+def resolved_1k(s, d):
+    h, k = _hours(s, d), F.col("k")
+    part = F.element_at(F.array(*map(F.lit, ("HE-Evt", "Orbit", "Att"))), (k % 3 + 1).cast("int"))
+    version = F.when(F.floor(k / 3) % 6 == 5, "x").otherwise((F.floor(k / 3) % 6).cast("string"))
+    name = F.concat(F.lit("HXMT_"), F.date_format("hour", "yyyyMMdd'T'HH"), F.lit("_"), part, F.lit("_FFFFFF_V"), version, F.lit("_"), (k % 4).cast("string"), F.lit(".FITS"))
+    return _shown(archive.resolve_1k(h.select("hour").distinct(), _listed(h, archive.folder_1k(F.col("hour")), name)))
+
+
+_CODES = "[" + ", ".join(f"'{c}'" for c in archive.CODES_1B.values()) + "]"
+_BOXES = "[" + ", ".join(f"'{b}'" for _, b in archive.CODES_1B) + "]"
+_NAMES_1B = f"""h AS (SELECT o_orderkey k, {_HOUR} AS hour FROM orders), f AS (SELECT DISTINCT hour, CAST(k // 2 % 6 + 1 AS INTEGER) c, 'HXMT_1B_' || {_CODES}[k // 2 % 6 + 1] || strftime(hour, '_%Y%m%dT%H') || '0000_G00' || lpad(CAST(k % 1000 AS VARCHAR), 7, '0') || CASE WHEN k % 11 = 0 THEN 'x' ELSE CAST(k % 4 AS VARCHAR) END || '.fits' AS name FROM h)"""
+
+
+def _files_1b(s, d) -> DataFrame:
+    h, k = _hours(s, d), F.col("k")
+    code = F.element_at(F.array(*map(F.lit, archive.CODES_1B.values())), (F.floor(k / 2) % 6 + 1).cast("int"))
+    name = F.concat(F.lit("HXMT_1B_"), code, F.date_format("hour", "'_'yyyyMMdd'T'HH"), F.lit("0000_G00"), F.lpad((k % 1000).cast("string"), 7, "0"), F.when(k % 11 == 0, "x").otherwise((k % 4).cast("string")), F.lit(".fits"))
+    return archive.resolve_1b(h.select("hour").distinct(), _listed(h, F.concat(F.date_format("hour", "yyyy/yyyyMMdd/"), code), name))
+
+
+@query(f"WITH {_NAMES_1B} SELECT strftime(hour, '%Y-%m-%d %H') AS hour, CASE WHEN c <= 3 THEN 'eng' ELSE 'sci' END kind, {_BOXES}[c] box, strftime(hour, '%Y/%Y%m%d/') || {_CODES}[c] || '/' || arg_min(name, (-CAST(substr(name, 40, 1) AS INTEGER), name)) AS file FROM f WHERE length(name) >= 40 AND substr(name, 40, 1) BETWEEN '0' AND '9' GROUP BY hour, c")
+def resolved_1b(s, d):
+    return _shown(_files_1b(s, d), "box")
+
+
+@query(f"WITH {_NAMES_1B}, n AS (SELECT hour, count(DISTINCT c) AS n FROM f WHERE substr(name, 40, 1) BETWEEN '0' AND '9' GROUP BY 1) SELECT strftime(h.hour, '%Y-%m-%d %H') AS hour, CASE WHEN coalesce(n, 0) < 2 THEN CAST(coalesce(n, 0) AS VARCHAR) || ' of 2 files' END AS message FROM (SELECT DISTINCT hour FROM h) h LEFT JOIN n ON n.hour = h.hour WHERE coalesce(n, 0) <= 2")
+def complete_hours(s, d):
+    """Hours with the files asked for (two of the six here) and error rows for hours with fewer; none has more."""
+    hours = _hours(s, d).select("hour").distinct()
+    good, errors = archive.chunks(hours, _files_1b(s, d), 2)
+    both = good.select("hour", F.lit(None).cast("string").alias("message")).union(errors.where("message < '2'").select("hour", "message"))
+    return both.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "message")
+
+
+@query(f"""WITH h AS (SELECT o_orderkey k, {_HOUR} AS hour FROM orders), f AS (SELECT hour, k % 3 j, strftime(hour, '%Y/%m/%d/') || ['grm_evt', 'att', 'orb'][k % 3 + 1] folder, ['svom_grm_evt', 'svom_att', 'svom_orb'][k % 3 + 1] || strftime(hour, '_%y%m%d_%H_v') || lpad(CAST(k * 7 % 23 AS VARCHAR), 2, '0') || '.fits' AS name FROM h)
+ SELECT strftime(hour, '%Y-%m-%d %H') AS hour, ['events', 'attitude', 'orbit'][j + 1] kind, folder || '/' || max(name) AS file FROM f GROUP BY hour, j, folder""")
+def resolved_svom(s, d):
+    h, k = _hours(s, d), F.col("k")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 3 + 1).cast("int"))
+    name = F.concat(pick("svom_grm_evt", "svom_att", "svom_orb"), F.date_format("hour", "'_'yyMMdd'_'HH'_v'"), F.lpad((k * 7 % 23).cast("string"), 2, "0"), F.lit(".fits"))
+    return _shown(archive.resolve_svom(h.select("hour").distinct(), _listed(h, F.concat(F.date_format("hour", "yyyy/MM/dd/"), pick("grm_evt", "att", "orb")), name)))
+
+
+@query(f"""WITH h AS (SELECT o_orderkey k, epoch_us({_HOUR}) u FROM orders), m AS (SELECT k, u, CAST(u - 1325376000000000 + ({{leaps}}) * 1000000 AS BIGINT) low, CAST(u + 3600000000 - 1325376000000000 + ({{after}}) * 1000000 AS BIGINT) high FROM h)
+ SELECT k AS id, u // 3600000000 AS chunk, low AS "start", high AS stop, low + k % 4000 * 1000000 + 500000 AS t FROM m WHERE k % 8 <> 3 AND k % 8 <> 5 AND k % 8 <> 6""".replace("{leaps}", "{0}").replace("{after}", "{1}").format(" + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in clock.HXMT.leaps), " + ".join(f"CASE WHEN u + 3600000000 >= {t} THEN 1 ELSE 0 END" for t in clock.HXMT.leaps)))
+def file_chunks(s, d):
+    """Rows of hourly files with their chunk and its span on the mission's clock; rows without a finite time go, rows after the hour stay."""
+    h, k = _hours(s, d), F.col("k")
+    met = F.round(clock.met_from_utc(F.unix_micros("hour"), clock.HXMT), 6) + k % 4000 + 0.5
+    met = F.when(k % 8 == 3, F.lit(float("nan"))).when(k % 8 == 5, F.lit(float("inf"))).when(k % 8 != 6, met)
+    return search.chunked(h.withColumn("met", met), clock.HXMT).select(F.col("k").alias("id"), "chunk", "start", "stop", "t")
+
+
+def _fits_files(rows: DataFrame, tables: dict[str, list[tuple[str, str, str]]]) -> DataFrame:
+    """(path, content): a FITS file of each group `file` of rows, with tables' columns (name, form, column of rows), in order of id.
+
+    Rows with a column hdu go to the table of that name.
+    """
+
+    def one(key: tuple, found: pa.Table) -> pa.Table:
+        found = found.sort_by("id").to_pandas()
+        made = []
+        for name, cols in tables.items():
+            part = found[found["hdu"] == name]
+            made.append((name, [(c, form, part[old].to_numpy()) for c, form, old in cols]))
+        return pa.table({"path": [key[0].as_py()], "content": [fits.encoded(made)]})
+
+    return rows.groupBy("file").applyInArrow(one, "path string, content binary")
+
+
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, 'd' || CAST((t - {START}) // {DAY_US} AS VARCHAR) || 'm' || CAST(mission AS VARCHAR) file FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM e)
+ SELECT file, n AS "row", (t - {START}) / 1e6 met, CAST(det_id AS SMALLINT) det_id, CAST(channel AS SMALLINT) channel, CAST(pulse_width AS SMALLINT) pulse_width, acd, CAST(event_type AS SMALLINT) event_type FROM n""")
+def fits_events(s, d):
+    """Every event through a FITS table of a file a day and mission, and back."""
+    p = photons(s, d)
+    day = F.floor((F.col("t") - START) / DAY_US).cast("string")
+    rows = p.select(F.concat(F.lit("d"), day, F.lit("m"), F.col("mission").cast("string")).alias("file"), F.lit("Events").alias("hdu"), F.col("event_id").alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "det_id", "channel", "pulse_width", "acd", "event_type")
+    cols = [("Time", "D", "met"), ("Det_ID", "B", "det_id"), ("Channel", "B", "channel"), ("Pulse_Width", "B", "pulse_width"), ("ACD", "J", "acd"), ("Event_Type", "B", "event_type")]
+    return fits.hxmt_events(_fits_files(rows, {"Events": cols})).where("error IS NULL").drop("error")
+
+
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, (t - {START}) // {DAY_US} AS day, ['EVENTS01', 'EVENTS02', 'EVENTS03'][user_id % 3 + 1] hdu FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY day, hdu ORDER BY event_id) - 1 AS n FROM e)
+ SELECT 'd' || CAST(day AS VARCHAR) file, n AS "row", CAST(user_id % 3 + 1 AS INTEGER) det_id, (t - {START}) / 1e6 met, CAST(channel AS SMALLINT) pi, CAST(event_id % 2 AS SMALLINT) gain_type, CAST((event_id % 64) / 64.0 AS FLOAT) dead_time, CAST(event_type AS SMALLINT) evt_type FROM n""")
+def fits_svom(s, d):
+    """Every event through the three detectors' tables of a file a day, and back."""
+    p = photons(s, d)
+    i = F.col("event_id")
+    rows = p.select(F.concat(F.lit("d"), F.floor((F.col("t") - START) / DAY_US).cast("string")).alias("file"), F.element_at(F.array(*map(F.lit, fits.SVOM_DETECTORS)), (F.col("user_id") % 3 + 1).cast("int")).alias("hdu"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "channel", (i % 2).alias("gain"), ((i % 64) / 64.0).alias("dead"), "event_type", F.lit(0).alias("none"))
+    cols = [("TIME", "D", "met"), ("PI", "I", "channel"), ("GAIN_TYPE", "I", "gain"), ("DEAD_TIME", "E", "dead"), ("EVT_TYPE", "I", "event_type"), ("ANTI_COIN", "I", "none"), ("FLAG", "I", "none")]
+    return fits.svom_events(_fits_files(rows, {h: cols for h in fits.SVOM_DETECTORS})).where("error IS NULL").drop("error", "anti_coin", "flag")
+
+
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, (t - {START}) // {DAY_US} AS day FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) - 1 AS n FROM e), k AS (SELECT unnest(['hxmt attitude', 'hxmt orbit', 'svom attitude', 'svom orbit', 'engineering']) what)
+ SELECT what AS kind, 'd' || CAST(day AS VARCHAR) file, n AS "row", CASE WHEN what = 'engineering' THEN CAST(event_id % 100000 AS DOUBLE) ELSE (t - {START}) / 1e6 END met, CASE WHEN what = 'engineering' THEN CAST(event_id % 128 * 16777216 + 513 AS DOUBLE) ELSE (user_id % 16) / 16.0 END a, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 32) / 32.0 END b, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 64) / 64.0 END c FROM n, k""")
+def fits_other_tables(s, d):
+    """Attitude, orbit and engineering tables of both missions through FITS files of a day, and back."""
+    p = photons(s, d)
+    i = F.col("event_id")
+    rows = p.select(F.concat(F.lit("d"), F.floor((F.col("t") - START) / DAY_US).cast("string")).alias("file"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), ((F.col("user_id") % 16) / 16.0).alias("a"), ((i % 32) / 32.0).alias("b"), ((i % 64) / 64.0).alias("c"), (i % 100000).alias("stime"))
+    three = lambda time, form, *names: [(time, "D", "met"), *((n, form, v) for n, v in zip(names, "abc", strict=True))]
+
+    def shown(kind: str, hdu: str, cols: list, read, values: list[str]) -> DataFrame:
+        out = read(_fits_files(rows.withColumn("hdu", F.lit(hdu)), {hdu: cols})).where("error IS NULL")
+        return out.select(F.lit(kind).alias("kind"), "file", "row", "met", *[F.col(v).alias(n) for v, n in zip(values, "abc", strict=True)])
+
+    quaternion, place = ["q1", "q2", "q3"], ["longitude", "latitude", "altitude"]
+    out = shown("hxmt attitude", "ATT_Quater", three("Time", "D", "Q1", "Q2", "Q3"), fits.hxmt_attitude, quaternion)
+    out = out.union(shown("hxmt orbit", "Orbit", three("Time", "D", "Lon", "Lat", "Alt"), fits.hxmt_orbit, place))
+    out = out.union(shown("svom attitude", "Quaternion", three("TIME", "E", "Q0", "Q1", "Q2"), fits.svom_attitude, quaternion).withColumn("met", F.col("met")))
+    out = out.union(shown("svom orbit", "ORB", three("TIME", "E", "LON", "LAT", "ALT"), fits.svom_orbit, place))
+
+    def bus(key: tuple, found: pa.Table) -> pa.Table:
+        found = found.sort_by("id").to_pandas()
+        clock_ = (found["id"].to_numpy() % 128 * 16_777_216 + 513).astype("<u4").view(np.uint8).reshape(-1, 4)
+        six = np.hstack([np.zeros((len(found), 2), np.uint8), clock_])
+        return pa.table({"path": [key[0].as_py()], "content": [fits.encoded([("HE_Eng", [("Time", "J", found["stime"].to_numpy()), ("BUS_Time_Bdc", "6B", six)])])]})
+
+    eng = fits.hxmt_engineering(rows.groupBy("file").applyInArrow(bus, "path string, content binary")).where("error IS NULL")
+    none = F.lit(None).cast("double")
+    return out.union(eng.select(F.lit("engineering").alias("kind"), "file", "row", F.col("stime").cast("double").alias("met"), packets.bus_time(F.col("bus")).cast("double").alias("a"), none.alias("b"), none.alias("c")))
+
+
+# ---- saturation --------------------------------------------------------------------------------------------------------
+#: Every event is a science packet: ten a second of each of three boxes in two chunks; a packet's three good records tell
+#: where in its second it lies, and the second's first one bears the clock mark, which box B loses every eleventh second.
+_PACKS = """pk AS (SELECT event_id, event_id // 60 + 1000 sec, event_id % 3 b, event_id // 3 % 2 chunk, event_id % 60 // 6 q, event_id * 7919 % 3470 w FROM events)"""
+_ENG = """eng AS (SELECT chunk, b, sec AS row, sec - 500 stime, CASE WHEN sec % 29 = 0 AND chunk = 1 THEN 0 WHEN sec % 17 IN (3, 4) THEN sec - sec % 17 + 2 ELSE sec END bus FROM pk WHERE q = 0),
+ clk AS (SELECT *, first(bus) OVER (PARTITION BY chunk, b, run ORDER BY row) + row_number() OVER (PARTITION BY chunk, b, run ORDER BY row) - 1 repaired FROM (SELECT *, sum(moved) OVER (PARTITION BY chunk, b ORDER BY row ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, CASE WHEN bus = lag(bus) OVER (PARTITION BY chunk, b ORDER BY row) THEN 0 ELSE 1 END moved FROM eng)))"""
+_PIVOTS = """cand AS (SELECT event_id id, event_id // 3 % 2 chunk, CAST(round(event_id // 60 + 1000 + event_id % 10 / 10.0 + 0.03) AS BIGINT) stamp FROM events WHERE event_type = 'purchase'), boxes AS (SELECT DISTINCT chunk, b FROM eng),
+ piv AS (SELECT id, cand.chunk, boxes.b, stamp, coalesce((SELECT arg_min(stime, row) FROM clk WHERE clk.chunk = cand.chunk AND clk.b = boxes.b AND bus = stamp), (SELECT arg_min(stime, row) FROM clk WHERE clk.chunk = cand.chunk AND clk.b = boxes.b AND repaired = stamp)) "pivot" FROM cand JOIN boxes ON boxes.chunk = cand.chunk)"""
+_WIDE = """near AS (SELECT id, piv.b, "pivot", pk.*, row_number() OVER (PARTITION BY id, piv.b ORDER BY event_id) pack, CASE WHEN q = 0 AND NOT (piv.b = 1 AND sec % 11 = 0) THEN sec - 500 END mark FROM piv JOIN pk ON pk.chunk = piv.chunk AND pk.b = piv.b AND sec BETWEEN stamp - 2 AND stamp + 2 WHERE "pivot" IS NOT NULL),
+ span AS (SELECT * FROM (SELECT *, max(pack) FILTER (mark = "pivot" - 1) OVER (PARTITION BY id, b) f, max(pack) FILTER (mark = "pivot" + 1) OVER (PARTITION BY id, b) l FROM near) WHERE pack BETWEEN f AND l),
+ tick AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY id, b ORDER BY pack ROWS UNBOUNDED PRECEDING), "pivot" - 1) + CASE WHEN mark IS NOT NULL THEN 0 WHEN q = 0 THEN 100 ELSE q * 50000 END * 2e-6 lo, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY id, b ORDER BY pack ROWS UNBOUNDED PRECEDING), "pivot" - 1) + ((q + 1) * 50000 - w) * 2e-6 hi FROM span),
+ wide AS (SELECT id, b, coalesce(max(gap) > 0.0069, false) wide FROM (SELECT id, b, lead(lo) OVER (PARTITION BY id, b ORDER BY pack) - hi gap FROM tick) GROUP BY 1, 2)"""
+
+
+def _packets(s, d) -> DataFrame:
+    e = F.col("event_id")
+    x = spread(s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")).select(e, "event_type", (F.floor(e / 60) + 1000).alias("sec"), (e % 3).cast("int").alias("b"), (F.floor(e / 3) % 2).alias("chunk"), F.floor(e % 60 / 6).alias("q"), (e * 7919 % 3470).alias("w"))
+    return x.withColumns({"box": F.element_at(F.array(*map(F.lit, "ABC")), F.col("b") + 1), "row": e})
+
+
+def _science(x: DataFrame) -> DataFrame:
+    q, base = F.col("q"), F.col("q") * 50_000
+    lost = (F.col("b") == 1) & (F.col("sec") % 11 == 0)
+    first = F.when(q == 0, F.when(lost, 0x30).otherwise(0x10)).otherwise(F.when(F.col("event_id") % 2 == 0, 0x20).otherwise(0))
+    bad = packets.packed(F.lit(0x30), F.lit(0), F.lit(0))
+    records = [packets.packed(first, F.when(first == 0x10, F.col("sec") - 500).otherwise(7), base), packets.packed(F.lit(0), F.lit(9), base + 100), packets.packed(F.lit(0x20), F.lit(9), base + 50_000 - F.col("w"))]
+    x = x.withColumn("bad", F.hex(bad))
+    end = F.concat(*[F.lpad(F.hex(F.shiftright(F.col("sec"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    text = F.concat(F.lit("00" * 6), *map(F.hex, records), F.repeat("bad", F.lit(106)), end)
+    return x.select("chunk", "box", "row", F.unhex(text).alias("ccsds"))
+
+
+def _engineering(x: DataFrame) -> DataFrame:
+    sec = F.col("sec")
+    bus = F.when((sec % 29 == 0) & (F.col("chunk") == 1), 0).when((sec % 17).isin(3, 4), sec - sec % 17 + 2).otherwise(sec)
+    text = F.concat(F.lit("0000"), *[F.lpad(F.hex(F.shiftright(bus, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    return x.where("q = 0").select("chunk", "box", sec.alias("row"), (sec - 500).cast("int").alias("stime"), F.unhex(text).alias("bus"))
+
+
+def _asked(x: DataFrame) -> DataFrame:
+    return x.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "chunk", (F.col("sec") + F.col("event_id") % 10 / 10.0 + 0.03).alias("met"))
+
+
+@query(f"WITH {_PACKS}, {_ENG} SELECT chunk, ['A', 'B', 'C'][b + 1] box, row, bus bus_time, CAST(repaired AS BIGINT) repaired FROM clk")
+def repaired_clocks(s, d):
+    return saturation.clock_rows(_engineering(_packets(s, d))).select("chunk", "box", "row", "bus_time", "repaired")
+
+
+@query(f"WITH {_PACKS}, {_ENG}, {_PIVOTS} SELECT id, ['A', 'B', 'C'][b + 1] box, stamp, \"pivot\" FROM piv")
+def clock_pivots(s, d):
+    x = _packets(s, d)
+    return saturation.pivots(_asked(x), _engineering(x)).select("id", "box", "stamp", "pivot")
+
+
+@query(f"WITH {_PACKS}, {_ENG}, {_PIVOTS}, {_WIDE} SELECT piv.id, ['A', 'B', 'C'][piv.b + 1] box, coalesce(wide, true) saturated FROM piv LEFT JOIN wide ON wide.id = piv.id AND wide.b = piv.b")
+def saturated_boxes(s, d):
+    x = _packets(s, d)
+    return saturation.saturated_boxes(_asked(x), _engineering(x), _science(x))
+
+
+@query(f"WITH {_PACKS}, {_ENG}, {_PIVOTS}, {_WIDE} SELECT piv.id FROM piv LEFT JOIN wide ON wide.id = piv.id AND wide.b = piv.b GROUP BY 1 HAVING bool_and(coalesce(wide, true))")
+def saturated_candidates(s, d):
+    x = _packets(s, d)
+    return saturation.saturated(_asked(x), _engineering(x), _science(x))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

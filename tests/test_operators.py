@@ -1,5 +1,7 @@
 """Operators against sequential Python, hand-checked values and synthetic files."""
 
+import json
+import math
 import random
 import struct
 
@@ -39,18 +41,25 @@ def sequential(times, start, stop, cfg):
     return out
 
 
+def tail(mean, k):
+    """P(X > k) by plain summing."""
+    log = lambda i: i * math.log(mean) - mean - math.lgamma(i + 1)
+    return math.fsum(math.exp(log(i)) for i in range(k + 1, k + 400))
+
+
 def test_scan_pairs_match_sequential_counts(spark):
     rng = random.Random(4)
-    cfg = scan.ScanConfig(0, 60, 4000, 200, 1e30, 3)
+    cfg = scan.ScanConfig(0, 60, 4000, 200, 1e11, 3)
     for case in range(3):
         times = sorted(rng.sample(range(0, 9000), 150)) + [4000 + k for k in range(0, 40, 5)]
         times = sorted(set(times))
         rows = spark.createDataFrame([(case, t, 500, 8800) for t in times], "chunk long, t long, start long, stop long")
-        found = {(r.ti, r.tj): (r.k, r.mean) for r in scan.triggers(rows, cfg).collect()}
+        found = {(r.ti, r.tj): (r.k, r.mean, r.p) for r in scan.triggers(rows, cfg).collect()}
         want = {(a, b): (k, m) for a, b, k, m in sequential(times, 500, 8800, cfg)}
-        for key, (k, m) in found.items():
-            assert want[key][0] == k and want[key][1] == pytest.approx(m, rel=1e-12)
-        assert found
+        want = {key: (k, m, p) for key, (k, m) in want.items() if m > 0 and (p := tail(m, k)) < cfg.limit * (key[1] - key[0]) / 1e6 / poisson.YEAR_S}
+        assert found.keys() == want.keys() and found
+        for key, (k, m, p) in found.items():
+            assert want[key][0] == k and want[key][1] == pytest.approx(m, rel=1e-12) and want[key][2] == pytest.approx(p, rel=1e-9)
 
 
 def test_hand_values(spark):
@@ -69,6 +78,24 @@ def test_hand_values(spark):
         assert one(spark, packets.crc4(F.lit(data))) == crc
 
 
+@pytest.mark.parametrize("mean, count, want", [(500.0, 480, None), (1000.0, 1000, None), (2000.0, 1950, None), (10000.0, 10000, None), (0.5, 700, None), (3.0, 0, None), (900.0, 1100, None)])
+def test_tails_of_large_counts(spark, mean, count, want):
+    log = lambda i: i * math.log(mean) - mean - math.lgamma(i + 1)
+    low = math.fsum(math.exp(log(i)) for i in range(count + 1))
+    want = 1 - low if low < 0.9 else math.fsum(math.exp(log(i)) for i in range(count + 1, count + 5000))
+    assert one(spark, poisson.sf(F.lit(mean), F.lit(count))) == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
+def test_quantiles_have_no_cap(spark):
+    k, part, total = 0, 0.0, math.exp(-2000.0)
+    while total < 1.0 - 1e-6:
+        k += 1
+        part += math.log(2000.0 / k)
+        total += math.exp(part - 2000.0)
+    assert k > 2200 and one(spark, poisson.isf(F.lit(1e-6), F.lit(2000.0))) == k
+    assert one(spark, poisson.isf(F.lit(0.0), F.lit(5.0))) is None and one(spark, poisson.isf(F.lit(1.0), F.lit(5.0))) == 0
+
+
 def test_interpolation_edges(spark):
     path = spark.createDataFrame([(1, 10, 0.0), (1, 20, 10.0), (2, 5, 1.0)], "chunk int, t long, v double")
     points = spark.createDataFrame([("before", 1, 5), ("at", 1, 10), ("mid", 1, 15), ("end", 1, 20), ("after", 1, 21), ("lone", 2, 5)], "id string, chunk int, at long")
@@ -120,29 +147,29 @@ def test_saturation(spark, gap, wide):
     assert [r.repaired for r in rows.orderBy("row").collect()] == [7, 8, 9, 9]
 
 
-def fits_bytes(name, cols):
-    def block(cards):
-        text = "".join(f"{c:<80}" for c in [*cards, "END"])
-        return text.ljust(-(-len(text) // 2880) * 2880).encode()
+def svom_file(met, pi=3, deal=False):
+    """A file with the same events in each detector's table, or with the events dealt to the three."""
+    if deal:
+        return fits.encoded([(name, svom_columns(met[k::3], pi)) for k, name in enumerate(fits.SVOM_DETECTORS)])
+    return fits.encoded([(name, svom_columns(met, pi)) for name in fits.SVOM_DETECTORS])
 
-    rows = len(cols[0][2])
-    width = sum(np.dtype(d).itemsize for _, _, _, d in cols)
-    head = ["XTENSION= 'BINTABLE'", "BITPIX  = 8", "NAXIS   = 2", f"NAXIS1  = {width}", f"NAXIS2  = {rows}", "PCOUNT  = 0", "GCOUNT  = 1", f"TFIELDS = {len(cols)}", f"EXTNAME = '{name}'"]
-    for k, (n, form, _, _) in enumerate(cols, 1):
-        head += [f"TTYPE{k:<3}= '{n}'", f"TFORM{k:<3}= '{form}'"]
-    data = b"".join(np.array(c[2][i], c[3]).tobytes() for i in range(rows) for c in cols)
-    return block(["SIMPLE  = T", "BITPIX  = 8", "NAXIS   = 0"]) + block(head) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
+
+def svom_columns(met, pi):
+    cols = [("TIME", "D", met), ("PI", "I", [pi] * len(met)), ("GAIN_TYPE", "I", [0] * len(met)), ("DEAD_TIME", "E", [0.5] * len(met)), ("EVT_TYPE", "I", [0] * len(met)), ("ANTI_COIN", "I", [0] * len(met)), ("FLAG", "I", [0] * len(met))]
+    return [(c, f, np.array(v)) for c, f, v in cols]
 
 
 def test_fits(spark, tmp_path):
-    for k in (1, 2, 3):
-        part = fits_bytes(f"EVENTS{k:02d}", [("TIME", "D", [1.5, 2.5], ">f8"), ("PI", "I", [3, k], ">i2"), ("GAIN_TYPE", "I", [0, 1], ">i2"), ("DEAD_TIME", "E", [0.5, 0.25], ">f4"), ("EVT_TYPE", "I", [0, 0], ">i2"), ("ANTI_COIN", "I", [0, 0], ">i2"), ("FLAG", "I", [0, 0], ">i2")])
-        whole = part if k == 1 else whole + part[2880:]
-    (tmp_path / "a.fits").write_bytes(whole)
+    """Three tables of a file in one pass; a broken file and one without a table give an error each and no rows."""
+    (tmp_path / "a.fits").write_bytes(svom_file([1.5, 2.5]))
     (tmp_path / "b.fits").write_bytes(b"broken")
-    rows = fits.svom_events(spark, f"{tmp_path}/*.fits").orderBy("det_id", "row").collect()
-    assert [(r.det_id, r.TIME, r.PI) for r in rows] == [(1, 1.5, 3), (1, 2.5, 1), (2, 1.5, 3), (2, 2.5, 2), (3, 1.5, 3), (3, 2.5, 3)]
-    assert fits.broken_files(spark, f"{tmp_path}/*.fits", "EVENTS01", ["TIME"]).count() == 1
+    (tmp_path / "c.fits").write_bytes(fits.encoded([("EVENTS01", [("TIME", "D", np.array([1.0]))])]))
+    rows = fits.svom_events(fits.load(spark, f"{tmp_path}/*.fits"))
+    assert [(r.det_id, r.row, r.met, r.pi) for r in rows.where("error is null").orderBy("det_id", "row").collect()] == [(k, n, 1.5 + n, 3) for k in (1, 2, 3) for n in (0, 1)]
+    assert {r.file.rsplit("/", 1)[1] for r in rows.where("error is not null").collect()} == {"b.fits", "c.fits"}
+    assert fits.read_table(spark, f"{tmp_path}/*.fits", "EVENTS01", "TIME double").count() == 3
+    assert fits.broken_files(spark, f"{tmp_path}/*.fits", "EVENTS02", ["TIME"]).count() == 2
+    assert fits.svom_events(fits.load(spark, [])).count() == 0
 
 
 def test_resolvers(spark):
@@ -156,23 +183,140 @@ def test_resolvers(spark):
     assert good.count() == 0 and errors.first().message == "2 of 3 files"
 
 
-def test_search_pipelines(spark):
-    from sparkburst.functions.clock import HXMT, SVOM
-    from sparkburst.plans.search import CONFIG, search_hxmt, search_svom
-
-    rng = random.Random(1)
-    times = sorted([rng.uniform(3600, 3610) for _ in range(3000)] + [3605 + k * 2e-5 for k in range(25)])
-    ends = [3600.0, 3607.0, 3620.0]
-    path = [(1, int(t * 1e6), float(k), 0.0, 1.0) for k, t in enumerate(ends)]
-    att = spark.createDataFrame(path, "chunk long, t long, q1 double, q2 double, q3 double")
-    orb = spark.createDataFrame(path, "chunk long, t long, longitude double, latitude double, altitude double")
-    events = spark.createDataFrame([(t, 80, 0, 100) for t in times], "met double, pulse_width int, event_type int, channel int")
-    eng = spark.createDataFrame([], "chunk long, box string, row int, stime int, bus binary")
-    sci = spark.createDataFrame([], "chunk long, box string, row int, ccsds binary")
-    streams = [events.where(F.pmod(F.hash("met"), F.lit(3)) == k).select("met") for k in range(3)]
-    found = search_svom(streams, att, orb, SVOM, CONFIG).collect()
-    assert len(found) == 1 and abs(found[0].start - 3605) < 1e-3 and found[0]["count"] >= 20 and str(found[0].day) == "2017-01-01"
-    assert search_hxmt(events, att, orb, eng, sci, HXMT, CONFIG).count() == 0  # without clocks everything counts as saturated
+def put(root, path, data):
+    (root / path).parent.mkdir(parents=True, exist_ok=True)
+    (root / path).write_bytes(data)
+
+
+def burst(rng, low, high, at, n=25):
+    return np.array(sorted([rng.uniform(low, high) for _ in range(3000)] + [at + k * 2e-5 for k in range(n)]))
+
+
+def test_svom_run(spark, tmp_path):
+    """Hours to daily files: a burst at the hour's start with events after its end, a missing file, a broken one, an empty day."""
+    from sparkburst.functions.clock import SVOM
+    from sparkburst.plans.mission import run_days
+
+    rng, day = random.Random(1), clock.micros("2024-07-01T00:00:00") // 10**6
+    met = lambda hour: float(day + 3600 * hour - clock.micros(SVOM.epoch) // 10**6)
+    root = tmp_path / "svom"
+    for hour in (3, 4, 5):
+        t = met(hour)
+        events = burst(rng, t, t + 20, t) if hour != 5 else burst(rng, t + 3590, t + 3602, t + 3600 + 0.5)  # after stop: no burst of this hour
+        put(root, f"2024/07/01/grm_evt/svom_grm_evt_240701_{hour:02d}_v01.fits", svom_file(events, deal=True))
+        put(root, f"2024/07/01/grm_evt/svom_grm_evt_240701_{hour:02d}_v00.fits", b"old")
+        ends = np.array([t - 1, t + 1800, t + 3700])
+        put(root, f"2024/07/01/att/svom_att_240701_{hour:02d}_v00.fits", b"bad" if hour == 4 else fits.encoded([("Quaternion", [("TIME", "D", ends), *((f"Q{k}", "E", np.array([0.0, 1, 2]) + k) for k in range(4))])]))
+        put(root, f"2024/07/01/orb/svom_orb_240701_{hour:02d}_v00.fits", fits.encoded([("ORB", [("TIME", "D", ends), *((n, "E", np.array([0.0, 18, 36])) for n in ("LON", "LAT", "ALT"))])]))
+    spark.conf.set(archive.CONF["SVOM"], str(root))
+    errors = run_days(spark, SVOM, "2024-07-01", "2024-07-02", str(tmp_path / "work"), str(tmp_path / "out"))
+    kinds = [(r.hour.hour, r.hour.day, r.kind) for r in errors.collect()]
+    assert sorted(kinds) == sorted([(4, 1, "Unreadable")] + [(h, 1, "FileNotFound") for h in range(24) if h not in (3, 4, 5)] + [(h, 2, "FileNotFound") for h in range(24)])
+    files = sorted(tmp_path.glob("out/*/*/*/*/part-*"))
+    assert len(files) == 2
+    found = archive.read_signals(spark, str(tmp_path / "out")).collect()
+    assert len(found) == 1 and found[0].start.time == pytest.approx(met(3), abs=1e-3) and found[0]["count"] >= 20 and str(found[0].date) == "20240701"
+    assert found[0].attitude.q2 == pytest.approx(found[0].attitude.q1 + 1) and found[0].attitude.q1 == pytest.approx(found[0].position.longitude / 18)
+    empty = next(f for f in files if "20240702" in str(f))
+    assert json.loads(empty.read_text()) == []
+    whole = json.loads(next(f for f in files if "20240701" in str(f)).read_text())
+    assert list(whole[0]) == ["start", "stop", "bin_size_min", "bin_size_max", "bin_size_best", "delay", "count", "mean", "sf", "false_positive_per_year", "attitude", "position"] and whole[0]["start"] == {"time": found[0].start.time}
+
+
+def test_hxmt_run(spark, tmp_path):
+    """A burst in the hour's first second on a clock with leap seconds passes the veto and the unsaturated boxes."""
+    from sparkburst.functions.clock import HXMT
+    from sparkburst.plans.mission import run_mission
+
+    rng, hour = random.Random(2), "2018-08-26T12:00:00"
+    t = clock.micros(hour) // 10**6 - clock.micros(HXMT.epoch) // 10**6 + 3  # leap seconds after 2012, 2015 and 2016
+    k, b = tmp_path / "1k", tmp_path / "1b"
+    events = np.concatenate((burst(rng, t, t + 20, t + 0.2), [t - 2.5]))  # one before the span
+    events.sort()
+    n, folder = len(events), "Y201808/20180826-0438"
+    cols = [("Time", "D", events), ("Det_ID", "B", np.zeros(n)), ("Channel", "B", np.full(n, 100)), ("Pulse_Width", "B", np.full(n, 80)), ("ACD", "J", np.zeros(n)), ("Event_Type", "B", np.zeros(n))]
+    put(k, f"{folder}/HXMT_20180826T12_HE-Evt_FFFFFF_V1_1K.FITS", fits.encoded([("Events", cols)]))
+    ends = np.array([t - 10.0, t + 100, t + 3700])
+    put(k, f"{folder}/HXMT_20180826T12_Att_FFFFFF_V1_1K.FITS", fits.encoded([("ATT_Quater", [("Time", "D", ends), *((f"Q{i}", "D", np.array([0.0, 1, 2])) for i in (1, 2, 3))])]))
+    put(k, f"{folder}/HXMT_20180826T12_Orbit_FFFFFF_V1_1K.FITS", fits.encoded([("Orbit", [("Time", "D", ends), *((c, "D", np.array([0.0, 110, 200])) for c in ("Lon", "Lat", "Alt"))])]))
+
+    def box(wide):
+        packs = []
+        for sec in range(t - 3, t + 4):
+            for q in range(20):
+                first = record("second", sec - 1000, 0) if q == 0 else record("event", ptime=q * 25_000)
+                packs.append(packet(sec, [first, record("event", ptime=(q + 1) * 25_000 - (4000 if wide and q == 7 else 500))]))
+        seconds = np.arange(t - 3, t + 4)
+        bus = np.hstack([np.zeros((7, 2), np.uint8), seconds.astype("<u4").view(np.uint8).reshape(-1, 4)])
+        sci = fits.encoded([("HE_Evt_Src", [("CCSDS", "882B", np.frombuffer(b"".join(packs), np.uint8).reshape(-1, 882))])])
+        return {"eng": fits.encoded([("HE_Eng", [("Time", "J", seconds - 1000), ("BUS_Time_Bdc", "6B", bus)])]), "sci": sci}
+
+    def archive_1b(saturated):
+        for (kind, name), code in archive.CODES_1B.items():
+            put(b, f"2018/20180826/{code}/HXMT_1B_{code}_20180826T120000_G000000_0001_V1.FITS", box(name in saturated)[kind])
+
+    spark.conf.set(archive.CONF["1K"], str(k))
+    spark.conf.set(archive.CONF["1B"], str(b))
+    hours = spark.sql(f"SELECT TIMESTAMP '{hour}' AS hour UNION ALL SELECT TIMESTAMP '2018-08-26 13:00:00'")
+    for saturated, want in (("AB", 1), ("ABC", 0)):
+        archive_1b(saturated)
+        found, errors = run_mission(spark, HXMT, hours, str(tmp_path / "work"))
+        rows = found.collect()
+        assert len(rows) == want and [r.message for r in errors.collect()] == ["0 of 9 files"]
+        if rows:
+            assert rows[0].start.time == pytest.approx(t + 0.2, abs=1e-3) and rows[0]["count"] >= 20 and str(rows[0].day) == "2018-08-26"
+            at = rows[0].start.time + rows[0].bin_size_best / 2
+            assert rows[0].position.longitude == pytest.approx(at - t + 10, abs=1e-4) and rows[0].attitude.q3 == pytest.approx((at - t + 10) / 110, abs=1e-6)
+
+
+def test_archive_folders_must_be_set(spark):
+    spark.conf.unset(archive.CONF["strokes"])
+    with pytest.raises(ValueError, match="lightning"):
+        archive.root(spark, "strokes")
+
+
+def test_strokes_table(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:00:00.000001", 1.0, 2.0, 0.5, 7, None, None, None)], archive.STROKES).write.parquet(f"{tmp_path}/s")
+    row = archive.read_strokes(spark, f"{tmp_path}/s").first()
+    assert row.nstn == 7 and row.energy is None and len(row) == 8
+
+
+def test_catalogue_rows(spark):
+    """Neither key is broken; null ids are no key; missing columns are null."""
+    from sparkburst.operators import catalog
+
+    old = spark.createDataFrame([("a", "S", "D", "1")], "id string, satellite string, detector string, start_full string")
+    new = spark.createDataFrame([("b", "S", "D", "1"), ("a", "S", "D", "2"), ("c", "S", "D", "3"), ("c", "S", "D", "4"), (None, "S", "D", "5"), (None, "S", "D", "6"), ("d", "S", "D", "6")], old.schema)
+    got = catalog.added_signals(old, new)
+    assert len(got.columns) == 43 and sorted((r.start_full, r.id or "") for r in got.collect()) == [("1", "a"), ("3", "c"), ("5", ""), ("6", "")]
+    texts = spark.createDataFrame([("[", None, "x"), (None, "[]", "y"), ('[{"lightning":null}]', '[[null]]', "z")], "a string, b string, id string")
+    assert [r.n for r in texts.select((F.size(catalog.stroke_places(F.col("a"))) + F.size(catalog.stroke_places(F.col("b")))).alias("n")).collect()] == [0, 0, 0]
+
+
+def brute_near(points, strokes, reach_us, reach_m):
+    import math
+
+    out = set()
+    for i, at, la1, lo1, _ in points:
+        for j, time, la2, lo2 in strokes:
+            a = math.sin(math.radians(la2 - la1) / 2) ** 2 + math.cos(math.radians(la1)) * math.cos(math.radians(la2)) * math.sin(math.radians(lo2 - lo1) / 2) ** 2
+            if abs(time - at) <= reach_us and 2 * geo.EARTH_M * math.asin(min(1, math.sqrt(a))) <= reach_m:
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("reach_m", [3e5, 8e5, 5e6, 2.1e7])
+def test_strokes_meet_over_poles_and_date_line(spark, reach_m):
+    from sparkburst.operators import lightning
+
+    rng = random.Random(6)
+    place = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(85, 90), -89.9, 90.0]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 182), -180.0, 359.9]))
+    points = [(k, rng.randint(0, 4000), *place(), 5e5) for k in range(200)]
+    strokes = [(k, rng.randint(0, 4000), *place()) for k in range(200)]
+    p = spark.createDataFrame(points, "id long, at long, lat double, lon double, alt double")
+    s = spark.createDataFrame(strokes, "sid long, time long, stroke_lat double, stroke_lon double")
+    got = [(r.id, r.sid) for r in lightning.near(p, s, 500, reach_m).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(points, strokes, 500, reach_m)
 
 
 def test_power_law():
