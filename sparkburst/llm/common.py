@@ -34,11 +34,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_hash(df: DataFrame, seed: int = 42) -> Column:
+    """A 64-bit hash of all columns of a row, maps and variants as text: rows that differ anywhere differ in it."""
+    plain = lambda f: F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`")
+    return F.xxhash64(F.lit(seed), *map(plain, df.schema.fields))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a new
+    folder that goes with the session; a cluster is told to set it, as executors can't read each other's disks."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkburst-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
@@ -56,12 +65,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(*tables: DataFrame) -> None:
     """Removes what stored() wrote; nothing may read it later."""
-    if path := getattr(df, "_stored_path", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    for df in tables:
+        if path := getattr(df, "_stored_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
