@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkburst.llm.common import without
+from sparkburst.llm.common import join_checked, row_hash, stored, without
 
 LAW = "key"
+#: Equal rows that go to a bucket together.
+LOT = 1000
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -20,48 +22,65 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return (F.array_position(draws, F.array_max(draws)) - 1).cast("int")
 
 
-def _shuffled(seed: int, order: list[str], names: list[str]):
+def _shuffled(seed: int, names: list[str]):
     def one(key: tuple, rows: pa.Table, first: pa.Table) -> pa.Table:
         shard, bucket = (k.as_py() for k in key)
         # Arrival order depends on the shuffle's fetches: a total order first makes reruns agree.
-        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order]))
-        deal = np.random.Generator(np.random.PCG64([seed, shard, bucket])).permutation(rows.num_rows)  # Fisher-Yates
-        slot = np.arange(rows.num_rows, dtype=np.int64) + (first["__first"][0].as_py() if first.num_rows else 0)
+        at = pc.sort_indices(rows, [("__h1", "ascending"), ("__h2", "ascending")]).to_numpy()
+        at = np.repeat(at, rows["__m"].to_numpy()[at])
+        deal = at[np.random.Generator(np.random.PCG64([seed, shard, bucket])).permutation(len(at))]  # Fisher-Yates
+        slot = np.arange(len(at), dtype=np.int64) + (first["__first"][0].as_py() if first.num_rows else 0)
         return rows.take(pa.array(deal)).append_column("slot", pa.array(slot)).select(names)
 
     return one
 
 
+def _in_lots(rows: DataFrame, hashes: tuple[Column, Column]) -> DataFrame:
+    """rows with __h1, __h2 (of all columns), __lot and __m: rows that occur over LOT times become a row for every LOT of them."""
+    hashed = rows.withColumns({"__h1": hashes[0], "__h2": hashes[1]})
+    many = stored(hashed.groupBy("__h1", "__h2").agg(F.count("*").alias("__c")).where(F.col("__c") > LOT))
+    one = {"__lot": F.lit(0).cast("long"), "__m": F.lit(1).cast("long")}
+    if not many.limit(1).count():
+        return hashed.withColumns(one)
+    marked = join_checked(hashed, many, ["__h1", "__h2"]).select(*rows.columns, "__h1", "__h2", "__c")
+    few = marked.where("__c IS NULL").drop("__c").withColumns(one)
+    row = marked.where("__c IS NOT NULL").groupBy("__h1", "__h2", "__c").agg(F.first(F.struct(*rows.columns)).alias("__row"))
+    lots = row.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / LOT))))
+    return few.unionByName(lots.select("__row.*", "__h1", "__h2", "__lot", F.least(F.lit(LOT).cast("long"), F.col("__c") - F.col("__lot") * LOT).alias("__m")))
+
+
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
     """All rows of df with their shard, slot and grown_shard: a random order that needs memory for one bucket only.
 
-    Pass 1 scatters rows by seeded hashes: the key picks the shard (law `key`), the key and the text's CRC pick one of
-    the shard's buckets, of which there are as many as keep a bucket near bucket_bytes. Pass 2 shuffles each bucket by
+    Pass 1 scatters rows by seeded hashes: the key picks the shard (law `key`), the whole row's hash picks one of
+    the shard's buckets, of which each shard has as many as its own bytes need to keep a bucket near bucket_bytes; a hot
+    key makes its shard large but no bucket. Pass 2 shuffles each bucket by
     Fisher-Yates, seeded by shard and bucket, and numbers its rows on from the buckets before it, so slots run from 0
     without gaps. Reruns agree; copies of a text are scattered like other rows, as the law looks at keys only.
 
-    Null keys are a key like any other; null texts have no bytes. An empty table gives no rows. Rows that agree in key
-    and text share a bucket. Columns of df named shard, slot or grown_shard are replaced, all others are kept.
+    Null keys are a key like any other; null texts have no bytes. An empty table gives no rows. Rows equal in every
+    column are dealt in lots of LOT over their shard's buckets. Columns of df named shard, slot or grown_shard are
+    replaced, all others are kept.
     """
     rows = df.select(without(df, "shard", "slot", "grown_shard"))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
     home = shard_of(F.col(key), shards, seed)
     grown = F.when(F.xxhash64(F.lit(seed), F.lit(shards), F.col(key)) > F.array_max(F.array(*[F.xxhash64(F.lit(seed), F.lit(s), F.col(key)) for s in range(shards)])), F.lit(shards)).otherwise(home)
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), crc), F.lit(buckets)).cast("int")
-    placed = rows.withColumns({"shard": home, "grown_shard": grown, "__bucket": bucket, "__crc": crc})
-    counts = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
+    held = {r["shard"]: r["bytes"] for r in rows.select(home.alias("shard"), size.alias("size")).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
+    buckets = F.array(*[F.lit(max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)])
+    spread = _in_lots(rows, (row_hash(rows), row_hash(rows, seed)))
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "__h1", "__h2", "__lot"), F.element_at(buckets, F.col("shard") + 1)).cast("int")
+    placed = spread.withColumns({"shard": home, "grown_shard": grown}).withColumn("__bucket", bucket)
+    counts = placed.groupBy("shard", "__bucket").agg(F.sum("__m").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     out = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    order = [key, "__crc", *(f.name for f in rows.schema.fields if f.name != key and isinstance(f.dataType, (T.NumericType, T.StringType)))]
-    return placed.groupBy("shard", "__bucket").cogroup(first.groupBy("shard", "__bucket")).applyInArrow(_shuffled(seed, order, out.names), out)
+    return placed.groupBy("shard", "__bucket").cogroup(first.groupBy("shard", "__bucket")).applyInArrow(_shuffled(seed, out.names), out)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, its rows in slot order within each file; file ranges follow the slots."""
+    """One folder per shard, its rows in slot order within each file; file ranges follow the slots, so that files read in
+    their names' order give the shard's order. path must not exist; no rows write an empty table."""
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
