@@ -56,7 +56,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, counts = np.unique(_features([text])[0], return_counts=True)
             index.append(found.astype("<i4").tobytes())
             value.append((GAIN * counts / max(1, counts.sum())).astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch["order"], batch["label"], pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["order", "label", "index", "value"])
+        yield pa.RecordBatch.from_arrays([batch["order"], batch["label"], batch["text_hash"], pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["order", "label", "text_hash", "index", "value"])
 
 
 def ftrl(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
@@ -92,17 +92,19 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Weights learnt from at most fit_rows labelled documents (the smallest hashes of their ids, a bounded sample).
 
-    Rows whose id hashes to the held-out quarter, null labels and labels other than 0 and 1 are left out; of several
-    labels of one id the mean decides. One task trains on the sample's sparse vectors; its size is bounded by fit_rows
-    and the features by 2^20. Without labelled rows every score is 1/2.
+    Rows whose id hashes to the held-out quarter, null ids, null labels and labels other than 0 and 1 are left out; of
+    several labels of one id the mean decides, of several documents of one id the text with the smallest hash. One task
+    trains on the sample's sparse vectors: at most fit_rows of at most 2^20 features, however the tables repeat ids. Null
+    and empty texts have no features and teach the bias. Without labelled rows, or without documents, every score is 1/2.
     """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
         .withColumn("order", F.xxhash64(F.lit(11), "doc_id")).orderBy("order", "doc_id").limit(fit_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
-    vectors = sample.mapInArrow(_vectors, "order long, label int, index binary, value binary")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", F.xxhash64("text").alias("text_hash"), "text")
+    vectors = sample.mapInArrow(_vectors, "order long, label int, text_hash long, index binary, value binary")
+    vectors = vectors.groupBy("order", "label").agg(F.min(F.struct("text_hash", "index", "value")).alias("v")).select("order", "label", "v.index", "v.value")
     return np.frombuffer(vectors.repartition(1).mapInArrow(_fit, "weights binary").first()[0], np.float32)
 
 
@@ -110,7 +112,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> D
     """docs with score: the logistic of the sparse dot product of whole texts with the weights.
 
     The weights (4 MB, whatever the corpus) are broadcast; rows are scored where they lie, without a shuffle. Null and
-    empty texts have no features and get the bias's score. A column of docs named score is replaced.
+    empty texts have no features and get the bias's score; very long texts are read whole, 2 MB of text at a time or one
+    text if it is longer. Repeated rows are scored alike. An empty table gives no rows. A column of docs named score is
+    replaced, all others are kept.
     """
     names = without(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
