@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,24 +17,28 @@ from sparkburst.llm.common import dropped, stored, without
 
 WINDOW = 2048
 END_ID = 0
-_CACHE = 600_000
+#: Bytes of chunks and their ids that a worker keeps, and the longest chunk kept; each entry counts _ENTRY bytes besides.
+_CACHE, _LONGEST, _ENTRY = 64 << 20, 64, 200
 #: White space other than the plain space and the newline.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _encoders: dict[str, object] = {}
 
 
 class _Chunks(dict):
-    """Ids (little-endian unsigned 32-bit) of text chunks, kept while there is room."""
+    """Ids (little-endian unsigned 32-bit) of short text chunks, kept while there is room."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encode(chunk), "<u4").tobytes()
-        if len(self) >= _CACHE:
-            self.clear()
-        self[chunk] = ids
+        if len(chunk) <= _LONGEST:
+            self.held += _ENTRY + len(chunk) + len(ids)
+            if self.held > _CACHE:
+                self.clear()
+                self.held = _ENTRY + len(chunk) + len(ids)
+            self[chunk] = ids
         return ids
 
 
@@ -84,7 +87,8 @@ def tokenise_pieces(df: DataFrame, tokenizer: str, text: str = "text", window: i
     """One row per piece: df's columns but the text, piece, start, length and ids (binary, little-endian unsigned 32 bits).
 
     A document is its text's ids and then end_id, so a null or empty text is one id. Documents longer than the window
-    are cut from their end: all pieces but the first are full. Whole texts are encoded where they lie.
+    are cut from their end: all pieces but the first are full. Whole texts are encoded where they lie. Repeated rows are
+    documents of their own; an empty table gives no rows.
     """
     names = without(df, text, "piece", "start", "length", "ids")
 
@@ -119,46 +123,47 @@ def plan_bins(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, i
     pieces that fill the gap it leaves most tightly, if they fill more. While no length runs out the next bin would be
     equal, so it is taken as often as the counts allow: the work depends on the window and not on the number of pieces.
     """
-    left, bins, base = {n: c for n, c in counts.items() if c > 0}, [], 0
-    while left:
-        lengths = sorted(left)
-        used: Counter[int] = Counter()
-        gap = window
-        while (k := bisect_right(lengths, gap)) > 0:
-            n = next((lengths[i] for i in range(k - 1, -1, -1) if left[lengths[i]] > used[lengths[i]]), None)
-            if n is None:
-                break
-            take = min(gap // n, left[n] - used[n])
+    left, bins, base = np.zeros(window + 1, np.int64), [], 0
+    for n, c in counts.items():
+        left[n] = max(c, 0)
+    while left.any():
+        free, used, gap = left.copy(), Counter(), window
+        while gap and len(fit := np.flatnonzero(free[: gap + 1])):
+            n = int(fit[-1])
+            take = min(gap // n, int(free[n]))
             used[n] += take
+            free[n] -= take
             gap -= take * n
         need = Counter(used)
-        if gap and len(used):
+        if gap:
             small = min(used)
-            free = np.array([n for n in lengths if left[n] > used[n]])
-            room, best = gap + small, (small, None)
-            if len(free):
-                partner = np.searchsorted(free, room - free, "right") - 1
-                for a, j in zip(free.tolist(), partner.tolist(), strict=True):
-                    if j >= 0 and free[j] == a and left[a] - used[a] < 2:
-                        j -= 1
-                    if j >= 0 and a + free[j] > best[0]:
-                        best = (a + int(free[j]), (a, int(free[j])))
-            if best[1]:
+            pair = _tightest(free, gap + small)
+            if sum(pair) > small:
                 used[small] -= 1
-                for n in best[1]:
-                    used[n] += 1
-                    need[n] += 1
+                used.update(pair)
+                need.update(pair)
                 used = +used
-        times = max(1, min(left[n] // c for n, c in need.items()))
+        times = max(1, min(int(left[n]) // c for n, c in need.items()))
         bins.append((base, times, dict(used)))
         base += times
         for n, c in used.items():
             left[n] -= c * times
-            if not left[n]:
-                del left[n]
     return bins
 
 
+def _tightest(free: np.ndarray, room: int) -> tuple[int, ...]:
+    """The two of the free pieces (a count by length) that fill room most tightly, the smaller first; nothing if none do."""
+    lengths = np.flatnonzero(free)
+    partner = np.searchsorted(lengths, room - lengths, "right") - 1
+    alone = (partner == np.arange(len(lengths))) & (free[lengths] < 2)
+    partner = partner - alone
+    both = np.where(partner >= 0, lengths + lengths[partner], 0) if len(lengths) else lengths
+    if not both.any():
+        return ()
+    at = int(both.argmax())
+    return int(lengths[at]), int(lengths[partner[at]])
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, seen = TaskContext.get().partitionId(), Counter()
     for batch in batches:
