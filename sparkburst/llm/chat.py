@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkburst.llm.common import count_words, let
@@ -24,9 +24,8 @@ def unescaped(text: Column) -> Column:
 
 def _windows(turns: Column, budget: int, history: int, history_turns: int) -> Column:
     """Arrays of structs (i, repeated) for each window: which turns it shows, and which of them were shown before."""
-    cost = F.transform(turns, lambda t: t["tokens"])
     zero = F.lit(0).cast("long")
-    sums = F.aggregate(cost, F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    sums = F.concat(F.array(zero), F.transform(turns, lambda t: t["upto"]))
 
     def with_sums(p: Column) -> Column:
         n = F.size(turns)
@@ -59,18 +58,21 @@ def _windows(turns: Column, budget: int, history: int, history_turns: int) -> Co
 def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
     """One row per conv_id: windows, an array of (formatted, spans); a span is (start, length, repeated, loss) of a turn's text.
 
-    Prefix sums of turn costs (words and a fixed overhead) cut a conversation at turns: a window takes turns while the
+    Prefix sums of turn costs (words and a fixed overhead; a running sum before turns are gathered) cut a conversation at turns: a window takes turns while the
     system turn, up to `history` words of repeated turns and its own turns keep within the budget; a longer turn has a
     window of its own and is never cut. Each window shows the system turn first. The loss mask covers the texts of
     assistant turns where they are new, so each once. Offsets count code points of `formatted`.
 
     Rows are ordered by turn, ties by role and text. Null texts and roles are empty; null conv_ids are one
-    conversation. Extra columns are ignored; an empty table gives no rows. A conversation is one output value, so one
-    task holds it whole; conversations of equal content are rows of their own and spread.
+    conversation; repeated rows are turns of their own. Extra columns are ignored; an empty table gives no rows. A
+    conversation is one output value, so one task holds it whole; work grows in proportion to its turns. Conversations of
+    equal content are rows of their own and spread.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = F.struct(F.col("turn"), role.alias("role"), text.alias("text"), (count_words(F.col("text")) + OVERHEAD).alias("tokens"))
-    grouped = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = df.select("conv_id", "turn", role.alias("role"), text.alias("text"), (count_words(F.col("text")) + OVERHEAD).alias("tokens"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("upto", F.sum("tokens").over(order)).drop("tokens")
+    grouped = summed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "upto"))).alias("turns"))
     show = grouped.withColumn("shown", let(F.col("turns"), lambda t: _windows(t, budget, history, history_turns)))
     head = F.lit(TURN)
 
