@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import WORD, count_words, let, without, words
+from sparkburst.llm.common import WORD, count_words, dropped, let, stored, without, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: A line fails if more than this share of its characters (white space apart) are neither letters nor digits,
 MAX_MARKS = 0.2
+#: or fewer than this share of them are letters (lines of FEW_WORDS words and more),
+MIN_LETTERS, FEW_WORDS = 0.3, 3
 #: or this share of its words are separators,
 MAX_SEPARATORS = 0.2
-#: or it has one of these phrases.
-BOILERPLATE = r"(?i)all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie|subscribe to|sign in|log in|enable javascript|lorem ipsum"
+#: or it lies in a run of so many consecutive lines of at most SHORT words each, none of which ends as a sentence,
+RUN, SHORT = 4, 5
+#: or it has at most PHRASE_WORDS words, a boilerplate phrase among them,
+PHRASE_WORDS = 40
+#: or it has at most STOCK_WORDS words, doesn't end as a sentence and stands in many different texts of the corpus:
+#: STOCK_TEXTS at least, and one in STOCK_LINES of all such (text, line) pairs, so that at most STOCK_LINES lines are common.
+STOCK_WORDS, STOCK_TEXTS, STOCK_LINES = 12, 10, 2000
+#: Phrases in English, German, French and Spanish.
+PHRASES = (
+    "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie", "subscribe to", "sign in", "log in", "enable javascript", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "jetzt anmelden", "impressum",
+    "tous droits réservés", "politique de confidentialité", "conditions d’utilisation", "conditions d'utilisation", "mentions légales", "se connecter", "s’abonner", "s'abonner",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "iniciar sesión", "suscríbete",
+)
+BOILERPLATE = "(?iu)" + "|".join(PHRASES)
 SEPARATOR = r"(?<![^\x20\x09-\x0D])[|>»·•/–—-]+(?![^\x20\x09-\x0D])"
 MARK = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"
+LETTER = r"[\p{L}\p{M}]"
+#: How sentences end: a terminal mark, then quotes or brackets, then white space.
+TERMINAL = r"[.!?…。！？][\x22\x27”’»)\]]*[\x20\x09-\x0D]*$"
 #: A document may lose this share of its characters (white space apart).
 MAX_LOSS = 0.5
 
@@ -47,38 +68,84 @@ def repeated_words(text: Column) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda hashes: F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(windows(hashes), judged))).cast("long")
 
 
+def _n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def open_ended(line: Column, most: int) -> Column:
+    """Whether a line has 1 to `most` words and doesn't end as a sentence."""
+    return (F.char_length(line) <= 40 * most) & F.rlike(line, F.lit(WORD)) & ~F.rlike(line, F.lit(TERMINAL)) & (_n_words(line) <= most)
+
+
 def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line; a line without words never fails."""
-    marks = F.regexp_count(line, F.lit(MARK)) > MAX_MARKS * _solid(line)
-    separators = F.regexp_count(line, F.lit(SEPARATOR)) > MAX_SEPARATORS * F.regexp_count(line, F.lit(WORD))
-    return F.rlike(line, F.lit(WORD)) & (marks | separators | F.rlike(line, F.lit(BOILERPLATE)))
+    """The rules that look at one line alone: punctuation, letters, separators, phrases; a line without words never fails."""
+    solid = _solid(line)
+    marks = F.regexp_count(line, F.lit(MARK)) > MAX_MARKS * solid
+    separators = F.regexp_count(line, F.lit(SEPARATOR)) > MAX_SEPARATORS * _n_words(line)
+    phrase = F.rlike(line, F.lit(BOILERPLATE)) & (_n_words(line) <= PHRASE_WORDS)
+    letters = (F.regexp_count(line, F.lit(LETTER)) < MIN_LETTERS * solid) & (_n_words(line) >= FEW_WORDS)
+    return F.rlike(line, F.lit(WORD)) & (marks | letters | separators | phrase)
+
+
+def in_menu(short: Column, i: Column) -> Column:
+    """Whether place i of a boolean array lies in RUN consecutive true ones."""
+    at = lambda k: F.coalesce(F.get(short, i + k), F.lit(False))
+    return F.when(F.get(short, i), reduce(or_, (reduce(and_, (at(k) for k in range(first, first + RUN) if k)) for first in range(1 - RUN, 1)))).otherwise(False)
+
+
+def stock_lines(df: DataFrame, text: str = "text") -> list[int]:
+    """Hashes of the open-ended lines that many different texts share: at most STOCK_LINES, as each has that part of all pairs."""
+    lines = df.select(F.xxhash64(text).alias("t"), F.explode(F.filter(F.split(F.col(text), "\n"), lambda x: open_ended(x, STOCK_WORDS))).alias("line"))
+    pairs = lines.select("t", F.xxhash64("line").alias("h")).distinct()
+    counts = stored(pairs.groupBy("h").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = [r["h"] for r in counts.where((F.col("n") >= STOCK_TEXTS) & (F.col("n") * STOCK_LINES >= total)).select("h").collect()]
+    dropped(counts)
+    return found
 
 
 def clean_lines(df: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """df with its counts, verdict and cleaned_text: failing lines go, then documents that lost too much are rejected.
 
     base_failed: fewer than 20 words, or over 30 % of words in repeated 8-word windows. kept: the base holds and the
-    failing lines have at most max_loss of the text's characters. Lines are judged inside each row, so nothing is
-    shuffled and a hot source or a group of copies costs no more than other rows; time grows as n log n in a text's
-    words. Null and empty texts have zero counts and fail the base; cleaned_text is then empty. Columns of df with an
-    output's name are replaced, all others are kept. An empty table gives no rows.
+    failing lines have at most max_loss of the text's characters. Lines are judged inside each row by punctuation,
+    letters, separators and phrases, by the run of menu-like lines they lie in, and by how many different texts of the
+    table hold them: those counts are the only shuffle, of hashes of short open-ended lines, and leave at most
+    STOCK_LINES hashes. So a hot source or a group of copies (one text) costs no more than other rows; time grows as
+    n log n in a text's words. Null and empty texts have zero counts and fail the base; cleaned_text is then empty.
+    Repeated rows are judged alike. Columns of df with an output's name are replaced, all others are kept. An empty
+    table gives no rows.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept", "cleaned_text")
     names = [c for c in without(df, *made)]
+    stock = stock_lines(df, text)
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    worded = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD)))
-    removed = F.aggregate(F.filter(lines, line_fails), F.lit(0).cast("long"), lambda a, x: a + _solid(x))
+
+    def judged(lines: Column) -> Column:
+        """(line, bad) of each line."""
+        if stock:
+            common = lambda x: open_ended(x, STOCK_WORDS) & F.xxhash64(x).isin(stock)
+        else:
+            common = lambda x: F.lit(False)
+        menu = F.transform(lines, lambda x: open_ended(x, SHORT))
+        return let(menu, lambda m: F.transform(lines, lambda x, i: F.struct(x.alias("line"), (in_menu(m, i) | common(x) | line_fails(x)).alias("bad"))))
+
+    def told(found: Column) -> Column:
+        gone = F.aggregate(F.filter(found, lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + _solid(x["line"]))
+        left = F.array_join(F.transform(F.filter(found, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
+        worded = F.transform(F.filter(found, lambda x: F.rlike(x["line"], F.lit(WORD))), lambda x: x["line"])
+        again = let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+        return F.struct(gone.alias("gone"), left.alias("left"), again.alias("again"))
+
     out = df.select(
         *names,
         count_words(F.col(text)).alias("n_words"),
         _solid(body).alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col(text)).alias("n_repeat_words"),
-        removed.alias("removed_chars"),
-        F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n").alias("cleaned_text"),
+        F.explode(F.array(let(let(F.split(body, "\n"), judged), told))).alias("__told"),
     )
+    out = out.select(*names, "n_words", "word_chars", "n_symbols", F.col("__told.again").alias("n_dup_lines"), "n_repeat_words", F.col("__told.gone").alias("removed_chars"), F.col("__told.left").alias("cleaned_text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("removed_chars") <= max_loss * F.col("word_chars"))})
 

@@ -44,12 +44,19 @@ w AS (SELECT doc_id, t, {_WORDS.format("t")} AS w FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
-l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT doc_id, line, {_SOLID.format("line")} AS solid, {_WORDS.format("line")} AS w FROM l),
-bad AS (SELECT doc_id, sum(solid) AS n FROM lw WHERE len(w) > 0 AND (
-  len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]')) > {line_rules.MAX_MARKS} * solid
+l AS (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+lw AS (SELECT *, {_SOLID.format("line")} AS solid, {_WORDS.format("line")} AS w FROM l),
+lo AS (SELECT *, len(w) > 0 AND NOT regexp_matches(line, '{line_rules.TERMINAL}') AS unended FROM lw),
+sh AS (SELECT *, unended AND len(w) <= {line_rules.SHORT} AND length(line) <= {40 * line_rules.SHORT} AS short, unended AND len(w) <= {line_rules.STOCK_WORDS} AND length(line) <= {40 * line_rules.STOCK_WORDS} AS stock FROM lo),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) AS run FROM sh),
+menu AS (SELECT *, short AND count(*) OVER (PARTITION BY doc_id, short, run) >= {line_rules.RUN} AS in_menu FROM runs),
+held AS (SELECT line, count(DISTINCT t) AS n FROM menu WHERE stock GROUP BY 1),
+common AS (SELECT line AS common_line FROM held WHERE n >= {line_rules.STOCK_TEXTS} AND n * {line_rules.STOCK_LINES} >= (SELECT sum(n) FROM held)),
+bad AS (SELECT doc_id, sum(solid) AS n FROM menu WHERE len(w) > 0 AND (in_menu OR (stock AND line IN (SELECT common_line FROM common))
+  OR len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]')) > {line_rules.MAX_MARKS} * solid
+  OR (len(w) >= {line_rules.FEW_WORDS} AND len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) < {line_rules.MIN_LETTERS} * solid)
   OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»·•/–—-]+'))) > {line_rules.MAX_SEPARATORS} * len(w)
-  OR regexp_matches(line, '{line_rules.BOILERPLATE}')) GROUP BY 1),
+  OR (len(w) <= {line_rules.PHRASE_WORDS} AND regexp_matches(line, '(?i){"|".join(line_rules.PHRASES).replace("'", "''")}'))) GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw WHERE len(w) > 0 GROUP BY 1),
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, {_SOLID.format("t")} AS word_chars, CAST(len(regexp_extract_all(t, '{line_rules.SYMBOLS}')) AS BIGINT) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, CAST(coalesce(bad.n, 0) AS BIGINT) AS removed_chars
