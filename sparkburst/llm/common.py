@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Texts that a task holds as Python strings at once.
+_TEXTS = 512
+
+
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str | None]:
+    """The texts of a batch in order, of which few are Python strings at a time."""
+    for a in range(0, batch.num_rows, _TEXTS):
+        yield from batch[name].slice(a, _TEXTS).to_pylist()
+
+
 def row_hash(df: DataFrame, seed: int = 42) -> Column:
     """A 64-bit hash of all columns of a row, maps and variants as text: rows that differ anywhere differ in it."""
     plain = lambda f: F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`")
@@ -55,13 +68,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+def _at(df: DataFrame, path: str):
+    """(Hadoop path, its file system)."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there: it survives lost executors, and its lineage ends."""
+    """df written to the shared folder and read from there: it survives lost executors, and its lineage ends.
+
+    The table goes when it is dropped(), with the scratch() it was made in, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, system = _at(df, path)
+    system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
@@ -69,9 +98,19 @@ def dropped(*tables: DataFrame) -> None:
     """Removes what stored() wrote; nothing may read it later."""
     for df in tables:
         if path := getattr(df, "_stored_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            where, system = _at(df, path)
+            system.delete(where, True)
+            df._stored_path = None
+
+
+@contextmanager
+def scratch():
+    """Tables stored inside are dropped at the end, but for those taken out of the list that is given."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        dropped(*_scratch.pop())
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:

@@ -28,6 +28,8 @@ _POSTINGS = 400_000
 #: What a posting carries of its line, behind its place in a list; postings of a line slice; buckets of tokens per partition.
 _OWN = ("sid", "doc_id", "line", "bits", *_PARTS_OF_WIDE, "probe")
 _SLICE, _BUCKETS = 1 << 18, 8
+#: Texts that are taken out of a batch at once; sets that a task remembers as sent before it forgets them all (they are then sent again).
+_ROWS, _SEEN = 512, 200_000
 #: Null ids come first.
 _NULL_ID = -(1 << 63)
 
@@ -85,9 +87,10 @@ class _Lines:
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-    for a, b in H.chunks([len(t) for t in texts]):
-        yield a, b, texts[a:b]
+    for at in range(0, batch.num_rows, _ROWS):
+        texts = [(t or "").encode() for t in batch["text"].slice(at, _ROWS).to_pylist()]
+        for a, b in H.chunks([len(t) for t in texts]):
+            yield at + a, at + b, texts[a:b]
 
 
 def _summed(parts: DataFrame, fold, width: int) -> np.ndarray:
@@ -161,6 +164,8 @@ def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
                     if s not in seen or at < seen[s]:
                         seen[s] = at
                         fresh[k] = True
+                if len(seen) > _SEEN:
+                    seen.clear()
                 used &= np.repeat(fresh, x.size)
                 owner = np.repeat(np.arange(len(x.begin)), x.size)[used]
                 size = np.minimum(np.repeat(x.size, x.size)[used], 0xFFFF)
@@ -326,6 +331,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
                 for k in np.flatnonzero(asked).tolist():
                     asked[k] = x.sid[k] not in seen
                     seen.add(int(x.sid[k]))
+                if len(seen) > _SEEN:
+                    seen.clear()
                 if asked.any():
                     offsets = np.concatenate(([0], np.cumsum(x.size[asked]))).astype(np.int32)
                     tokens = x.token[np.repeat(asked, x.size)].view(np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkburst.llm.common import dropped, stored, without
+from sparkburst.llm.common import dropped, stored, texts_of, without
 
 WINDOW = 2048
 END_ID = 0
@@ -96,7 +96,7 @@ def tokenise_pieces(df: DataFrame, tokenizer: str, text: str = "text", window: i
         encode, end = token_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, ids = [], [], [], []
-            for k, body in enumerate(batch[text].to_pylist()):
+            for k, body in enumerate(texts_of(batch, text)):
                 data = encode(body) + end if body else end
                 n = len(data) // 4
                 ends = range(n - (-(-n // window) - 1) * window, n + 1, window)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import without
+from sparkburst.llm.common import texts_of, without
 
 BITS = 20
 #: Labelled rows that training reads at most: those with the smallest hash of their id.
 FIT_ROWS = 6000
 EPOCHS = 4
+#: Texts that are taken out of a batch at once.
+_ROWS = 512
 #: Features are shares of a text's n-grams, times this.
 GAIN = 12.0
 THRESHOLD = 0.7
@@ -41,8 +43,8 @@ def _features(texts: list[bytes], classes: np.ndarray = H.byte_classes()) -> tup
     return np.concatenate((token >> shift, pair >> shift)).astype(np.int64), np.concatenate((doc, doc[:-1][same]))
 
 
-def _as_bytes(column: pa.Array) -> list[bytes]:
-    return [(t or "").lower().encode() for t in column.to_pylist()]
+def _as_bytes(texts: Iterable[str | None]) -> Iterator[bytes]:
+    return ((t or "").lower().encode() for t in texts)
 
 
 def held_out(key: Column) -> Column:
@@ -52,7 +54,7 @@ def held_out(key: Column) -> Column:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index, value = [], []
-        for text in _as_bytes(batch["text"]):
+        for text in _as_bytes(texts_of(batch)):
             found, counts = np.unique(_features([text])[0], return_counts=True)
             index.append(found.astype("<i4").tobytes())
             value.append((GAIN * counts / max(1, counts.sum())).astype("<f4").tobytes())
@@ -112,7 +114,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> D
     """docs with score: the logistic of the sparse dot product of whole texts with the weights.
 
     The weights (4 MB, whatever the corpus) are broadcast; rows are scored where they lie, without a shuffle. Null and
-    empty texts have no features and get the bias's score; very long texts are read whole, 2 MB of text at a time or one
+    empty texts have no features and get the bias's score; very long texts are read whole, half a megabyte of text at a time or one
     text if it is longer. Repeated rows are scored alike. An empty table gives no rows. A column of docs named score is
     replaced, all others are kept.
     """
@@ -122,11 +124,12 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> D
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            texts = _as_bytes(batch[text])
-            out = np.zeros(len(texts))
-            for a, b in H.chunks([len(t) for t in texts]):
-                index, doc = _features(texts[a:b])
-                out[a:b] = np.bincount(doc, w[index], b - a) / np.maximum(1, np.bincount(doc, minlength=b - a))
+            out = np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows, _ROWS):
+                texts = list(_as_bytes(batch[text].slice(at, _ROWS).to_pylist()))
+                for a, b in H.chunks([len(t) for t in texts]):
+                    index, doc = _features(texts[a:b])
+                    out[at + a : at + b] = np.bincount(doc, w[index], b - a) / np.maximum(1, np.bincount(doc, minlength=b - a))
             score = 1 / (1 + np.exp(-(GAIN * out + float(w[-1]))))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(score)], [*names, "score"])
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import stored
+from sparkburst.llm.common import row_hash, stored, texts_of
 from sparkburst.llm.components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -45,7 +45,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
+            bits = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(bits)], ["doc_id", "text_hash", "bits"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
@@ -110,10 +110,17 @@ def simhash_deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 
 def chosen_only(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that groups marks as chosen; of repeated rows, one."""
+    """The rows of docs that groups marks as chosen. Of rows with the chosen doc_id and text the one with the smallest
+    hash of all columns stays, so that reruns agree; of rows equal in every column, one."""
     picked = groups.where("chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    met = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
+    rows = docs.withColumns({"__hash": F.xxhash64("text"), "__row": row_hash(docs)})
+    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    met = rows.join(picked, mine)
+    least = rows.select("doc_id", "__hash", "__row").join(picked, mine).groupBy("__id", "__th").agg(F.min("__row").alias("__least"), F.count("*").alias("__n"))
+    if not least.where("__n > 1").limit(1).count():
+        return met.select(docs.columns)
+    one = least.select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "__least")
+    met = met.join(one, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")) & (F.col("__row") == F.col("__least")))
     return met.dropDuplicates(["__id", "__th"]).select(docs.columns)
 
 

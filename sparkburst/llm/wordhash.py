@@ -23,7 +23,7 @@ def byte_classes() -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        row = np.full(max(n, 1 << 20), base, np.uint64)
+        row = np.full(max(n, 1 << 19), base, np.uint64)
         row[0] = 1
         _powers[base] = np.cumprod(row, dtype=np.uint64)
     return _powers[base][:n]
@@ -40,7 +40,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of data[starts[i]:ends[i]] (bytes): differences of one running polynomial sum."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_MULTIPLIER, len(data)), out=total[1:])
+    sums = total[1:]
+    sums[:] = data
+    sums += np.uint64(1)
+    sums *= _power(_MULTIPLIER, len(data))
+    np.cumsum(sums, out=sums)
     return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data) + 1)[starts])
 
 
@@ -54,7 +58,7 @@ def spans(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], ends[kept]
 
 
-def chunks(sizes: list[int], most: int = 1 << 21):
+def chunks(sizes: list[int], most: int = 1 << 19):
     """Slices of consecutive items of about `most` bytes together; a larger item is alone."""
     begin = held = 0
     for i, n in enumerate(sizes):
