@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +107,28 @@ def dropped(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch():
-    """Tables stored inside are dropped at the end, but for those taken out of the list that is given."""
+    """Tables stored inside are dropped at the end, but for those taken out of the list that is given.
+
+    Spark removes the shuffle files of finished steps once the driver has let go of their plans, so both collectors run.
+    """
     _scratch.append([])
     try:
         yield _scratch[-1]
     finally:
         dropped(*_scratch.pop())
+        gc.collect()
+        if (context := SparkContext._active_spark_context) is not None:
+            context._jvm.System.gc()
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, stored; whatever else it stored on its way goes."""
+    with scratch() as made:
+        out = stored(make())
+        made.remove(out)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:

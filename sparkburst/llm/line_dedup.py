@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import BROADCAST_ROWS, join_checked, let, stored
+from sparkburst.llm.common import BROADCAST_ROWS, dropped, join_checked, let, settled, stored
 
 MIN_JACCARD = 0.8
 #: Buckets of the table of token counts: a fixed size, whatever the corpus; it only orders tokens.
@@ -290,7 +290,7 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
-    """The pairs (a, b) whose token sets have Jaccard >= least. Only sets that occur in pairs send their tokens on.
+    """The pairs (a, b) whose token sets have Jaccard >= least, stored. Only sets that occur in pairs send their tokens on.
 
     Where these sets are few enough to be broadcast, only the documents with their first lines are read again.
     """
@@ -342,7 +342,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
     sets = stored(sets)
     left, right = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where((1 + least) * common >= least * (F.size("ta") + F.size("tb")) - 1e-9).select("a", "b")
+    out = stored(pairs.join(left, "a").join(right, "b").where((1 + least) * common >= least * (F.size("ta") + F.size("tb")) - 1e-9).select("a", "b"))
+    dropped(wanted, sets)
+    return out
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_JACCARD) -> DataFrame:
@@ -368,7 +370,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     def matched(probes: DataFrame, limit: tuple[int, int] | None, tokens=None) -> tuple[DataFrame, DataFrame]:
         posts = probes.select("prefix", *_OWN).mapInArrow(_postings(_BUCKETS * parts, tokens), "bucket long, data binary").repartition(parts, "bucket")
         pairs = stored(posts.mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        return stored(_verified(pairs, docs, first, rarity, least).select(F.col("a").alias("sid")).distinct()), pairs
+        return _verified(pairs, docs, first, rarity, least).select(F.col("a").alias("sid")).distinct(), pairs
 
     gone, pairs = matched(posted.withColumn("probe", F.lit(True)), FIRST_ROUND)
     left = stored(pairs.where("more").select(F.col("a").alias("sid")).distinct().join(gone, "sid", "left_anti"))
@@ -391,7 +393,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     Other columns are kept; n_lines_removed is replaced. A null text stays null; a text of which every line goes is empty.
     """
     names = [c for c in df.columns if c.lower() != "n_lines_removed"]
-    gone = repeated_lines(df, key, text, least).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list("line").alias("__gone"))
+    gone = settled(lambda: repeated_lines(df, key, text, least).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list("line").alias("__gone")))
     rows = df.select(names).withColumn("__hash", F.xxhash64(text))
     met = rows.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     # The lines are split once, not once per line kept.

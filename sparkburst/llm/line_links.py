@@ -82,7 +82,7 @@ def line_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     posts = dealt.mapInArrow(L._postings(L._BUCKETS * parts), "bucket long, data binary").repartition(parts, "bucket")
     pairs = posts.mapInArrow(L._candidates(least, None, True), "a long, b long, more boolean")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return stored(L._verified(pairs, docs, first, rarity, least)), lines.select("doc_id", "text_hash", "line", "sid").distinct()
+    return L._verified(pairs, docs, first, rarity, least), lines.select("doc_id", "text_hash", "line", "sid").distinct()
 
 
 def line_links_report(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import count_words, join_checked, row_hash, stored
+from sparkburst.llm.common import count_words, join_checked, row_hash, settled, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL, CAP = 1.5, 2.0
@@ -173,7 +173,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ids, texts and sources are as in mix_sources. An empty table gives no rows.
     """
     names = docs.columns
-    picked = mix_sources(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__th")).agg(F.sum("copies").alias("__copies"))
+    picked = settled(lambda: mix_sources(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__th")).agg(F.sum("copies").alias("__copies")))
     rows = docs.withColumn("__hash", row_hash(docs))
     met = rows.join(picked, (F.col("__hash") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__id", "__th"])  # equal rows
     lots = met.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / LOT))))

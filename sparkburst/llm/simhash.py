@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import row_hash, stored, texts_of
+from sparkburst.llm.common import row_hash, settled, stored, texts_of
 from sparkburst.llm.components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -106,13 +106,17 @@ def grouped(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str) ->
 
 def simhash_deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group: the smallest doc_id; of repeated rows, one."""
-    return chosen_only(docs, simhash_groups(docs, **options))
+    return chosen_only(docs, settled(lambda: chosen_keys(simhash_groups(docs, **options))))
 
 
-def chosen_only(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs that groups marks as chosen. Of rows with the chosen doc_id and text the one with the smallest
+def chosen_keys(groups: DataFrame) -> DataFrame:
+    """(__id, __th): doc_id and text's hash of the chosen rows."""
+    return groups.where("chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
+
+
+def chosen_only(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows of docs that picked (see chosen_keys) names. Of rows with the chosen doc_id and text the one with the smallest
     hash of all columns stays, so that reruns agree; of rows equal in every column, one."""
-    picked = groups.where("chosen").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
     rows = docs.withColumns({"__hash": F.xxhash64("text"), "__row": row_hash(docs)})
     mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
     met = rows.join(picked, mine)
