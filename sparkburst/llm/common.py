@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -49,6 +50,20 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str | None]:
         yield from batch[name].slice(a, _TEXTS).to_pylist()
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, a function of Arrow batches, after which its worker gives freed memory back, so that idle workers stay small."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return whole
+
+
 def row_hash(df: DataFrame, seed: int = 42) -> Column:
     """A 64-bit hash of all columns of a row, maps and variants as text: rows that differ anywhere differ in it."""
     plain = lambda f: F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`")

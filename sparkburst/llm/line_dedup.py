@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import BROADCAST_ROWS, dropped, join_checked, let, settled, stored
+from sparkburst.llm.common import BROADCAST_ROWS, dropped, join_checked, let, settled, stored, trimmed
 
 MIN_JACCARD = 0.8
 #: Buckets of the table of token counts: a fixed size, whatever the corpus; it only orders tokens.
@@ -24,7 +24,7 @@ _PARTS_OF_WIDE = ("w0", "w1", "w2")
 #: by kind: those whose bitmaps differ in at most half of the bits that the threshold allows, nearly all of which match,
 #: and the others.
 FIRST_ROUND = (4, 20)
-_POSTINGS = 400_000
+_POSTINGS = 200_000
 #: What a posting carries of its line, behind its place in a list; postings of a line slice; buckets of tokens per partition.
 _OWN = ("sid", "doc_id", "line", "bits", *_PARTS_OF_WIDE, "probe")
 _SLICE, _BUCKETS = 1 << 18, 8
@@ -133,7 +133,7 @@ def token_rarity(docs: DataFrame, kind=_Lines) -> np.ndarray:
                     total[bucket[edge]] += np.diff(np.concatenate((edge, [len(bucket)])))
         yield from _sparse(np.minimum(total, 0xFFFFFFFF), width)
 
-    parts = docs.select("text").mapInArrow(count, "part long, at binary, value binary")
+    parts = docs.select("text").mapInArrow(trimmed(count), "part long, at binary, value binary")
     return _summed(parts, lambda n: np.where(n <= 1, 0, np.clip(8 * np.log2(np.maximum(n, 1)), 1, 255)).astype(np.uint8), width)
 
 
@@ -177,7 +177,7 @@ def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
                     ["doc_id", "text_hash", "line", "sid", "bits", *_PARTS_OF_WIDE, "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix array<long>")
 
 
 def _postings(buckets: int, tokens=None):
@@ -207,7 +207,7 @@ def _postings(buckets: int, tokens=None):
                 packed = [data[:, x:y].tobytes() for x, y in zip(edge.tolist(), ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(packed, pa.binary())], ["bucket", "data"])
 
-    return run
+    return trimmed(run)
 
 
 def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False):
@@ -263,7 +263,7 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
         return pa.table({n: np.concatenate([none.astype(kind), *(o[k] for o in out)]) for k, (n, kind) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, np.int64).reshape(1 + len(_OWN), -1) for batch in batches for x in batch["data"].to_pylist()]
+        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(1 + len(_OWN), -1) for batch in batches for x in batch["data"]]
         if not held:
             return
         post, sid, doc, line, bits, *wide, probe = np.concatenate(held, axis=1)
@@ -286,7 +286,7 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
             rows = rows.group_by(["a", "b"]).aggregate([("more", "max")]).select(["a", "b", "more_max"]).rename_columns(["a", "b", "more"])
             yield from rows.to_batches()
 
-    return run
+    return trimmed(run)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
 
     need = np.zeros((_PARTS, width), np.uint8)
     marks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    for r in pairs.select("a", "b").coalesce(marks).mapInArrow(mark, "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
+    for r in pairs.select("a", "b").coalesce(marks).mapInArrow(trimmed(mark), "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
         need[r["part"]] = np.frombuffer(r["data"], np.uint8)  # 64 rows of fixed size
     shared = docs.sparkSession.sparkContext.broadcast(need.reshape(-1))
 
@@ -338,7 +338,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
                     tokens = x.token[np.repeat(asked, x.size)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x.sid[asked]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["sid", "tokens"])
 
-    sets = docs.select("text").mapInArrow(read, "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = docs.select("text").mapInArrow(trimmed(read), "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     sets = stored(sets)
     left, right = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import texts_of, without
+from sparkburst.llm.common import texts_of, trimmed, without
 
 BITS = 20
 #: Labelled rows that training reads at most: those with the smallest hash of their id.
@@ -105,9 +105,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         .withColumn("order", F.xxhash64(F.lit(11), "doc_id")).orderBy("order", "doc_id").limit(fit_rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", F.xxhash64("text").alias("text_hash"), "text")
-    vectors = sample.mapInArrow(_vectors, "order long, label int, text_hash long, index binary, value binary")
+    vectors = sample.mapInArrow(trimmed(_vectors), "order long, label int, text_hash long, index binary, value binary")
     vectors = vectors.groupBy("order", "label").agg(F.min(F.struct("text_hash", "index", "value")).alias("v")).select("order", "label", "v.index", "v.value")
-    return np.frombuffer(vectors.repartition(1).mapInArrow(_fit, "weights binary").first()[0], np.float32)
+    return np.frombuffer(vectors.repartition(1).mapInArrow(trimmed(_fit), "weights binary").first()[0], np.float32)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text: str = "text") -> D
 
     from pyspark.sql import types as T
 
-    return docs.select(names).mapInArrow(scored, T.StructType([*docs.select(names).schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.select(names).mapInArrow(trimmed(scored), T.StructType([*docs.select(names).schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkburst.llm.common import row_hash, settled, stored, texts_of
+from sparkburst.llm.common import row_hash, settled, stored, texts_of, trimmed
 from sparkburst.llm.components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -49,7 +49,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(bits)], ["doc_id", "text_hash", "bits"])
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, bits long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_hash long, bits long")
 
 
 def similar_fingerprints(bits: DataFrame, most: int = MAX_BITS) -> DataFrame:
