@@ -73,9 +73,9 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     placed = spread.withColumns({"shard": home, "grown_shard": grown}).withColumn("__bucket", bucket)
     counts = placed.groupBy("shard", "__bucket").agg(F.sum("__m").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), "__first")
     out = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return placed.groupBy("shard", "__bucket").cogroup(first.groupBy("shard", "__bucket")).applyInArrow(_shuffled(seed, out.names), out)
+    return placed.groupBy("shard", "__bucket").cogroup(first.groupBy("__s", "__b")).applyInArrow(_shuffled(seed, out.names), out)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
