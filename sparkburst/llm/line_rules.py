@@ -14,8 +14,8 @@ WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 #: A line fails if more than this share of its characters (white space apart) are neither letters nor digits,
 MAX_MARKS = 0.2
-#: or fewer than this share of them are letters (lines of FEW_WORDS words and more),
-MIN_LETTERS, FEW_WORDS = 0.3, 3
+#: or more than this share of them are no letters (lines of FEW_WORDS words and more),
+MAX_OTHERS, FEW_WORDS = 0.7, 3
 #: or this share of its words are separators,
 MAX_SEPARATORS = 0.2
 #: or it lies in a run of so many consecutive lines of at most SHORT words each, none of which ends as a sentence,
@@ -35,7 +35,7 @@ PHRASES = (
 BOILERPLATE = "(?iu)" + "|".join(PHRASES)
 SEPARATOR = r"(?<![^\x20\x09-\x0D])[|>»·•/–—-]+(?![^\x20\x09-\x0D])"
 MARK = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"
-LETTER = r"[\p{L}\p{M}]"
+OTHER = r"[^\p{L}\p{M}\x20\x09-\x0D]"
 #: How sentences end: a terminal mark, then quotes or brackets, then white space.
 TERMINAL = r"[.!?…。！？][\x22\x27”’»)\]]*[\x20\x09-\x0D]*$"
 #: A document may lose this share of its characters (white space apart).
@@ -83,7 +83,7 @@ def line_fails(line: Column) -> Column:
     marks = F.regexp_count(line, F.lit(MARK)) > MAX_MARKS * solid
     separators = F.regexp_count(line, F.lit(SEPARATOR)) > MAX_SEPARATORS * _n_words(line)
     phrase = F.rlike(line, F.lit(BOILERPLATE)) & (_n_words(line) <= PHRASE_WORDS)
-    letters = (F.regexp_count(line, F.lit(LETTER)) < MIN_LETTERS * solid) & (_n_words(line) >= FEW_WORDS)
+    letters = (F.regexp_count(line, F.lit(OTHER)) > MAX_OTHERS * solid) & (_n_words(line) >= FEW_WORDS)
     return F.rlike(line, F.lit(WORD)) & (marks | letters | separators | phrase)
 
 

@@ -54,7 +54,7 @@ held AS (SELECT line, count(DISTINCT t) AS n FROM menu WHERE stock GROUP BY 1),
 common AS (SELECT line AS common_line FROM held WHERE n >= {line_rules.STOCK_TEXTS} AND n * {line_rules.STOCK_LINES} >= (SELECT sum(n) FROM held)),
 bad AS (SELECT doc_id, sum(solid) AS n FROM menu WHERE len(w) > 0 AND (in_menu OR (stock AND line IN (SELECT common_line FROM common))
   OR len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]')) > {line_rules.MAX_MARKS} * solid
-  OR (len(w) >= {line_rules.FEW_WORDS} AND len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) < {line_rules.MIN_LETTERS} * solid)
+  OR (len(w) >= {line_rules.FEW_WORDS} AND len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\x20\x09-\x0D]')) > {line_rules.MAX_OTHERS} * solid)
   OR len(list_filter(w, lambda x: regexp_full_match(x, '[|>»·•/–—-]+'))) > {line_rules.MAX_SEPARATORS} * len(w)
   OR (len(w) <= {line_rules.PHRASE_WORDS} AND regexp_matches(line, '(?i){"|".join(line_rules.PHRASES).replace("'", "''")}'))) GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw WHERE len(w) > 0 GROUP BY 1),
