@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkburst.llm import chat, embed_dedup, line_dedup, line_links, line_rules, mixing, packing, quality, sharding, simhash, url_filter
+from sparkburst.llm import audit_sql, chat, code_books, divergence, embed_dedup, license_scan, line_dedup, line_links, line_rules, mixing, packing, quality, sharding, simhash, url_filter
 from sparkburst.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,9 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": lambda s, d: line_dedup.line_dedup_report(table(s, d, "documents")),
         "op9_line_links": lambda s, d: line_links.line_links_report(table(s, d, "documents")),
         "op10_simhash_dedup": lambda s, d: simhash.simhash_report(table(s, d, "documents")),
+        "op11_license_scan": lambda s, d: license_scan.license_report(table(s, d, "documents")),
+        "op12_vector_codes": lambda s, d: code_books.codes_report(table(s, d, "embeddings")),
+        "op13_source_divergence": lambda s, d: divergence.divergence_report(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
@@ -99,4 +102,10 @@ SELECT u.page_id, u.host, u.path, {_rules_sql()[0].replace("host", "u.host").rep
 
 def oracle_sql() -> dict[str, str]:
     """The other operators draw, iterate or tokenise; tests hold them against plain Python."""
-    return {"op4_quality_rules": LINE_RULES_SQL, "op7_url_filter": URL_SQL}
+    return {
+        "op4_quality_rules": LINE_RULES_SQL,
+        "op7_url_filter": URL_SQL,
+        "op11_license_scan": audit_sql.license_sql(),
+        "op12_vector_codes": audit_sql.codes_sql(),
+        "op13_source_divergence": audit_sql.divergence_sql(),
+    }
