@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from sparkburst.functions.clock import SVOM, Mission
 from sparkburst.plans.search import CONFIG, chunked, search_hxmt, search_svom
 from sparkburst.operators.scan import ScanConfig
 from sparkburst.sources import archive, fits
+from sparkburst.sources.signals import write_signals
 
 #: The reader of each kind of file.
 HXMT_KINDS = {"events": fits.hxmt_events, "attitude": fits.hxmt_attitude, "orbit": fits.hxmt_orbit, "eng": fits.hxmt_engineering, "sci": fits.hxmt_science}
@@ -18,35 +20,38 @@ SVOM_KINDS = {"events": fits.svom_events, "attitude": fits.svom_attitude, "orbit
 
 
 def resolved_files(spark: SparkSession, mission: Mission, hours: DataFrame) -> DataFrame:
-    """(hour, kind, path) of the files that serve hours (hour: a timestamp), from the folders that the session names."""
+    """(hour, kind, path) of the files that serve hours (hour: a timestamp), from the folders that the session names. Only
+    the folders of those hours' days are listed, in tasks."""
+
+    def of(at: str, wanted, resolve) -> DataFrame:
+        found = resolve(hours, archive.listing(wanted(hours).select("folder"), at))
+        return found.select("hour", "kind", F.concat(F.lit(f"{at}/"), "file").alias("path"))
+
     if mission == SVOM:
-        at = archive.root(spark, "SVOM")
-        return archive.resolve_svom(hours, archive.listing(spark, at)).select("hour", "kind", F.concat(F.lit(f"{at}/"), "file").alias("path"))
-    k, b = archive.root(spark, "1K"), archive.root(spark, "1B")
-    first = archive.resolve_1k(hours, archive.listing(spark, k)).select("hour", "kind", F.concat(F.lit(f"{k}/"), "file").alias("path"))
-    return first.union(archive.resolve_1b(hours, archive.listing(spark, b)).select("hour", "kind", F.concat(F.lit(f"{b}/"), "file").alias("path")))
+        return of(archive.root(spark, "SVOM"), archive.wanted_svom, archive.resolve_svom)
+    return of(archive.root(spark, "1K"), archive.wanted_1k, archive.resolve_1k).union(of(archive.root(spark, "1B"), archive.wanted_1b, archive.resolve_1b))
 
 
 def run_mission(spark: SparkSession, mission: Mission, hours: DataFrame, work: str, config: ScanConfig = CONFIG) -> tuple[DataFrame, DataFrame]:
     """(signals, errors) of a mission's hours: signals as search.signals gives them, errors (hour, kind, message).
 
     An hour with a file missing, or with one that can't be read, has error rows and no signals; it never stops the others.
-    Each file is read once: its tables are decoded into Parquet under `work`, a folder that all executors share, and
-    searched from there. Paths are gathered on the driver, which lists them for the scan anyway: one row a file.
+    The resolved paths, and each kind's decoded tables, are Parquet tables in a folder of this run under `work`, which all
+    executors share; the search reads those. No path comes to the driver. Runs with one `work` don't disturb each other.
     """
     kinds, files = (SVOM_KINDS, 3) if mission == SVOM else (HXMT_KINDS, 9)
-    found = resolved_files(spark, mission, hours)
+    own = f"{work.rstrip('/')}/{uuid.uuid4().hex}"
+    resolved_files(spark, mission, hours).write.parquet(f"{own}/paths")
+    found = spark.read.schema("hour timestamp, kind string, path string").parquet(f"{own}/paths")
     whole, errors = archive.chunks(hours, found, files)
-    paths: dict[str, list[str]] = {k: [] for k in kinds}
-    for row in found.join(whole, "hour", "left_semi").select("kind", "path").toLocalIterator():
-        paths[row["kind"]].append(row["path"])
+    used = found.join(whole, "hour", "left_semi")
     tables = {}
     for kind, read in kinds.items():
-        rows = read(fits.load(spark, paths[kind])).withColumn("hour", archive.hour_of(F.col("file")))
+        rows = read(used.where(F.col("kind") == kind).select("path")).withColumn("hour", archive.hour_of(F.col("file")))
         if kind in ("eng", "sci"):
             rows = rows.withColumn("box", archive.box_of(F.col("file")))
-        rows.write.mode("overwrite").parquet(f"{work}/{kind}")
-        tables[kind] = spark.read.schema(rows.schema).parquet(f"{work}/{kind}")
+        rows.write.parquet(f"{own}/{kind}")
+        tables[kind] = spark.read.schema(rows.schema).parquet(f"{own}/{kind}")
     broken = reduce(DataFrame.union, (t.where("error IS NOT NULL").select("hour", F.lit("Unreadable").alias("kind"), F.concat_ws(": ", "file", "error").alias("message")) for t in tables.values()))
     good = {k: t.where("error IS NULL").join(broken.select("hour").distinct(), "hour", "left_anti") for k, t in tables.items()}
     timed = {k: chunked(good[k], mission) for k in ("events", "attitude", "orbit")}
@@ -59,9 +64,9 @@ def run_mission(spark: SparkSession, mission: Mission, hours: DataFrame, work: s
 
 
 def run_days(spark: SparkSession, mission: Mission, first: str, last: str, work: str, out: str, config: ScanConfig = CONFIG) -> DataFrame:
-    """Runs the days from first to last, both included, writes a file of signals for each (see archive.write_signals) and returns the errors."""
+    """Runs the days from first to last, both included, writes a file of signals for each (see signals.write_signals) and returns the errors."""
     hours = spark.sql(f"SELECT explode(sequence(TIMESTAMP '{first} 00:00:00', TIMESTAMP '{last} 23:00:00', INTERVAL 1 HOUR)) AS hour")
     signals, errors = run_mission(spark, mission, hours, work, config)
     days = hours.select(F.lit(mission.name).alias("mission"), F.col("hour").cast("date").alias("day")).distinct()
-    archive.write_signals(days, signals, out)
+    write_signals(days, signals, out)
     return errors

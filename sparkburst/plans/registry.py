@@ -18,7 +18,8 @@ from sparkburst.functions import clock, geo, packets, poisson, solar
 from sparkburst.operators import catalog, histogram, lightning, saturation, scan, trajectory
 from sparkburst.operators import events as E
 from sparkburst.plans import search
-from sparkburst.sources import archive, fits
+from sparkburst.sources import archive, fits, signals
+from sparkburst.sources import files as paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -687,10 +688,8 @@ def file_chunks(s, d):
 
 
 def _fits_files(rows: DataFrame, tables: dict[str, list[tuple[str, str, str]]]) -> DataFrame:
-    """(path, content): a FITS file of each group `file` of rows, with tables' columns (name, form, column of rows), in order of id.
-
-    Rows with a column hdu go to the table of that name.
-    """
+    """(path) of FITS files in the shared folder, one of each group `file` of rows, with tables' columns (name, form, column of
+    rows), in order of id. Rows with a column hdu go to the table of that name."""
 
     def one(key: tuple, found: pa.Table) -> pa.Table:
         found = found.sort_by("id").to_pandas()
@@ -700,42 +699,51 @@ def _fits_files(rows: DataFrame, tables: dict[str, list[tuple[str, str, str]]])
             made.append((name, [(c, form, part[old].to_numpy()) for c, form, old in cols]))
         return pa.table({"path": [key[0].as_py()], "content": [fits.encoded(made)]})
 
-    return rows.groupBy("file").applyInArrow(one, "path string, content binary")
+    return fits.written(rows.groupBy("file").applyInArrow(one, "path string, content binary"), paths.new_folder(rows.sparkSession, "fits"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows of readable files, with the file's name instead of its path."""
+    return rows.where("error IS NULL").drop("error").withColumn("file", F.substring_index("file", "/", -1))
 
 
-@query(f"""WITH {PHOTONS}, e AS (SELECT *, 'd' || CAST((t - {START}) // {DAY_US} AS VARCHAR) || 'm' || CAST(mission AS VARCHAR) file FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM e)
+#: A file holds the events of one stretch of ids, so that files grow in number and not in size.
+_FILE = "'f' || CAST(event_id // 4096 AS VARCHAR)"
+_file = lambda: F.concat(F.lit("f"), F.floor(F.col("event_id") / 4096).cast("string"))
+
+
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, {_FILE} || 'm' || CAST(mission AS VARCHAR) file FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM e)
  SELECT file, n AS "row", (t - {START}) / 1e6 met, CAST(det_id AS SMALLINT) det_id, CAST(channel AS SMALLINT) channel, CAST(pulse_width AS SMALLINT) pulse_width, acd, CAST(event_type AS SMALLINT) event_type FROM n""")
 def fits_events(s, d):
-    """Every event through a FITS table of a file a day and mission, and back."""
+    """Every event through the FITS tables of a mission's files, and back by runs of rows."""
     p = photons(s, d)
-    day = F.floor((F.col("t") - START) / DAY_US).cast("string")
-    rows = p.select(F.concat(F.lit("d"), day, F.lit("m"), F.col("mission").cast("string")).alias("file"), F.lit("Events").alias("hdu"), F.col("event_id").alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "det_id", "channel", "pulse_width", "acd", "event_type")
+    rows = p.select(F.concat(_file(), F.lit("m"), F.col("mission").cast("string")).alias("file"), F.lit("Events").alias("hdu"), F.col("event_id").alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "det_id", "channel", "pulse_width", "acd", "event_type")
     cols = [("Time", "D", "met"), ("Det_ID", "B", "det_id"), ("Channel", "B", "channel"), ("Pulse_Width", "B", "pulse_width"), ("ACD", "J", "acd"), ("Event_Type", "B", "event_type")]
-    return fits.hxmt_events(_fits_files(rows, {"Events": cols})).where("error IS NULL").drop("error")
+    return _named(fits.hxmt_events(_fits_files(rows, {"Events": cols})))
 
 
-@query(f"""WITH {PHOTONS}, e AS (SELECT *, (t - {START}) // {DAY_US} AS day, ['EVENTS01', 'EVENTS02', 'EVENTS03'][user_id % 3 + 1] hdu FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY day, hdu ORDER BY event_id) - 1 AS n FROM e)
- SELECT 'd' || CAST(day AS VARCHAR) file, n AS "row", CAST(user_id % 3 + 1 AS INTEGER) det_id, (t - {START}) / 1e6 met, CAST(channel AS SMALLINT) pi, CAST(event_id % 2 AS SMALLINT) gain_type, CAST((event_id % 64) / 64.0 AS FLOAT) dead_time, CAST(event_type AS SMALLINT) evt_type FROM n""")
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, {_FILE} AS file, ['EVENTS01', 'EVENTS02', 'EVENTS03'][user_id % 3 + 1] hdu FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file, hdu ORDER BY event_id) - 1 AS n FROM e)
+ SELECT file, n AS "row", CAST(user_id % 3 + 1 AS INTEGER) det_id, (t - {START}) / 1e6 met, CAST(channel AS SMALLINT) pi, CAST(event_id % 2 AS SMALLINT) gain_type, CAST((event_id % 64) / 64.0 AS FLOAT) dead_time, CAST(event_type AS SMALLINT) evt_type FROM n""")
 def fits_svom(s, d):
-    """Every event through the three detectors' tables of a file a day, and back."""
+    """Every event through the three detectors' tables of a file, and back."""
     p = photons(s, d)
     i = F.col("event_id")
-    rows = p.select(F.concat(F.lit("d"), F.floor((F.col("t") - START) / DAY_US).cast("string")).alias("file"), F.element_at(F.array(*map(F.lit, fits.SVOM_DETECTORS)), (F.col("user_id") % 3 + 1).cast("int")).alias("hdu"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "channel", (i % 2).alias("gain"), ((i % 64) / 64.0).alias("dead"), "event_type", F.lit(0).alias("none"))
+    rows = p.select(_file().alias("file"), F.element_at(F.array(*map(F.lit, fits.SVOM_DETECTORS)), (F.col("user_id") % 3 + 1).cast("int")).alias("hdu"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), "channel", (i % 2).alias("gain"), ((i % 64) / 64.0).alias("dead"), "event_type", F.lit(0).alias("none"))
     cols = [("TIME", "D", "met"), ("PI", "I", "channel"), ("GAIN_TYPE", "I", "gain"), ("DEAD_TIME", "E", "dead"), ("EVT_TYPE", "I", "event_type"), ("ANTI_COIN", "I", "none"), ("FLAG", "I", "none")]
-    return fits.svom_events(_fits_files(rows, {h: cols for h in fits.SVOM_DETECTORS})).where("error IS NULL").drop("error", "anti_coin", "flag")
+    return _named(fits.svom_events(_fits_files(rows, {h: cols for h in fits.SVOM_DETECTORS}))).drop("anti_coin", "flag")
 
 
-@query(f"""WITH {PHOTONS}, e AS (SELECT *, (t - {START}) // {DAY_US} AS day FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) - 1 AS n FROM e), k AS (SELECT unnest(['hxmt attitude', 'hxmt orbit', 'svom attitude', 'svom orbit', 'engineering']) what)
- SELECT what AS kind, 'd' || CAST(day AS VARCHAR) file, n AS "row", CASE WHEN what = 'engineering' THEN CAST(event_id % 100000 AS DOUBLE) ELSE (t - {START}) / 1e6 END met, CASE WHEN what = 'engineering' THEN CAST(event_id % 128 * 16777216 + 513 AS DOUBLE) ELSE (user_id % 16) / 16.0 END a, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 32) / 32.0 END b, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 64) / 64.0 END c FROM n, k""")
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, {_FILE} AS file FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM e), k AS (SELECT unnest(['hxmt attitude', 'hxmt orbit', 'svom attitude', 'svom orbit', 'engineering']) what)
+ SELECT what AS kind, file, n AS "row", CASE WHEN what = 'engineering' THEN CAST(event_id % 100000 AS DOUBLE) ELSE (t - {START}) / 1e6 END met, CASE WHEN what = 'engineering' THEN CAST(event_id % 128 * 16777216 + 513 AS DOUBLE) ELSE (user_id % 16) / 16.0 END a, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 32) / 32.0 END b, CASE WHEN what = 'engineering' THEN NULL ELSE (event_id % 64) / 64.0 END c FROM n, k""")
 def fits_other_tables(s, d):
-    """Attitude, orbit and engineering tables of both missions through FITS files of a day, and back."""
+    """Attitude, orbit and engineering tables of both missions through FITS files, and back."""
     p = photons(s, d)
     i = F.col("event_id")
-    rows = p.select(F.concat(F.lit("d"), F.floor((F.col("t") - START) / DAY_US).cast("string")).alias("file"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), ((F.col("user_id") % 16) / 16.0).alias("a"), ((i % 32) / 32.0).alias("b"), ((i % 64) / 64.0).alias("c"), (i % 100000).alias("stime"))
+    rows = p.select(_file().alias("file"), i.alias("id"), ((F.col("t") - START) / 1e6).alias("met"), ((F.col("user_id") % 16) / 16.0).alias("a"), ((i % 32) / 32.0).alias("b"), ((i % 64) / 64.0).alias("c"), (i % 100000).alias("stime"))
     three = lambda time, form, *names: [(time, "D", "met"), *((n, form, v) for n, v in zip(names, "abc", strict=True))]
 
     def shown(kind: str, hdu: str, cols: list, read, values: list[str]) -> DataFrame:
-        out = read(_fits_files(rows.withColumn("hdu", F.lit(hdu)), {hdu: cols})).where("error IS NULL")
+        out = _named(read(_fits_files(rows.withColumn("hdu", F.lit(hdu)), {hdu: cols})))
         return out.select(F.lit(kind).alias("kind"), "file", "row", "met", *[F.col(v).alias(n) for v, n in zip(values, "abc", strict=True)])
 
     quaternion, place = ["q1", "q2", "q3"], ["longitude", "latitude", "altitude"]
@@ -750,11 +758,30 @@ def fits_other_tables(s, d):
         six = np.hstack([np.zeros((len(found), 2), np.uint8), clock_])
         return pa.table({"path": [key[0].as_py()], "content": [fits.encoded([("HE_Eng", [("Time", "J", found["stime"].to_numpy()), ("BUS_Time_Bdc", "6B", six)])])]})
 
-    eng = fits.hxmt_engineering(rows.groupBy("file").applyInArrow(bus, "path string, content binary")).where("error IS NULL")
+    eng = _named(fits.hxmt_engineering(fits.written(rows.groupBy("file").applyInArrow(bus, "path string, content binary"), paths.new_folder(s, "fits"))))
     none = F.lit(None).cast("double")
     return out.union(eng.select(F.lit("engineering").alias("kind"), "file", "row", F.col("stime").cast("double").alias("met"), packets.bus_time(F.col("bus")).cast("double").alias("a"), none.alias("b"), none.alias("c")))
 
 
+_PLACES = (0, 1, 440, 880, 881)
+_SCIENCE = " || ".join(f"printf('%02x', (event_id * 7 + {k}) % 256)" for k in _PLACES)
+
+
+@query(f"WITH {PHOTONS}, n AS (SELECT *, row_number() OVER (PARTITION BY {_FILE} ORDER BY event_id) - 1 AS n FROM photons) SELECT {_FILE} file, n AS \"row\", 882 AS size, {_SCIENCE} AS bytes FROM n")
+def fits_science(s, d):
+    """A packet of 882 bytes for every event through FITS files, and back: its size and some of its bytes."""
+
+    def one(key: tuple, found: pa.Table) -> pa.Table:
+        ids = np.sort(found["event_id"].to_numpy())
+        packs = ((ids[:, None] * 7 + np.arange(882)[None, :]) % 256).astype(np.uint8)
+        return pa.table({"path": [key[0].as_py()], "content": [fits.encoded([("HE_Evt_Src", [("CCSDS", "882B", packs)])])]})
+
+    made = photons(s, d).select(_file().alias("file"), "event_id").groupBy("file").applyInArrow(one, "path string, content binary")
+    rows = _named(fits.hxmt_science(fits.written(made, paths.new_folder(s, "fits"))))
+    some = F.concat(*[F.lower(F.hex(F.substring("ccsds", k + 1, 1))) for k in _PLACES])
+    return rows.select("file", "row", F.octet_length("ccsds").alias("size"), some.alias("bytes"))
+
+
 # ---- saturation --------------------------------------------------------------------------------------------------------
 #: Every event is a science packet: ten a second of each of three boxes in two chunks; a packet's three good records tell
 #: where in its second it lies, and the second's first one bears the clock mark, which box B loses every eleventh second.

@@ -1,13 +1,17 @@
-"""Which file of an archive serves which hour, and reading and writing of signals."""
+"""Which file of an archive serves which hour, and reading of signals and strokes."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkburst.sources import files as paths
+
 #: Folder codes of level 1B files by kind and box.
 CODES_1B = {("eng", "A"): "0766", ("eng", "B"): "1009", ("eng", "C"): "1781", ("sci", "A"): "0642", ("sci", "B"): "0922", ("sci", "C"): "1686"}
 KINDS_1K = {"events": "HE-Evt", "orbit": "Orbit", "attitude": "Att"}
@@ -27,12 +31,22 @@ def root(spark: SparkSession, archive: str) -> str:
     return found.rstrip("/")
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, name, listed) of all files under a folder; contents aren't read. Files are listed by name."""
-    below = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", folder.rstrip("/")))
-    path = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", f"{below}/(.*)$", 1).alias("p"))
-    name = F.substring_index("p", "/", -1)
-    return path.select(F.regexp_replace("p", "/[^/]*$", "").alias("folder"), name.alias("name"), name.alias("listed"))
+def listing(folders: DataFrame, root: str) -> DataFrame:
+    """(folder, name, listed) of the files in just those folders (folder: a path below root), each listed once, by a task.
+
+    No other folder is looked at, however large the archive; contents aren't read. A folder that isn't there has no files.
+    Files are listed by name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch["folder"].to_pylist():
+                found = paths.names(f"{root}/{folder}")
+                yield pa.RecordBatch.from_arrays([pa.array([folder] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(found, pa.string())], ["folder", "name", "listed"])
+
+    spread = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = folders.where("folder IS NOT NULL").select("folder").distinct()
+    return asked.repartition(spread, "folder").mapInArrow(run, "folder string, name string, listed string")
 
 
 def hour_of(file: Column) -> Column:
@@ -58,24 +72,37 @@ def _latest(hits: DataFrame, keys: list[str], version: Column, later_wins: bool)
     return hits.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def wanted_1k(hours: DataFrame) -> DataFrame:
+    """(hour, kind, folder, prefix): where an hour's files lie and how their names begin."""
+    kinds = [hours.select("hour", F.lit(kind).alias("kind"), folder_1k(F.col("hour")).alias("folder"), F.concat(F.lit("HXMT_"), F.date_format("hour", "yyyyMMdd'T'HH"), F.lit(f"_{part}_FFFFFF_V")).alias("prefix")) for kind, part in KINDS_1K.items()]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def wanted_1b(hours: DataFrame) -> DataFrame:
+    codes = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(b).alias("box"), F.lit(c).alias("code")) for (k, b), c in CODES_1B.items()])
+    each = hours.select("hour", F.explode(codes).alias("c")).select("hour", "c.*")
+    return each.withColumns({"folder": F.concat(F.date_format("hour", "yyyy/yyyyMMdd/"), "code"), "prefix": F.concat(F.lit("HXMT_1B_"), "code", F.lit("_"), F.date_format("hour", "yyyyMMdd'T'HH"))})
+
+
+def wanted_svom(hours: DataFrame) -> DataFrame:
+    kinds = [hours.select("hour", F.lit(kind).alias("kind"), F.concat(F.date_format("hour", "yyyy/MM/dd/"), F.lit(folder)).alias("folder"), F.concat(F.lit(f"{stem}_"), F.date_format("hour", "yyMMdd_HH"), F.lit("_v")).alias("prefix")) for kind, (folder, stem) in KINDS_SVOM.items()]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def _hits(wanted: DataFrame, listing: DataFrame) -> DataFrame:
+    return wanted.join(listing, "folder").where(F.startswith("name", "prefix"))
+
+
 def resolve_1k(hours: DataFrame, listing: DataFrame) -> DataFrame:
     """(hour, kind, file): the highest one-digit version; of equals the one listed last. listing: (folder, name, listed)."""
-    wanted = None
-    for kind, part in KINDS_1K.items():
-        row = hours.select("hour", F.lit(kind).alias("kind"), folder_1k(F.col("hour")).alias("folder"), F.concat(F.lit("HXMT_"), F.date_format("hour", "yyyyMMdd'T'HH"), F.lit(f"_{part}_FFFFFF_V")).alias("prefix"))
-        wanted = row if wanted is None else wanted.unionByName(row)
-    hits = wanted.join(listing, "folder").where(F.startswith("name", "prefix"))
     version = F.coalesce(F.expr("try_cast(substring(name, char_length(prefix) + 1, 1) AS int)"), F.lit(0))
-    return _latest(hits, ["hour", "kind"], version, True).select("hour", "kind", F.concat_ws("/", "folder", "name").alias("file"))
+    return _latest(_hits(wanted_1k(hours), listing), ["hour", "kind"], version, True).select("hour", "kind", F.concat_ws("/", "folder", "name").alias("file"))
 
 
 def resolve_1b(hours: DataFrame, listing: DataFrame) -> DataFrame:
     """(hour, kind, box, file): the highest digit at place 40 of the name; of equals the one listed first."""
-    codes = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(b).alias("box"), F.lit(c).alias("code")) for (k, b), c in CODES_1B.items()])
-    wanted = hours.select("hour", F.explode(codes).alias("c")).select("hour", "c.*")
-    wanted = wanted.withColumns({"folder": F.concat(F.date_format("hour", "yyyy/yyyyMMdd/"), "code"), "prefix": F.concat(F.lit("HXMT_1B_"), "code", F.lit("_"), F.date_format("hour", "yyyyMMdd'T'HH"))})
     digit = F.substring("name", 40, 1)
-    hits = wanted.join(listing, "folder").where(F.startswith("name", "prefix") & (F.char_length("name") >= 40) & digit.rlike("^[0-9]$"))
+    hits = _hits(wanted_1b(hours), listing).where((F.char_length("name") >= 40) & digit.rlike("^[0-9]$"))
     return _latest(hits, ["hour", "kind", "box"], digit, False).select("hour", "kind", "box", F.concat_ws("/", "folder", "name").alias("file"))
 
 
@@ -86,12 +113,8 @@ def complete_1b(resolved: DataFrame) -> DataFrame:
 
 def resolve_svom(hours: DataFrame, listing: DataFrame) -> DataFrame:
     """(hour, kind, file): the last name by order."""
-    wanted = None
-    for kind, (folder, stem) in KINDS_SVOM.items():
-        row = hours.select("hour", F.lit(kind).alias("kind"), F.concat(F.date_format("hour", "yyyy/MM/dd/"), F.lit(folder)).alias("folder"), F.concat(F.lit(f"{stem}_"), F.date_format("hour", "yyMMdd_HH"), F.lit("_v")).alias("prefix"))
-        wanted = row if wanted is None else wanted.unionByName(row)
-    hits = wanted.join(listing, "folder").where(F.startswith("name", "prefix"))
-    return hits.groupBy("hour", "kind", "folder").agg(F.max("name").alias("name")).select("hour", "kind", F.concat_ws("/", "folder", "name").alias("file"))
+    named = _hits(wanted_svom(hours), listing).groupBy("hour", "kind", "folder").agg(F.max("name").alias("name"))
+    return named.select("hour", "kind", F.concat_ws("/", "folder", "name").alias("file"))
 
 
 def chunks(hours: DataFrame, resolved: DataFrame, kinds: int) -> tuple[DataFrame, DataFrame]:
@@ -110,22 +133,6 @@ def signal_days(days: DataFrame, signals: DataFrame) -> DataFrame:
     return days.join(rows, keys, "left").select(*keys, F.coalesce("__signals", empty).alias("signals"))
 
 
-def write_signals(days: DataFrame, signals: DataFrame, path: str) -> None:
-    """One JSON array a day of days (mission, day), also for days without signals, under mission=/year=/month=/date=.
-
-    signals has mission, day and SIGNAL_JSON's columns. Only the days given are replaced; the committer publishes whole
-    files. A day's signals, of which the search's limit allows few, are one value.
-    """
-    rows = signal_days(days.select("mission", "day"), signals.select("mission", "day", *[f.name for f in T.StructType.fromDDL(SIGNAL_JSON)]))
-    text = rows.select("mission", F.date_format("day", "yyyy").alias("year"), F.date_format("day", "MM").alias("month"), F.date_format("day", "yyyyMMdd").alias("date"), F.to_json("signals", {"ignoreNullFields": "false"}).alias("value"))
-    text.repartition("mission", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission", "year", "month", "date").text(path)
-
-
-def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """Signals of JSON files that hold an array each, with the folders' mission, year, month and date if there are any."""
-    return spark.read.schema(T.StructType.fromDDL(SIGNAL_JSON)).json(path, multiLine=True)
-
-
 def read_strokes(spark: SparkSession, path: str) -> DataFrame:
     """Lightning strokes of a Parquet table, or of a JDBC url's table `lightning`."""
     if path.startswith("jdbc:"):

@@ -1,17 +1,26 @@
-"""FITS binary tables as Spark tables, and back: files are read as binaryFile rows and decoded where they lie."""
+"""FITS binary tables as Spark tables: headers are read first, then ranges of rows, each by a task of its own."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from sparkburst.sources import files as paths
 
 _BLOCK = 2880
 _CODES = {"L": ("i1", T.BooleanType()), "B": ("u1", T.ShortType()), "I": (">i2", T.ShortType()), "J": (">i4", T.IntegerType()), "K": (">i8", T.LongType()), "E": (">f4", T.FloatType()), "D": (">f8", T.DoubleType())}
+#: Bytes of a value of each form; X is bits, C and M are complex, P and Q point into the heap.
+_SIZES = {"L": 1, "B": 1, "I": 2, "J": 4, "K": 8, "A": 1, "E": 4, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}
 
 #: Tables of the files that the searches read, with the columns that they need.
 HXMT_EVENTS = ("Events", "Time double, Det_ID short, Channel short, Pulse_Width short, ACD long, Event_Type short")
@@ -23,118 +32,288 @@ SVOM_EVENTS = "TIME double, PI short, GAIN_TYPE short, DEAD_TIME float, EVT_TYPE
 SVOM_DETECTORS = ("EVENTS01", "EVENTS02", "EVENTS03")
 SVOM_ATTITUDE = ("Quaternion", "TIME double, Q0 double, Q1 double, Q2 double")
 SVOM_ORBIT = ("ORB", "TIME double, LON double, LAT double, ALT double")
-#: Rows that leave a task at once.
-_BATCH = 1 << 18
+#: Rows that leave a task at once, and bytes of a table that one task reads.
+_BATCH, SPLIT = 1 << 18, 64 << 20
+
+
+def _cards(block: str) -> Iterator[tuple[str, str]]:
+    for k in range(0, len(block), 80):
+        card = block[k : k + 80]
+        if card.startswith("END") and not card[3:].strip():
+            yield "END", ""
+            return
+        if card[8:10] == "= ":
+            value = card[10:].strip()
+            if text := re.match(r"'((?:[^']|'')*)'", value):
+                yield card[:8].strip(), text[1].replace("''", "'").rstrip()
+            else:
+                yield card[:8].strip(), value.split("/")[0].strip()
 
 
-def _header(data: memoryview, at: int) -> tuple[dict[str, str], int]:
+def _header(file: paths.Ranged, at: int) -> tuple[dict[str, str], int]:
     cards: dict[str, str] = {}
-    while at < len(data):
-        block = bytes(data[at : at + _BLOCK]).decode("ascii", "replace")
+    while at + _BLOCK <= file.size:
+        block = file.read(at, _BLOCK).decode("ascii", "replace")
         at += _BLOCK
-        for k in range(0, len(block), 80):
-            card = block[k : k + 80]
-            if card.startswith("END") and not card[3:].strip():
+        for name, value in _cards(block):
+            if name == "END":
                 return cards, at
-            if card[8:10] == "= ":
-                value = card[10:].strip()
-                cards[card[:8].strip()] = value[1:].split("'")[0].rstrip() if value.startswith("'") else value.split("/")[0].strip()
+            cards.setdefault(name, value)
     raise ValueError("header without END")
 
 
-def tables(data: bytes) -> Iterator[tuple[str, dict[str, str], int]]:
-    """(name, header, start of data) of each extension."""
-    view, at = memoryview(data), 0
-    while at + _BLOCK <= len(view):
-        cards, start = _header(view, at)
+def tables(file: paths.Ranged) -> Iterator[tuple[str, dict[str, str], int]]:
+    """(name, header, start of data) of each extension; data and heaps are passed over unread."""
+    at = 0
+    while at + _BLOCK <= file.size:
+        cards, start = _header(file, at)
         size = abs(int(cards.get("BITPIX", 8))) // 8 if int(cards.get("NAXIS", 0)) else 0
         for k in range(int(cards.get("NAXIS", 0))):
             size *= int(cards[f"NAXIS{k + 1}"])
-        size += int(cards.get("PCOUNT", 0))
+        size += int(cards.get("PCOUNT", 0)) if "XTENSION" in cards else 0
         if cards.get("XTENSION") == "BINTABLE":
+            if start + int(cards["NAXIS1"]) * int(cards["NAXIS2"]) > file.size:
+                raise ValueError(f"table {cards.get('EXTNAME', '')} ends before its {cards['NAXIS2']} rows")
             yield cards.get("EXTNAME", ""), cards, start
         at = start + -(-size // _BLOCK) * _BLOCK
 
 
-def columns(data: bytes, cards: dict[str, str], start: int, wanted: list[str]) -> dict[str, np.ndarray]:
-    """The wanted columns of one table; only their bytes are read. Scaled integers (TZERO) become wider ones."""
-    width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
-    grid = np.frombuffer(data, np.uint8, width * rows, start).reshape(rows, width)
-    found, at = {}, 0
+def layout(cards: dict[str, str], wanted: list[str] | None = None) -> list[dict]:
+    """Where the wanted columns (all, if None) lie in a row: name, form's code and count, place, bytes, zero and scale."""
+    out, at = [], 0
     for k in range(1, int(cards["TFIELDS"]) + 1):
-        form, name = cards[f"TFORM{k}"], cards[f"TTYPE{k}"]
-        count, code = int("".join(c for c in form if c.isdigit()) or 1), form.lstrip("0123456789")[0]
-        kind = {"A": "S", "X": "u1"}.get(code) or _CODES[code][0]
-        size = -(-count // 8) if code == "X" else count * np.dtype("S1" if kind == "S" else kind).itemsize
-        if name in wanted:
-            raw = np.ascontiguousarray(grid[:, at : at + size])
-            if code in "AX" or count > 1:
-                found[name] = raw
-            else:
-                value = raw.view(kind)[:, 0]
-                if zero := float(cards.get(f"TZERO{k}", 0)):
-                    value = value.astype(np.int64) + int(zero)
-                found[name] = value
+        form = re.match(r"(\d*)([A-Z])", cards[f"TFORM{k}"])
+        count, code = int(form[1] or 1), form[2]
+        size = -(-count // 8) if code == "X" else count * _SIZES[code]
+        name = cards.get(f"TTYPE{k}", f"col{k}")
+        if wanted is None or name in wanted:
+            if code in "PQ" and wanted is not None:
+                raise ValueError(f"column {name} has rows of varying length")
+            out.append({"name": name, "code": code, "count": count, "at": at, "size": size, "zero": float(cards.get(f"TZERO{k}", 0)), "scale": float(cards.get(f"TSCAL{k}", 1))})
         at += size
-    if missing := set(wanted) - set(found):
+    if missing := set(wanted or ()) - {c["name"] for c in out}:
         raise ValueError(f"no column {sorted(missing)}")
-    return found
-
-
-def _arrow(value: np.ndarray, field: T.StructField) -> pa.Array:
+    return out
+
+
+def column_type(c: dict) -> T.DataType:
+    """The type that a column has if none is asked for."""
+    if c["code"] in "XCMPQ" or c["code"] == "B" and c["count"] != 1:
+        return T.BinaryType()
+    if c["code"] == "A":
+        return T.StringType()
+    kind = T.DoubleType() if c["scale"] != 1 or c["zero"] % 1 else T.LongType() if c["zero"] and c["code"] in "BIJK" else _CODES[c["code"]][1]
+    return kind if c["count"] == 1 else T.ArrayType(kind)
+
+
+def _values(raw: np.ndarray, c: dict) -> np.ndarray:
+    """A column's numbers, one row of `count` each. Integers with a zero point become wider ones; logical T is 1."""
+    value = raw.view(_CODES[c["code"]][0])
+    if c["code"] == "L":
+        return value == ord("T")
+    if c["scale"] != 1 or c["zero"] % 1:
+        return value.astype(np.float64) * c["scale"] + c["zero"]
+    if c["code"] == "K" and c["zero"] == 2.0**63:
+        return value.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    if c["zero"]:
+        return value.astype(np.float64) + c["zero"] if c["code"] in "ED" else value.astype(np.int64) + int(c["zero"])
+    return value.astype(value.dtype.newbyteorder("="))
+
+
+def _column(grid: np.ndarray, c: dict, kind: T.DataType) -> pa.Array:
+    """One column of the rows in grid (rows, bytes of a row) as Arrow values of the type asked for."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    if isinstance(field.dataType, T.BinaryType):
-        return pa.array([bytes(r) for r in value] if value.ndim == 2 else [bytes([v]) for v in value], pa.binary())
-    return pa.array(value.astype(value.dtype.newbyteorder("="))).cast(to_arrow_type(field.dataType), safe=False)
-
-
-def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content) of files; a file is one row and one task's unit, as an hour's file is in the archives (2 GB at most)."""
-    if not paths:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
-
-
-def decoded(files: DataFrame, hdus: str | tuple[str, ...], schema: str) -> DataFrame:
-    """(file, hdu, row, error, columns...) of the tables `hdus` in files (path, content), in file order, in one pass.
-
-    Only the columns asked for are decoded. A file with a table or column missing, or with broken headers, gives one row
-    with its error and nothing else: it never fails the job, and never gives a part of its rows.
-    """
+    raw, n = np.ascontiguousarray(grid[:, c["at"] : c["at"] + c["size"]]), len(grid)
+    if isinstance(kind, T.BinaryType):
+        offsets = (np.arange(n + 1) * c["size"]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    if c["code"] == "A":
+        return pa.array([bytes(r).split(b"\0")[0].decode("ascii", "replace").rstrip() for r in raw], pa.string()).cast(to_arrow_type(kind))
+    if c["code"] == "X":
+        value = np.unpackbits(raw, axis=1)[:, : c["count"]].astype(bool)
+    elif c["code"] in _CODES:
+        value = _values(raw, c)
+    else:
+        raise ValueError(f"column {c['name']} of form {c['code']} can be read as binary only")
+    if isinstance(kind, T.ArrayType):
+        flat = pa.array(value.reshape(-1)).cast(to_arrow_type(kind.elementType), safe=False)
+        return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * value.shape[1]).astype(np.int32)), flat)
+    if value.shape[1] != 1:
+        raise ValueError(f"column {c['name']} has {value.shape[1]} values a row: read it as an array or as binary")
+    return pa.array(value[:, 0]).cast(to_arrow_type(kind), safe=False)
+
+
+def _fit(columns: dict[str, dict], fields: list[T.StructField]) -> None:
+    """Raises if a column can't be read as the type asked for."""
+    for f in fields:
+        c, kind = columns[f.name], f.dataType
+        if isinstance(kind, T.BinaryType) or c["code"] == "A" or isinstance(kind, T.ArrayType) and c["code"] not in "CM":
+            continue
+        if c["code"] not in _CODES or c["count"] != 1:
+            raise ValueError(f"column {f.name} of form {c['count']}{c['code']} isn't one {kind.simpleString()} a row")
+
+
+def rows_of(file: paths.Ranged, start: int, width: int, first: int, last: int, columns: list[dict], kinds: list[T.DataType]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """(number of the first row, columns) of the rows from first to before last, of which only their bytes are read."""
+    step = max(1, min(_BATCH, (8 << 20) // max(1, width)))
+    for a in range(first, last, step):
+        b = min(last, a + step)
+        grid = np.frombuffer(file.read(start + a * width, (b - a) * width), np.uint8).reshape(b - a, width)
+        yield a, [_column(grid, c, kind) for c, kind in zip(columns, kinds, strict=True)]
+
+
+def load(spark: SparkSession, named: str | list[str]) -> DataFrame:
+    """(path) of the files that a path, folder or pattern, or a list of them, names. Nothing of them is read."""
+    return spark.createDataFrame([(f,) for p in ([named] if isinstance(named, str) else named) for f in paths.found(p)], "path string")
+
+
+_HEAD = pa.schema([("file", pa.string()), ("hdu", pa.string()), ("start", pa.int64()), ("width", pa.int64()), ("rows", pa.int64()), ("columns", pa.string()), ("error", pa.string())])
+
+
+def headers(files: DataFrame, hdus: str | tuple[str, ...], schema: str) -> DataFrame:
+    """(file, hdu, start, width, rows, columns, error) of the tables `hdus` in files (path): only headers are read, in tasks."""
     names = (hdus,) if isinstance(hdus, str) else hdus
     fields = list(T.StructType.fromDDL(schema).fields)
     wanted = [f.name for f in fields]
-    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("hdu", T.StringType()), T.StructField("row", T.LongType()), T.StructField("error", T.StringType()), *fields])
-
-    def tables_of(data: bytes) -> dict[str, dict[str, np.ndarray]]:
-        found: dict[str, dict[str, np.ndarray]] = {}
-        for name, cards, start in tables(data):
-            if name in names and name not in found:
-                found[name] = columns(data, cards, start, wanted)
-        if missing := [n for n in names if n not in found]:
-            raise ValueError(f"no table {', '.join(missing)}")
-        return found
 
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                found: dict[str, dict] = {}
+                try:
+                    with paths.Ranged(path) as file:
+                        for name, cards, start in tables(file):
+                            if name in names and name not in found:
+                                by_name = {c["name"]: c for c in layout(cards, wanted)}
+                                found[name] = {"file": path, "hdu": name, "start": start, "width": int(cards["NAXIS1"]), "rows": int(cards["NAXIS2"]), "columns": json.dumps([by_name[n] for n in wanted])}
+                                _fit(by_name, fields)
+                            if len(found) == len(names):
+                                break
+                    if missing := [n for n in names if n not in found]:
+                        raise ValueError(f"no table {', '.join(missing)}")
+                    rows = list(found.values())
+                except (ValueError, KeyError, IndexError, TypeError, FileNotFoundError, IsADirectoryError) as e:
+                    rows = [{"file": path, "error": str(e) or type(e).__name__}]
+                yield pa.RecordBatch.from_pylist(rows, _HEAD)
+
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.where("path IS NOT NULL").select("path").repartition(spread, "path").mapInArrow(heads, "file string, hdu string, start long, width long, rows long, columns string, error string")
+
+
+def decoded(files: DataFrame, hdus: str | tuple[str, ...], schema: str, split: int = SPLIT) -> DataFrame:
+    """(file, hdu, row, error, columns...) of the tables `hdus` in files (path).
+
+    One stage reads the files' headers, by ranges, and cuts each table into runs of about `split` bytes of rows; the next
+    reads each run by itself. So paths and headers stay in tasks, a file may be of any size, and a hot file is many tasks.
+    Only the columns asked for are decoded. A file with a table or column missing, with broken headers, fewer bytes than
+    its rows need, or that isn't there, gives one row with its error and nothing else: it never fails the job, and never
+    gives a part of its rows. A path given twice is read twice; a null path gives nothing.
+    """
+    fields = list(T.StructType.fromDDL(schema).fields)
+    kinds = [f.dataType for f in fields]
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("hdu", T.StringType()), T.StructField("row", T.LongType()), T.StructField("error", T.StringType()), *fields])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            for file, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                try:
-                    found = tables_of(data)
-                except (ValueError, KeyError, IndexError) as e:
+            for part in batch.to_pylist():
+                if part["error"] is not None:
                     empty = [pa.nulls(1, to_arrow_type(f.dataType)) for f in fields]
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([str(e)]), *empty], out.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([part["file"]]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part["error"]]), *empty], out.names)
                     continue
-                for name in names:
-                    n = len(found[name][wanted[0]])
-                    for a in range(0, n, _BATCH):
-                        b = min(n, a + _BATCH)
-                        body = [_arrow(found[name][f.name][a:b], f) for f in fields]
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * (b - a), pa.string()), pa.array([name] * (b - a), pa.string()), pa.array(np.arange(a, b)), pa.nulls(b - a, pa.string()), *body], out.names)
+                with paths.Ranged(part["file"]) as file:
+                    for a, body in rows_of(file, part["start"], part["width"], part["first"], part["last"], json.loads(part["columns"]), kinds):
+                        n = len(body[0])
+                        yield pa.RecordBatch.from_arrays([pa.array([part["file"]] * n, pa.string()), pa.array([part["hdu"]] * n, pa.string()), pa.array(np.arange(a, a + n)), pa.nulls(n, pa.string()), *body], out.names)
+
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planned = headers(files, hdus, schema)
+    run_rows = F.greatest(F.lit(1).cast("long"), F.expr(f"{split} div greatest(width, 1L)"))
+    parts = planned.where("error IS NOT NULL OR rows > 0").withColumn("step", run_rows)
+    parts = parts.withColumn("first", F.explode(F.when(F.col("error").isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(F.expr("sequence(0L, rows - 1, step)"))))
+    parts = parts.withColumn("last", F.least(F.col("rows"), F.col("first") + F.col("step"))).select("file", "hdu", "start", "width", "columns", "error", "first", "last")
+    return parts.repartition(spread, "file", "hdu", "first").mapInArrow(run, out)
+
+
+@dataclass
+class FitsPartition(InputPartition):
+    """A run of rows of one table of one file, or what is wrong with the file."""
+
+    file: str
+    start: int = 0
+    width: int = 0
+    first: int = 0
+    last: int = 0
+    columns: tuple = ()
+    error: str | None = None
+
+
+class FitsSource(DataSource):
+    """spark.read.format("fits").option("table", name).load(path): one row per row of that table in all files of a path.
+
+    spark.dataSource.register(FitsSource) first. The schema decides which columns are decoded; without one it is that of
+    the first file's table. Fields named _file, _row and _error, if the schema has them, give the file, the row's number
+    and what is wrong with a file; without _error a broken file fails the read. Planning reads headers only, some
+    files at once; a partition is a run of about splitBytes (64 MB) of rows. For an archive's many files use decoded(),
+    whose paths and headers stay in tasks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "fits"
+
+    def schema(self) -> T.StructType:
+        for path in paths.found(self.options["path"]):
+            with paths.Ranged(path) as file:
+                for name, cards, _ in tables(file):
+                    if name == self.options["table"]:
+                        return T.StructType([T.StructField(c["name"], column_type(c)) for c in layout(cards)])
+        raise ValueError(f"no table {self.options['table']} in {self.options['path']}")
+
+    def reader(self, schema: T.StructType) -> FitsReader:
+        return FitsReader(schema, dict(self.options))
+
+
+class FitsReader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        self.schema, self.path, self.table = schema, options["path"], options["table"]
+        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT)))
+        self.wanted = [f.name for f in schema.fields if f.name not in ("_file", "_row", "_error")]
+
+    def _planned(self, path: str) -> list[FitsPartition]:
+        try:
+            with paths.Ranged(path) as file:
+                for name, cards, start in tables(file):
+                    if name == self.table:
+                        by_name = {c["name"]: c for c in layout(cards, self.wanted)}
+                        width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
+                        step = max(1, self.split // max(1, width))
+                        return [FitsPartition(path, start, width, a, min(rows, a + step), tuple(by_name[n] for n in self.wanted)) for a in range(0, rows, step)]
+            raise ValueError(f"no table {self.table}")
+        except (ValueError, KeyError, IndexError, TypeError) as e:
+            if "_error" not in self.schema.names:
+                raise ValueError(f"{path}: {e}") from e
+            return [FitsPartition(path, error=str(e))]
+
+    def partitions(self) -> list[FitsPartition]:
+        with ThreadPoolExecutor(16) as pool:
+            return [p for found in pool.map(self._planned, paths.found(self.path)) for p in found] or [FitsPartition("")]
+
+    def read(self, part: FitsPartition) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        def batch(n: int, own: dict[str, pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(n, to_arrow_type(f.dataType)) for f in self.schema.fields], self.schema.names)
 
-    return files.mapInArrow(run, out)
+        if part.error is not None:
+            yield batch(1, {"_file": pa.array([part.file]), "_error": pa.array([part.error])})
+        elif part.last > part.first:
+            kinds = [f.dataType for f in self.schema.fields if f.name in self.wanted]
+            with paths.Ranged(part.file) as file:
+                for a, body in rows_of(file, part.start, part.width, part.first, part.last, list(part.columns), kinds):
+                    n = min(part.last - a, max(1, min(_BATCH, (8 << 20) // max(1, part.width))))
+                    yield batch(n, {"_file": pa.array([part.file] * n, pa.string()), "_row": pa.array(np.arange(a, a + n)), **dict(zip(self.wanted, body, strict=True))})
 
 
 def read_table(spark: SparkSession, path: str, hdu: str, schema: str) -> DataFrame:
@@ -144,7 +323,23 @@ def read_table(spark: SparkSession, path: str, hdu: str, schema: str) -> DataFra
 
 def broken_files(spark: SparkSession, path: str, hdu: str, wanted: list[str]) -> DataFrame:
     """(file, message) of files whose table can't be read: rows for the error channel instead of a failed job."""
-    return decoded(load(spark, path), hdu, ", ".join(f"`{c}` double" for c in wanted)).where("error IS NOT NULL").select("file", F.col("error").alias("message"))
+    found = headers(load(spark, path), hdu, ", ".join(f"`{c}` binary" for c in wanted))
+    return found.where("error IS NOT NULL").select("file", F.col("error").alias("message"))
+
+
+def written(contents: DataFrame, folder: str) -> DataFrame:
+    """(path) of files written under folder, one for each row (path: its name, content); each is written where its row lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                paths.write(f"{folder}/{name}", content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+
+    made = contents.select("path", "content").mapInArrow(run, "path string")
+    kept = f"{folder}.paths"
+    made.write.parquet(kept)
+    return contents.sparkSession.read.schema("path string").parquet(kept)
 
 
 def _adapted(files: DataFrame, table: tuple, **names: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkburst.functions import clock, geo, packets, poisson, solar
 from sparkburst.operators import histogram, saturation, scan, trajectory
-from sparkburst.sources import archive, fits
+from sparkburst.sources import archive, fits, signals
 
 
 def one(spark, column):
@@ -212,9 +212,9 @@ def test_svom_run(spark, tmp_path):
     errors = run_days(spark, SVOM, "2024-07-01", "2024-07-02", str(tmp_path / "work"), str(tmp_path / "out"))
     kinds = [(r.hour.hour, r.hour.day, r.kind) for r in errors.collect()]
     assert sorted(kinds) == sorted([(4, 1, "Unreadable")] + [(h, 1, "FileNotFound") for h in range(24) if h not in (3, 4, 5)] + [(h, 2, "FileNotFound") for h in range(24)])
-    files = sorted(tmp_path.glob("out/*/*/*/*/part-*"))
-    assert len(files) == 2
-    found = archive.read_signals(spark, str(tmp_path / "out")).collect()
+    files = sorted(tmp_path.glob("out/**/*.json"))
+    assert [str(f.relative_to(tmp_path / "out")) for f in files] == [f"{SVOM.name}/2024/07/{day}_signals.json" for day in ("20240701", "20240702")] and not list(tmp_path.glob("out/.staging*"))
+    found = signals.read_signals(spark, str(tmp_path / "out")).collect()
     assert len(found) == 1 and found[0].start.time == pytest.approx(met(3), abs=1e-3) and found[0]["count"] >= 20 and str(found[0].date) == "20240701"
     assert found[0].attitude.q2 == pytest.approx(found[0].attitude.q1 + 1) and found[0].attitude.q1 == pytest.approx(found[0].position.longitude / 18)
     empty = next(f for f in files if "20240702" in str(f))
