@@ -18,7 +18,7 @@ from sparkburst.functions import clock, geo, packets, poisson, solar
 from sparkburst.operators import catalog, histogram, lightning, saturation, scan, trajectory
 from sparkburst.operators import events as E
 from sparkburst.plans import search
-from sparkburst.sources import archive, fits, signals
+from sparkburst.sources import archive, fits, signals, store
 from sparkburst.sources import files as paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,10 +501,23 @@ def refresh_tasks(s, d):
     return catalog.refreshed_tasks(_tasks(s, d), "HXMT", "HE", "1996-01-01 00:00:00", "1996-03-01 06:30:00").drop("updated_at")
 
 
-@query(f"WITH {_HOURS} SELECT time, 'HXMT-HE: Energy Spectrum' AS what, 'Pending' AS status, 0 AS retry_times FROM h")
+#: Work lists that orders leave: an hour each, of two kinds.
+_WORK = """work AS (SELECT CAST(time AS TIMESTAMP) AS time, min(k) k, k % 2 odd FROM (SELECT o_orderkey k, o_orderdate + INTERVAL 24 YEAR + INTERVAL (o_orderkey % 24) HOUR AS time FROM orders) GROUP BY 1, 3),
+ w AS (SELECT *, ['Pending', 'Failed', 'Finished'][k % 3 + 1] status, CAST(k % 3 AS INTEGER) retry_times FROM work), due AS (SELECT unnest(generate_series(TIMESTAMP '2021-01-01 00:00:00', TIMESTAMP '2021-03-01 19:00:00', INTERVAL 1 HOUR)) AS time)"""
+
+
+def _work(s, d) -> DataFrame:
+    first = _hours(s, d).withColumn("odd", F.col("k") % 2).groupBy(F.col("hour").cast("timestamp_ntz").alias("time"), "odd").agg(F.min("k").alias("k"))
+    status = F.element_at(F.array(*map(F.lit, ("Pending", "Failed", "Finished"))), (F.col("k") % 3 + 1).cast("int"))
+    return first.select("time", "odd", status.alias("status"), (F.col("k") % 3).cast("int").alias("retry_times"))
+
+
+@query(f"WITH {_WORK}, r AS (SELECT time, CASE odd WHEN 0 THEN 'HXMT-HE: Energy Spectrum' ELSE 'another' END AS what, status, retry_times FROM w) SELECT * FROM r UNION ALL SELECT time, 'HXMT-HE: Energy Spectrum', 'Pending', 0 FROM due WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.time = due.time AND r.what <> 'another')")
 def refresh_statistics(s, d):
-    empty = s.createDataFrame([], catalog.STATISTICS).select("time", "what", "status", "retry_times")
-    return catalog.refreshed_statistics(empty, "HXMT-HE: Energy Spectrum", "1996-01-01 00:00:00", "1996-03-01 06:30:00")
+    """A table of two statistics in which the hours of one are made complete."""
+    what = F.when(F.col("odd") == 0, "HXMT-HE: Energy Spectrum").otherwise("another")
+    held = _work(s, d).select("time", what.alias("what"), "status", "retry_times")
+    return catalog.refreshed_statistics(held, "HXMT-HE: Energy Spectrum", "2021-01-01 00:00:00", "2021-03-01 18:20:00")
 
 
 @query(f"WITH {_TASKS} SELECT time, status FROM task UNION ALL SELECT TIMESTAMP '2017-08-24 10:00:00', 'Pending'")
@@ -525,7 +538,7 @@ def daily_signals(s, d):
 @query(f"""WITH {SIGNALS}, days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '1999-03-01', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT CAST(make_timestamp(t) AS DATE) AS day, * FROM signals)
  SELECT days.day, count(id) n, round(min(t) / 1e6, 6) first, round(max(t + 1000) / 1e6, 6) last, CAST(sum("count") AS BIGINT) counts, round(max(longitude), 6) east, round(min(latitude), 6) south, round(max((id % 16) / 16.0), 6) q3, round(min(log10(false_positive_per_year)), 6) best FROM days LEFT JOIN x ON x.day = days.day GROUP BY 1""")
 def day_signals(s, d):
-    """A day's file: the nested signals as one JSON array, also an empty one, read back and summed up."""
+    """A file for every day, published by the sink with its nested signals as one JSON array, read back and summed up."""
     x = signal_rows(s, d).withColumn("day", F.timestamp_micros("t").cast("date"))
     time = lambda c: F.struct((c / 1e6).alias("time"))
     width, zero = F.lit(1e-3), F.lit(0.0)
@@ -534,34 +547,68 @@ def day_signals(s, d):
         "count", F.lit(1.0).alias("mean"), F.lit(0.5).alias("sf"), "false_positive_per_year", F.struct(zero.alias("q1"), zero.alias("q2"), ((F.col("id") % 16) / 16.0).alias("q3")).alias("attitude"), F.struct("longitude", "latitude", F.lit(5e5).alias("altitude")).alias("position"),
     )
     days = s.sql("SELECT explode(sequence(DATE '1994-12-01', DATE '1999-03-01')) AS day")
-    text = archive.signal_days(days, nested).select("day", F.to_json("signals").alias("text"))
-    back = text.select("day", F.explode_outer(F.from_json("text", f"array<struct<{archive.SIGNAL_JSON.replace(' struct<', ':struct<').replace(' double', ':double').replace(' long', ':long')}>>")).alias("g"))
-    return back.groupBy("day").agg(
-        F.count("g").alias("n"), r(F.min("g.start.time"), 6).alias("first"), r(F.max("g.stop.time"), 6).alias("last"), F.sum("g.count").alias("counts"),
-        r(F.max("g.position.longitude"), 6).alias("east"), r(F.min("g.position.latitude"), 6).alias("south"), r(F.max("g.attitude.q3"), 6).alias("q3"), r(F.min(F.log10("g.false_positive_per_year")), 6).alias("best"),
+    out, name = paths.new_folder(s, "signals"), F.lit("HXMT")
+    signals.write_signals(days.withColumn("mission", name), nested.withColumn("mission", name), out)
+    g = days.join(signals.read_signals(s, out).withColumn("day", F.to_date("date", "yyyyMMdd")), "day", "left")
+    return g.groupBy("day").agg(
+        F.count("start").alias("n"), r(F.min("start.time"), 6).alias("first"), r(F.max("stop.time"), 6).alias("last"), F.sum("count").alias("counts"),
+        r(F.max("position.longitude"), 6).alias("east"), r(F.min("position.latitude"), 6).alias("south"), r(F.max("attitude.q3"), 6).alias("q3"), r(F.min(F.log10("false_positive_per_year")), 6).alias("best"),
     )
 
 
-@query("SELECT TIMESTAMP '2024-06-22 00:00:00' + INTERVAL (i) HOUR AS time, 'SVOM' AS satellite, 'GRM' AS detector, 'Pending' AS status FROM (SELECT unnest(range(0, 500)) AS i)")
+@query(f"WITH {_WORK}, r AS (SELECT time, CASE odd WHEN 0 THEN 'SVOM' ELSE 'HXMT' END AS satellite, CASE odd WHEN 0 THEN 'GRM' ELSE 'HE' END AS detector, status FROM w) SELECT * FROM r UNION ALL SELECT time, 'SVOM', 'GRM', 'Pending' FROM due WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.time = due.time AND r.satellite = 'SVOM')")
 def svom_tasks(s, d):
-    empty = s.createDataFrame([], catalog.TASK).select("satellite", "detector", "time", "status", "retry_times")
-    return catalog.refreshed_tasks(empty, "SVOM", "GRM", "2024-06-22 00:00:00", "2024-07-12 18:20:00").select("time", "satellite", "detector", "status")
+    """A task table of both missions in which one mission's hours are made complete."""
+    odd = F.col("odd") == 0
+    held = _work(s, d).select(F.when(odd, "SVOM").otherwise("HXMT").alias("satellite"), F.when(odd, "GRM").otherwise("HE").alias("detector"), "time", "status", "retry_times")
+    return catalog.refreshed_tasks(held, "SVOM", "GRM", "2021-01-01 00:00:00", "2021-03-01 18:20:00").select("time", "satellite", "detector", "status")
 
 
 _CATALOGUE = """x AS (SELECT o_orderkey k, CAST(o_orderkey % 5 = 0 AS INTEGER) old, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'id' || CAST(o_orderkey // 20 AS VARCHAR) END id, 'S' || CAST(o_custkey % 2 AS VARCHAR) satellite, 'D' detector, strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') start_full, CAST(o_orderkey % 7 AS BIGINT) n FROM orders)"""
 
 
+def _catalogue_rows(s, d) -> DataFrame:
+    o, k = s.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    return o.select((k % 5 == 0).alias("old"), F.when(k % 9 != 0, F.concat(F.lit("id"), F.floor(k / 20).cast("string"))).alias("id"), F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("satellite"), F.lit("D").alias("detector"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.lpad((k % 24).cast("string"), 2, "0")).alias("start_full"))
+
+
 @query(f"""WITH {_CATALOGUE}, new AS (SELECT * FROM x WHERE old = 0), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY satellite, detector, start_full ORDER BY start_full, id NULLS FIRST, satellite, detector) o FROM new) WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM x t WHERE t.old = 1 AND t.satellite = satellite_ AND t.start_full = start_)),
  b AS (SELECT * FROM (SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY start_full, id, satellite, detector) END o2 FROM a) WHERE o2 = 1 AND (id IS NULL OR id NOT IN (SELECT id FROM x WHERE old = 1 AND id IS NOT NULL)))
  SELECT id, satellite, start_full, CAST(43 AS INTEGER) n_columns FROM x WHERE old = 1 UNION ALL SELECT id, satellite, start_full, 43 FROM b""".replace("SELECT * FROM x WHERE old = 0", "SELECT *, satellite satellite_, start_full start_ FROM x WHERE old = 0"))
 def catalogue_inserts(s, d):
     """New signals that break neither of the catalogue's keys, with all its columns."""
-    o, k = s.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
-    x = o.select((k % 5 == 0).alias("old"), F.when(k % 9 != 0, F.concat(F.lit("id"), F.floor(k / 20).cast("string"))).alias("id"), F.concat(F.lit("S"), (F.col("o_custkey") % 2).cast("string")).alias("satellite"), F.lit("D").alias("detector"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.lpad((k % 24).cast("string"), 2, "0")).alias("start_full"))
+    x = _catalogue_rows(s, d)
     out = catalog.added_signals(x.where("old"), x.where("NOT old"))
     return out.select("id", "satellite", "start_full", F.lit(len(out.columns)).alias("n_columns"))
 
 
+_INSERTED = """a1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY satellite, start_full ORDER BY id NULLS FIRST) o FROM x WHERE old = 0) WHERE o = 1), b1 AS (SELECT * FROM (SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY start_full, satellite) END o2 FROM a1) WHERE o2 = 1),
+ a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY satellite, start_full ORDER BY id NULLS FIRST) o FROM x) p WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM b1 WHERE b1.satellite = p.satellite AND b1.start_full = p.start_full)),
+ b2 AS (SELECT * FROM (SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY start_full, satellite) END o2 FROM a2) WHERE o2 = 1 AND (id IS NULL OR id NOT IN (SELECT id FROM b1 WHERE id IS NOT NULL)))"""
+
+
+@query(f"WITH {_CATALOGUE}, {_INSERTED} SELECT id, satellite, start_full FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2) WHERE start_full BETWEEN '1995-11-20 05' AND '1998-02-03 12'")
+def stored_signals(s, d):
+    """Two inserts into a stored catalogue, the second with rows that are there, and the rows between two times of it."""
+    held = store.signal_store(s, paths.new_folder(s, "signals"))
+    rows = _catalogue_rows(s, d)
+    store.insert_signals(held, rows.where("NOT old"))
+    store.insert_signals(held, rows)
+    return held.between("1995-11-20 05", "1998-02-03 12").select("id", "satellite", "start_full")
+
+
+@query(f"""WITH {_TASKS}, r AS (SELECT time, CASE status WHEN 'Failed' THEN 'Pending' ELSE status END status, CASE status WHEN 'Failed' THEN retry_times + 1 ELSE retry_times END retry_times FROM task), n AS (SELECT *, CASE WHEN status = 'Pending' THEN row_number() OVER (PARTITION BY status ORDER BY time) END n FROM r)
+ SELECT time, CASE WHEN n <= 150 THEN 'Running' ELSE status END status, retry_times, CASE WHEN n <= 100 THEN 'w1' WHEN n <= 150 THEN 'w2' END worker FROM n""")
+def stored_tasks(s, d):
+    """A stored work list: hours added, failed ones reset, and two workers that claim a hundred and fifty of the earliest."""
+    held, now = store.task_store(s, paths.new_folder(s, "tasks")), F.lit("2024-01-01").cast("timestamp_ntz")
+    store.insert_tasks(held, _tasks(s, d))
+    store.reset_tasks(held, "Failed", now)
+    for worker, n in (("w1", 100), ("w2", 50)):
+        store.claim_tasks(held, worker, n, now)
+    return held.read().select("time", "status", "retry_times", F.substring_index("worker", "/", 1).alias("worker"))
+
+
 @query(f"WITH {PHOTONS}, e AS (SELECT event_id, event_type <> 0 acd, CASE WHEN pulse_width < 75 THEN 'NaI' ELSE 'CsI' END sc, channel, t - {START} off FROM photons) SELECT event_id % 97 AS id, round((off % 5000000) / 1000.0, 3) ms, channel, CASE WHEN sc = 'NaI' THEN 'triangle' ELSE 'circle' END marker, acd vetoed, channel >= 38 keep FROM e")
 def event_details(s, d):
     """Events of catalogue rows (97 of them) from their JSON texts."""
@@ -644,14 +691,17 @@ def resolved_1k(s, d):
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in archive.CODES_1B.values()) + "]"
 _BOXES = "[" + ", ".join(f"'{b}'" for _, b in archive.CODES_1B) + "]"
-_NAMES_1B = f"""h AS (SELECT o_orderkey k, {_HOUR} AS hour FROM orders), f AS (SELECT DISTINCT hour, CAST(k // 2 % 6 + 1 AS INTEGER) c, 'HXMT_1B_' || {_CODES}[k // 2 % 6 + 1] || strftime(hour, '_%Y%m%dT%H') || '0000_G00' || lpad(CAST(k % 1000 AS VARCHAR), 7, '0') || CASE WHEN k % 11 = 0 THEN 'x' ELSE CAST(k % 4 AS VARCHAR) END || '.fits' AS name FROM h)"""
+#: Every order brings the files of its hour, all six or all but one; a file's version is a digit or, for some, none.
+_NAMES_1B = f"""h AS (SELECT o_orderkey k, {_HOUR} AS hour FROM orders), f AS (SELECT DISTINCT hour, c, 'HXMT_1B_' || {_CODES}[c] || strftime(hour, '_%Y%m%dT%H') || '0000_G00' || lpad(CAST(k % 1000 AS VARCHAR), 7, '0') || CASE WHEN (k + c) % 11 = 0 THEN 'x' ELSE CAST((k + c) % 4 AS VARCHAR) END || '.fits' AS name FROM h, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) c) WHERE (k // 24 + c) % 7 <> 0)"""
 
 
 def _files_1b(s, d) -> DataFrame:
-    h, k = _hours(s, d), F.col("k")
-    code = F.element_at(F.array(*map(F.lit, archive.CODES_1B.values())), (F.floor(k / 2) % 6 + 1).cast("int"))
-    name = F.concat(F.lit("HXMT_1B_"), code, F.date_format("hour", "'_'yyyyMMdd'T'HH"), F.lit("0000_G00"), F.lpad((k % 1000).cast("string"), 7, "0"), F.when(k % 11 == 0, "x").otherwise((k % 4).cast("string")), F.lit(".fits"))
-    return archive.resolve_1b(h.select("hour").distinct(), _listed(h, F.concat(F.date_format("hour", "yyyy/yyyyMMdd/"), code), name))
+    h = _hours(s, d).withColumn("c", F.explode(F.expr("sequence(1, 6)")))
+    k, c = F.col("k"), F.col("c")
+    code = F.element_at(F.array(*map(F.lit, archive.CODES_1B.values())), c)
+    name = F.concat(F.lit("HXMT_1B_"), code, F.date_format("hour", "'_'yyyyMMdd'T'HH"), F.lit("0000_G00"), F.lpad((k % 1000).cast("string"), 7, "0"), F.when((k + c) % 11 == 0, "x").otherwise(((k + c) % 4).cast("string")), F.lit(".fits"))
+    there = h.where((F.floor(k / 24) + c) % 7 != 0)
+    return archive.resolve_1b(h.select("hour").distinct(), _listed(there, F.concat(F.date_format("hour", "yyyy/yyyyMMdd/"), code), name))
 
 
 @query(f"WITH {_NAMES_1B} SELECT strftime(hour, '%Y-%m-%d %H') AS hour, CASE WHEN c <= 3 THEN 'eng' ELSE 'sci' END kind, {_BOXES}[c] box, strftime(hour, '%Y/%Y%m%d/') || {_CODES}[c] || '/' || arg_min(name, (-CAST(substr(name, 40, 1) AS INTEGER), name)) AS file FROM f WHERE length(name) >= 40 AND substr(name, 40, 1) BETWEEN '0' AND '9' GROUP BY hour, c")
@@ -659,12 +709,12 @@ def resolved_1b(s, d):
     return _shown(_files_1b(s, d), "box")
 
 
-@query(f"WITH {_NAMES_1B}, n AS (SELECT hour, count(DISTINCT c) AS n FROM f WHERE substr(name, 40, 1) BETWEEN '0' AND '9' GROUP BY 1) SELECT strftime(h.hour, '%Y-%m-%d %H') AS hour, CASE WHEN coalesce(n, 0) < 2 THEN CAST(coalesce(n, 0) AS VARCHAR) || ' of 2 files' END AS message FROM (SELECT DISTINCT hour FROM h) h LEFT JOIN n ON n.hour = h.hour WHERE coalesce(n, 0) <= 2")
+@query(f"WITH {_NAMES_1B}, n AS (SELECT hour, count(DISTINCT c) AS n FROM f WHERE substr(name, 40, 1) BETWEEN '0' AND '9' GROUP BY 1) SELECT strftime(h.hour, '%Y-%m-%d %H') AS hour, CASE WHEN coalesce(n, 0) < 6 THEN CAST(coalesce(n, 0) AS VARCHAR) || ' of 6 files' END AS message FROM (SELECT DISTINCT hour FROM h) h LEFT JOIN n ON n.hour = h.hour")
 def complete_hours(s, d):
-    """Hours with the files asked for (two of the six here) and error rows for hours with fewer; none has more."""
+    """Every hour: whole if all six files are there, and else with its error."""
     hours = _hours(s, d).select("hour").distinct()
-    good, errors = archive.chunks(hours, _files_1b(s, d), 2)
-    both = good.select("hour", F.lit(None).cast("string").alias("message")).union(errors.where("message < '2'").select("hour", "message"))
+    good, errors = archive.chunks(hours, _files_1b(s, d), len(archive.CODES_1B))
+    both = good.select("hour", F.lit(None).cast("string").alias("message")).union(errors.select("hour", "message"))
     return both.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "message")
 
 

@@ -1,11 +1,14 @@
-"""FITS tables from bytes made by hand, pruned listings, and the sink of daily files."""
+"""FITS tables from bytes made by hand, pruned listings, the sink of daily files, and stored catalogues."""
 
 import os
 import struct
+import threading
 
 import pytest
 from pyspark.sql import functions as F
-from sparkburst.sources import archive, files, fits, signals
+from pyspark.sql import types as T
+from sparkburst.operators import catalog
+from sparkburst.sources import archive, files, fits, signals, store
 
 
 def header(*cards):
@@ -164,3 +167,88 @@ def test_days_are_published_whole_or_not_at_all(spark, tmp_path):
     assert sorted(str(p.relative_to(out)) for p in tmp_path.glob("data/**/*") if p.is_file()) == names
     signals.write_signals(days.where("day = '2024-02-01'"), some.limit(0), out)
     assert signals.read_signals(spark, out).count() == 0 and len(list(tmp_path.glob("data/**/*.json"))) == 3
+
+
+# ---- stored catalogues ----
+
+TASKS = "satellite string, detector string, time timestamp_ntz, status string, retry_times int"
+
+
+def tasks(spark, first, n, status="'Pending'"):
+    return spark.sql(f"SELECT 'HXMT' satellite, 'HE' detector, explode(sequence(TIMESTAMP_NTZ '{first}', TIMESTAMP_NTZ '{first}' + INTERVAL {n - 1} HOUR, INTERVAL 1 HOUR)) time, {status} status, 0 retry_times")
+
+
+def test_store_of_tasks(spark, tmp_path):
+    held = store.task_store(spark, str(tmp_path / "task"))
+    assert held.read().count() == 0 and held.versions() == []
+    assert store.insert_tasks(held, tasks(spark, "2024-01-30 00:00:00", 100)) == 1
+    assert store.insert_tasks(held, tasks(spark, "2024-02-01 10:00:00", 60, "'Failed'")) == 2  # some are there already
+    now = F.lit("2024-06-01").cast("timestamp_ntz")
+    assert held.read().count() == 118 and held.read().where("status = 'Failed'").count() == 18 and held.read(1).count() == 100
+    before = held.snapshot().months
+    assert store.reset_tasks(held, "Failed", now) == 3 and store.reset_tasks(held, "Failed", now) == 3  # nothing left: no version
+    assert held.read().where("status = 'Pending' AND retry_times = 1 AND updated_at = '2024-06-01'").count() == 18
+    after = held.snapshot().months
+    assert after["2024-01"] == before["2024-01"] and after["2024-02"] != before["2024-02"]  # January has no failed task: not written
+    a, b = store.claim_tasks(held, "a", 30, now), store.claim_tasks(held, "b", 30, now)
+    times = [sorted(r.time for r in x.collect()) for x in (a, b)]
+    assert [len(t) for t in times] == [30, 30] and times[0][-1] < times[1][0]
+    assert held.read().where("status = 'Running'").count() == 60 and held.read().count() == 118
+    held.vacuum(1)
+    assert held.versions() == [5] and held.read().count() == 118 and len(list((tmp_path / "task/data").glob("in_write=*"))) == len(set(held.snapshot().months.values()))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """A writer that finds its version taken starts again from the other's rows."""
+    held, calls = store.task_store(spark, str(tmp_path / "task")), []
+    store.insert_tasks(held, tasks(spark, "2024-01-01 00:00:00", 5))
+    first_read, other_done = threading.Event(), threading.Event()
+
+    def slow(table, fresh):
+        calls.append(table.count())
+        first_read.set()
+        assert other_done.wait(120)
+        return catalog.added(table, fresh, list(catalog.TASK_KEYS))
+
+    def run():
+        held.insert(catalog.conformed(tasks(spark, "2024-01-02 00:00:00", 5), catalog.TASK), slow)
+
+    worker = threading.Thread(target=run)
+    worker.start()
+    assert first_read.wait(120)
+    store.insert_tasks(store.task_store(spark, str(tmp_path / "task")), tasks(spark, "2024-01-03 00:00:00", 5))
+    other_done.set()
+    worker.join(120)
+    assert calls == [5, 10] and held.versions() == [1, 2, 3]
+    assert {r.time.day for r in held.read().collect()} == {1, 2, 3} and held.read().count() == 15
+    assert len(list((tmp_path / "task/data").glob("in_write=*"))) == 3  # the loser's files are gone
+    with pytest.raises(store.ConflictError):
+        busy = store.task_store(spark, str(tmp_path / "task"))
+        busy._add = lambda *_: False
+        busy.attempts = 2
+        store.insert_tasks(busy, tasks(spark, "2024-01-09 00:00:00", 1))
+
+
+def test_failed_writer_leaves_the_table(spark, tmp_path):
+    held = store.task_store(spark, str(tmp_path / "task"))
+    store.insert_tasks(held, tasks(spark, "2024-01-01 00:00:00", 5))
+    with pytest.raises(Exception, match="boom"):
+        held.update(F.col("status") == "Pending", lambda rows: rows.withColumn("status", F.raise_error(F.lit("boom")).cast("string")))
+    assert held.versions() == [1] and held.read().count() == 5
+
+
+def test_store_of_signals_prunes(spark, tmp_path):
+    held = store.signal_store(spark, str(tmp_path / "signal"))
+    rows = spark.range(4000).selectExpr("concat('i', id) id", "'HXMT' satellite", "'HE' detector", "date_format(timestamp_ntz'2023-01-01' + make_interval(0, 0, 0, 0, CAST(id * 3 AS INT), 0, 0), 'yyyy-MM-dd HH:mm:ss') start_full", "rpad('x', 300, 'y') events")
+    store.insert_signals(held, rows.where("id < 'i2'"))
+    store.insert_signals(held, rows)
+    again = rows.limit(1).selectExpr("'i77' id", "satellite", "detector", "'2029-01-01 00:00:00' start_full", "events")
+    version = store.insert_signals(held, again.union(again.selectExpr("CAST(NULL AS STRING)", "satellite", "detector", "CAST(NULL AS STRING)", "events")))
+    assert version == 3 and held.read().count() == 4001  # i77 is an id of another month; a row without keys stays
+    part = held.between("2023-03-05 00:00:00", "2023-03-20 23:00:00")
+    assert part.count() == 16 * 8 and part.columns == [f.name for f in T.StructType.fromDDL(catalog.SIGNAL)]
+    plan = part.select("id")._jdf.queryExecution().explainString(part.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    filters = {line.split(": ", 1)[0]: line for line in plan.split("\n") if "Filters: " in line}
+    assert "in_month" in filters["PartitionFilters"] and "GreaterThanOrEqual(start_full,2023-03-05 00:00:00)" in filters["PushedFilters"] and "LessThanOrEqual(start_full,2023-03-20 23:00:00)" in filters["PushedFilters"]
+    used = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
+    assert used and all("in_month=2023-03" in f for f in used) and len(used) < len(list((tmp_path / "signal/data").glob("**/*.parquet"))) / 5
