@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkburst.functions import poisson
 
@@ -80,19 +83,50 @@ def triggers(events: DataFrame, config: ScanConfig, chunk: str = "chunk", t: str
     return scored.select("chunk", "ti", "tj", "k", "mean", p.alias("p")).withColumn("fp", poisson.per_year(F.col("p"), seconds))
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """Touching triggers of a chunk as one candidate: its extent, extreme and best sub-intervals, and the best's figures."""
+def _islands(vision: float):
+    """Numbers the islands of triggers sorted by (chunk, ti, tj): a trigger joins if it begins by the island's stop and
+    `vision` times the longest of the island's bins and its own. What that bin is so far depends on where earlier islands
+    ended, so this is a fold in order; its state is three numbers, kept from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, stop, longest, island = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for c, ti, tj in zip(*(batch[x].to_pylist() for x in ("chunk", "ti", "tj")), strict=True):
+                if c != chunk:
+                    chunk, island = c, 0
+                joined = island > 0 and stop + max(longest, tj - ti) * vision >= ti
+                if joined:
+                    stop, longest = max(stop, tj), max(longest, tj - ti)
+                else:
+                    stop, longest, island = tj, tj - ti, island + 1
+                out.append(island)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "island"])
+
+    return run
+
+
+def merged(found: DataFrame, vision: float = 0.0) -> DataFrame:
+    """Touching triggers of a chunk as one candidate: its extent, extreme and best sub-intervals, and the best's figures.
+
+    With a vision above 0, triggers that begin within `vision` longest bins behind a candidate belong to it too; chunks are
+    then folded in order (see _islands), each in one task, as for the scan. Triggers of null chunks are dropped then.
+    """
     w = Window.partitionBy("chunk").orderBy("ti", "tj")
-    reach = F.max("tj").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("new", F.when(F.coalesce(reach < F.col("ti"), F.lit(True)), 1).otherwise(0))
-    islands = islands.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if vision > 0:
+        rows = found.select("chunk", "ti", "tj", "k", "mean", "p", "fp").where("chunk IS NOT NULL").repartition("chunk").sortWithinPartitions("chunk", "ti", "tj")
+        islands = rows.mapInArrow(_islands(vision), T.StructType([*rows.schema.fields, T.StructField("island", T.LongType())]))
+    else:
+        reach = F.max("tj").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        islands = found.withColumn("new", F.when(F.coalesce(reach < F.col("ti"), F.lit(True)), 1).otherwise(0))
+        islands = islands.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     best = F.min_by(F.struct("ti", "tj", "k", "mean", "p", "fp"), F.struct("fp", "ti", "tj"))
     out = islands.groupBy("chunk", "island").agg(F.min("ti").alias("start"), F.max("tj").alias("stop"), F.min(F.col("tj") - F.col("ti")).alias("bin_min"), F.max(F.col("tj") - F.col("ti")).alias("bin_max"), best.alias("b"))
     return out.select("chunk", "start", "stop", "bin_min", "bin_max", (F.col("b.tj") - F.col("b.ti")).alias("bin_best"), (F.col("b.ti") - F.col("start")).alias("delay"), F.col("b.k").alias("count"), F.col("b.mean").alias("mean"), F.col("b.p").alias("sf"), F.col("b.fp").alias("fp"))
 
 
-def search(events: DataFrame, config: ScanConfig, **columns: str) -> DataFrame:
-    return merged(triggers(events, config, **columns))
+def search(events: DataFrame, config: ScanConfig, vision: float = 0.0, **columns: str) -> DataFrame:
+    return merged(triggers(events, config, **columns), vision)
 
 
 def vetoed(candidates: DataFrame, interval: int, duration: int, count: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,20 @@ def burst_search(s, d):
     return found.select("chunk", "start", "stop", "bin_min", "bin_max", "bin_best", "delay", "count", r("mean").alias("mean"), r(F.log10("fp"), 6).alias("log_fp"))
 
 
+@query(f"""WITH RECURSIVE {_TRIGGERS}, ord AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY ti, tj) n FROM trig), sight AS (SELECT unnest([0.0, 0.5, 2.0])::DOUBLE vision),
+ fold AS (SELECT vision, chunk, n, tj reach, tj - ti longest, 1 island FROM ord, sight WHERE n = 1
+  UNION ALL SELECT vision, chunk, n, CASE WHEN joined THEN greatest(reach, tj) ELSE tj END, CASE WHEN joined THEN greatest(longest, tj - ti) ELSE tj - ti END, CASE WHEN joined THEN island ELSE island + 1 END
+  FROM (SELECT f.vision, f.reach, f.longest, f.island, o.chunk, o.n, o.ti, o.tj, f.reach + greatest(f.longest, o.tj - o.ti) * f.vision >= o.ti joined FROM fold f JOIN ord o ON o.chunk = f.chunk AND o.n = f.n + 1)),
+ best AS (SELECT f.vision, f.island, o.*, row_number() OVER (PARTITION BY f.vision, f.chunk, f.island ORDER BY fp, ti, tj) b FROM fold f JOIN ord o ON o.chunk = f.chunk AND o.n = f.n)
+ SELECT vision, chunk, min(ti) "start", max(tj) stop, min(tj - ti) bin_min, max(tj - ti) bin_max, max(tj - ti) FILTER (b = 1) bin_best, max(ti) FILTER (b = 1) - min(ti) delay, CAST(max(k) FILTER (b = 1) AS BIGINT) AS count FROM best GROUP BY vision, chunk, island""")
+def merged_with_vision(s, d):
+    """Triggers merged by sight of none, half and two longest bins."""
+    rows, config = _spanned(s, d)
+    found = scan.triggers(rows, config)
+    out = [scan.merged(found, v).withColumn("vision", F.lit(v)) for v in (0.0, 0.5, 2.0)]
+    return reduce(DataFrame.union, out).select("vision", "chunk", "start", "stop", "bin_min", "bin_max", "bin_best", "delay", "count")
+
+
 @query(f"""WITH {PHOTONS}, {_GAP}, c AS (SELECT mission chunk, t s, g FROM photons, cfg), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > g OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
  k AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY s ROWS UNBOUNDED PRECEDING) grp FROM m), b AS (SELECT *, max(s) OVER p - min(s) OVER p > 3 * g OR count(*) OVER p >= 4 bad FROM k WINDOW p AS (PARTITION BY chunk, grp)) SELECT chunk, s AS "start" FROM b WHERE NOT bad OR last""")
 def session_veto(s, d):
@@ -468,6 +483,44 @@ def power_law(s, d):
     return s.createDataFrame([(round(a, 4), round(b, 6), round(histogram.power_law_total(a, b, 10**-12.05, 3.16e11, 353), 2))], "a double, b double, total double")
 
 
+_EDGES = """ends AS (SELECT log10(min({x})) lo, {hi} hi FROM signals)"""
+_PLACED = "CAST(least(floor((log10({x}) - lo) / ((hi - lo) / {n})), {n} - 1) AS BIGINT)"
+
+
+@query(f"""WITH {SIGNALS}, {_EDGES.format(x='"count"', hi='log10(max("count"))')}, n AS (SELECT associated_lightning_count > 0 AS lit, {_PLACED.format(x='"count"', n=37)} bin, count(*) y FROM signals, ends GROUP BY 1, 2), i AS (SELECT unnest(range(0, 37)) bin)
+ SELECT i.bin, round(pow(10.0, lo + i.bin * ((hi - lo) / 37)), 6) AS "left", round(pow(10.0, lo + (i.bin + 1) * ((hi - lo) / 37)), 6) AS "right", CAST(coalesce((SELECT sum(y) FROM n WHERE n.bin = i.bin), 0) AS BIGINT) n_all, CAST(coalesce((SELECT sum(y) FROM n WHERE n.bin = i.bin AND lit), 0) AS BIGINT) n_lightning FROM i, ends""")
+def count_histograms(s, d):
+    """Counts of all and of associated signals in the bins between 38 edges from the least to the greatest count of all."""
+    x = signal_rows(s, d)
+    lit = x.where("associated_lightning_count > 0")
+    both = histogram.log_histogram(x, "count", 37).join(histogram.log_histogram(lit, "count", 37, edges_of=x).select("bin", F.col("count").alias("n_lightning")), "bin")
+    return both.select("bin", r("left", 6).alias("left"), r("right", 6).alias("right"), F.col("count").alias("n_all"), "n_lightning")
+
+
+_ZIP = "list_sum(list_transform(list_zip(xs, ys), lambda z: {}))"
+_A = f"({_ZIP.format('z[2] * pow(z[1], {m})')} / {_ZIP.format('pow(z[1], 2 * {m})')})"
+
+
+@query(f"""WITH RECURSIVE {SIGNALS}, {_EDGES.format(x="false_positive_per_year", hi="log10(20.0)")}, n AS (SELECT c % 4 g, {_PLACED.format(x="false_positive_per_year", n=200)} bin, count(*) y FROM signals, ends WHERE log10(false_positive_per_year) <= hi GROUP BY 1, 2),
+ b AS (SELECT g.g, i, (pow(10.0, lo + i * ((hi - lo) / 200)) + pow(10.0, lo + (i + 1) * ((hi - lo) / 200))) / 2 x, CAST(coalesce(y, 0) AS DOUBLE) y FROM (SELECT DISTINCT c % 4 g FROM signals) g CROSS JOIN (SELECT unnest(range(0, 200)) i) CROSS JOIN ends LEFT JOIN n ON n.g = g.g AND n.bin = i),
+ l AS (SELECT g, 1 part, list(x ORDER BY i) xs, list(y ORDER BY i) ys FROM b WHERE x > 1e-4 AND x < 20 GROUP BY g UNION ALL SELECT g, 2, list(x ORDER BY i), list(y ORDER BY i) FROM b WHERE x > 1e-50 AND x < 1e-8 GROUP BY g),
+ s AS (SELECT g, part, 0 k, -1.0::DOUBLE lo, 1.0::DOUBLE hi FROM l UNION ALL SELECT g, part, k + 1, CASE WHEN slope < 0 THEN m ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE m END FROM
+  (SELECT *, {_ZIP.format("(a * pow(z[1], m) - z[2]) * pow(z[1], m) * ln(z[1])")} slope FROM (SELECT *, {_A.format(m="m")} a FROM (SELECT s.g, s.part, s.k, s.lo, s.hi, (s.lo + s.hi) / 2 m, l.xs, l.ys FROM s JOIN l ON l.g = s.g AND l.part = s.part WHERE k < 60)))),
+ f AS (SELECT g, part, b, {_A.format(m="b")} a FROM (SELECT s.g, s.part, s.lo b, l.xs, l.ys FROM s JOIN l ON l.g = s.g AND l.part = s.part WHERE k = 60)),
+ w AS (SELECT f.g, a, b, lo, (log10(3.16e11) - lo) / m step, m FROM f, (SELECT lo, CAST(round(201 * (log10(3.16e11) - lo) / (hi - lo)) AS BIGINT) - 1 m FROM ends) WHERE part = 2)
+ SELECT f.g, round(f.a, 3) a_left, round(f.b, 5) b_left, round(w.a, 3) a_right, round(w.b, 5) b_right, round(w.a * list_sum(list_transform(range(0, w.m), lambda i: pow((pow(10.0, w.lo + i * w.step) + pow(10.0, w.lo + (i + 1) * w.step)) / 2, w.b))), 1) total FROM f JOIN w ON w.g = f.g WHERE f.part = 1""")
+def power_law_groups(s, d):
+    """For each of four groups the fit to its common signals, the one to its rare ones that begins there, and the sum of the
+    second over the extended range; 201 edges from the least rate of all. The SQL bisects the slope of each."""
+    x, rate = signal_rows(s, d).withColumn("g", F.col("c") % 4), "false_positive_per_year"
+    fits = histogram.chained_power_laws(histogram.log_histogram(x, rate, 200, high=20.0, keys=("g",)), ["g"], [(1e-4, 20.0), (1e-50, 1e-8)])
+    (low, high), far = histogram.log_edges(x, rate, high=20.0), F.lit(math.log10(3.16e11))
+    fits = fits.withColumns({"low": low, "n": F.round(201 * (far - low) / (high - low)).cast("int") - 1})
+    total = histogram.power_law_sum(F.col("fits")[1], F.col("low"), far, F.col("n"))
+    fit = lambda k, name, n: r(F.col("fits")[k][name], n)
+    return fits.select("g", fit(0, "a", 3).alias("a_left"), fit(0, "b", 5).alias("b_left"), fit(1, "a", 3).alias("a_right"), fit(1, "b", 5).alias("b_right"), r(total, 1).alias("total"))
+
+
 # ---- tasks -------------------------------------------------------------------------------------------------------------
 _TASKS = "tasks AS (SELECT 'HXMT' satellite, 'HE' detector, o_orderdate AS time, CASE o_orderstatus WHEN 'O' THEN 'Pending' WHEN 'F' THEN 'Failed' ELSE 'Running' END status, CAST(o_orderkey % 3 AS INTEGER) retry_times, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) n FROM orders), task AS (SELECT satellite, detector, time, status, retry_times FROM tasks WHERE n = 1)"
 
