@@ -14,7 +14,7 @@ LEAP_DAYS = (
     "1981-06-30", "1982-06-30", "1983-06-30", "1985-06-30", "1987-12-31", "1989-12-31", "1990-12-31", "1992-06-30", "1993-06-30",
     "1994-06-30", "1995-12-31", "1997-06-30", "1998-12-31", "2005-12-31", "2008-12-31", "2012-06-30", "2015-06-30", "2016-12-31",
 )
-SECOND = 1_000_000
+SECOND, NANO = 1_000_000, 1_000_000_000
 
 
 def micros(text: str) -> int:
@@ -55,3 +55,34 @@ def utc_from_met(met: Column, mission: Mission) -> Column:
     for t in mission.leaps:
         time = F.when(time >= t, time - SECOND).otherwise(time)
     return time
+
+
+def nanos_of_text(text: Column) -> Column:
+    """UTC nanoseconds (long) of a text like 2020-08-06T08:51:41.908577919Z with up to nine decimals, or null."""
+    parts = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?Z?$"
+    seconds = F.unix_seconds(F.try_to_timestamp(F.translate(F.regexp_extract(text, parts, 1), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")))
+    return seconds * NANO + F.rpad(F.regexp_extract(text, parts, 2), 9, "0").cast("long")
+
+
+def text_of_nanos(nanos: Column) -> Column:
+    """The text of UTC nanoseconds, with as few of 0, 3, 6 or 9 decimals as tell them."""
+    part = F.pmod(nanos, F.lit(NANO))
+    digits = F.lpad(part.cast("string"), 9, "0")
+    shown = F.when(part == 0, "").when(part % 1_000_000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 3))).when(part % 1000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 6))).otherwise(F.concat(F.lit("."), digits))
+    whole = F.timestamp_seconds(F.call_function("div", nanos - part, F.lit(NANO)))
+    return F.concat(F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss"), shown, F.lit("Z"))
+
+
+def met_of_nanos(utc_ns: Column, mission: Mission) -> Column:
+    """Elapsed seconds as an exact decimal(20,9) of UTC nanoseconds."""
+    passed = sum((F.when(utc_ns >= t * 1000, 1).otherwise(0) for t in mission.leaps), F.lit(0))
+    elapsed = (utc_ns - micros(mission.epoch) * 1000) + passed.cast("long") * NANO
+    return (elapsed.cast("decimal(20,0)") * F.lit("0.000000001").cast("decimal(10,9)")).cast("decimal(20,9)")
+
+
+def nanos_of_met(met: Column, mission: Mission) -> Column:
+    """UTC nanoseconds of elapsed seconds, exact for a decimal(20,9). A leap second itself falls on the second before."""
+    time = F.lit(micros(mission.epoch) * 1000) + (met.cast("decimal(20,9)") * F.lit(NANO).cast("decimal(10,0)")).cast("long")
+    for t in mission.leaps:
+        time = F.when(time >= t * 1000, time - NANO).otherwise(time)
+    return time

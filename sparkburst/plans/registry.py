@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkburst.functions import clock, geo, packets, poisson, solar
 from sparkburst.operators import catalog, histogram, lightning, saturation, scan, trajectory
 from sparkburst.operators import events as E
-from sparkburst.plans import search
+from sparkburst.plans import mission, search
 from sparkburst.sources import archive, fits, signals, store
 from sparkburst.sources import files as paths
 
@@ -327,6 +327,22 @@ def mission_clock(s, d):
     return x.select("id", r(met, 6).alias("met"), r(clock.met_from_utc(F.col("u"), clock.SVOM), 6).alias("met_svom"), clock.utc_from_met(met, clock.HXMT).alias("back"))
 
 
+_NANOS = "(epoch_us(ts) * 1000 + event_id * 7919 % 1000 * CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END)"
+
+
+@query(f"""WITH n AS (SELECT event_id id, {_NANOS} ns FROM events), p AS (SELECT *, ns % 1000000000 part FROM n)
+ SELECT id, ns, strftime(make_timestamp(ns // 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN part = 0 THEN '' WHEN part % 1000000 = 0 THEN '.' || substr(lpad(CAST(part AS VARCHAR), 9, '0'), 1, 3) WHEN part % 1000 = 0 THEN '.' || substr(lpad(CAST(part AS VARCHAR), 9, '0'), 1, 6) ELSE '.' || lpad(CAST(part AS VARCHAR), 9, '0') END || 'Z' AS text,
+ CAST((ns - {clock.micros(clock.HXMT.epoch)} * 1000) // 1000000000 + {len(clock.HXMT.leaps)} AS VARCHAR) || '.' || lpad(CAST(part AS VARCHAR), 9, '0') AS met, ns AS back FROM p""")
+def nanosecond_instants(s, d):
+    """Every event's instant with nanoseconds: to a text and back, to the mission's clock as an exact decimal and back."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    i = F.col("event_id")
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.when(i % 5 == 0, 0).otherwise(i * 7919 % 1000)
+    x = e.select(i.alias("id"), clock.text_of_nanos(ns).alias("text")).withColumn("ns", clock.nanos_of_text(F.col("text")))
+    met = clock.met_of_nanos(F.col("ns"), clock.HXMT)
+    return x.select("id", "ns", "text", met.cast("string").alias("met"), clock.nanos_of_met(met, clock.HXMT).alias("back"))
+
+
 @query(f"""WITH b AS (SELECT event_id, event_id * 2654435761 % 4294967296 hi, event_id * 40503 % 4294967296 lo, event_id % 3 kind FROM events), n AS (SELECT *, list_transform(range(0, 8), lambda i: hi // CAST(pow(16, 7 - i) AS BIGINT) % 16) || list_transform(range(0, 8), lambda i: lo // CAST(pow(16, 7 - i) AS BIGINT) % 16) d FROM b),
  c AS (SELECT *, {packets_fold_sql("d")} crc FROM n), v AS (SELECT *, CASE WHEN kind = 0 THEN d[16] ELSE crc END low FROM c),
  k AS (SELECT *, CASE WHEN crc <> low THEN 'error' WHEN d[15] % 4 IN (0, 2) THEN 'event' WHEN d[15] % 4 = 1 THEN 'second' ELSE 'error' END name, d[10] % 2 * 262144 + (d[11] * 16 + d[12]) * 1024 + (d[13] * 16 + d[14]) * 4 + d[15] // 4 tick FROM v)
@@ -662,22 +678,22 @@ def stored_tasks(s, d):
     return held.read().select("time", "status", "retry_times", F.substring_index("worker", "/", 1).alias("worker"))
 
 
-@query(f"WITH {PHOTONS}, e AS (SELECT event_id, event_type <> 0 acd, CASE WHEN pulse_width < 75 THEN 'NaI' ELSE 'CsI' END sc, channel, t - {START} off FROM photons) SELECT event_id % 97 AS id, round((off % 5000000) / 1000.0, 3) ms, channel, CASE WHEN sc = 'NaI' THEN 'triangle' ELSE 'circle' END marker, acd vetoed, channel >= 38 keep FROM e")
+@query(f"WITH {PHOTONS}, e AS (SELECT event_id, event_type <> 0 acd, CASE WHEN pulse_width < 75 THEN 'NaI' ELSE 'CsI' END sc, channel, t - {START} off FROM photons) SELECT event_id // 128 AS id, round((off % 5000000) / 1000.0, 3) ms, channel, CASE WHEN sc = 'NaI' THEN 'triangle' ELSE 'circle' END marker, acd vetoed, channel >= 38 keep FROM e")
 def event_details(s, d):
-    """Events of catalogue rows (97 of them) from their JSON texts."""
+    """Events of catalogue rows, 128 of them each, from their JSON texts."""
     p = photons(s, d)
     time = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     one = F.struct(time(F.lit(START) + (F.col("t") - START) % 5_000_000).alias("time"), "channel", (F.col("channel") >= 38).alias("keep"), F.struct(E.scintillator(F.col("pulse_width")).alias("scintillator"), (F.col("event_type") * 3).alias("acd")).alias("info"))
-    rows = p.groupBy((F.col("event_id") % 97).alias("id")).agg(F.to_json(F.collect_list(one)).alias("events")).withColumn("start_full", time(F.lit(START)))
+    rows = p.groupBy(F.floor(F.col("event_id") / 128).alias("id")).agg(F.to_json(F.collect_list(one)).alias("events")).withColumn("start_full", time(F.lit(START)))
     return catalog.detail_events(rows).withColumn("ms", r("ms", 3))
 
 
-@query("WITH x AS (SELECT event_id % 89 AS id, round((user_id * 7 % 360 - 180) / 4.0, 2) lon, round((user_id % 80 - 40) / 8.0, 3) lat FROM events WHERE event_type = 'purchase') SELECT id, lon, lat FROM x")
+@query("WITH x AS (SELECT event_id // 256 AS id, round((user_id * 7 % 360 - 180) / 4.0, 2) lon, round((user_id % 80 - 40) / 8.0, 3) lat FROM events WHERE event_type = 'purchase') SELECT id, lon, lat FROM x")
 def stroke_details(s, d):
     """Places of associated strokes from both shapes of a catalogue row's JSON."""
     e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'purchase'")
     stroke = F.struct(F.lit("2024-01-01 00:00:00").alias("time"), r((F.col("user_id") % 80 - 40) / 8.0, 3).alias("lat"), r((F.col("user_id") * 7 % 360 - 180) / 4.0, 2).alias("lon"))
-    rows = e.groupBy((F.col("event_id") % 89).alias("id")).agg(F.collect_list(stroke).alias("s"))
+    rows = e.groupBy(F.floor(F.col("event_id") / 256).alias("id")).agg(F.collect_list(stroke).alias("s"))
     named, listed = F.to_json(F.transform("s", lambda x: F.struct(x.alias("lightning"), F.lit(1.5).alias("distance")))), F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), F.to_json(x), F.lit(",1.5]"))), ","), F.lit("]"))
     text = rows.select("id", F.when(F.col("id") % 2 == 0, named).otherwise(listed).alias("lightnings"))
     return text.select("id", F.explode(catalog.stroke_places(F.col("lightnings"))).alias("p")).select("id", "p.lon", "p.lat")
@@ -885,6 +901,65 @@ def fits_science(s, d):
     return rows.select("file", "row", F.octet_length("ccsds").alias("size"), some.alias("bytes"))
 
 
+# ---- a mission's run -------------------------------------------------------------------------------------------------
+#: Two thousand events make an hour of a mission that has four bursts of twelve; of every five hours one has no orbit file and one
+#: an attitude file that can't be read. Nodes of attitude and orbit lie on a line, so that SQL needs no as-of join.
+_RUN_HOUR, _RUN_NODES = "2024-07-01T00:00:00", (-64, 1984, 4032)
+_RUN = f"""run AS (SELECT event_id // 2000 h, CASE WHEN event_id % 500 < 12 THEN 10000000 + (event_id % 2000 - event_id % 500) * 1000 + event_id % 500 * 20 ELSE 10000000 + event_id % 2000 * 1000 + event_id * 7919 % 997 END rel FROM events),
+ stretch AS (SELECT h chunk, rel t, 0 low, CAST(3600000000 AS BIGINT) high, 0 g FROM run WHERE h % 5 < 3), ev AS (SELECT chunk, low, high, g, t,""" + _TRIGGERS.split("high, g, t,", 1)[1].replace("200 * g", "500000").replace("8 * g", "5000").replace("4 * a.g", "1000").replace("a.rn + 1 >= 5", "a.rn + 1 >= 8").replace("p < 1e-3 * (tj - ti) / (4.0 * g)", f"p * {poisson.YEAR_S} / ((tj - ti) / 1e6) < 20")
+
+
+@query(f"""WITH {_RUN}, {_MERGED}, hours AS (SELECT unnest(range(0, (SELECT max(event_id) // 2000 FROM events) + 3)) h), there AS (SELECT DISTINCT h FROM run)
+ SELECT chunk h, 'signal' AS what, NULL AS message, "start", stop, bin_best, CAST("count" AS BIGINT) AS count, round((("start" + bin_best // 2) / 1e6 + 64) / 8192, 9) q1, round((("start" + bin_best // 2) / 1e6 + 64) / 128, 6) longitude FROM cand
+ UNION ALL SELECT h, CASE WHEN h % 5 = 4 AND h IN (SELECT h FROM there) THEN 'Unreadable' ELSE 'FileNotFound' END, CASE WHEN h NOT IN (SELECT h FROM there) THEN '0 of 3 files' WHEN h % 5 = 3 THEN '2 of 3 files' END, NULL, NULL, NULL, NULL, NULL, NULL FROM hours WHERE h % 5 >= 3 OR h NOT IN (SELECT h FROM there)""")
+def svom_run(s, d):
+    """Hours of an archive of FITS files to signals and errors: listing, resolving, reading, searching and locating."""
+    base = clock.micros(_RUN_HOUR) // 10**6
+    zero, root, i = base - clock.micros(clock.SVOM.epoch) // 10**6, paths.new_folder(s, "archive"), F.col("event_id")
+    rel = F.when(i % 500 < 12, 10_000_000 + (i % 2000 - i % 500) * 1000 + i % 500 * 20).otherwise(10_000_000 + i % 2000 * 1000 + i * 7919 % 997)
+    e = s.read.parquet(f"{d}/events.parquet").select(F.floor(i / 2000).alias("h"), rel.alias("rel"), (i % 3).alias("det"))
+    hour = F.timestamp_seconds(F.lit(base) + F.col("h") * 3600)
+    named = lambda folder, stem: F.concat(F.date_format(hour, "yyyy/MM/dd/"), F.lit(f"{folder}/{stem}_"), F.date_format(hour, "yyMMdd_HH"), F.lit("_v01.fits"))
+
+    def events(key: tuple, found: pa.Table) -> pa.Table:
+        h, part, det = key[0].as_py().rsplit("@", 1)[1], found.sort_by("rel"), found.sort_by("rel")["det"].to_numpy()
+        met = zero + int(h) * 3600 + part["rel"].to_numpy() / 1e6
+        cols = lambda t: [("TIME", "D", t), *((c, form, np.zeros(len(t))) for c, form in (("PI", "I"), ("GAIN_TYPE", "I"), ("DEAD_TIME", "E"), ("EVT_TYPE", "I"), ("ANTI_COIN", "I"), ("FLAG", "I")))]
+        content = fits.encoded([(name, cols(met[det == k])) for k, name in enumerate(fits.SVOM_DETECTORS)])
+        return pa.table({"path": [key[0].as_py().rsplit("@", 1)[0]], "content": [content]})
+
+    def lines(batches):
+        for batch in batches:
+            for h, attitude, orbit in zip(*(batch[c].to_pylist() for c in ("h", "attitude", "orbit")), strict=True):
+                nodes = zero + h * 3600 + np.array(_RUN_NODES, float)
+                line = lambda step: np.arange(3) * step
+                q = fits.encoded([("Quaternion", [("TIME", "D", nodes), *((f"Q{k}", "E", line(0.25 if k == 0 else 0.5)) for k in range(4))])])
+                made = [(attitude, b"unreadable" if h % 5 == 4 else q)]
+                if h % 5 != 3:
+                    made.append((orbit, fits.encoded([("ORB", [("TIME", "D", nodes), ("LON", "E", line(16.0)), ("LAT", "E", line(8.0)), ("ALT", "E", line(1.0))])])))
+                yield pa.RecordBatch.from_pylist([{"path": p, "content": c} for p, c in made])
+
+    keyed = e.withColumn("path", F.concat(named("grm_evt", "svom_grm_evt"), F.lit("@"), F.col("h").cast("string")))
+    fits.written(keyed.groupBy("path").applyInArrow(events, "path string, content binary"), root)
+    other = e.select("h").distinct().select("h", named("att", "svom_att").alias("attitude"), named("orb", "svom_orb").alias("orbit"))
+    fits.written(other.mapInArrow(lines, "path string, content binary"), root)
+    last = e.agg(F.max("h")).first()[0] + 2
+    hours = s.range(last + 1).select(F.timestamp_seconds(F.lit(base) + F.col("id") * 3600).alias("hour"))
+    key = archive.CONF["SVOM"]
+    before = s.conf.get(key, None)
+    s.conf.set(key, root)
+    try:
+        found, errors = mission.run_mission(s, clock.SVOM, hours, paths.new_folder(s, "work"))
+    finally:
+        s.conf.unset(key) if before is None else s.conf.set(key, before)
+    micros = lambda c: F.round((F.col(c) - zero) * 1e6).cast("long")
+    start, h = micros("start.time"), F.floor((F.col("start.time") - zero) / 3600)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    shown = found.select(h.alias("h"), F.lit("signal").alias("what"), *none("string", "message"), (start - h * 3_600_000_000).alias("start"), (micros("stop.time") - h * 3_600_000_000).alias("stop"), F.round(F.col("bin_size_best") * 1e6).cast("long").alias("bin_best"), "count", r("attitude.q1", 9).alias("q1"), r("position.longitude", 6).alias("longitude"))
+    wrong = errors.select(((F.unix_seconds("hour") - base) / 3600).cast("long").alias("h"), F.col("kind").alias("what"), F.when(F.col("kind") == "FileNotFound", F.col("message")).alias("message"), *none("long", "start", "stop", "bin_best", "count"), *none("double", "q1", "longitude"))
+    return shown.union(wrong)
+
+
 # ---- saturation --------------------------------------------------------------------------------------------------------
 #: Every event is a science packet: ten a second of each of three boxes in two chunks; a packet's three good records tell
 #: where in its second it lies, and the second's first one bears the clock mark, which box B loses every eleventh second.

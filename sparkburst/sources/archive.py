@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 from functools import reduce
 
 import pyarrow as pa
@@ -133,8 +134,32 @@ def signal_days(days: DataFrame, signals: DataFrame) -> DataFrame:
     return days.join(rows, keys, "left").select(*keys, F.coalesce("__signals", empty).alias("signals"))
 
 
-def read_strokes(spark: SparkSession, path: str) -> DataFrame:
-    """Lightning strokes of a Parquet table, or of a JDBC url's table `lightning`."""
+def time_slices(column: str, first: str, last: str, n: int) -> list[str]:
+    """SQL conditions that cut first <= column <= last, texts with microseconds, into n ranges of time."""
+    low, high = datetime.fromisoformat(first), datetime.fromisoformat(last)
+    cuts = [first, *(f"{low + (high - low) * k / n:%Y-%m-%d %H:%M:%S.%f}" for k in range(1, n))]
+    return [f"{column} >= '{a}' AND {column} " + (f"< '{b}'" if b else f"<= '{last}'") for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+
+
+def read_by_time(spark: SparkSession, url: str, table: str, column: str, first: str, last: str, slices: int = 16) -> DataFrame:
+    """Rows of a database's table with first <= column <= last, read by `slices` connections, each with its own range of
+    time in its query, so that no task reads the whole table and rows outside never leave the database."""
+    return spark.read.jdbc(url, table, predicates=time_slices(column, first, last, slices))
+
+
+def read_strokes(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, slices: int = 16) -> DataFrame:
+    """Lightning strokes of a Parquet table, or of a JDBC url's table `lightning`, between two times (texts) if they are given.
+
+    A database is asked with a condition on the time for each of `slices` tasks; without bounds it has to be asked whole, by one.
+    """
     if path.startswith("jdbc:"):
+        if first and last:
+            return read_by_time(spark, path, "lightning", "time", first, last, slices)
         return spark.read.format("jdbc").option("url", path).option("dbtable", "lightning").load()
-    return spark.read.schema(T.StructType.fromDDL(STROKES)).parquet(path)
+    rows = spark.read.schema(T.StructType.fromDDL(STROKES)).parquet(path)
+    return rows.where(F.col("time").between(first, last)) if first and last else rows
+
+
+def read_catalogue(spark: SparkSession, url: str, first: str, last: str, slices: int = 16) -> DataFrame:
+    """Rows of a JDBC url's table `signal` whose start_full lies between two texts."""
+    return read_by_time(spark, url, "signal", "start_full", first, last, slices)

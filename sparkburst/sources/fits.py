@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -337,7 +338,7 @@ def written(contents: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
 
     made = contents.select("path", "content").mapInArrow(run, "path string")
-    kept = f"{folder}.paths"
+    kept = f"{folder}/.paths-{uuid.uuid4().hex}"
     made.write.parquet(kept)
     return contents.sparkSession.read.schema("path string").parquet(kept)
 

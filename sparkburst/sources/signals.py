@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,5 +95,6 @@ def write_signals(days: DataFrame, signals: DataFrame, path: str) -> None:
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
     """Signals of day files below a path, with the mission and day (yyyyMMdd) of their names; days without signals give no rows."""
     rows = spark.read.schema(T.StructType.fromDDL(SIGNAL_JSON)).option("recursiveFileLookup", "true").option("pathGlobFilter", "*_signals.json").json(path, multiLine=True)
-    parts = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/\d{4}/\d{2}/(\d{8})_signals\.json$", 1), F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{8})_signals\.json$", 1)
-    return rows.select("*", parts[0].alias("mission"), parts[1].alias("date"))
+    below = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", path.rstrip("/")))
+    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), rf"{below}/(.+)/\d{{4}}/\d{{2}}/(\d{{8}})_signals\.json$", k)
+    return rows.select("*", part(1).alias("mission"), part(2).alias("date"))

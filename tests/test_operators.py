@@ -172,6 +172,21 @@ def test_fits(spark, tmp_path):
     assert fits.svom_events(fits.load(spark, [])).count() == 0
 
 
+def test_instants_with_nanoseconds(spark):
+    """The known instants go both ways unchanged, also around a leap second and before an epoch."""
+    known = ["2022-10-07T15:01:48.278494Z", "2020-08-06T08:51:41.908577919Z", "2020-11-12T14:37:04.004140019Z", "2024-06-26T01:35:07.999054014Z", "2018-08-26T12:31:59.217Z", "2017-06-27T14:08:39.627Z", "2016-12-31T23:59:59.999999999Z", "2017-01-01T00:00:00Z", "1970-01-01T00:00:00.000000001Z", "1969-12-31T23:59:59.999999999Z", "2100-01-01T00:00:00.5Z"]
+    df = spark.createDataFrame([(t,) for t in [*known, None, "soon", "2020-13-01T00:00:00Z"]], "t string").withColumn("ns", clock.nanos_of_text(F.col("t")))
+    for mission in (clock.HXMT, clock.SVOM):
+        met = clock.met_of_nanos(F.col("ns"), mission)
+        got = df.select("t", "ns", met.alias("met"), clock.nanos_of_met(met, mission).alias("back"), clock.text_of_nanos(F.col("ns")).alias("text")).collect()
+        assert all(r.ns is None for r in got[len(known):])
+        for r in got[: len(known)]:
+            assert r.back == r.ns and r.text == r.t.replace(".5Z", ".500Z")
+    by = {r.t: (r.ns, r.met) for r in df.select("t", "ns", clock.met_of_nanos(F.col("ns"), clock.HXMT).alias("met")).collect()}
+    assert by[known[1]][0] == clock.micros("2020-08-06T08:51:41") * 1000 + 908577919 and str(by[known[4]][1]) == "209910722.217000000"
+    assert str(by[known[6]][1]) == "157852801.999999999" and str(by[known[7]][1]) == "157852803.000000000"
+
+
 def test_resolvers(spark):
     hours = spark.sql("SELECT TIMESTAMP '2017-08-24 10:00:00' AS hour")
     folder = "Y201708/20170824-0071"

@@ -252,3 +252,21 @@ def test_store_of_signals_prunes(spark, tmp_path):
     assert "in_month" in filters["PartitionFilters"] and "GreaterThanOrEqual(start_full,2023-03-05 00:00:00)" in filters["PushedFilters"] and "LessThanOrEqual(start_full,2023-03-20 23:00:00)" in filters["PushedFilters"]
     used = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
     assert used and all("in_month=2023-03" in f for f in used) and len(used) < len(list((tmp_path / "signal/data").glob("**/*.parquet"))) / 5
+
+
+def test_database_is_read_by_slices_of_time(spark):
+    """Derby stands for the database; each task asks for its own range."""
+    url = "jdbc:derby:memory:strokes;create=true"
+    rows = [(f"2024-01-{1 + k // 50:02d} {k % 24:02d}:00:00.{k:06d}", 1.0 * k, 2.0, 0.5, 7, None, None, None) for k in range(500)]
+    made = spark.createDataFrame(rows, archive.STROKES).withColumnRenamed("time", "TIME")
+    made.write.jdbc(url, "lightning", mode="overwrite", properties={"createTableColumnTypes": "TIME VARCHAR(32)"})
+    first, last = "2024-01-03 00:00:00.000000", "2024-01-05 05:00:00.000204"
+    want = sorted(r[1] for r in rows if first <= r[0] <= last)
+    slices = archive.time_slices("TIME", first, last, 5)
+    assert len(slices) == 5 and slices[0].startswith(f"TIME >= '{first}'") and slices[-1].endswith(f"<= '{last}'")
+    found = archive.read_by_time(spark, url, "lightning", "TIME", first, last, 5)
+    assert found.rdd.getNumPartitions() == 5 and sorted(r.lat for r in found.collect()) == want and want
+    assert "numPartitions=5" in found._jdf.queryExecution().executedPlan().toString()
+    near = found.where("TIME >= '2024-01-04'").select("lat")
+    assert "GreaterThanOrEqual(TIME,2024-01-04)" in near._jdf.queryExecution().executedPlan().toString()
+    assert archive.read_strokes(spark, url).count() == 500
