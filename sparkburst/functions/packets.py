@@ -16,12 +16,23 @@ CRC4 = (0, 3, 6, 5, 12, 15, 10, 9, 11, 8, 13, 14, 7, 4, 1, 2)
 TICK_S = 2e-6
 
 
+def word(data: Column, place: int, n: int = 4) -> Column:
+    """n bytes (seven at most) from number `place` (from 0) of a binary column, the first one highest, as a long."""
+    return F.conv(F.hex(F.substring(data, place + 1, n)), 16, 10).cast("long")
+
+
 def byte(data: Column, place: int | Column) -> Column:
     """Byte number `place` (from 0) of a binary column, as a long."""
     place = F.lit(place) if isinstance(place, int) else place
     return F.conv(F.hex(F.substring(data, place + 1, F.lit(1))), 16, 10).cast("long")
 
 
+def swapped(value: Column) -> Column:
+    """Four bytes in reverse order."""
+    part = lambda k: F.shiftright(value, 8 * k).bitwiseAND(255)
+    return part(0) * 16_777_216 + part(1) * 65_536 + part(2) * 256 + part(3)
+
+
 def crc4(data: Column) -> Column:
     """Remainder of the first 15 of the 16 half-bytes of 8 bytes."""
     table, places = F.array(*map(F.lit, CRC4)), F.array(*map(F.lit, range(1, 16)))
@@ -35,22 +46,22 @@ def crc4(data: Column) -> Column:
 
 def bus_time(data: Column) -> Column:
     """Seconds in the last four of six bytes, little end first, without the top bit."""
-    return byte(data, 5).bitwiseAND(127) * 16_777_216 + byte(data, 4) * 65_536 + byte(data, 3) * 256 + byte(data, 2)
+    return swapped(word(data, 2)).bitwiseAND(0x7FFFFFFF)
 
 
 def packet_utc(data: Column) -> Column:
     """Seconds in bytes 878 to 881, little end first."""
-    return byte(data, 881) * 16_777_216 + byte(data, 880) * 65_536 + byte(data, 879) * 256 + byte(data, 878)
+    return swapped(word(data, 878))
 
 
 def record(data: Column) -> Column:
     """struct(kind, stime, ptime) of an 8-byte record: event, second (a clock mark) or error (bad type bits or remainder)."""
-    last = byte(data, 7)
-    type_ = last.bitwiseAND(0x30)
-    ok = crc4(data) == last.bitwiseAND(0x0F)
+    low = word(data, 4)
+    type_ = low.bitwiseAND(0x30)
+    ok = crc4(data) == low.bitwiseAND(0x0F)
     kind = F.when(ok & type_.isin(0x00, 0x20), "event").when(ok & (type_ == 0x10), "second").otherwise("error")
-    ptime = byte(data, 4).bitwiseAND(1) * 262_144 + byte(data, 5) * 1024 + byte(data, 6) * 4 + F.shiftright(last, 6)
-    stime = byte(data, 0) * 16_777_216 + byte(data, 1) * 65_536 + byte(data, 2) * 256 + byte(data, 3)
+    ptime = F.shiftright(low, 6).bitwiseAND(0x7FFFF)
+    stime = word(data, 0)
     return F.struct(kind.alias("kind"), F.when(kind == "second", stime).alias("stime"), F.when(kind != "error", ptime).alias("ptime"))
 
 

@@ -24,10 +24,11 @@ def pivots(candidates: DataFrame, engineering: DataFrame) -> DataFrame:
     """(id, chunk, box, stamp, pivot): the box's clock at the rounded second, read directly or else after repair; null if neither."""
     boxes = engineering.select("chunk", "box").distinct()
     asked = candidates.select("id", "chunk", F.round("met").cast("long").alias("stamp")).join(boxes, "chunk")
-    rows = clock_rows(engineering)
-    exact = rows.groupBy("chunk", "box", F.col("bus_time").alias("stamp")).agg(F.min_by("stime", "row").alias("exact"))
-    fixed = rows.groupBy("chunk", "box", F.col("repaired").alias("stamp")).agg(F.min_by("stime", "row").alias("fixed"))
-    return asked.join(exact, ["chunk", "box", "stamp"], "left").join(fixed, ["chunk", "box", "stamp"], "left").select("id", "chunk", "box", "stamp", F.coalesce("exact", "fixed").cast("long").alias("pivot"))
+    stamps = F.array(F.struct(F.col("bus_time").alias("stamp"), F.lit(True).alias("direct")), F.struct(F.col("repaired").alias("stamp"), F.lit(False).alias("direct")))
+    rows = clock_rows(engineering).select("chunk", "box", "row", "stime", F.explode(stamps).alias("s"))
+    first = lambda direct: F.min(F.when(F.col("s.direct") == direct, F.struct("row", "stime")))["stime"]
+    times = rows.groupBy("chunk", "box", F.col("s.stamp").alias("stamp")).agg(F.coalesce(first(True), first(False)).cast("long").alias("pivot"))
+    return asked.join(times, ["chunk", "box", "stamp"], "left").select("id", "chunk", "box", "stamp", "pivot")
 
 
 def saturated_boxes(candidates: DataFrame, engineering: DataFrame, science: DataFrame) -> DataFrame:

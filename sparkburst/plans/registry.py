@@ -159,13 +159,14 @@ def merged_with_vision(s, d):
     return reduce(DataFrame.union, out).select("vision", "chunk", "start", "stop", "bin_min", "bin_max", "bin_best", "delay", "count")
 
 
-@query(f"""WITH {PHOTONS}, {_GAP}, c AS (SELECT mission chunk, t s, g FROM photons, cfg), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > g OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
+@query(f"""WITH {PHOTONS}, {_GAP}, c AS (SELECT chunk, t s, g FROM stretch), m AS (SELECT *, CASE WHEN s - lag(s) OVER w > g OR lead(s) OVER w IS NULL THEN 1 ELSE 0 END cut, lead(s) OVER w IS NULL last FROM c WINDOW w AS (PARTITION BY chunk ORDER BY s)),
  k AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY s ROWS UNBOUNDED PRECEDING) grp FROM m), b AS (SELECT *, max(s) OVER p - min(s) OVER p > 3 * g OR count(*) OVER p >= 4 bad FROM k WINDOW p AS (PARTITION BY chunk, grp)) SELECT chunk, s AS "start" FROM b WHERE NOT bad OR last""")
 def session_veto(s, d):
     """Every event is a candidate; sessions end at gaps above the mean."""
     p = photons(s, d)
-    gap = _config(p).max_duration // 4
-    return scan.vetoed(p.select(F.col("mission").alias("chunk"), F.col("t").alias("start")), gap, 3 * gap, 4)
+    config = _config(p)
+    gap = config.max_duration // 4
+    return scan.vetoed(p.select(_chunk(config)[0].alias("chunk"), F.col("t").alias("start")), gap, 3 * gap, 4)
 
 
 _BUCKET = 21_600_000_000
@@ -177,9 +178,8 @@ def _path_sql(chunk: str, source: str = "photons") -> str:
     return f"path AS (SELECT chunk, t, {_STATE} FROM (SELECT {chunk} chunk, t, user_id, value, event_id, row_number() OVER (PARTITION BY {chunk}, t // {_BUCKET} ORDER BY t, event_id) o FROM {source}) WHERE o = 1)"
 
 
-def _orbit(p: DataFrame, chunk=None) -> DataFrame:
-    """The trajectory: one row per chunk (the mission, if not told) and six hours, from the bucket's first event."""
-    chunk = F.col("mission") if chunk is None else chunk
+def _orbit(p: DataFrame, chunk) -> DataFrame:
+    """The trajectory: one row per chunk and six hours, from the bucket's first event."""
     first = p.groupBy(chunk.alias("chunk"), F.floor(F.col("t") / _BUCKET)).agg(F.min(F.struct("t", "event_id", "user_id", "value")).alias("e"))
     user, event = F.col("e.user_id"), F.col("e.event_id")
     return first.select("chunk", "e.t", ((user * 7) % 360 - 180).cast("double").alias("longitude"), (user % 80 - 40).cast("double").alias("latitude"), (F.lit(500000) + F.col("e.value")).alias("altitude"), ((user % 16) / 16.0).alias("q1"), ((user % 32) / 32.0).alias("q2"), ((event % 64) / 64.0).alias("q3"))
@@ -199,17 +199,19 @@ def _rounded() -> list:
     return [r(F.col(v), 4 if v == "altitude" else 6).alias(v) for v in _VALUES]
 
 
-@query(f"WITH {PHOTONS}, {_path_sql('mission')}, pts AS (SELECT event_id id, mission chunk, t + 1 AS moment FROM photons), {_hit_sql('pts', 'p.id')} SELECT id, {_ROUNDED} FROM hit")
+@query(f"WITH {PHOTONS}, {_GAP}, {_path_sql('chunk', 'stretch')}, pts AS (SELECT event_id id, chunk, t + 1 AS moment FROM stretch), {_hit_sql('pts', 'p.id')} SELECT id, {_ROUNDED} FROM hit")
 def interpolated_positions(s, d):
-    """Positions and attitudes at every event, from the whole trajectory."""
+    """Positions and attitudes at every event, from the whole trajectory of its chunk."""
     p = photons(s, d)
-    points = p.select(F.col("event_id").alias("id"), F.col("mission").alias("chunk"), (F.col("t") + 1).alias("at"))
-    return trajectory.interpolated(points, _orbit(p), _VALUES).select("id", *_rounded())
+    chunk = _chunk(_config(p))[0]
+    points = p.select(F.col("event_id").alias("id"), chunk.alias("chunk"), (F.col("t") + 1).alias("at"))
+    return trajectory.interpolated(points, _orbit(p, chunk), _VALUES).select("id", *_rounded())
 
 
-@query(f"WITH {PHOTONS}, {_path_sql('mission')} SELECT chunk, t, longitude FROM path WHERE t BETWEEN {START + 10 * DAY_US} AND {START + 12 * DAY_US}")
+@query(f"WITH {PHOTONS}, {_GAP}, {_path_sql('chunk', 'stretch')} SELECT chunk, t, longitude FROM path WHERE t BETWEEN {START + 10 * DAY_US} AND {START + 12 * DAY_US}")
 def trajectory_window(s, d):
-    return trajectory.window(_orbit(photons(s, d)), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
+    p = photons(s, d)
+    return trajectory.window(_orbit(p, _chunk(_config(p))[0]), START + 11 * DAY_US, DAY_US).select("chunk", "t", "longitude")
 
 
 @query(f"""WITH {_TRIGGERS}, {_MERGED}, {_path_sql("chunk", "stretch")}, m AS (SELECT *, CASE WHEN "start" - lag("start") OVER w > 36000000000 OR lead("start") OVER w IS NULL THEN 1 ELSE 0 END cut, lead("start") OVER w IS NULL last FROM cand WINDOW w AS (PARTITION BY chunk ORDER BY "start")),
@@ -239,11 +241,12 @@ def events_around(s, d):
     return E.around(photons(s, d), "t", START + 9 * DAY_US, DAY_US // 4).select("event_id", F.col("offset").alias("offset_us"))
 
 
-@query(f"WITH {PHOTONS} SELECT t, CAST(user_id % 3 + 1 AS INTEGER) det_id, row_number() OVER (PARTITION BY mission ORDER BY t, user_id % 3) AS place FROM photons")
+@query(f"WITH {PHOTONS}, {_GAP} SELECT t, CAST(user_id % 3 + 1 AS INTEGER) det_id, row_number() OVER (PARTITION BY chunk ORDER BY t, user_id % 3) AS place FROM stretch")
 def merged_streams(s, d):
     p = photons(s, d)
-    both = E.merged_streams([p.where(F.col("user_id") % 3 == k).select("t", "mission") for k in range(3)])
-    return both.select("t", "det_id", F.row_number().over(Window.partitionBy("mission").orderBy("t", "det_id")).cast("long").alias("place"))
+    chunk = _chunk(_config(p))[0].alias("chunk")
+    both = E.merged_streams([p.where(F.col("user_id") % 3 == k).select("t", chunk) for k in range(3)])
+    return both.select("t", "det_id", F.row_number().over(Window.partitionBy("chunk").orderBy("t", "det_id")).cast("long").alias("place"))
 
 
 @query(f"WITH {PHOTONS} SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k FROM photons")
@@ -961,12 +964,12 @@ def svom_run(s, d):
 
 
 # ---- saturation --------------------------------------------------------------------------------------------------------
-#: Every event is a science packet: ten a second of each of three boxes in two chunks; a packet's three good records tell
+#: Every event is a science packet: ten a second of each of three boxes in two chunks of ten minutes; a packet's three good records tell
 #: where in its second it lies, and the second's first one bears the clock mark, which box B loses every eleventh second.
-_PACKS = """pk AS (SELECT event_id, event_id // 60 + 1000 sec, event_id % 3 b, event_id // 3 % 2 chunk, event_id % 60 // 6 q, event_id * 7919 % 3470 w FROM events)"""
-_ENG = """eng AS (SELECT chunk, b, sec AS row, sec - 500 stime, CASE WHEN sec % 29 = 0 AND chunk = 1 THEN 0 WHEN sec % 17 IN (3, 4) THEN sec - sec % 17 + 2 ELSE sec END bus FROM pk WHERE q = 0),
+_PACKS = """pk AS (SELECT event_id, event_id // 60 + 1000 sec, event_id % 3 b, event_id // 36000 * 2 + event_id // 3 % 2 chunk, event_id % 60 // 6 q, event_id * 7919 % 3470 w FROM events)"""
+_ENG = """eng AS (SELECT chunk, b, sec AS row, sec - 500 stime, CASE WHEN sec % 29 = 0 AND chunk % 2 = 1 THEN 0 WHEN sec % 17 IN (3, 4) THEN sec - sec % 17 + 2 ELSE sec END bus FROM pk WHERE q = 0),
  clk AS (SELECT *, first(bus) OVER (PARTITION BY chunk, b, run ORDER BY row) + row_number() OVER (PARTITION BY chunk, b, run ORDER BY row) - 1 repaired FROM (SELECT *, sum(moved) OVER (PARTITION BY chunk, b ORDER BY row ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, CASE WHEN bus = lag(bus) OVER (PARTITION BY chunk, b ORDER BY row) THEN 0 ELSE 1 END moved FROM eng)))"""
-_PIVOTS = """cand AS (SELECT event_id id, event_id // 3 % 2 chunk, CAST(round(event_id // 60 + 1000 + event_id % 10 / 10.0 + 0.03) AS BIGINT) stamp FROM events WHERE event_type = 'purchase'), boxes AS (SELECT DISTINCT chunk, b FROM eng),
+_PIVOTS = """cand AS (SELECT event_id id, event_id // 36000 * 2 + event_id // 3 % 2 chunk, CAST(round(event_id // 60 + 1000 + event_id % 10 / 10.0 + 0.03) AS BIGINT) stamp FROM events WHERE event_type = 'purchase'), boxes AS (SELECT DISTINCT chunk, b FROM eng),
  piv AS (SELECT id, cand.chunk, boxes.b, stamp, coalesce((SELECT arg_min(stime, row) FROM clk WHERE clk.chunk = cand.chunk AND clk.b = boxes.b AND bus = stamp), (SELECT arg_min(stime, row) FROM clk WHERE clk.chunk = cand.chunk AND clk.b = boxes.b AND repaired = stamp)) "pivot" FROM cand JOIN boxes ON boxes.chunk = cand.chunk)"""
 _WIDE = """near AS (SELECT id, piv.b, "pivot", pk.*, row_number() OVER (PARTITION BY id, piv.b ORDER BY event_id) pack, CASE WHEN q = 0 AND NOT (piv.b = 1 AND sec % 11 = 0) THEN sec - 500 END mark FROM piv JOIN pk ON pk.chunk = piv.chunk AND pk.b = piv.b AND sec BETWEEN stamp - 2 AND stamp + 2 WHERE "pivot" IS NOT NULL),
  span AS (SELECT * FROM (SELECT *, max(pack) FILTER (mark = "pivot" - 1) OVER (PARTITION BY id, b) f, max(pack) FILTER (mark = "pivot" + 1) OVER (PARTITION BY id, b) l FROM near) WHERE pack BETWEEN f AND l),
@@ -976,7 +979,7 @@ _WIDE = """near AS (SELECT id, piv.b, "pivot", pk.*, row_number() OVER (PARTITIO
 
 def _packets(s, d) -> DataFrame:
     e = F.col("event_id")
-    x = spread(s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")).select(e, "event_type", (F.floor(e / 60) + 1000).alias("sec"), (e % 3).cast("int").alias("b"), (F.floor(e / 3) % 2).alias("chunk"), F.floor(e % 60 / 6).alias("q"), (e * 7919 % 3470).alias("w"))
+    x = spread(s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")).select(e, "event_type", (F.floor(e / 60) + 1000).alias("sec"), (e % 3).cast("int").alias("b"), (F.floor(e / 36_000) * 2 + F.floor(e / 3) % 2).alias("chunk"), F.floor(e % 60 / 6).alias("q"), (e * 7919 % 3470).alias("w"))
     return x.withColumns({"box": F.element_at(F.array(*map(F.lit, "ABC")), F.col("b") + 1), "row": e})
 
 
@@ -994,7 +997,7 @@ def _science(x: DataFrame) -> DataFrame:
 
 def _engineering(x: DataFrame) -> DataFrame:
     sec = F.col("sec")
-    bus = F.when((sec % 29 == 0) & (F.col("chunk") == 1), 0).when((sec % 17).isin(3, 4), sec - sec % 17 + 2).otherwise(sec)
+    bus = F.when((sec % 29 == 0) & (F.col("chunk") % 2 == 1), 0).when((sec % 17).isin(3, 4), sec - sec % 17 + 2).otherwise(sec)
     text = F.concat(F.lit("0000"), *[F.lpad(F.hex(F.shiftright(bus, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
     return x.where("q = 0").select("chunk", "box", sec.alias("row"), (sec - 500).cast("int").alias("stime"), F.unhex(text).alias("bus"))
 

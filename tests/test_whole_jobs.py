@@ -41,8 +41,14 @@ def photons(spark, folder):
     return {p.event_id: p for p in registry.photons(spark, folder).collect()}
 
 
-def orbit(photons, chunk=lambda p: p.mission):
-    """Rows of each mission (or chunk) by time: the first event of each six hours."""
+def stretch(photons):
+    """Of a photon: its mission and its stretch of two thousand mean gaps."""
+    width = (max(p.t for p in photons.values()) - min(p.t for p in photons.values())) // len(photons) * 4 * registry._CHUNK_GAPS
+    return lambda p: p.mission * 1_000_000 + (p.t - registry.START) // width
+
+
+def orbit(photons, chunk):
+    """Rows of each chunk by time: the first event of each six hours."""
     first = {}
     for p in sorted(photons.values(), key=lambda p: (p.t, p.event_id)):
         first.setdefault((chunk(p), p.t // 21_600_000_000), p)
@@ -63,8 +69,9 @@ def between(path, at):
 def test_veto_of_all_events(spark, folder, photons):
     gap = (max(p.t for p in photons.values()) - min(p.t for p in photons.values())) // len(photons) * 4
     want = []
-    for mission in range(4):
-        t = sorted(p.t for p in photons.values() if p.mission == mission)
+    of = stretch(photons)
+    for chunk in {of(p) for p in photons.values()}:
+        t = sorted(p.t for p in photons.values() if of(p) == chunk)
         sessions = [[t[0]]]
         for a, b in zip(t[:-1], t[1:], strict=True):
             if b - a > gap or b == t[-1]:
@@ -72,13 +79,14 @@ def test_veto_of_all_events(spark, folder, photons):
             sessions[-1].append(b)
         for x in sessions:
             if x and (x[-1] == t[-1] or not (x[-1] - x[0] > 3 * gap or len(x) >= 4)):
-                want += [(mission, v) for v in x]
+                want += [(chunk, v) for v in x]
     assert sorted(tuple(r) for r in rows(spark, folder, "session_veto")) == sorted(want) and len(want) > 50
 
 
 def test_positions_of_all_events(spark, folder, photons):
-    paths = orbit(photons)
-    want = {p.event_id: v for p in photons.values() if (v := between(paths[p.mission], p.t + 1))}
+    of = stretch(photons)
+    paths = orbit(photons, of)
+    want = {p.event_id: v for p in photons.values() if (v := between(paths[of(p)], p.t + 1))}
     got = {r.id: r[1:] for r in rows(spark, folder, "interpolated_positions")}
     assert len(want) > 350 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
