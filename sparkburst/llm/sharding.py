@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from sparkburst.llm.common import join_checked, row_hash, stored, without
 
 LAW = "key"
-#: Equal rows that go to a bucket together.
-LOT = 1000
+#: Equal rows that go to a bucket together: so many at most, and no more bytes than this share of a bucket.
+LOT, LOT_SHARE = 1000, 8
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -35,18 +35,20 @@ def _shuffled(seed: int, names: list[str]):
     return one
 
 
-def _in_lots(rows: DataFrame, hashes: tuple[Column, Column]) -> DataFrame:
-    """rows with __h1, __h2 (of all columns), __lot and __m: rows that occur over LOT times become a row for every LOT of them."""
-    hashed = rows.withColumns({"__h1": hashes[0], "__h2": hashes[1]})
-    many = stored(hashed.groupBy("__h1", "__h2").agg(F.count("*").alias("__c")).where(F.col("__c") > LOT))
+def _in_lots(rows: DataFrame, hashes: tuple[Column, Column], size: Column, most_bytes: int) -> DataFrame:
+    """rows with __h1, __h2 (of all columns), __lot and __m: of rows that occur more often than a lot holds (LOT rows,
+    most_bytes bytes, one row at least) there is a row for every lot of them."""
+    hashed = rows.withColumns({"__h1": hashes[0], "__h2": hashes[1], "__size": size})
+    held = F.greatest(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.floor(F.lit(most_bytes) / F.max("__size"))))
+    many = stored(hashed.groupBy("__h1", "__h2").agg(F.count("*").alias("__c"), held.alias("__held")).where(F.col("__c") > F.col("__held")))
     one = {"__lot": F.lit(0).cast("long"), "__m": F.lit(1).cast("long")}
     if not many.limit(1).count():
-        return hashed.withColumns(one)
-    marked = join_checked(hashed, many, ["__h1", "__h2"]).select(*rows.columns, "__h1", "__h2", "__c")
-    few = marked.where("__c IS NULL").drop("__c").withColumns(one)
-    row = marked.where("__c IS NOT NULL").groupBy("__h1", "__h2", "__c").agg(F.first(F.struct(*rows.columns)).alias("__row"))
-    lots = row.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / LOT))))
-    return few.unionByName(lots.select("__row.*", "__h1", "__h2", "__lot", F.least(F.lit(LOT).cast("long"), F.col("__c") - F.col("__lot") * LOT).alias("__m")))
+        return hashed.drop("__size").withColumns(one)
+    marked = join_checked(hashed, many, ["__h1", "__h2"]).select(*rows.columns, "__h1", "__h2", "__c", "__held")
+    few = marked.where("__c IS NULL").drop("__c", "__held").withColumns(one)
+    row = marked.where("__c IS NOT NULL").groupBy("__h1", "__h2", "__c", "__held").agg(F.first(F.struct(*rows.columns)).alias("__row"))
+    lots = row.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / F.col("__held")))))
+    return few.unionByName(lots.select("__row.*", "__h1", "__h2", "__lot", F.least("__held", F.col("__c") - F.col("__lot") * F.col("__held")).alias("__m")))
 
 
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 40, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -59,7 +61,7 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     without gaps. Reruns agree; copies of a text are scattered like other rows, as the law looks at keys only.
 
     Null keys are a key like any other; null texts have no bytes. An empty table gives no rows. Rows equal in every
-    column are dealt in lots of LOT over their shard's buckets. Columns of df named shard, slot or grown_shard are
+    column are dealt in lots (see _in_lots) over their shard's buckets, one after the other, so that they fill them evenly. Columns of df named shard, slot or grown_shard are
     replaced, all others are kept.
     """
     rows = df.select(without(df, "shard", "slot", "grown_shard"))
@@ -68,8 +70,9 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     grown = F.when(F.xxhash64(F.lit(seed), F.lit(shards), F.col(key)) > F.array_max(F.array(*[F.xxhash64(F.lit(seed), F.lit(s), F.col(key)) for s in range(shards)])), F.lit(shards)).otherwise(home)
     held = {r["shard"]: r["bytes"] for r in rows.select(home.alias("shard"), size.alias("size")).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
     buckets = F.array(*[F.lit(max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)])
-    spread = _in_lots(rows, (row_hash(rows), row_hash(rows, seed)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "__h1", "__h2", "__lot"), F.element_at(buckets, F.col("shard") + 1)).cast("int")
+    spread = _in_lots(rows, (row_hash(rows), row_hash(rows, seed)), size, bucket_bytes // LOT_SHARE)
+    own = F.element_at(buckets, F.col("shard") + 1)
+    bucket = F.pmod(F.pmod(F.xxhash64(F.lit(seed + 1), "__h1", "__h2", F.lit(0).cast("long")), own) + F.col("__lot"), own).cast("int")
     placed = spread.withColumns({"shard": home, "grown_shard": grown}).withColumn("__bucket", bucket)
     counts = placed.groupBy("shard", "__bucket").agg(F.sum("__m").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,6 +52,19 @@ def test_shards_by_plain_draws(spark):
     assert grown == more
 
 
+def test_equal_rows_of_a_megabyte_fill_buckets_evenly(spark):
+    """Forty equal rows of a megabyte and many small ones: no bucket over twice its bytes."""
+    rows = spark.range(400).select(F.when(F.col("id") < 40, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 40, F.repeat(F.lit("x"), F.lit(1 << 20))).otherwise("small").alias("text"))
+    h = (common.row_hash(rows), common.row_hash(rows, 7))
+    lots = sharding._in_lots(rows, h, F.octet_length("text") + 16, (4 << 20) // sharding.LOT_SHARE)
+    assert lots.where("octet_length(text) > 10").agg(F.count("*"), F.max("__m")).first() == (40, 1)
+    held = sharding.shard_rows(rows, shards=2, bucket_bytes=4 << 20)
+    assert held.count() == 400 and held.select("shard", "slot").distinct().count() == 400
+    placed = lots.withColumn("shard", sharding.shard_of(F.col("doc_id"), 2, 7)).withColumn("b", F.pmod(F.pmod(F.xxhash64(F.lit(8), "__h1", "__h2", F.lit(0).cast("long")), F.lit(10)) + F.col("__lot"), F.lit(10)))
+    most = placed.groupBy("shard", "b").agg(F.sum((F.octet_length("text") + 16) * F.col("__m")).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 2 * (4 << 20)
+
+
 def test_buckets_are_permuted_by_fisher_yates(spark):
     """Each bucket is the seeded permutation of its rows in hash order; slots run on from bucket to bucket."""
     docs = spark.createDataFrame([(k, "word " * (k % 9)) for k in range(200)], "doc_id long, text string")
