@@ -62,15 +62,29 @@ def _unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coder(models, min_cosine: float):
+def _random_model(dim: int, rotations: int) -> np.ndarray:
+    """Directions for vectors of a length that the sample lacks: random ones, the same in every task."""
+    return np.random.Generator(np.random.PCG64([11, dim])).standard_normal((dim, rotations * ROTATION_BITS))
+
+
+def _coder(models, rotations: int):
     """Adds each row's code: signs of its projections, packed to bytes; vectors of a label share its key's bits and tables."""
+    drawn: dict[int, np.ndarray] = {}
+
+    def model(dim: int) -> np.ndarray:
+        if dim in models.value:
+            return models.value[dim]
+        if dim not in drawn:
+            drawn.clear()  # one at a time: lengths may be many
+            drawn[dim] = _random_model(dim, rotations)
+        return drawn[dim]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors, out = batch["embedding"].to_pylist(), [b""] * batch.num_rows
-            for dim in {len(v) for v in vectors} & set(models.value):
+            for dim in sorted({len(v) for v in vectors}):
                 rows = [i for i, v in enumerate(vectors) if len(v) == dim]
-                packed = np.packbits(_unit([vectors[i] for i in rows]) @ models.value[dim] >= 0, axis=1)
+                packed = np.packbits(_unit([vectors[i] for i in rows]) @ model(dim) >= 0, axis=1)
                 for i, p in zip(rows, packed, strict=True):
                     out[i] = p.tobytes()
             names = [n for n in batch.schema.names if n != "embedding"]
@@ -211,6 +225,7 @@ def embedding_links(vectors: DataFrame, min_cosine: float = MIN_COSINE, fit_rows
     on counts and a spanning forest instead of pairs, so that output is linear in the input. A pair at the threshold meets
     with probability RECALL; nearer ones nearly always.
 
+    Vectors of a length that the sample lacks are coded by random directions, which differ in the same share of bits.
     Null labels; null, empty or zero vectors; and null or non-finite components link with nothing. Vectors of different
     lengths are never linked. A repeated vec_id counts as a row of its own; a null vec_id links like others, gives a null
     component and is kept. Extra columns are ignored. An empty table gives no rows.
@@ -232,8 +247,8 @@ def embedding_links(vectors: DataFrame, min_cosine: float = MIN_COSINE, fit_rows
     units = {d: _unit([v for v in sample if len(v) == d]) for d in {len(v) for v in sample}}
     models = {d: np.hstack([fit_rotation(x, seed=5 + k) for k in range(rotations)]) for d, x in units.items()}
     sized = join_checked(classes.select("label", "dim", "cid", "copies", "embedding"), sizes, ["label", "dim"])
-    sized = sized.select("label", "dim", "cid", "copies", "size", "embedding").where(F.col("dim").isin(*models) if models else F.lit(False))
-    coded = stored(sized.mapInArrow(_coder(spark.sparkContext.broadcast(models), min_cosine), "label long, dim long, cid long, copies long, size long, code binary"))
+    sized = sized.select("label", "dim", "cid", "copies", "size", "embedding")
+    coded = stored(sized.mapInArrow(_coder(spark.sparkContext.broadcast(models), rotations), "label long, dim long, cid long, copies long, size long, code binary"))
     filed = stored(coded.select("label", "dim", "cid", "code", "size").mapInArrow(_filed(min_cosine), "label long, dim long, table long, key long, cid long, code binary, size long"))
     counts = filed.groupBy("label", "dim", "table", "key").count()
     crowd = stored(counts.where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long")).drop("count"))

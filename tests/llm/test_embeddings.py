@@ -84,3 +84,19 @@ def test_keys_grow_with_the_label(spark):
     for n in (100, 10_000, 10**6, 10**8, 10**10):
         bits, tables = embed_dedup.shape(n, 0.93)
         assert n / 2**bits <= embed_dedup.BUCKET and tables <= 10 * max(1.0, n / 8192) ** 0.25
+
+
+def test_lengths_that_the_sample_lacks(spark):
+    """Vectors of rare lengths are linked as well as others, however small the sample is."""
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.standard_normal(8).tolist(), 1) for k in range(200)]
+    want = set()
+    for dim in (2, 5, 64, 300):
+        v = rng.standard_normal(dim)
+        for k in (0, 1):
+            rows.append((1000 * dim + k, (v + k * 1e-6).tolist(), 1))
+        want |= {1000 * dim, 1000 * dim + 1}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for fit_rows in (20, 0):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_links(df, fit_rows=fit_rows).collect()}
+        assert len(got) == len(rows) and all(got[k] == (1, k // 1000 * 1000) for k in want)
