@@ -23,7 +23,7 @@ TOP = 50
 #: Groups of a block, terms of a chunk, and chunks that one task goes through.
 BLOCK, CHUNK, STRIPE = 64, 2048, 64
 #: Bytes of text that are counted at once; a longer text is counted by itself, in pieces.
-STEP = 8 << 20
+STEP = 4 << 20
 #: Bits of the map of kept terms that tasks are sent, 8 MB whatever the vocabulary: it only spares rows that the join drops.
 MAP_BITS = 1 << 26
 
