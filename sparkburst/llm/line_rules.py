@@ -22,9 +22,10 @@ MAX_SEPARATORS = 0.2
 RUN, SHORT = 4, 5
 #: or it has at most PHRASE_WORDS words, a boilerplate phrase among them,
 PHRASE_WORDS = 40
-#: or it has at most STOCK_WORDS words, doesn't end as a sentence and stands in many different texts of the corpus:
-#: STOCK_TEXTS at least, and one in STOCK_LINES of all such (text, line) pairs, so that at most STOCK_LINES lines are common.
-STOCK_WORDS, STOCK_TEXTS, STOCK_LINES = 12, 10, 2000
+#: or it has at most STOCK_WORDS words, doesn't end as a sentence and stands in STOCK_TEXTS different texts of the corpus.
+STOCK_WORDS, STOCK_TEXTS = 12, 10
+#: Stock lines that are compared in place, as hashes in the plan; more are joined.
+FEW_STOCK = 2000
 #: Phrases in English, German, French and Spanish.
 PHRASES = (
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy", "cookie", "subscribe to", "sign in", "log in", "enable javascript", "lorem ipsum",
@@ -93,15 +94,22 @@ def in_menu(short: Column, i: Column) -> Column:
     return F.when(F.get(short, i), reduce(or_, (reduce(and_, (at(k) for k in range(first, first + RUN) if k)) for first in range(1 - RUN, 1)))).otherwise(False)
 
 
-def stock_lines(df: DataFrame, text: str = "text") -> list[int]:
-    """Hashes of the open-ended lines that many different texts share: at most STOCK_LINES, as each has that part of all pairs."""
-    lines = df.select(F.xxhash64(text).alias("t"), F.explode(F.filter(F.split(F.col(text), "\n"), lambda x: open_ended(x, STOCK_WORDS))).alias("line"))
-    pairs = lines.select("t", F.xxhash64("line").alias("h")).distinct()
-    counts = stored(pairs.groupBy("h").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = [r["h"] for r in counts.where((F.col("n") >= STOCK_TEXTS) & (F.col("n") * STOCK_LINES >= total)).select("h").collect()]
-    dropped(counts)
-    return found
+def stock_lines(df: DataFrame, text: str = "text") -> tuple[list[int], DataFrame | None]:
+    """The open-ended lines that STOCK_TEXTS different texts or more share: (their hashes, None) if they are few.
+
+    Else ([], marks): a row (t, flags) per text hash t with such lines, where flags tells by place which lines they are, up
+    to the last. Hashes and places are all that is shuffled; a text's marks are no more than its lines.
+    """
+    found = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.when(open_ended(x, STOCK_WORDS), F.struct(i.alias("i"), F.xxhash64(x).alias("h")))), lambda x: x.isNotNull())
+    lines = df.select(F.xxhash64(text).alias("t"), F.explode(found).alias("x")).select("t", "x.i", "x.h").distinct()
+    stock = stored(lines.select("t", "h").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_TEXTS).select("h"))
+    few = [r["h"] for r in stock.limit(FEW_STOCK + 1).collect()]
+    if len(few) <= FEW_STOCK:
+        dropped(stock)
+        return few, None
+    places = F.array_sort(F.collect_list("i"))
+    flags = let(places, lambda at: F.flatten(F.transform(at, lambda p, k: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get(at, k - 1), F.lit(-1)) - 1), F.array(F.lit(True))))))
+    return [], lines.join(stock, "h").groupBy("t").agg(flags.alias("flags"))
 
 
 def clean_lines(df: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -110,25 +118,29 @@ def clean_lines(df: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -
     base_failed: fewer than 20 words, or over 30 % of words in repeated 8-word windows. kept: the base holds and the
     failing lines have at most max_loss of the text's characters. Lines are judged inside each row by punctuation,
     letters, separators and phrases, by the run of menu-like lines they lie in, and by how many different texts of the
-    table hold them: those counts are the only shuffle, of hashes of short open-ended lines, and leave at most
-    STOCK_LINES hashes. So a hot source or a group of copies (one text) costs no more than other rows; time grows as
-    n log n in a text's words. Null and empty texts have zero counts and fail the base; cleaned_text is then empty.
+    table hold them, a fixed number at every size. Those counts shuffle hashes of short open-ended lines; where more than
+    FEW_STOCK lines are stock, the texts are joined with their marks by hash, and a text with very many copies is left to
+    the adaptive skew join. So a hot source costs no more than other rows; time grows as n log n in a text's words. Null and empty texts have zero counts and fail the base; cleaned_text is then empty.
     Repeated rows are judged alike. Columns of df with an output's name are replaced, all others are kept. An empty
     table gives no rows.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept", "cleaned_text")
     names = [c for c in without(df, *made)]
-    stock = stock_lines(df, text)
+    stock, marks = stock_lines(df, text)
     body = F.coalesce(F.col(text), F.lit(""))
+    if marks is not None:
+        df = df.select(*names, F.xxhash64(text).alias("__hash")).join(marks.select(F.col("t").alias("__t"), F.col("flags").alias("__flags")), F.col("__hash") == F.col("__t"), "left")
 
     def judged(lines: Column) -> Column:
         """(line, bad) of each line."""
-        if stock:
-            common = lambda x: open_ended(x, STOCK_WORDS) & F.xxhash64(x).isin(stock)
+        if marks is not None:
+            common = lambda x, i: F.coalesce(F.get(F.col("__flags"), i), F.lit(False))
+        elif stock:
+            common = lambda x, i: open_ended(x, STOCK_WORDS) & F.xxhash64(x).isin(stock)
         else:
-            common = lambda x: F.lit(False)
+            common = lambda x, i: F.lit(False)
         menu = F.transform(lines, lambda x: open_ended(x, SHORT))
-        return let(menu, lambda m: F.transform(lines, lambda x, i: F.struct(x.alias("line"), (in_menu(m, i) | common(x) | line_fails(x)).alias("bad"))))
+        return let(menu, lambda m: F.transform(lines, lambda x, i: F.struct(x.alias("line"), (in_menu(m, i) | common(x, i) | line_fails(x)).alias("bad"))))
 
     def told(found: Column) -> Column:
         gone = F.aggregate(F.filter(found, lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + _solid(x["line"]))

@@ -54,7 +54,7 @@ sh AS (SELECT *, unended AND len(w) <= {line_rules.SHORT} AND length(line) <= {4
 runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) AS run FROM sh),
 menu AS (SELECT *, short AND count(*) OVER (PARTITION BY doc_id, short, run) >= {line_rules.RUN} AS in_menu FROM runs),
 held AS (SELECT line, count(DISTINCT t) AS n FROM menu WHERE stock GROUP BY 1),
-common AS (SELECT line AS common_line FROM held WHERE n >= {line_rules.STOCK_TEXTS} AND n * {line_rules.STOCK_LINES} >= (SELECT sum(n) FROM held)),
+common AS (SELECT line AS common_line FROM held WHERE n >= {line_rules.STOCK_TEXTS}),
 bad AS (SELECT doc_id, sum(solid) AS n FROM menu WHERE len(w) > 0 AND (in_menu OR (stock AND line IN (SELECT common_line FROM common))
   OR len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]')) > {line_rules.MAX_MARKS} * solid
   OR (len(w) >= {line_rules.FEW_WORDS} AND len(regexp_extract_all(line, '[^\p{{L}}\p{{M}}\x20\x09-\x0D]')) > {line_rules.MAX_OTHERS} * solid)

@@ -237,6 +237,19 @@ def test_menus_and_stock_lines(spark):
     assert got[50] == prose(50).split("\n") and got[51] == ["Home", "News", *prose(51).split("\n")] and len(got[52]) == 3 and len(got[60]) == 3
 
 
+def test_stock_lines_at_two_sizes(spark, monkeypatch):
+    """A line of ten texts goes beside 40 other texts and beside 2,000, whether its hash is compared in place or joined."""
+    prose = lambda k: f"This is sentence number {k} of a text that is long enough to be judged by all of the rules here."
+    for others, few in ((40, 2000), (2000, 2000), (40, 0)):
+        monkeypatch.setattr(line_rules, "FEW_STOCK", few)
+        rows = [(k, f"{prose(k)}\nShare this page with friends\n\n{prose(-k)}\nRead it again later") for k in range(10)]
+        rows += [(k, f"{prose(k)}\nOwn words of text {k}\nRead it once") for k in range(10, 10 + others)] + [(-1, None), (-2, "")]
+        got = {r.doc_id: r.cleaned_text for r in line_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert len(got) == len(rows) and got[-1] == got[-2] == ""
+        assert all(got[k] == f"{prose(k)}\n\n{prose(-k)}" for k in range(10))
+        assert all(got[k] == f"{prose(k)}\nOwn words of text {k}" for k in range(10, 10 + others))
+
+
 # ---- the pipeline --------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def odd(spark):
