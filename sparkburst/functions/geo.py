@@ -45,3 +45,17 @@ def in_polygon(lon: Column, lat: Column, corners=ANOMALY) -> Column:
         if y1 != y2:
             crossings += F.when(spans & (lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1), 1).otherwise(0)
     return crossings % 2 == 1
+
+
+def _label(degrees: Column, side: Column) -> Column:
+    return F.concat(F.floor(F.abs(degrees)).cast("string"), F.lit("°"), side)
+
+
+def longitude_label(lon: Column) -> Column:
+    """Whole degrees with W or E; the meridians of 0 and 180 have no side. Longitudes may be of any turn."""
+    x = F.pmod(lon + 180, F.lit(360)) - 180
+    return _label(x, F.when((x == 0) | (x == -180), "").when(x < 0, "W").otherwise("E"))
+
+
+def latitude_label(lat: Column) -> Column:
+    return _label(lat, F.when(lat < 0, "S").when(lat > 0, "N").otherwise(""))

@@ -100,3 +100,19 @@ def per_year(sf_: Column, duration_s: Column) -> Column:
 
 def threshold(limit_per_year: float, duration_s: Column) -> Column:
     return F.lit(limit_per_year) * duration_s / YEAR_S
+
+
+def at_least(n: int, chances: Column) -> Column:
+    """Probability that n or more of independent events happen, given an array of theirs; any order of them gives the same.
+
+    One pass over the array holds the probabilities of 0 to n or more so far. A null chance gives null; no events at all
+    reach n only if n is 0.
+    """
+
+    def after(held: Column, p: Column) -> Column:
+        return F.transform(held, lambda x, k: F.when(k == n, x + p * F.coalesce(F.get(held, k - 1), F.lit(0.0))).otherwise((1 - p) * x + p * F.coalesce(F.get(held, k - 1), F.lit(0.0))))
+
+    if n <= 0:
+        return F.aggregate(chances, F.lit(1.0), lambda a, p: F.when(p.isNotNull(), a))
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), n))
+    return F.when(~F.exists(chances, lambda p: p.isNull()), F.get(F.aggregate(chances, start, after), F.lit(n)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkburst.functions import clock, geo, packets, poisson, solar
-from sparkburst.operators import catalog, histogram, lightning, saturation, scan, trajectory
+from sparkburst.operators import catalog, gti, histogram, lightning, saturation, scan, trajectory
 from sparkburst.operators import events as E
 from sparkburst.plans import mission, search
 from sparkburst.sources import archive, fits, signals, store
@@ -904,6 +904,85 @@ def fits_science(s, d):
     return rows.select("file", "row", F.octet_length("ccsds").alias("size"), some.alias("bytes"))
 
 
+# ---- good time, energies, labels --------------------------------------------------------------------------------------
+_GOOD = f"""{PHOTONS}, good AS (SELECT mission, t AS "start", t + (event_id // 20 % 7) * 1200000000 AS stop FROM photons WHERE event_id % 20 = 0)"""
+_QUARTER = 21_600_000_000
+
+
+def _good_times(p: DataFrame) -> DataFrame:
+    """Intervals of up to two hours that every twentieth event begins; some are empty, many overlap."""
+    return p.where("event_id % 20 = 0").select("mission", F.col("t").alias("start"), (F.col("t") + F.floor(F.col("event_id") / 20) % 7 * 1_200_000_000).alias("stop"))
+
+
+@query(f"""WITH {_GOOD} SELECT event_id, EXISTS (SELECT 1 FROM good WHERE good.mission = photons.mission AND "start" <= t AND t < stop) AS good FROM photons""")
+def good_events(s, d):
+    """Which events lie in good time, by stretches of a mission that hold about as many events each."""
+    p = photons(s, d)
+    width = _config(p).max_duration // 4 * _CHUNK_GAPS
+    cut = gti.dealt(_good_times(p), START, width)
+    number = F.floor((F.col("t") - START) / width).cast("long")
+    return gti.marked(p.withColumn("stretch", number), cut, ["mission", "stretch"]).select("event_id", "good")
+
+
+@query(f"""WITH {_GOOD}, used AS (SELECT * FROM good WHERE "start" < stop), isl AS (SELECT *, sum(new) OVER (PARTITION BY mission ORDER BY "start", stop ROWS UNBOUNDED PRECEDING) island FROM
+ (SELECT *, CASE WHEN max(stop) OVER (PARTITION BY mission ORDER BY "start", stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= "start" THEN 0 ELSE 1 END new FROM used)),
+ whole AS (SELECT mission, min("start") a, max(stop) b FROM isl GROUP BY mission, island), cut AS (SELECT mission, a, b, unnest(range((a - {START}) // {_QUARTER}, (b - 1 - {START}) // {_QUARTER} + 1)) bin FROM whole),
+ ex AS (SELECT mission, bin, sum(least(b, {START} + (bin + 1) * {_QUARTER}) - greatest(a, {START} + bin * {_QUARTER})) us FROM cut GROUP BY 1, 2),
+ n AS (SELECT mission, (t - {START}) // {_QUARTER} bin, count(*) n FROM photons WHERE EXISTS (SELECT 1 FROM whole WHERE whole.mission = photons.mission AND a <= t AND t < b) GROUP BY 1, 2)
+ SELECT ex.mission, ex.bin, CAST(us AS BIGINT) exposure, coalesce(n, 0) AS "count", round(coalesce(n, 0) / (us / 1e6), 9) rate FROM ex LEFT JOIN n ON n.mission = ex.mission AND n.bin = ex.bin""")
+def exposure_rates(s, d):
+    p = photons(s, d)
+    return gti.rates(p, _good_times(p), ["mission"], START, _QUARTER).withColumn("rate", r(F.col("count") / (F.col("exposure") / 1e6)))
+
+
+@query(f"""WITH {PHOTONS}, e AS (SELECT *, {_FILE} AS file, (t - {START}) / 1e6 met FROM photons), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) - 1 AS n FROM e WHERE event_id % 3 > 0)
+ SELECT file, n AS "row", met, CAST(channel AS SMALLINT) pi, CASE WHEN channel % 16 < 15 THEN CAST(channel * 0.5 AS FLOAT) END e_min, CASE WHEN channel % 16 < 15 THEN CAST(channel * 0.5 + 0.5 AS FLOAT) END e_max,
+ EXISTS (SELECT 1 FROM e g WHERE g.file = n.file AND g.event_id % 64 = 0 AND g.met <= n.met AND n.met < g.met + 600) AS good FROM n""")
+def fits_good_energies(s, d):
+    """Events with their file's energies and good time, all three from tables of the same files; some channels have no energies."""
+    p = photons(s, d).withColumn("file", _file())
+    met, i = (F.col("t") - START) / 1e6, F.col("event_id")
+    events = p.where(i % 3 > 0).select("file", F.lit("EVENTS01").alias("hdu"), i.alias("id"), met.alias("a"), F.lit(0.0).alias("b"), "channel")
+    good = p.where(i % 64 == 0).select("file", F.lit("GTI").alias("hdu"), i.alias("id"), met.alias("a"), (met + 600).alias("b"), F.lit(0).cast("long").alias("channel"))
+    bounds = p.where("channel % 16 < 15").select("file", "channel").distinct()
+    bounds = bounds.select("file", F.lit("EBOUNDS").alias("hdu"), F.col("channel").alias("id"), (F.col("channel") * 0.5).alias("a"), (F.col("channel") * 0.5 + 0.5).alias("b"), "channel")
+    tables = {"EVENTS01": [("TIME", "D", "a"), ("PI", "I", "channel")], "GTI": [("START", "D", "a"), ("STOP", "D", "b")], "EBOUNDS": [("CHANNEL", "I", "channel"), ("E_MIN", "E", "a"), ("E_MAX", "E", "b")]}
+    files = _fits_files(events.union(good).union(bounds), tables)
+    rows = _named(fits.decoded(files, "EVENTS01", "TIME double, PI short")).select("file", "row", F.col("TIME").alias("met"), F.col("PI").alias("pi"))
+    rows = gti.energies(rows, _named(fits.svom_energies(files)), ["file"])
+    return gti.marked(rows, _named(fits.svom_good_times(files)), ["file"], "met")
+
+
+_CHANCES = "[" + ", ".join(f"(event_id * {k} % 101) / 100.0" for k in (37, 41, 43, 47, 53)) + "]"
+_SUBSETS = "list_sum(list_transform(list_filter(range(32), lambda m: bit_count(CAST(m AS BIGINT)) >= {n}), lambda m: " + " * ".join(f"(CASE WHEN (m >> {k}) & 1 = 1 THEN ps[{k + 1}] ELSE 1 - ps[{k + 1}] END)" for k in range(5)) + "))"
+
+
+@query(f"WITH x AS (SELECT event_id, {_CHANCES} ps FROM events) SELECT event_id, " + ", ".join(f"round({_SUBSETS.format(n=n)}, 9) of_{n}" for n in (1, 2, 3, 5)) + " FROM x")
+def detectors_hit(s, d):
+    """Probability that 1, 2, 3 or all of five detectors are hit; SQL sums over all subsets."""
+    i = F.col("event_id")
+    x = s.read.parquet(f"{d}/events.parquet").select("event_id", F.array(*[i * k % 101 / 100.0 for k in (37, 41, 43, 47, 53)]).alias("ps"))
+    return x.select("event_id", *[r(poisson.at_least(n, F.col("ps"))).alias(f"of_{n}") for n in (1, 2, 3, 5)])
+
+
+@query(f"""WITH {SIGNALS}, x AS (SELECT id, CAST(floor(longitude) AS BIGINT) lon, CAST(trunc(latitude) AS BIGINT) lat FROM signals), y AS (SELECT *, (lon + 180) % 360 - 180 w FROM x)
+ SELECT id, CAST(abs(w) AS VARCHAR) || '°' || CASE WHEN w IN (0, -180) THEN '' WHEN w < 0 THEN 'W' ELSE 'E' END longitude_label, CAST(abs(lat) AS VARCHAR) || '°' || CASE WHEN lat < 0 THEN 'S' WHEN lat > 0 THEN 'N' ELSE '' END latitude_label FROM y""")
+def axis_labels(s, d):
+    x = signal_rows(s, d)
+    lat = F.when(F.col("latitude") < 0, F.ceil("latitude")).otherwise(F.floor("latitude"))
+    return x.select("id", geo.longitude_label(F.floor("longitude")).alias("longitude_label"), geo.latitude_label(lat).alias("latitude_label"))
+
+
+@query("""WITH logs AS (SELECT 'run.sh.' || k || '.' || CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN (o_orderkey + length(k)) % 3 = 0 THEN o_orderkey ELSE 0 END size FROM orders, (SELECT unnest(['out', 'err', 'core']) k))
+ SELECT name FROM logs WHERE size = 0 AND name NOT LIKE '%core%' AND name NOT IN (SELECT 'run.sh.' || k || '.' || CAST(o_orderkey AS VARCHAR) FROM orders, (SELECT unnest(['out', 'err']) k) WHERE o_orderstatus = 'O')""")
+def idle_logs(s, d):
+    """Empty logs of jobs that no longer run, with orders as jobs: open ones are running."""
+    o, k = s.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    logs = o.select(k, F.explode(F.array(*map(F.lit, ("out", "err", "core")))).alias("kind"))
+    logs = logs.select(F.concat(F.lit("run.sh."), "kind", F.lit("."), k.cast("string")).alias("name"), F.when((k + F.length("kind")) % 3 == 0, k).otherwise(0).alias("size"))
+    return archive.idle_logs(logs, o.where("o_orderstatus = 'O'").select(k.alias("id")), "run.sh")
+
+
 # ---- a mission's run -------------------------------------------------------------------------------------------------
 #: Two thousand events make an hour of a mission that has four bursts of twelve; of every five hours one has no orbit file and one
 #: an attitude file that can't be read. Nodes of attitude and orbit lie on a line, so that SQL needs no as-of join.

@@ -163,3 +163,9 @@ def read_strokes(spark: SparkSession, path: str, first: str | None = None, last:
 def read_catalogue(spark: SparkSession, url: str, first: str, last: str, slices: int = 16) -> DataFrame:
     """Rows of a JDBC url's table `signal` whose start_full lies between two texts."""
     return read_by_time(spark, url, "signal", "start_full", first, last, slices)
+
+
+def idle_logs(logs: DataFrame, running: DataFrame, stem: str) -> DataFrame:
+    """Names of empty logs (name, size) that no running job (id) writes: `stem`.out.id and `stem`.err.id are a job's own."""
+    own = running.select(F.explode(F.array(*[F.concat(F.lit(f"{stem}.{kind}."), F.col("id").cast("string")) for kind in ("out", "err")])).alias("name"))
+    return logs.where((F.col("size") == 0) & (F.startswith("name", F.lit(f"{stem}.out.")) | F.startswith("name", F.lit(f"{stem}.err.")))).select("name").join(own, "name", "left_anti")

@@ -32,6 +32,8 @@ HXMT_SCIENCE = ("HE_Evt_Src", "CCSDS binary")
 SVOM_EVENTS = "TIME double, PI short, GAIN_TYPE short, DEAD_TIME float, EVT_TYPE short, ANTI_COIN short, FLAG short"
 SVOM_DETECTORS = ("EVENTS01", "EVENTS02", "EVENTS03")
 SVOM_ATTITUDE = ("Quaternion", "TIME double, Q0 double, Q1 double, Q2 double")
+SVOM_GTI = ("GTI", "START double, STOP double")
+SVOM_EBOUNDS = ("EBOUNDS", "CHANNEL short, E_MIN float, E_MAX float")
 SVOM_ORBIT = ("ORB", "TIME double, LON double, LAT double, ALT double")
 #: Rows that leave a task at once, and bytes of a table that one task reads.
 _BATCH, SPLIT = 1 << 18, 64 << 20
@@ -375,6 +377,15 @@ def svom_events(files: DataFrame) -> DataFrame:
     return rows.select("file", "row", "error", det.alias("det_id"), F.col("TIME").alias("met"), F.col("PI").alias("pi"), F.col("GAIN_TYPE").alias("gain_type"), F.col("DEAD_TIME").alias("dead_time"), F.col("EVT_TYPE").alias("evt_type"), F.col("ANTI_COIN").alias("anti_coin"), F.col("FLAG").alias("flag"))
 
 
+def svom_good_times(files: DataFrame) -> DataFrame:
+    return _adapted(files, SVOM_GTI, start="START", stop="STOP")
+
+
+def svom_energies(files: DataFrame) -> DataFrame:
+    """The energies that each channel of a file stands for."""
+    return _adapted(files, SVOM_EBOUNDS, channel="CHANNEL", e_min="E_MIN", e_max="E_MAX")
+
+
 def svom_attitude(files: DataFrame) -> DataFrame:
     """The file's Q0 to Q2 are our q1 to q3; its Q3 isn't read."""
     return _adapted(files, SVOM_ATTITUDE, met="TIME", q1="Q0", q2="Q1", q3="Q2")
