@@ -5,12 +5,15 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkburst.llm import chat, common, line_rules, mixing, packing, quality, queries, sharding
 from sparkburst.llm import wordhash as H
@@ -126,14 +129,9 @@ def plain_features(text):
     return Counter(h >> (64 - quality.BITS) for h in hashed + pairs)
 
 
-def test_updates_and_scores_by_plain_python(spark):
-    rng = random.Random(4)
-    good, bad = "the quiet river ran past old stone walls and green hills".split(), "buy now!!! $$$ click here win win win free".split()
-    texts = [" ".join(rng.choices(good if k % 2 else bad, k=rng.randint(3, 40))) for k in range(40)] + ["", None, "çà et là, été!"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(43)], "doc_id long, quality int")
-    kept = labels.where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality", F.xxhash64(F.lit(11), "doc_id").alias("o")).collect()
-    examples = [(r.quality, plain_features(texts[r.doc_id])) for r in sorted(kept, key=lambda r: r.o)]
+def plain_scores(examples, texts):
+    """Scores of texts by weights that plain updates learn from examples (label, text), in the order of the sample."""
+    examples = [(label, plain_features(t)) for label, t in examples]
     z, n, alpha, beta, l1, l2 = defaultdict(float), defaultdict(float), 0.3, 1.0, 1e-4, 1e-3
 
     def weight(i):
@@ -154,11 +152,29 @@ def test_updates_and_scores_by_plain_python(spark):
                 g = (p - label) * v
                 z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
                 n[i] += g * g
-    weights = quality.fit_quality(docs, labels)
-    for r in quality.score_quality(docs, weights).collect():
-        f = plain_features(r.text)
-        dot = quality.GAIN * sum(weight(i) * c for i, c in f.items()) / max(1, sum(f.values())) + weight("bias")
-        assert r.score == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-5)
+
+    def score(text):
+        f = plain_features(text)
+        return 1 / (1 + math.exp(-quality.GAIN * sum(weight(i) * c for i, c in f.items()) / max(1, sum(f.values())) - weight("bias")))
+
+    return [score(t) for t in texts]
+
+
+def learnt(labels):
+    """(doc_id, label) of the rows that may be learnt from, in the order of the sample."""
+    kept = labels.where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality", F.xxhash64(F.lit(11), "doc_id").alias("o")).collect()
+    return [(r.doc_id, r.quality) for r in sorted(kept, key=lambda r: r.o)]
+
+
+def test_updates_and_scores_by_plain_python(spark):
+    rng = random.Random(4)
+    good, bad = "the quiet river ran past old stone walls and green hills".split(), "buy now!!! $$$ click here win win win free".split()
+    texts = [" ".join(rng.choices(good if k % 2 else bad, k=rng.randint(3, 40))) for k in range(40)] + ["", None, "çà et là, été!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(43)], "doc_id long, quality int")
+    want = plain_scores([(label, texts[k]) for k, label in learnt(labels)], texts)
+    for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-5)
 
 
 def test_sample_is_bounded_however_ids_repeat(spark):
@@ -196,6 +212,21 @@ def test_equal_rows_are_dealt_in_lots(spark, monkeypatch):
     assert sum(r.n for r in rows) == 3000 and all(abs(r.taken - r.target) <= 3 for r in rows)
 
 
+@pytest.mark.parametrize("sizes, rate", [([5, 9, 9, 20, 1, 0, 7, 3, 3, 12, 40, 2], 0.4), ([6] * 9, 0.25), ([3, 1000, 1, 1, 2, 8], 0.7), ([4], 0.3), ([0, 0, 0, 0], 0.5)])
+def test_chances_keep_their_means(sizes, rate):
+    """Over many draws each document is taken as often as its chance says, within five standard errors."""
+    draws, taken = 6000, np.zeros(len(sizes))
+    for k in range(draws):
+        rng = random.Random(k)
+        flown = mixing.flight(sizes, [rate] * len(sizes), rng)
+        assert sum(flown) == pytest.approx(rate * len(sizes)) and sum(a * b for a, b in zip(flown, sizes, strict=True)) == pytest.approx(rate * sum(sizes))
+        assert sum(0 < p < 1 for p in flown) <= 2
+        landed = mixing.landing(sizes, flown, rng)
+        assert set(landed) <= {0.0, 1.0}
+        taken += landed
+    assert (np.abs(taken / draws - rate) < 5 * math.sqrt(rate * (1 - rate) / draws)).all()
+
+
 def test_long_conversation(spark):
     """4,000 turns: windows hold every turn once as new, prefix sums respect ties and the budget."""
     rows = [(1, k // 2, ("user", "assistant")[k % 2], "w " * (k % 40)) for k in range(4000)]
@@ -269,9 +300,12 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     stages = dict(P.STAGES)
     rows = lambda df: sorted(map(str, df.collect()))
-    scored = quality.score_quality(odd.drop("score"), quality.fit_quality(odd, labels)).where(f"score >= {quality.THRESHOLD}").select("doc_id", "text")
+    given = odd.collect()
+    by_id = {r.doc_id: r.text for r in given}
+    scores = plain_scores([(label, by_id[k]) for k, label in learnt(labels)], [r.text for r in given])
     first = stages["quality classifier"](spark, odd, str(tmp_path))
-    assert first.columns == odd.columns and rows(first.select("doc_id", "text")) == rows(scored) and {r.score for r in first.collect()} <= {5}
+    assert min(abs(x - quality.THRESHOLD) for x in scores) > 1e-5  # so that rounding decides nothing
+    assert first.columns == odd.columns and rows(first) == sorted(str(r) for r, x in zip(given, scores, strict=True) if x >= quality.THRESHOLD)
 
     second = stages["line dedup"](spark, odd, str(tmp_path))
     assert second.columns == odd.columns and second.count() == odd.count() and {r.n_lines_removed for r in second.collect()} == {"mine"}
@@ -308,18 +342,35 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
         assert len(here) == 1 and (here[0][0] == min(ids) if ids and None not in [d[0] for d in members] else True)
 
     fourth = stages["source mixing"](spark, odd, str(tmp_path))
-    report = mixing.mix_sources(odd).collect()
-    assert fourth.columns == odd.columns and fourth.count() == sum(r.copies for r in report)
-    for target in {r.target for r in report}:
-        mine = [r for r in report if r.target == target]
-        assert abs(sum(r.size * r.copies for r in mine) - target) <= max(r.size for r in mine)
+    assert fourth.columns == odd.columns
+    taken, weight = Counter(fourth.collect()), dict(zip(["s0", "s1", "s2", None], [3, 1, 2, 3], strict=True))
+    most = {s: 2 * sum(len(words(r.text or "")) for r in given if r.source == s) for s in weight}
+    goal, open_ = {}, set(weight)
+    while open_:  # the share of what is left, until no source is above its most
+        left, parts = 0.75 * sum(most.values()) - sum(goal.values()), sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / parts > most[s]} or open_
+        goal.update({s: min(most[s], left * weight[s] / parts) for s in full})
+        open_ -= full
+    sizes = {r: len(words(r.text or "")) for r in given}
+    assert set(taken) <= set(given) and all(n <= 2 * given.count(r) for r, n in taken.items())
+    for s in weight:
+        assert abs(sum(sizes[r] * n for r, n in taken.items() if r.source == s) - goal[s]) <= max(sizes[r] for r in given if r.source == s)
 
     fifth = stages["best-fit packing"](spark, odd, str(tmp_path)).collect()
     spans = defaultdict(list)
     for r in fifth:
         spans[r.sequence_id].append((r.offset, r.length))
     assert all(sum(n for _, n in s) <= 2048 and [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] for s in spans.values())
-    assert Counter(r.doc_id for r in fifth if r.piece == 0) == Counter(r.doc_id for r in odd.collect())
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    want, lengths = Counter(), []
+    for r in given:
+        ids = [*encode(r.text or "", add_special_tokens=False).ids, 0]
+        ends = list(range(len(ids), 0, -2048))[::-1]
+        for piece, (low, high) in enumerate(zip([0, *ends], ends, strict=False)):
+            want[r.doc_id, piece, low, high - low, zlib.crc32(np.array(ids[low:high], "<u4").tobytes())] += 1
+            lengths.append(high - low)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in fifth) == want
+    assert -(-sum(lengths) // 2048) <= len(spans) <= -(-sum(lengths) // 2048) + 1
 
     for name, stage in P.STAGES:
         out = stage(spark, odd.where("false"), str(tmp_path))
