@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkburst.llm import line_dedup as L
-from sparkburst.llm import wordhash as H
-from sparkburst.llm.common import stored
+from sparkburst.llm.common import dropped, join_checked, stored
 from sparkburst.llm.components import connected_components
 
 #: Postings of a token in one list; longer lists are dealt as pairs of blocks of about this size.
@@ -19,43 +14,21 @@ BLOCK = 4096
 _COLUMNS = ("prefix", *L._OWN)
 
 
-def _dealt(hot):
-    """Rows of _COLUMNS with each hot token's posting filed once for every block that its own block has to meet.
+def _dealt(posted: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row of _COLUMNS for each posting of posted, and for one of a hot token one for every block that its own has to meet.
 
-    A pair of blocks is a list with a token of its own. `line` is the group within which a list's postings aren't
-    compared: the set itself, or its block where two different blocks meet. hot: a broadcast of (tokens, sorted; blocks of each).
+    hot: (token, n), n blocks for a token's list. A pair of blocks is a list with a token of its own. `line` is the group
+    within which a list's postings aren't compared: the set itself, or its block where two different blocks meet.
     """
-
-    def rows(batch: pa.RecordBatch, prefix: pa.Array, at: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-        own = batch.select([c for c in _COLUMNS if c not in ("prefix", "line")]).take(pa.array(at))
-        made = {"prefix": prefix, "line": pa.array(line)}
-        return pa.RecordBatch.from_arrays([made[c] if c in made else own[c] for c in _COLUMNS], list(_COLUMNS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, blocks = hot.value
-        for batch in batches:
-            post = batch["prefix"].flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch["prefix"].offsets.to_numpy()))
-            sid = batch["sid"].to_numpy()
-            token = post >> np.uint64(32)
-            found = np.searchsorted(tokens, token)
-            k = np.where(found < len(tokens), blocks[np.minimum(found, len(tokens) - 1)], 0) if len(tokens) else np.zeros(len(post), np.int64)
-            if len(tokens):
-                k[tokens[np.minimum(found, len(tokens) - 1)] != token] = 0
-            cold = k == 0
-            offsets = np.searchsorted(owner[cold], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield rows(batch, pa.ListArray.from_arrays(pa.array(offsets), pa.array(post[cold].view(np.int64))), np.arange(batch.num_rows), sid)
-            for n in np.unique(k[~cold]).tolist():
-                use = np.flatnonzero(k == n)
-                mine = (H.mix(sid[owner[use]].view(np.uint64)) % np.uint64(n)).astype(np.int64)
-                for other in range(n):
-                    code = np.minimum(mine, other) * n + np.maximum(mine, other) + 1
-                    named = H.mix((token[use] << np.uint64(32)) + code.astype(np.uint64)) >> np.uint64(32)
-                    packed = (named << np.uint64(32)) | (post[use] & np.uint64(0xFFFFFFFF))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32)), pa.array(packed.view(np.int64)))
-                    yield rows(batch, lists, owner[use], np.where(mine == other, sid[owner[use]], mine))
-
-    return run
+    own = [c for c in _COLUMNS if c not in ("prefix", "line")]
+    single = posted.select(F.explode("prefix").alias("post"), *own).withColumn("token", F.shiftrightunsigned("post", 32))
+    rows = join_checked(single, hot, ["token"]).withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    code = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
+    named = F.when(F.col("n") > 1, F.shiftrightunsigned(code, 32)).otherwise(F.col("token"))
+    post = F.shiftleft(named, 32).bitwiseOR(F.col("post").bitwiseAND(F.lit(0xFFFFFFFF)))
+    made = {"prefix": F.array(post), "line": F.when(F.col("mine") == F.col("other"), F.col("sid")).otherwise(F.col("mine"))}
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in _COLUMNS])
 
 
 def line_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = L.MIN_JACCARD) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +36,12 @@ def line_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     (doc_id, text_hash, line, sid) tells the set of every line with words.
 
     Sets meet as in line_dedup.repeated_lines, but each sends all its candidates. A long list of a token is dealt as pairs of
-    blocks over as many tasks. Copies are members of one set and never paired; links among different sets are as many as there are.
+    blocks over as many tasks; which lists are long is a table that is joined, broadcast only if it is small. Copies are
+    members of one set and never paired; links among different sets are as many as there are.
+
+    Null and empty texts and lines without words have no members and no links. Repeated rows are one member; rows with one
+    id and different texts are told apart by text_hash; null ids are an id of their own. Long lines are whole sets. An
+    empty table gives no rows in either result.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
@@ -73,15 +51,15 @@ def line_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     place = F.struct("doc_id", "line", "text_hash")
     posted = lines.where(F.size("prefix") > 0).join(first.withColumnRenamed("sid", "__sid"), F.col("sid") == F.col("__sid")).where(place.eqNullSafe(F.col("first")))
     posted = stored(posted.select("prefix", F.lit(True).alias("probe"), *[F.col(c).cast("long") if c == "line" else F.col(c) for c in L._OWN if c != "probe"]).dropDuplicates(["sid"]).select(*_COLUMNS))
-    counts = posted.select(F.explode("prefix").alias("post")).groupBy(F.shiftrightunsigned("post", 32).alias("token")).count().where(F.col("count") > BLOCK)
-    found = sorted((r["token"], -(-r["count"] // BLOCK)) for r in counts.collect())  # at most postings / BLOCK rows
-    hot = context.broadcast((np.array([t for t, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
+    counts = posted.select(F.explode("prefix").alias("post")).groupBy(F.shiftrightunsigned("post", 32).alias("token")).agg(F.count("*").alias("c"))
+    hot = stored(counts.where(F.col("c") > BLOCK).select("token", F.ceil(F.col("c") / BLOCK).alias("n")))
     total = posted.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // L._POSTINGS))
-    dealt = posted.mapInArrow(_dealt(hot), "prefix array<long>, sid long, doc_id long, line long, bits long, w0 long, w1 long, w2 long, probe boolean")
+    dealt = _dealt(posted, hot)
     posts = dealt.mapInArrow(L._postings(L._BUCKETS * parts), "bucket long, data binary").repartition(parts, "bucket")
     pairs = posts.mapInArrow(L._candidates(least, None, True), "a long, b long, more boolean")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dropped(hot)
     return L._verified(pairs, docs, first, rarity, least), lines.select("doc_id", "text_hash", "line", "sid").distinct()
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 
 import pytest
-from sparkburst.llm import line_links
+from sparkburst.llm import common, line_links
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_no_link_is_lost(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(4096, 20_000), (7, 20_000), (7, 0)])
+def test_no_link_is_lost(spark, monkeypatch, block, few):
+    """Whole lists, lists dealt by a broadcast table of long ones, and by a shuffled one."""
     monkeypatch.setattr(line_links, "BLOCK", block)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     rng = random.Random(11)
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
     rows = [(k, "\n".join(" ".join([*base, f"tail{k}", *rng.sample(base, 2)]) for _ in range(2))) for k in range(50)]  # one large group
@@ -36,3 +38,9 @@ def test_no_link_is_lost(spark, monkeypatch, block):
                 reach.add(o)
                 todo.append(o)
         assert {r.class_id for p, r in got.items() if lines[p] == s} == {min(named[o] for o in reach)}
+
+
+def test_empty_tables_and_texts(spark):
+    for rows in ([], [(1, None), (None, ""), (2, " \n ")]):
+        links, members = line_links.line_links(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert links.count() == 0 and members.count() == 0
