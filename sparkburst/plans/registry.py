@@ -1108,6 +1108,38 @@ def saturated_candidates(s, d):
     return saturation.saturated(_asked(x), _engineering(x), _science(x))
 
 
+#: Photons beside the packets: a burst of twelve for each chunk every 25 seconds, every third with another one a second later, so that
+#: the session is too long; of the background every seventh photon isn't kept.
+_CHAIN = """ph AS (SELECT event_id // 36000 * 2 + event_id // 3 % 2 chunk, event_id, event_id % 1500 < 24 OR (event_id % 1500 BETWEEN 60 AND 83 AND event_id // 1500 % 3 = 0) burst FROM events),
+ stretch AS (SELECT chunk, (event_id // 60 + 1000) * 1000000 + CASE WHEN burst THEN event_id // 1500 % 10 * 90000 + event_id % 1500 // 60 * 10000 + event_id % 60 * 20 ELSE event_id % 60 * 16000 + event_id * 7919 % 997 END t,
+  (1000 + chunk // 2 * 600) * 1000000 low, (1600 + chunk // 2 * 600) * 1000000 high, 0 g FROM ph WHERE burst OR event_id % 7 > 0)"""
+_CHAIN += ", ev AS (" + _RUN.split(" ev AS (", 1)[1] + ", " + _MERGED.replace("cand AS (", "islands AS (")
+_CHAIN += """, v1 AS (SELECT *, CASE WHEN "start" - lag("start") OVER w > 10000000 OR lead("start") OVER w IS NULL THEN 1 ELSE 0 END cut, lead("start") OVER w IS NULL last FROM islands WINDOW w AS (PARTITION BY chunk ORDER BY "start")),
+ v2 AS (SELECT *, sum(cut) OVER (PARTITION BY chunk ORDER BY "start" ROWS UNBOUNDED PRECEDING) session FROM v1),
+ v3 AS (SELECT *, max("start") OVER p - min("start") OVER p > 1000000 OR count(*) OVER p >= 10 bad FROM v2 WINDOW p AS (PARTITION BY chunk, session)),
+ found AS (SELECT *, chunk * 1000000000000 + "start" id, "start" + bin_best // 2 "at" FROM v3 WHERE NOT bad OR last)"""
+_FOUND_PIVOTS = 'cand AS (SELECT id, chunk, CAST(round("start" / 1e6) AS BIGINT) stamp FROM found), boxes AS (' + _PIVOTS.split(" boxes AS (", 1)[1]
+
+
+@query(f"""WITH {_CHAIN}, {_PACKS}, {_ENG}, {_FOUND_PIVOTS}, {_WIDE}, gone AS (SELECT piv.id FROM piv LEFT JOIN wide ON wide.id = piv.id AND wide.b = piv.b GROUP BY 1 HAVING bool_and(coalesce(wide, true)))
+ SELECT "start", stop, bin_best, CAST("count" AS BIGINT) AS count, round("at" / 1e6 / 1024, 9) q1, round(chunk + "at" / 1e9, 6) longitude FROM found WHERE id NOT IN (SELECT id FROM gone)""")
+def hxmt_search(s, d):
+    """A mission's whole search: kept events, scan, session veto, saturation of three boxes, attitude and position at the peak."""
+    i = F.col("event_id")
+    chunk, burst = F.floor(i / 36_000) * 2 + F.floor(i / 3) % 2, (i % 1500 < 24) | ((i % 1500).between(60, 83) & (F.floor(i / 1500) % 3 == 0))
+    second, low = (F.floor(i / 60) + 1000) * 1_000_000, (F.floor(F.col("chunk") / 2) * 600 + 1000) * 1_000_000
+    t = second + F.when(burst, F.floor(i / 1500) % 10 * 90_000 + F.floor(i % 1500 / 60) * 10_000 + i % 60 * 20).otherwise(i % 60 * 16_000 + i * 7919 % 997)
+    events = s.read.parquet(f"{d}/events.parquet").select(chunk.alias("chunk"), t.alias("t"), F.when(burst | (i % 7 > 0), 100).otherwise(10).alias("pulse_width"), F.lit(0).alias("event_type"), F.lit(50).alias("channel"))
+    events = events.withColumns({"start": low, "stop": low + 600_000_000})
+    # Nodes on lines through time, so that SQL needs no as-of join.
+    nodes = events.select("chunk", F.explode(F.array(*[F.col("start") + k for k in (-1_000_000, 250_000_000, 601_000_000)])).alias("t")).distinct()
+    path = nodes.select("chunk", "t", (F.col("t") / 1e6 / 1024).alias("q1"), F.lit(0.0).alias("q2"), F.lit(0.0).alias("q3"), (F.col("chunk") + F.col("t") / 1e9).alias("longitude"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("altitude"))
+    x = _packets(s, d)
+    found = search.search_hxmt(events, path.select("chunk", "t", "q1", "q2", "q3"), path.select("chunk", "t", "longitude", "latitude", "altitude"), _engineering(x), _science(x), clock.HXMT)
+    micros = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return found.select(micros("start.time").alias("start"), micros("stop.time").alias("stop"), micros("bin_size_best").alias("bin_best"), "count", r("attitude.q1").alias("q1"), r("position.longitude", 6).alias("longitude"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
