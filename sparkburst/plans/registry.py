@@ -1109,8 +1109,9 @@ def saturated_candidates(s, d):
 
 
 #: Photons beside the packets: a burst of twelve for each chunk every 25 seconds, every third with another one a second later, so that
-#: the session is too long; of the background every seventh photon isn't kept.
-_CHAIN = """ph AS (SELECT event_id // 36000 * 2 + event_id // 3 % 2 chunk, event_id, event_id % 1500 < 24 OR (event_id % 1500 BETWEEN 60 AND 83 AND event_id // 1500 % 3 = 0) burst FROM events),
+#: the session is too long; of the background every seventh photon isn't kept. A chunk's first burst has no clock mark before it, and so
+#: counts as saturated.
+_CHAIN = """ph AS (SELECT event_id // 36000 * 2 + event_id // 3 % 2 chunk, event_id, event_id % 1500 < 24 OR (event_id % 1500 BETWEEN 60 AND 83 AND event_id // 1500 % 3 = 1) burst FROM events),
  stretch AS (SELECT chunk, (event_id // 60 + 1000) * 1000000 + CASE WHEN burst THEN event_id // 1500 % 10 * 90000 + event_id % 1500 // 60 * 10000 + event_id % 60 * 20 ELSE event_id % 60 * 16000 + event_id * 7919 % 997 END t,
   (1000 + chunk // 2 * 600) * 1000000 low, (1600 + chunk // 2 * 600) * 1000000 high, 0 g FROM ph WHERE burst OR event_id % 7 > 0)"""
 _CHAIN += ", ev AS (" + _RUN.split(" ev AS (", 1)[1] + ", " + _MERGED.replace("cand AS (", "islands AS (")
@@ -1126,7 +1127,7 @@ _FOUND_PIVOTS = 'cand AS (SELECT id, chunk, CAST(round("start" / 1e6) AS BIGINT)
 def hxmt_search(s, d):
     """A mission's whole search: kept events, scan, session veto, saturation of three boxes, attitude and position at the peak."""
     i = F.col("event_id")
-    chunk, burst = F.floor(i / 36_000) * 2 + F.floor(i / 3) % 2, (i % 1500 < 24) | ((i % 1500).between(60, 83) & (F.floor(i / 1500) % 3 == 0))
+    chunk, burst = F.floor(i / 36_000) * 2 + F.floor(i / 3) % 2, (i % 1500 < 24) | ((i % 1500).between(60, 83) & (F.floor(i / 1500) % 3 == 1))
     second, low = (F.floor(i / 60) + 1000) * 1_000_000, (F.floor(F.col("chunk") / 2) * 600 + 1000) * 1_000_000
     t = second + F.when(burst, F.floor(i / 1500) % 10 * 90_000 + F.floor(i % 1500 / 60) * 10_000 + i % 60 * 20).otherwise(i % 60 * 16_000 + i * 7919 % 997)
     events = s.read.parquet(f"{d}/events.parquet").select(chunk.alias("chunk"), t.alias("t"), F.when(burst | (i % 7 > 0), 100).otherwise(10).alias("pulse_width"), F.lit(0).alias("event_type"), F.lit(50).alias("channel"))
