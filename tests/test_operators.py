@@ -349,3 +349,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["count"] for r in spark.sql("SELECT * FROM curve").collect()) > 40
+
+
+def test_exploded_points_are_not_broadcast(spark):
+    from sparkburst.operators import lightning
+
+    points = spark.range(50).selectExpr("id", "id * 1000 AS at", "CAST(id AS DOUBLE) lat", "CAST(id AS DOUBLE) lon", "550000.0D alt")
+    strokes = spark.range(50).selectExpr("id AS sid", "id * 1000 AS time", "CAST(id AS DOUBLE) stroke_lat", "CAST(id AS DOUBLE) stroke_lon")
+    found = lightning.near(points, strokes, 10_000, 800_000.0)
+    assert found.count() > 50 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
