@@ -95,6 +95,19 @@ def test_positions_of_all_events(spark, folder, photons):
     assert {tuple(r) for r in rows(spark, folder, "trajectory_window")} == window and window
 
 
+def test_positions_of_a_mission_whose_time_is_many_stretches(spark):
+    d = "/root/testdata/sf0.001"
+    photons = {p.event_id: p for p in registry.photons(spark, d).collect()}
+    paths = orbit(photons, lambda p: p.mission)
+    want = {p.event_id: v for p in photons.values() if (v := between(sorted(paths[p.mission]), p.t + 1))}
+    got = {r.id: r[1:] for r in rows(spark, d, "interpolated_positions")}
+    assert len(want) > 900 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    points = spark.createDataFrame([(0, 1, -950), (1, 1, 0), (2, 1, 5), (3, 1, 990), (4, 1, 1001), (5, 1, 5000), (6, 2, 1), (7, 3, 1), (8, 1, 1000)], "id long, chunk long, at long")
+    path = spark.createDataFrame([(1, 0, 0.0), (1, 10, 10.0), (1, 1000, 1000.0), (3, 0, 1.0)], "chunk long, t long, v double")
+    for width in (None, 1, 7, 100, 10_000):
+        assert {r.id: r.v for r in registry.trajectory.interpolated(points, path, ["v"], width=width).collect()} == {0: -950.0, 1: 0.0, 2: 5.0, 3: 990.0, 8: 1000.0}
+
+
 def test_bursts_are_located_on_the_whole_trajectory(spark, photons):
     d = "/root/testdata/sf0.001"
     events, config = registry._spanned(spark, d)
