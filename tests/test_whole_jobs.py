@@ -36,6 +36,22 @@ def test_quantiles_of_all_events(spark, folder):
     assert got == {k: quantile(10.0 ** -(k % 7 + 1), (k % 37 + 1) ** 2 / 4) for k in range(ROWS)}
 
 
+def test_values_are_found_once_for_each_key(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @registry.F.udf("long")
+    def double(k):
+        calls.add(1)
+        return None if k is None else 2 * k
+
+    x = spark.range(300).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END k", "id % 2 AS j")
+    got = registry.per_value(x, ["k", "j"], ("v", double(registry.F.col("__k")))).collect()
+    assert len(got) == 300 and all(r.v == (2 * r.k if r.k else None) for r in got) and calls.value == 6
+    for name in ("poisson_tails", "poisson_quantiles"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" in plan and "Aggregate" in plan
+
+
 @pytest.fixture(scope="module")
 def photons(spark, folder):
     return {p.event_id: p for p in registry.photons(spark, folder).collect()}
