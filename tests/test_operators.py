@@ -358,3 +358,26 @@ def test_exploded_points_are_not_broadcast(spark):
     strokes = spark.range(50).selectExpr("id AS sid", "id * 1000 AS time", "CAST(id AS DOUBLE) stroke_lat", "CAST(id AS DOUBLE) stroke_lon")
     found = lightning.near(points, strokes, 10_000, 800_000.0)
     assert found.count() > 50 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_remainders_and_records_are_not_folded_row_by_row(spark):
+    from sparkburst.functions import packets
+
+    rng = random.Random(4)
+    data = [rng.randbytes(8) for _ in range(300)]
+
+    def plain(b):
+        crc = 0
+        for digit in b.hex()[:15]:
+            crc = packets.CRC4[crc ^ int(digit, 16)]
+        return crc
+
+    df = spark.createDataFrame([(bytearray(b),) for b in data], "b binary").select("b", packets.crc4(F.col("b")).alias("crc"))
+    assert [r.crc for r in df.collect()] == [plain(b) for b in data]
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    made = spark.range(64).select(packets.packed((F.col("id") % 4 * 16), F.col("id") * 67_108_860, F.col("id") * 8321).alias("b"), "id").collect()
+    for r in made:
+        b = bytes(r.b)
+        assert b[:4] == (r.id * 67_108_860).to_bytes(4) and b[7] & 15 == plain(b) and int.from_bytes(b[4:]) >> 6 == r.id * 8321 and b[7] >> 4 & 3 == r.id % 4
+    texts = spark.createDataFrame([(None, "x" * 20), (5, None)], "doc_id long, text string")
+    assert sorted((r.record, r.kind) for r in packets.records(texts).collect()) == [(0, "error"), (0, "short"), (1, "error"), (2, "short")]
