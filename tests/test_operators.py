@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkburst.functions import clock, geo, packets, poisson, solar
+from sparkburst.plans import registry
 from sparkburst.operators import histogram, saturation, scan, trajectory
 from sparkburst.sources import archive, fits, signals
 
@@ -381,3 +382,15 @@ def test_remainders_and_records_are_not_folded_row_by_row(spark):
         assert b[:4] == (r.id * 67_108_860).to_bytes(4) and b[7] & 15 == plain(b) and int.from_bytes(b[4:]) >> 6 == r.id * 8321 and b[7] >> 4 & 3 == r.id % 4
     texts = spark.createDataFrame([(None, "x" * 20), (5, None)], "doc_id long, text string")
     assert sorted((r.record, r.kind) for r in packets.records(texts).collect()) == [(0, "error"), (0, "short"), (1, "error"), (2, "short")]
+
+
+def test_candidates_of_one_second_are_judged_once(spark):
+    x = registry._packets(spark, "/root/testdata/sf0.001")
+    one = registry._asked(x)
+    many = one.unionByName(one.withColumn("id", F.col("id") + 1_000_000)).unionByName(one.withColumn("id", F.col("id") + 2_000_000))
+    found = saturation.saturated_boxes(many, registry._engineering(x), registry._science(x))
+    got = {(r.id, r.box): r.saturated for r in found.collect()}
+    assert len(got) == 3 * one.count() * 3 and len(set(got.values())) == 2 and all(got[i, b] == got[i % 1_000_000, b] for i, b in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "pack" in line]
+    assert windows and all("id#" not in line.rsplit("], [", 2)[1] for line in windows)
