@@ -27,6 +27,8 @@ FIRST_ROUND = (4, 20)
 _POSTINGS = 200_000
 #: What a posting carries of its line, behind its place in a list; postings of a line slice; buckets of tokens per partition.
 _OWN = ("sid", "doc_id", "line", "bits", *_PARTS_OF_WIDE, "probe")
+_NARROW = ("sid", "doc_id", "line", "bits", "probe")
+POSTED = "bucket long, data binary, wide binary"
 _SLICE, _BUCKETS = 1 << 18, 8
 #: Texts that are taken out of a batch at once; sets that a task remembers as sent before it forgets them all (they are then sent again).
 _ROWS, _SEEN = 512, 200_000
@@ -39,8 +41,7 @@ class _Lines:
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None = None):
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        solid = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
-        starts, ends = H.spans(solid.astype(np.uint8))
+        starts, ends = H.words(data)
         self.tokens = H.hash_spans(data, starts, ends)
         if rarity is None:
             return
@@ -127,10 +128,7 @@ def token_rarity(docs: DataFrame, kind=_Lines) -> np.ndarray:
         total = np.zeros(1 << _RARITY_BITS, np.int64)
         for batch in batches:
             for _, _, texts in _groups(batch):
-                bucket = np.sort((kind(texts).tokens >> np.uint64(64 - _RARITY_BITS)).astype(np.int64))
-                if len(bucket):
-                    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                    total[bucket[edge]] += np.diff(np.concatenate((edge, [len(bucket)])))
+                np.add.at(total, (kind(texts).tokens >> np.uint64(64 - _RARITY_BITS)).astype(np.int64), 1)
         yield from _sparse(np.minimum(total, 0xFFFFFFFF), width)
 
     parts = docs.select("text").mapInArrow(trimmed(count), "part long, at binary, value binary")
@@ -141,12 +139,13 @@ def _prefix_length(n: np.ndarray, least: float) -> np.ndarray:
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
-def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
+def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines, packed: bool = False) -> DataFrame:
     """(doc_id, text_hash, line, sid, bits, w0, w1, w2, prefix) of every line with words.
 
     sid names the line's token set; bits is its parity bitmap, w0 to w2 are parts of the wide one (see _Lines.wide). prefix holds, for lines of a set that come before all that
     the task has seen, one long per token of the rarity-ordered prefix: token hash (32 bits), set size and place (16 bits each, saturated).
-    Tokens seen once in the corpus are left out: no other line can have them.
+    Tokens seen once in the corpus are left out: no other line can have them. packed: prefix is the bytes of these longs,
+    which Spark moves as one value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,19 +168,37 @@ def line_sets(docs: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
                 used &= np.repeat(fresh, x.size)
                 owner = np.repeat(np.arange(len(x.begin)), x.size)[used]
                 size = np.minimum(np.repeat(x.size, x.size)[used], 0xFFFF)
-                packed = ((x.token[used] >> np.uint64(32)) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(16)) | np.minimum(place[used], 0xFFFF).astype(np.uint64)
+                posts = ((x.token[used] >> np.uint64(32)) << np.uint64(32)) | (size.astype(np.uint64) << np.uint64(16)) | np.minimum(place[used], 0xFFFF).astype(np.uint64)
                 offsets = np.searchsorted(owner, np.arange(len(x.begin) + 1)).astype(np.int32)
+                if packed:
+                    prefix = pa.Array.from_buffers(pa.binary(), len(x.begin), [None, pa.py_buffer(8 * offsets), pa.py_buffer(posts)])
+                else:
+                    prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(posts.view(np.int64)))
                 row = pa.array(x.doc + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(row), batch["text_hash"].take(row), pa.array(x.number), pa.array(x.sid), pa.array(x.bits), *map(pa.array, x.wide(fresh & (x.size >= _WIDE))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed.view(np.int64)))],
+                    [batch["doc_id"].take(row), batch["text_hash"].take(row), pa.array(x.number), pa.array(x.sid), pa.array(x.bits), *map(pa.array, x.wide(fresh & (x.size >= _WIDE))), prefix],
                     ["doc_id", "text_hash", "line", "sid", "bits", *_PARTS_OF_WIDE, "prefix"],
                 )
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_hash long, line int, sid long, bits long, w0 long, w1 long, w2 long, prefix " + ("binary" if packed else "array<long>"))
+
+
+def _posts(prefix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The longs of all prefixes, lists or packed, and how many each has."""
+    if pa.types.is_list(prefix.type):
+        return prefix.flatten().to_numpy(), np.diff(prefix.offsets.to_numpy())
+    held = prefix.to_pylist()
+    return np.frombuffer(b"".join(held), np.int64), np.array([len(x) // 8 for x in held], np.int64)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        token = np.unique(_posts(batch["prefix"])[0].view(np.uint64) >> np.uint64(32))
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64))], ["token"])
 
 
 def _postings(buckets: int, tokens=None):
-    """Rows (bucket, data) from lines: the postings of a bucket of tokens, column by column as 64-bit integers (post, then _OWN).
+    """Rows of POSTED from lines: the postings of a bucket of tokens, column by column as 64-bit integers (post, then _NARROW), and the wide bitmaps of those of _WIDE tokens or more.
 
     A row holds what one slice of lines has for a bucket, so that a shuffle moves few, large rows; where there are more
     buckets than postings it is one posting. tokens: a sorted array in a broadcast, beside which postings are left out.
@@ -189,36 +206,74 @@ def _postings(buckets: int, tokens=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.diff(batch["prefix"].offsets.to_numpy())
+            posts, lengths = _posts(batch["prefix"])
+            begin = np.concatenate(([0], np.cumsum(lengths)))
             for a, b in H.chunks(lengths.tolist(), _SLICE):
                 rows = batch.slice(a, b - a)
-                post = rows["prefix"].flatten().to_numpy()
-                own = [rows["doc_id"].fill_null(_NULL_ID) if c == "doc_id" else rows[c].cast(pa.int64()) for c in _OWN]
-                data = np.vstack([post, np.repeat(np.vstack([c.to_numpy() for c in own]), lengths[a:b], axis=1)])
+                post, owner = posts[begin[a] : begin[b]], np.repeat(np.arange(b - a), lengths[a:b])
                 token = post.view(np.uint64) >> np.uint64(32)
                 if tokens is not None:
                     asked = np.isin(token, tokens.value)
-                    data, token = data[:, asked], token[asked]
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                    post, owner, token = post[asked], owner[asked], token[asked]
+                bucket = (token % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # 16 bits are sorted by counting
                 order = np.argsort(bucket, kind="stable")
-                data, bucket = data[:, order], bucket[order]
+                post, owner, bucket = post[order], owner[order], bucket[order]
+                column = lambda c: (rows[c].fill_null(_NULL_ID) if c == "doc_id" else rows[c].cast(pa.int64())).to_numpy()  # noqa: B023, E731
+                data = np.vstack([post, *(column(c)[owner] for c in _NARROW)])
+                long = ((post >> 16) & 0xFFFF) >= _WIDE
+                wide = np.vstack([column(c)[owner[long]] for c in _PARTS_OF_WIDE])
                 edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-                ends = [*edge[1:].tolist(), len(bucket)]
-                packed = [data[:, x:y].tobytes() for x, y in zip(edge.tolist(), ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(packed, pa.binary())], ["bucket", "data"])
+                ends = np.concatenate((edge[1:], [len(bucket)]))
+                before = np.concatenate(([0], np.cumsum(long)))
+                cut = lambda of, x, y: pa.array([of[:, i:j].tobytes() for i, j in zip(x.tolist(), y.tolist(), strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int64)), cut(data, edge, ends), cut(wide, before[edge], before[ends])], ["bucket", "data", "wide"])
 
     return trimmed(run)
 
 
-def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False):
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place, which tells lines to read again from nearly all others."""
+    return H.mix(H.mix(doc.view(np.uint64)) + line.astype(np.uint64)).view(np.int64)
+
+
+def _list_order(token: np.ndarray, doc: np.ndarray, line: np.ndarray, sid: np.ndarray) -> np.ndarray:
+    """Postings by token, doc, line and sid; of a set that was sent more than once for a token, only the first."""
+    first, last = int(doc.min()), int(doc.max())
+    order = None
+    if last - first < 1 << 32 and line.min() >= 0 and line.max() < 1 << 31 and len(token) < 1 << 32:
+        # One sort by place and one by (token, place's rank), each of a single word.
+        at = ((doc - first) << 31) | line
+        order = np.argsort(at)
+        at, sids = at[order], sid[order]
+        if ((at[1:] == at[:-1]) & (sids[1:] != sids[:-1])).any():
+            order = None  # repeated ids
+        else:
+            order = order[(np.sort((token[order] << np.uint64(32)) | np.arange(len(token), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    if order is None:
+        order = np.lexsort((sid, line, doc, token))
+    token, sid = token[order], sid[order]
+    code = H.mix(token) ^ sid.view(np.uint64)
+    ranked = np.sort(code)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(twice):
+        some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, code), len(twice) - 1)] == code)
+        some = some[np.lexsort((some, sid[some], token[some]))]
+        again = (token[some][1:] == token[some][:-1]) & (sid[some][1:] == sid[some][:-1])
+        order = np.delete(order, some[1:][again])
+    return order
+
+
+def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False, places: bool = False):
     """Pairs (a, b, more) from postings: b comes before a and passes the length, positional and bitmap filters.
 
     In the first round each set sends its `limit` nearest earlier candidates and one that says that there are more; in
     the second, sets that are marked send all. apart: `line` names a group that is known to belong together, and only
-    pairs of different groups are sent.
+    pairs of different groups are sent. places: pairs also have at_a and at_b, the _place of each set's first line, the
+    same in all lists.
     """
+    told = ("at_a", "at_b") if places else ()
 
-    def meet(rank, base, sid, size, place, bits, wide, probe) -> pa.Table:
+    def meet(rank, base, sid, size, place, bits, wide, probe, at) -> pa.Table:
         """Compares each posting with the one `lag` places before its base in its list, for lag 1, 2, ..., all lists at once.
 
         The base is the posting itself or, with apart, the first one of its group in the list; rank is the base's.
@@ -230,14 +285,26 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
         low = np.where(full, 0, np.ceil(least * size - 1e-9)).astype(np.int32)
         high = np.where(full, 0xFFFF, np.floor(size / least + 1e-9)).astype(np.int32)
         size = size.astype(np.int32)
-        waiting, lag = np.flatnonzero(probe & (rank >= 1)), 1
-        while len(waiting):
-            near = size[base[waiting] - lag]
-            x = waiting[((near >= low[waiting]) & (near <= high[waiting])) | (near == 0xFFFF)]
-            b = base[x] - lag
+        needed = np.ceil(least / (1 + least) * np.arange(2 * int(size.max()) + 1) - 1e-9).astype(np.int32)  # by the sum of two sizes
+        # Those with most before them come first, so that the ones that still have a partner at a lag are a slice.
+        waiting = np.flatnonzero(probe & (rank >= 1))
+        waiting = waiting[np.argsort(-rank[waiting], kind="stable")]
+        left, bases, lows, highs = -rank[waiting], base[waiting], low[waiting], high[waiting]
+        closed, n_closed, lag, any_full = np.zeros(len(sid), bool), 0, 1, bool(full.any())
+        while n := int(np.searchsorted(left, -lag, "right")):
+            near = size[bases[:n] - lag]
+            met = (near >= lows[:n]) & (near <= highs[:n])
+            if any_full:
+                met |= near == 0xFFFF
+            k = np.flatnonzero(met)
+            x, b = waiting[k], bases[k] - lag
+            lag += 1
             both = size[x] + size[b]
-            need = np.ceil(least / (1 + least) * both - 1e-9).astype(np.int32)
-            fits = np.flatnonzero((np.minimum(rest[x], rest[b]) >= need) | full[x] | full[b])
+            need = needed[both]
+            fits = np.minimum(rest[x], rest[b]) >= need
+            if any_full:
+                fits |= full[x] | full[b]
+            fits = np.flatnonzero(fits & ~closed[x])
             x, b, both, need = x[fits], b[fits], both[fits], need[fits]
             spare = both - 2 * need
             apart = np.bitwise_count(bits[x] ^ bits[b]).astype(np.int32)
@@ -254,26 +321,37 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
                 hit = x[ok]
                 count[(2 * apart > spare)[ok].astype(int), hit] += 1
                 over = np.zeros(len(hit), bool) if limit is None else (count[0, hit] > limit[0]) | (count[1, hit] > limit[1])
-                out.append((sid[hit], sid[b[ok]], over))
+                out.append((sid[hit], sid[b[ok]], over, *((at[hit], at[b[ok]]) if places else ())))
                 if over.any():
-                    waiting = waiting[(count[0, waiting] <= limit[0]) & (count[1, waiting] <= limit[1])]
-            lag += 1
-            waiting = waiting[rank[waiting] >= lag]
+                    closed[hit[over]] = True
+                    n_closed += np.count_nonzero(over)
+                    if 8 * n_closed > n:
+                        kept, n_closed = ~closed[waiting], 0
+                        waiting, left, bases, lows, highs = (c[kept] for c in (waiting, left, bases, lows, highs))
         none = np.zeros(0, np.int64)
-        return pa.table({n: np.concatenate([none.astype(kind), *(o[k] for o in out)]) for k, (n, kind) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool)))})
+        return pa.table({n: np.concatenate([none.astype(kind), *(o[k] for o in out)]) for k, (n, kind) in enumerate((("a", np.int64), ("b", np.int64), ("more", bool), *((n, np.int64) for n in told)))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(1 + len(_OWN), -1) for batch in batches for x in batch["data"]]
+        held, beside = [], []
+        for batch in batches:
+            held += [np.frombuffer(x.as_buffer(), np.int64).reshape(1 + len(_NARROW), -1) for x in batch["data"]]
+            beside += [np.frombuffer(x.as_buffer(), np.int64).reshape(len(_PARTS_OF_WIDE), -1) for x in batch["wide"]]
         if not held:
             return
-        post, sid, doc, line, bits, *wide, probe = np.concatenate(held, axis=1)
+        post, sid, doc, line, bits, probe = np.concatenate(held, axis=1)
+        wide = np.zeros((len(_PARTS_OF_WIDE), len(post)), np.int64)
+        wide[:, ((post >> 16) & 0xFFFF) >= _WIDE] = np.concatenate(beside, axis=1)
         held.clear()
+        beside.clear()
         probe = probe.astype(bool)
-        token = post >> 32
-        order = np.lexsort((line, doc, sid, token))
-        again = (token[order][1:] == token[order][:-1]) & (sid[order][1:] == sid[order][:-1])
-        order = order[np.concatenate(([True], ~again))]  # a set that was sent more than once: its first line
-        order = order[np.lexsort((sid[order], doc[order], line[order], token[order]) if apart else (sid[order], line[order], doc[order], token[order]))]
+        token = post.view(np.uint64) >> np.uint64(32)
+        if apart:
+            order = np.lexsort((line, doc, sid, token))
+            again = (token[order][1:] == token[order][:-1]) & (sid[order][1:] == sid[order][:-1])
+            order = order[np.concatenate(([True], ~again))]  # a set that was sent more than once: its first line
+            order = order[np.lexsort((sid[order], doc[order], line[order], token[order]))]
+        else:
+            order = _list_order(token, doc, line, sid)
         token, post = token[order], post[order]
         start = np.concatenate(([True], token[1:] != token[:-1]))
         base = np.arange(len(token))
@@ -281,29 +359,49 @@ def _candidates(least: float, limit: tuple[int, int] | None, apart: bool = False
             group = start | np.concatenate(([True], line[order][1:] != line[order][:-1]))
             base = np.flatnonzero(group)[np.cumsum(group) - 1]
         rank = base - np.flatnonzero(start)[np.cumsum(start) - 1]
-        rows = meet(rank, base, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), [w[order].view(np.uint64) for w in wide], probe[order])
+        rows = meet(rank, base, sid[order], (post >> 16) & 0xFFFF, post & 0xFFFF, bits[order].view(np.uint64), [w[order].view(np.uint64) for w in wide], probe[order], _place(doc[order], line[order]) if places else None)
         if rows.num_rows:
-            rows = rows.group_by(["a", "b"]).aggregate([("more", "max")]).select(["a", "b", "more_max"]).rename_columns(["a", "b", "more"])
+            rows = rows.group_by(["a", "b"]).aggregate([("more", "max"), *((n, "min") for n in told)]).select(["a", "b", "more_max", *(f"{n}_min" for n in told)]).rename_columns(["a", "b", "more", *told])
             yield from rows.to_batches()
 
     return trimmed(run)
 
 
+def _asked(need: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each value's bit is set in a filter of 2^_NEED_BITS bits."""
+    at = at & ((1 << _NEED_BITS) - 1)
+    return (need[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _asked_lines(texts: list[bytes], ids: np.ndarray, need: np.ndarray) -> list[bytes]:
+    """The lines of texts whose places are in the filter."""
+    data = b"\n".join([*texts, b""])
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
+    first = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]))))
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    found = np.flatnonzero(_asked(need, _place(ids[doc], np.arange(len(ends)) - first[doc])))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [data[a:b] for a, b in zip(starts[found].tolist(), ends[found].tolist(), strict=True)]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least: float, kind=_Lines) -> DataFrame:
     """The pairs (a, b) whose token sets have Jaccard >= least, stored. Only sets that occur in pairs send their tokens on.
 
+    Where pairs have places (see _candidates) only the lines there are taken apart, else all lines are.
     Where these sets are few enough to be broadcast, only the documents with their first lines are read again.
     """
     wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        holders = first.join(F.broadcast(wanted), "sid").select(F.col("first.doc_id").alias("holder")).distinct()
-        docs = docs.join(F.broadcast(holders), docs["doc_id"].eqNullSafe(F.col("holder")), "left_semi")
+        holders = first.join(F.broadcast(wanted), "sid").select(F.coalesce("first.doc_id", F.lit(_NULL_ID)).alias("holder")).distinct()
+        docs = docs.join(F.broadcast(holders), F.coalesce(docs["doc_id"], F.lit(_NULL_ID)) == F.col("holder"), "left_semi")
     width = (1 << (_NEED_BITS - 3)) // _PARTS
+    placed = "at_a" in pairs.columns
+    marked = ("at_a", "at_b") if placed else ("a", "b")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = np.zeros(1 << _NEED_BITS, bool)
         for batch in batches:
-            for c in ("a", "b"):
+            for c in marked:
                 need[batch[c].to_numpy() & ((1 << _NEED_BITS) - 1)] = True
         packed = np.packbits(need, bitorder="little")
         for p in range(_PARTS):
@@ -317,17 +415,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
 
     need = np.zeros((_PARTS, width), np.uint8)
     marks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    for r in pairs.select("a", "b").coalesce(marks).mapInArrow(trimmed(mark), "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
+    for r in pairs.select(*marked).coalesce(marks).mapInArrow(trimmed(mark), "part long, data binary").groupBy("part").applyInArrow(merge, "part long, data binary").collect():
         need[r["part"]] = np.frombuffer(r["data"], np.uint8)  # 64 rows of fixed size
     shared = docs.sparkSession.sparkContext.broadcast(need.reshape(-1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, texts in _groups(batch):
+            ids = batch["doc_id"].fill_null(_NULL_ID).to_numpy()
+            for a, b, texts in _groups(batch):
+                if placed:
+                    texts = _asked_lines(texts, ids[a:b], shared.value)
+                    if not texts:
+                        continue
                 x = kind(texts, rarity.value)
-                at = x.sid & ((1 << _NEED_BITS) - 1)
-                asked = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                asked = np.ones(len(x.sid), bool) if placed else _asked(shared.value, x.sid)
                 for k in np.flatnonzero(asked).tolist():
                     asked[k] = x.sid[k] not in seen
                     seen.add(int(x.sid[k]))
@@ -338,7 +440,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
                     tokens = x.token[np.repeat(asked, x.size)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x.sid[asked]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], ["sid", "tokens"])
 
-    sets = docs.select("text").mapInArrow(trimmed(read), "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = docs.select("doc_id", "text").mapInArrow(trimmed(read), "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     sets = stored(sets)
     left, right = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -347,7 +449,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, rarity, least
     return out
 
 
-def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_JACCARD) -> DataFrame:
+def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_JACCARD, distinct: bool = True) -> DataFrame:
     """(doc_id, text_hash, line) of every line that an earlier line matches: token sets with Jaccard >= least.
 
     Lines are read in the order of doc_id, number and, for repeated ids, token set; a line goes if any earlier line of the table matches,
@@ -357,34 +459,36 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least
     is enough, a set first tries its nearest candidates only; those still unmatched that have more try them all.
 
     Lines without words are never removed; rows that agree in doc_id and text hold equal places, and neither removes
-    the other. Null texts have no lines; null ids come first. An empty table gives no rows.
+    the other. Null texts have no lines; null ids come first. An empty table gives no rows. Without distinct, lines of
+    repeated rows are told once for each row.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rarity = docs.sparkSession.sparkContext.broadcast(token_rarity(docs))
-    lines = stored(line_sets(docs, rarity, least))
+    lines = stored(line_sets(docs, rarity, least, packed=True))
     first = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "text_hash")).alias("first"), F.count("*").alias("n")))
-    total = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = (lines.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _POSTINGS))
-    posted = lines.where(F.size("prefix") > 0)
+    posted = lines.where(F.octet_length("prefix") > 0)
 
     def matched(probes: DataFrame, limit: tuple[int, int] | None, tokens=None) -> tuple[DataFrame, DataFrame]:
-        posts = probes.select("prefix", *_OWN).mapInArrow(_postings(_BUCKETS * parts, tokens), "bucket long, data binary").repartition(parts, "bucket")
-        pairs = stored(posts.mapInArrow(_candidates(least, limit), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+        posts = probes.select("prefix", *_OWN).mapInArrow(_postings(_BUCKETS * parts, tokens), POSTED).repartition(parts, "bucket")
+        met = posts.mapInArrow(_candidates(least, limit, places=True), "a long, b long, more boolean, at_a long, at_b long")
+        pairs = stored(met.groupBy("a", "b").agg(F.max("more").alias("more"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b")))
         return _verified(pairs, docs, first, rarity, least).select(F.col("a").alias("sid")).distinct(), pairs
 
     gone, pairs = matched(posted.withColumn("probe", F.lit(True)), FIRST_ROUND)
     left = stored(pairs.where("more").select(F.col("a").alias("sid")).distinct().join(gone, "sid", "left_anti"))
     if left.limit(1).count():
         marked = join_checked(posted, left.withColumn("probe", F.lit(True)), ["sid"]).withColumn("probe", F.coalesce("probe", F.lit(False)))
-        token = F.shiftrightunsigned("post", 32).alias("token")
-        few = marked.where("probe").select(F.explode("prefix").alias("post")).select(token).distinct().limit(BROADCAST_ROWS + 1).collect()  # the lists that these sets are in, if few
+        few = marked.where("probe").select("prefix").mapInArrow(trimmed(_tokens), "token long").distinct().limit(BROADCAST_ROWS + 1).collect()  # the lists that these sets are in, if few
         lists = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in few), np.uint64)) if len(few) <= BROADCAST_ROWS else None
         more, _ = matched(marked, None, lists)
         gone = gone.union(more).distinct()
     flagged = gone.withColumn("gone", F.lit(True))
     known = first.join(flagged, "sid", "left").where("n > 1 or gone").select("sid", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     place = F.struct("doc_id", "line", "text_hash")
-    return lines.select("sid", "doc_id", "text_hash", "line").join(known, "sid").where(F.col("gone") | ~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line").distinct()
+    out = lines.select("sid", "doc_id", "text_hash", "line").join(known, "sid").where(F.col("gone") | ~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line")
+    return out.distinct() if distinct else out
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = MIN_JACCARD) -> DataFrame:
@@ -393,7 +497,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     Other columns are kept; n_lines_removed is replaced. A null text stays null; a text of which every line goes is empty.
     """
     names = [c for c in df.columns if c.lower() != "n_lines_removed"]
-    gone = settled(lambda: repeated_lines(df, key, text, least).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list("line").alias("__gone")))
+    gone = settled(lambda: repeated_lines(df, key, text, least, False).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_set("line").alias("__gone")))
     rows = df.select(names).withColumn("__hash", F.xxhash64(text))
     met = rows.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     # The lines are split once, not once per line kept.

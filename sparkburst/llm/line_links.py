@@ -56,7 +56,7 @@ def line_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: fl
     total = posted.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // L._POSTINGS))
     dealt = _dealt(posted, hot)
-    posts = dealt.mapInArrow(L._postings(L._BUCKETS * parts), "bucket long, data binary").repartition(parts, "bucket")
+    posts = dealt.mapInArrow(L._postings(L._BUCKETS * parts), L.POSTED).repartition(parts, "bucket")
     pairs = posts.mapInArrow(L._candidates(least, None, True), "a long, b long, more boolean")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     dropped(hot)

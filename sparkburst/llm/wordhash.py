@@ -58,6 +58,15 @@ def spans(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], ends[kept]
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes outside white space; data (bytes) is empty or ends in white space."""
+    solid = (data - np.uint8(0x09) > 4) & (data != 0x20)
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if len(solid) and solid[0]:
+        edge = np.concatenate(([0], edge))
+    return edge[::2], edge[1::2]
+
+
 def chunks(sizes: list[int], most: int = 1 << 19):
     """Slices of consecutive items of about `most` bytes together; a larger item is alone."""
     begin = held = 0
