@@ -59,6 +59,9 @@ def similar_fingerprints(bits: DataFrame, most: int = MAX_BITS) -> DataFrame:
     at most l * most / SEGMENTS bits, for every l. So its own segment is equal and the next differs in one bit at most:
     that is the join key (each fingerprint is filed four times and asks with the next segment's one-bit neighbours,
     17 times four). The chain of three segments and then the whole fingerprint are checked on what meets.
+
+    The join goes by shuffle: Spark takes the exploded keys for little more than the fingerprints that they come from, and
+    would send 68 rows for each of them through the driver.
     """
     assert 0 <= most <= SEGMENTS - 1
     ring = [F.shiftrightunsigned("bits", _WIDTH * s).bitwiseAND(_MASK) for s in range(SEGMENTS)]
@@ -75,7 +78,7 @@ def similar_fingerprints(bits: DataFrame, most: int = MAX_BITS) -> DataFrame:
             mask = sum(_MASK << (_WIDTH * ((s + x) % SEGMENTS)) for x in range(length))
             mask -= (mask >> 63) << 64
             chain &= (F.shiftright("k", 2 * _WIDTH) != s) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) <= length * most // SEGMENTS)
-    return filed.join(asked, "k").where((F.col("a") < F.col("b")) & chain & (F.bit_count(apart) <= most)).select("a", "b").distinct()
+    return filed.hint("merge").join(asked.hint("merge"), "k").where((F.col("a") < F.col("b")) & chain & (F.bit_count(apart) <= most)).select("a", "b").distinct()
 
 
 def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:

@@ -346,6 +346,12 @@ def test_pigeonring_loses_no_pair(spark):
     assert got == {(a, b) for a in bits for b in bits if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
 
 
+def test_exploded_fingerprint_keys_are_not_broadcast(spark):
+    bits = spark.range(40).selectExpr("xxhash64(id) AS bits").union(spark.range(40).selectExpr("xxhash64(id) ^ 5 AS bits"))
+    found = simhash.similar_fingerprints(bits)
+    assert found.count() == 40 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 90), (90, 100), (7, 7), (50, None), (200, 201), (201, 30)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
