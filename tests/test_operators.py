@@ -394,3 +394,50 @@ def test_candidates_of_one_second_are_judged_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "pack" in line]
     assert windows and all("id#" not in line.rsplit("], [", 2)[1] for line in windows)
+
+
+def test_share_of_a_window_against_all_pairs(spark):
+    """Places at poles and at the date line, one place often, strokes that overtake each other, duplicates, nulls."""
+    from sparkburst.operators import lightning
+
+    rng = random.Random(5)
+    tolerance, window, reach = 2_000, 20_000_000, 800_000.0
+    half = tolerance + 1_000_000 + window // 2
+    spots = [(89.5, 10.0), (-89.9, -170.0), (0.0, 179.9), (0.0, -179.9), (45.0, 400.0), (61.0, 0.0)]
+    place = lambda: rng.choice(spots) if rng.random() < 0.6 else (rng.uniform(-90, 90), rng.uniform(-360, 720))
+    shifted = lambda p: (max(-90.0, min(90.0, p[0] + rng.uniform(-9, 9))), p[1] + rng.uniform(-20, 20))
+    # Some times lie within light's way of the windows' edges, so that arrivals there are out of order.
+    strokes = [(k, rng.choice([-half, 0, half]) + rng.randrange(-1_500, 1_500) if k % 2 else rng.randrange(-3 * half, 3 * half), *shifted(place())) for k in range(1500)]
+    strokes += strokes[:20] + [(-1, None, 0.0, 0.0), (-2, 0, None, 0.0), (-3, 0, 0.0, None)]
+    points = [(k, rng.choice([0, 1, -7, 2 * half]) if k % 2 else rng.randrange(-3 * half, 3 * half), *place(), rng.choice([550_000.0, 400_000.0])) for k in range(400)]
+    points += [(1000, None, 0.0, 0.0, 1.0), (1001, 0, None, 0.0, 1.0), (1002, 0, 0.0, None, 1.0), (1003, 0, 0.0, 179.9, None), (None, 0, 0.0, 179.9, 550_000.0)]
+
+    def share(at, lat, lon, alt):
+        spans, total, end = [], 0.0, at - half
+        for _, time, y, x in strokes:
+            if None in (time, y, x) or abs(time - at) > half:
+                continue
+            h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+            d = 2 * geo.EARTH_M * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+            if d <= reach:
+                a, b = geo.EARTH_M + alt, geo.EARTH_M + geo.LIGHTNING_M
+                seen = time + math.floor(math.sqrt(a * a + b * b - 2 * a * b * math.cos(d / geo.EARTH_M)) / geo.LIGHT_M_S * 1e9 + 0.5) / 1000
+                spans.append((seen - tolerance, seen + tolerance))
+        for a, b in sorted(spans):
+            a, b = max(a, end), min(b, at + half)
+            if b > a:
+                total, end = total + b - a, b
+        return total / (2.0 * half)
+
+    want = {p[0]: 0.0 if None in p else share(*p[1:]) for p in points}
+    p = spark.createDataFrame(points, "id long, at long, lat double, lon double, alt double")
+    s = spark.createDataFrame(strokes, "sid long, time long, stroke_lat double, stroke_lon double")
+    found = lightning.coincidence(p, s, tolerance, reach, window)
+    got = found.collect()
+    assert len(got) == len(points) and all(r.probability == pytest.approx(want[r.id], abs=1e-10) for r in got)
+    assert sum(v > 0 for v in want.values()) > 300
+    # Pairs are never rows: nothing is joined, and all that is dealt out is points and strokes.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert lightning.coincidence(p.where("id < 0"), s, tolerance, reach, window).count() == 0
+    assert {r.probability for r in lightning.coincidence(p, s.where("sid < -9"), tolerance, reach, window).collect()} == {0.0}
